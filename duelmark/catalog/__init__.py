@@ -2,5 +2,5 @@
 
 from duelmark.catalog.registry import REGISTRY  # noqa: F401
 from duelmark.catalog import (  # noqa: F401
-    history, scalars, selection, sources,
+    evaluation, history, quotes, scalars, selection, sources,
 )

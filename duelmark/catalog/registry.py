@@ -71,4 +71,8 @@ def with_ctes(body: str) -> str:
         return text
 
     views = ",\n".join(f"{cte} AS ({plain(CTES[cte]).strip()})" for cte in needed)
-    return (f"WITH {views}\n" if views else "") + plain(body)
+    text = plain(body)
+    if not views:
+        return text
+    # a statement with its own views continues the list
+    return f"WITH {views},\n{text[5:]}" if text[:5].upper() == "WITH " else f"WITH {views}\n{text}"

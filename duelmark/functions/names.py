@@ -26,7 +26,7 @@ def _fold_udf():
             return " ".join(folded.lower().replace(".", "").replace("-", " ").split())
 
         known = {v: one(v) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return fold
 

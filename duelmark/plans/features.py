@@ -19,3 +19,24 @@ def share(part, whole) -> Column:
 def differentials(df: DataFrame, stems: list[str]) -> DataFrame:
     """Add ``<stem>_diff`` = side A minus side B."""
     return df.withColumns({f"{s}_diff": F.col(f"{s}_a") - F.col(f"{s}_b") for s in stems})
+
+
+def round_totals(rounds: DataFrame, keys: list[str], round_no: str, sums: list[str],
+                 fade_of: str | None = None, late: int = 3) -> DataFrame:
+    """Per contest and entity: totals (0 when all values are missing) and the last round.
+
+    ``fade`` is the mean per late round minus the first round, NULL without late rounds. A
+    pre-aggregation per round makes the distinct-round count an ordinary count, so
+    everything runs in two map-side combined aggregations.
+    """
+    per_round = rounds.groupBy(*keys, round_no).agg(*[F.sum(c).alias(c) for c in sums])
+    aggs = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums] + [F.max(round_no).alias("n_rounds")]
+    if fade_of:
+        is_late = F.col(round_no) >= late
+        aggs += [F.count_if(is_late).alias("late_rounds"),
+                 F.sum(F.when(is_late, F.coalesce(F.col(fade_of), F.lit(0)))).alias("_late"),
+                 F.sum(F.when(F.col(round_no) == 1, F.coalesce(F.col(fade_of), F.lit(0)))).alias("_first")]
+    out = per_round.groupBy(*keys).agg(*aggs)
+    if fade_of:
+        out = out.withColumn("fade", F.try_divide("_late", "late_rounds") - F.col("_first")).drop("_late", "_first")
+    return out

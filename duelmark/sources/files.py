@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MAX_FINGERPRINT_BYTES = 1 << 30
+# microseconds survive the text form
+_JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def read_trimmed(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def write_fragments(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     """Compressed JSON fragments."""
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").options(**_JSON_TIMES)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.json(path, compression="gzip")
@@ -29,7 +32,7 @@ def write_fragments(df: DataFrame, path: str, partition_by: str | None = None) -
 
 
 def read_fragments(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).options(**_JSON_TIMES).json(path)
 
 
 def file_fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
