@@ -7,7 +7,10 @@ from duelmark.catalog.registry import query
 from duelmark.operators import betting, bootstrap as bs, evaluation as ev, running
 from duelmark.operators.betting import score_picks
 
-DAY_BUCKET = F.year("date")
+def by_year():
+    return F.year("date")
+
+
 DRAWS = 200
 
 
@@ -68,14 +71,14 @@ def cards(t):
 SELECT date, equity, max(equity) OVER (ORDER BY date) - equity AS drawdown
 FROM (SELECT date, sum(pnl) OVER (ORDER BY date) AS equity FROM {CARDS})""", "equity drawdown")
 def _(t):
-    return running.equity_curve(cards(t), ["date"], "pnl", DAY_BUCKET).select("date", "equity", "drawdown")
+    return running.equity_curve(cards(t), ["date"], "pnl", by_year()).select("date", "equity", "drawdown")
 
 
 @query("F12_max_drawdown", f"""
 SELECT max(peak - equity) AS max_drawdown FROM (SELECT equity, max(equity) OVER (ORDER BY date) AS peak
 FROM (SELECT date, sum(pnl) OVER (ORDER BY date) AS equity FROM {CARDS}))""", "max_drawdown")
 def _(t):
-    return running.max_drawdown(running.equity_curve(cards(t), ["date"], "pnl", DAY_BUCKET))
+    return running.max_drawdown(running.equity_curve(cards(t), ["date"], "pnl", by_year()))
 
 
 @query("F13_drawdown_stop", f"""
@@ -83,7 +86,7 @@ WITH c AS (SELECT *, sum(pnl) OVER (ORDER BY date) AS equity FROM {CARDS}),
 d AS (SELECT *, greatest(0.0, max(equity) OVER (ORDER BY date)) - equity AS dd FROM c), b AS (SELECT min(date) AS breach FROM d WHERE dd >= 10)
 SELECT date, coalesce(date > breach, false) AS halted, CASE WHEN date > breach THEN 0.0 ELSE pnl END AS kept_pnl FROM d, b""", "kept_pnl")
 def _(t):
-    curve = running.equity_curve(cards(t), ["date"], "pnl", DAY_BUCKET, peak_floor=0.0)
+    curve = running.equity_curve(cards(t), ["date"], "pnl", by_year(), peak_floor=0.0)
     out = running.halt_after_drawdown(curve, "date", 10.0)
     return out.select("date", "halted", F.when(F.col("halted"), 0.0).otherwise(F.col("pnl")).alias("kept_pnl"))
 
@@ -185,14 +188,14 @@ SELECT quantile_cont(ratio, 0.05) AS ci_low, quantile_cont(ratio, 0.95) AS ci_hi
 
 @query("E17_cluster_bootstrap_ratio", boot_sql(f"(SELECT * FROM {CARDS} WHERE staked > 0)", "pnl", "staked", "date"), "ci_low ci_high")
 def _(t):
-    return bs.cluster_ratio_ci(cards(t), ["date"], DAY_BUCKET, draws=DRAWS)
+    return bs.cluster_ratio_ci(cards(t), ["date"], by_year(), draws=DRAWS)
 
 
 @query("E18_cluster_bootstrap_mean", boot_sql(
     "(SELECT date, sum(unit_pnl) AS s, count(*) AS k FROM {picks} WHERE stake > 0 GROUP BY date)", "s", "k", "date", 7), "ci_low ci_high")
 def _(t):
     active = t.picks.filter("stake > 0").withColumn("unit_pnl", F.col("pnl") / F.col("stake"))
-    return bs.cluster_mean_ci(active, "date", "unit_pnl", DAY_BUCKET, draws=DRAWS, seed=7)
+    return bs.cluster_mean_ci(active, "date", "unit_pnl", by_year(), draws=DRAWS, seed=7)
 
 
 @query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 50), "ci_low ci_high")
@@ -234,8 +237,8 @@ def report(t):
     """One-row report; the intervals are attached as scalar sub-queries."""
     picks = t.picks.withColumn("clv", ev.clv_points())
     active = F.col("stake") > 0
-    roi = bs.cluster_ratio_ci(cards(t), ["date"], DAY_BUCKET, draws=DRAWS)
-    clv = bs.cluster_mean_ci(picks.filter(active & F.col("clv").isNotNull()), "date", "clv", DAY_BUCKET, draws=DRAWS)
+    roi = bs.cluster_ratio_ci(cards(t), ["date"], by_year(), draws=DRAWS)
+    clv = bs.cluster_mean_ci(picks.filter(active & F.col("clv").isNotNull()), "date", "clv", by_year(), draws=DRAWS)
     base = picks.agg(
         F.countDistinct("date").alias("events"), F.count_if(active).alias("bets"),
         F.avg(ev.log_loss_term("y", "p_model")).alias("log_loss_model"), F.avg(ev.log_loss_term("y", "p_line")).alias("log_loss_market"),
@@ -302,7 +305,7 @@ FROM p JOIN d USING (policy) GROUP BY 1""", "staked pnl roi max_drawdown", 5)
 def _(t):
     rows = ev.apply_policies(score_picks(t.scored), ["event_key"])
     per_day = rows.groupBy("policy", "date").agg(F.sum("pnl").alias("pnl"))
-    dd = running.max_drawdown(running.equity_curve(per_day, ["date"], "pnl", DAY_BUCKET, ["policy"]), ["policy"])
+    dd = running.max_drawdown(running.equity_curve(per_day, ["date"], "pnl", by_year(), ["policy"]), ["policy"])
     return ev.stake_summary(rows, ["policy"]).join(dd, "policy")
 
 
