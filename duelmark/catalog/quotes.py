@@ -14,7 +14,7 @@ def _(t):
 
 @query("E4_live_consensus", """
 SELECT event_key, list_sort(list(odds_a))[count(*) // 2 + 1] AS odds_a, list_sort(list(odds_b))[count(*) // 2 + 1] AS odds_b,
-  quantile_cont(book_prob, 0.5) AS market_prob_a, count(*) AS market_books, max(book_prob) - min(book_prob) AS market_spread,
+  round(quantile_cont(book_prob, 0.5), 8) AS market_prob_a, count(*) AS market_books, round(max(book_prob) - min(book_prob), 8) AS market_spread,
   max(odds_a) AS best_odds_a, max(odds_b) AS best_odds_b, 'Book ' || CAST(arg_max(book_key, (odds_a, -book_key)) AS VARCHAR) AS best_book_a,
   'Book ' || CAST(arg_max(book_key, (odds_b, -book_key)) AS VARCHAR) AS best_book_b FROM {clean} GROUP BY event_key""",
        "market_prob_a market_spread")
