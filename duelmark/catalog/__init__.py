@@ -2,5 +2,5 @@
 
 from duelmark.catalog.registry import REGISTRY  # noqa: F401
 from duelmark.catalog import (  # noqa: F401
-    evaluation, history, ledgers, quotes, scalars, selection, sources, streams,
+    evaluation, history, ledgers, models, quotes, scalars, selection, sources, streams,
 )

@@ -235,9 +235,9 @@ REPORT = f"""(SELECT count(DISTINCT date) AS events, count(*) FILTER (WHERE stak
 
 def report(t):
     """One-row report; the intervals are attached as scalar sub-queries."""
-    picks = t.picks.withColumn("clv", ev.clv_points())
+    picks = t.stored("picks").withColumn("clv", ev.clv_points())
     active = F.col("stake") > 0
-    roi = bs.cluster_ratio_ci(cards(t), ["date"], by_year(), draws=DRAWS)
+    roi = bs.cluster_ratio_ci(ev.event_rollup(picks), ["date"], by_year(), draws=DRAWS)
     clv = bs.cluster_mean_ci(picks.filter(active & F.col("clv").isNotNull()), "date", "clv", by_year(), draws=DRAWS)
     base = picks.agg(
         F.countDistinct("date").alias("events"), F.count_if(active).alias("bets"),

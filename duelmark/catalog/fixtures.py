@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelmark.functions.pricing import implied_prob
 from duelmark.operators.betting import add_prices, desired_stake, row_pnl, score_picks, allocate
 from duelmark.operators.quotes import book_consensus, clean_quotes
+from duelmark.session import materialize
 
 TIE = ["price", "part", "line", "ship"]
 
@@ -19,6 +20,7 @@ TIE = ["price", "part", "line", "ship"]
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -28,6 +30,12 @@ class Tables:
             raise AttributeError(name)
         return self.table(name)
 
+    def stored(self, view: str) -> DataFrame:
+        """A view written once to the shared folder, for queries that read it many times."""
+        if view not in self._written:
+            self._written[view] = materialize(getattr(self, view), view)
+        return self._written[view]
+
     @cached_property
     def history(self) -> DataFrame:
         """Long point-in-time table over events."""

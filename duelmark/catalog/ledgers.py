@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duelmark.catalog.fixtures import TIE, imp, profit
 from duelmark.catalog.registry import query
 from duelmark.functions import pair_key, scheduled_start, signed_price, start_precision
+from duelmark.session import materialize
 from duelmark.operators import ledger as lg, quality as ql, quotes as qt
 
 
@@ -52,7 +53,7 @@ def upcoming(t):
 @query("J2_upcoming_audit", _unpivot(
     """(SELECT *, CASE WHEN event_key % 900 <> 0 THEN CAST(commence_time AS DATE) END AS d, 'a' || event_key % 40 AS a, 'a' || event_key % 41 AS b,
        consensus_prob * CASE WHEN event_key % 50 = 0 THEN 3.0 ELSE 1.0 END AS p FROM {consensus})""", {
-        "invalid_date": "count(*) FILTER (WHERE d IS NULL)", "missing_or_zero_price": "count(*) FILTER (WHERE event_key % 7 = 0)",
+        "invalid_date": "count(*) FILTER (WHERE d IS NULL)", "missing_or_zero_price": "count(*) FILTER (WHERE event_key % 7 = 0 OR odds_a = 0 OR odds_b = 0)",
         "duplicate_date_pair": "count(*) - count(DISTINCT coalesce(CAST(d AS VARCHAR), '') || '/' || least(a, b) || '|' || greatest(a, b))",
         "self_match": "count(*) FILTER (WHERE a = b)", "invalid_probability": "count(*) FILTER (WHERE NOT (p > 0 AND p < 1))",
         "invalid_book_count": "count(*) FILTER (WHERE n_books - 3 < 1)", "invalid_best_a": "count(*) FILTER (WHERE abs(odds_a) < 100)",
@@ -132,7 +133,7 @@ LATER = dt.datetime(1990, 1, 2)
 
 def predictions(t):
     """Card rows: one contest per scored event between ``a<key>`` and ``b<key>``."""
-    p = t.picks
+    p = t.stored("picks")
     key, is_a = F.col("event_key").cast("string"), F.col("pick_side") == "A"
     exact = F.when(F.col("event_key") % 2 == 0, F.concat(F.col("date").cast("string"), F.lit("T20:00:00Z")))
     a, b = F.concat(F.lit("a"), key), F.concat(F.lit("b"), key)
@@ -182,12 +183,12 @@ def _(t):
 
 def settlement(t):
     k = F.col("event_key")
-    tr = trades(t).withColumn("scheduled_start", F.when(k % 19 == 0, "unknown").otherwise(F.col("scheduled_start")))
+    tr = materialize(trades(t), "trades").withColumn("scheduled_start", F.when(k % 19 == 0, "unknown").otherwise(F.col("scheduled_start")))
     tr = tr.withColumn("pair", pair_key("pick", "opp"))
     done = tr.filter("event_key % 7 = 0").select("trade_id")
     names = {"side_a": F.concat(F.lit("a"), k.cast("string")),
              "pair": pair_key(F.concat(F.lit("a"), k.cast("string")), F.concat(F.lit("b"), k.cast("string")))}
-    s = t.scored.withColumns(names)
+    s = t.stored("picks").withColumns(names)
     results = s.select(F.date_add("date", ((k % 3) - 1).cast("int")).alias("date"), "pair", "side_a",
                        F.when(k % 23 == 0, "draw").when(F.col("y") == 1, "A").otherwise("B").alias("winner"))
     captured = s.filter("event_key % 2 = 0").select(F.date_add("date", 1).alias("date"), "pair", "side_a", "odds_a", "odds_b",
@@ -206,7 +207,7 @@ _SETTLED = f"""(SELECT *, CASE WHEN event_key % 2 = 0 THEN 'standardized-t30' WH
 @query("K3_settle_trades", f"""
 SELECT substr(sha256('official|' || fight_key), 1, 20) AS trade_id, CASE WHEN won THEN 'WIN' ELSE 'LOSS' END AS result,
   CASE WHEN won THEN stake * {profit('px')} ELSE -stake END AS pnl, CASE WHEN closing_source IS NOT NULL THEN price_text END AS closing_price,
-  closing_market, closing_market - market AS clv_prob, closing_source FROM {_SETTLED}""", "pnl closing_market clv_prob", 5)
+  round(closing_market, 6) AS closing_market, round(closing_market - market, 6) AS clv_prob, closing_source FROM {_SETTLED}""", "pnl closing_market clv_prob")
 def _(t):
     return settlement(t)[1]
 

@@ -40,3 +40,18 @@ def round_totals(rounds: DataFrame, keys: list[str], round_no: str, sums: list[s
     if fade_of:
         out = out.withColumn("fade", F.try_divide("_late", "late_rounds") - F.col("_first")).drop("_late", "_first")
     return out
+
+
+def winner_frame(wide: DataFrame, winner_side: Column) -> DataFrame:
+    """Method-model features seen from ``winner_side`` ('A' or 'B')."""
+    df = wide.withColumn("_w", winner_side)
+
+    def of(stem, winner=True):
+        first, second = (f"{stem}_a", f"{stem}_b") if winner else (f"{stem}_b", f"{stem}_a")
+        return F.coalesce(F.when(F.col("_w") == "A", F.col(first)).otherwise(F.col(second)).cast("double"), F.lit(0.0))
+
+    cols = {"w_ko_rate": of("ko_w"), "w_sub_rate": of("sub_w"), "w_dec_rate": of("dec_w"), "w_n": of("n_pre"),
+            "l_ko_l": of("ko_l", False), "l_sub_l": of("sub_l", False)}
+    if {"age_a", "age_b"} <= set(wide.columns):
+        cols |= {"l_age": of("age", False), "w_age": of("age")}
+    return df.withColumns(cols).drop("_w")
