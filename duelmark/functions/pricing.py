@@ -76,5 +76,6 @@ def ceil_american(p) -> Column:
 
 
 def signed_price(odds) -> Column:
-    """``-150`` / ``+130`` text of a whole price."""
-    return F.format_string("%+d", col(odds).cast("long"))
+    """``-150`` / ``+130`` text of a price cut to a whole number; NULL stays NULL."""
+    whole = col(odds).cast("long")
+    return F.when(whole.isNotNull(), F.format_string("%+d", whole))

@@ -252,7 +252,7 @@ def two_sided_long(df: DataFrame, shared: list[str], per_side: dict[str, tuple])
                  *[as_col(v[n]).alias(k) for k, v in per_side.items()])
         for n, s in enumerate("AB")
     ]
-    return df.select(*shared, F.explode(F.array(*sides)).alias("_s")).select(*shared, "_s.*")
+    return df.select(*shared, F.explode(F.array(*sides)).alias("_s")).select("*", "_s.*").drop("_s")
 
 
 def to_wide(long: DataFrame, contest: list[str], values: list[str]) -> DataFrame:
@@ -307,15 +307,20 @@ def days_since_flag(df: DataFrame, entity, time: str, seq: str, flag: str, name:
 
 
 def opponent_adjusted(long: DataFrame, contest: str, entity: str, time: str, seq: str,
-                      made: str, allowed: str, chunk="MONTH") -> DataFrame:
+                      made: str, allowed: str, chunk="MONTH",
+                      priors: tuple[str, str] | None = None) -> DataFrame:
     """Output relative to what the opponent usually allows, averaged over earlier contests.
 
     ``made`` and ``allowed`` are the entity's own per-contest rates. First pass: prior
     means per entity. The two sides of a contest are then matched by one aggregation over
     the contest key instead of a self-join. Second pass: prior means of the differences.
+    ``priors`` names prior-mean columns that already exist and saves the first pass.
     """
-    base = point_in_time(long, entity, time, seq,
-                         {"c_made": prior_mean(made), "c_allowed": prior_mean(allowed)}, chunk)
+    if priors:
+        base = long.withColumns({"c_made": F.col(priors[0]), "c_allowed": F.col(priors[1])})
+    else:
+        base = point_in_time(long, entity, time, seq,
+                             {"c_made": prior_mean(made), "c_allowed": prior_mean(allowed)}, chunk)
     other = (base.groupBy(contest)
              .agg(*[F.max(F.when(F.col("side") == s, F.col(v))).alias(f"{v}_{s}")
                     for v in ("c_made", "c_allowed") for s in "AB"]))

@@ -57,3 +57,41 @@ def method_audit(model, train: DataFrame, test: DataFrame, classes: list[str],
         F.avg(-F.ln(F.greatest(own, low))).alias("log_loss_model"),
         F.avg(-F.ln(F.greatest(prior[F.col(label)], low))).alias("log_loss_prior"),
         F.avg((own == best).cast("double")).alias("accuracy_model"))
+
+
+def matched_table(features: DataFrame, odds: DataFrame, diff_columns: list[str], tie: list[str],
+                  bout_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Feature table with prices of the same (date, pair), in the price table's side order.
+
+    odds: date, pair, key_r (normalised name of the first side), odds_a, odds_b and
+    optionally market_prob. Differentials change sign when the sides are swapped; bout-level
+    columns do not.
+    """
+    from duelmark.functions import clipped_logit, market_probability, norm_name, pair_key
+    from duelmark.functions.pricing import implied_prob
+    from duelmark.operators.keys import keep_first
+    from duelmark.operators.quotes import orient
+
+    f = features.withColumns({"key_a": norm_name("fighter_a"), "key_b": norm_name("fighter_b")})
+    f = f.withColumn("pair", pair_key("key_a", "key_b"))
+    m = f.join(keep_first(odds, ["date", "pair"], tie), ["date", "pair"])
+    m = keep_first(m, ["date", "pair"], tie)
+    same = F.col("key_a") == F.col("key_r")
+    m = orient(m.withColumn("y", F.col("target")), same, complement=["y"],
+               negate=[c for c in diff_columns if c not in bout_columns])
+    supplied = F.col("market_prob") if "market_prob" in odds.columns else None
+    m = m.withColumns({"p_line": market_probability("odds_a", "odds_b", supplied),
+                       "pr_raw": implied_prob("odds_a"), "pb_raw": implied_prob("odds_b")})
+    m = m.withColumn("line_logit", clipped_logit("p_line"))
+    return m.withColumn("line_abs", F.abs("line_logit"))
+
+
+def walk_forward_audit(matched: DataFrame, features: list[str], flip: list[str], folds: list, row_id: list[str],
+                       date: str = "date", n_models: int = 30, min_train: int = 2000) -> DataFrame:
+    """Refit, predict, score, allocate and settle every contest from its first fold on."""
+    from duelmark.operators.models import walk_forward
+
+    out = walk_forward(matched, features, flip, date, folds, n_models, min_train=min_train)
+    out = score_picks(out).withColumn("desired", desired_stake())
+    out = allocate(out, [date], row_id, EVENT_DAY_CAP)
+    return out.withColumn("pnl", row_pnl())
