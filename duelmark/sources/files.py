@@ -12,7 +12,10 @@ _JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
 
 def trim_strings(df: DataFrame) -> DataFrame:
     """Trim every string column."""
-    return df.select(*[F.trim(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name)
+    def quoted(name):
+        return F.col("`" + name.replace("`", "``") + "`")
+
+    return df.select(*[F.trim(quoted(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else quoted(f.name)
                        for f in df.schema.fields])
 
 
