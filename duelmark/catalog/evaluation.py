@@ -21,7 +21,7 @@ def _(t):
 
 @query("F11_capped_allocation", "SELECT event_key, date, stake FROM {picks}")
 def _(t):
-    return t.picks.select("event_key", "date", "stake")
+    return t.stored("picks").select("event_key", "date", "stake")
 
 
 def tiered_sql(cap: str, threshold="0.04", high="0.08", src="{units}", group="date"):
@@ -38,7 +38,7 @@ def _(t):
 
 @query("F15_row_pnl", "SELECT event_key, stake, pnl FROM {picks}", "pnl")
 def _(t):
-    return t.picks.select("event_key", "stake", "pnl")
+    return t.stored("picks").select("event_key", "stake", "pnl")
 
 
 def two_sided_sql(edge, dogs="false"):
@@ -64,7 +64,7 @@ CARDS = "(SELECT date, CAST(sum(stake) AS DOUBLE) AS staked, sum(pnl) AS pnl FRO
 
 
 def cards(t):
-    return ev.event_rollup(t.picks)
+    return ev.event_rollup(t.stored("picks"))
 
 
 @query("F12_equity_curve", f"""
@@ -95,14 +95,14 @@ def _(t):
 SELECT date, count(*) AS n_contests, count(*) FILTER (WHERE stake > 0) AS n_bets, CAST(sum(stake) AS DOUBLE) AS staked, sum(pnl) AS pnl,
   string_agg(DISTINCT odds_source, ',' ORDER BY odds_source) AS source_list FROM {picks} GROUP BY date""", "staked pnl")
 def _(t):
-    return ev.event_rollup(t.picks, source="odds_source")
+    return ev.event_rollup(t.stored("picks"), source="odds_source")
 
 
 @query("E10_breakdown_by_source", """
 SELECT odds_source, count(*) AS n, count(*) FILTER (WHERE stake > 0) AS bets, CAST(sum(stake) AS DOUBLE) AS staked, sum(pnl) AS pnl,
   sum(pnl) / nullif(sum(stake), 0) AS roi, count(*) / (SELECT count(*) FROM {picks}) AS share FROM {picks} GROUP BY 1""", "staked pnl roi share")
 def _(t):
-    return ev.breakdown(t.picks, "odds_source")
+    return ev.breakdown(t.stored("picks"), "odds_source")
 
 
 @query("E11_probability_metrics", f"""
@@ -119,7 +119,7 @@ SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS contests, avg({ll('y', '
   count(p_close_line) AS close_contests, avg({ll('y', 'p_model')}) - avg({ll('y', 'p_line')}) AS model_minus_market FROM {{picks}} GROUP BY 1""",
        "model_log_loss market_log_loss model_minus_market")
 def _(t):
-    return ev.yearly_metrics(t.picks, close="p_close_line")
+    return ev.yearly_metrics(t.stored("picks"), close="p_close_line")
 
 
 @query("E13_agreement", """
@@ -164,7 +164,7 @@ SELECT CASE WHEN net_edge < CAST(0.06 AS DOUBLE) THEN '4_to_6' WHEN net_edge < C
 FROM (SELECT *, (CASE WHEN pick_side = 'A' THEN p_close_line - p_line ELSE p_line - p_close_line END) * 100 AS clv FROM {picks})
 WHERE net_edge >= CAST(0.04 AS DOUBLE) GROUP BY 1""", "pnl roi mean_clv", 5)
 def _(t):
-    return ev.edge_bucket_report(t.picks.withColumn("clv", ev.clv_points()), clv="clv")
+    return ev.edge_bucket_report(t.stored("picks").withColumn("clv", ev.clv_points()), clv="clv")
 
 
 @query("E16_closing_line_value", f"""
@@ -175,7 +175,7 @@ FROM (SELECT *, CASE WHEN stake > 0 THEN ((CASE WHEN pick_side = 'A' THEN p_clos
   - (CASE WHEN pick_side = 'A' THEN p_line ELSE 1.0 - p_line END)) * 100.0 END AS clv FROM {{picks}})""",
        "close_coverage log_loss_close mean_clv positive_clv_rate")
 def _(t):
-    return ev.clv_report(t.picks.withColumn("clv", ev.clv_points()))
+    return ev.clv_report(t.stored("picks").withColumn("clv", ev.clv_points()))
 
 
 def boot_sql(cluster_table: str, num: str, den: str, order: str, seed: int = 0, draws: int = DRAWS) -> str:
@@ -194,13 +194,13 @@ def _(t):
 @query("E18_cluster_bootstrap_mean", boot_sql(
     "(SELECT date, sum(unit_pnl) AS s, count(*) AS k FROM {picks} WHERE stake > 0 GROUP BY date)", "s", "k", "date", 7), "ci_low ci_high")
 def _(t):
-    active = t.picks.filter("stake > 0").withColumn("unit_pnl", F.col("pnl") / F.col("stake"))
+    active = t.stored("picks").filter("stake > 0").withColumn("unit_pnl", F.col("pnl") / F.col("stake"))
     return bs.cluster_mean_ci(active, "date", "unit_pnl", by_year(), draws=DRAWS, seed=7)
 
 
 @query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 50), "ci_low ci_high")
 def _(t):
-    return bs.row_mean_ci(t.picks.filter("stake > 0"), ["event_key"], "pnl", F.floor(F.col("event_key") / 1000), draws=50, seed=3)
+    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", F.floor(F.col("event_key") / 1000), draws=50, seed=3)
 
 
 DRIFT = " UNION ALL ".join(
@@ -212,7 +212,7 @@ FIELDS = ["p_model", "p_line", "edge", "se", "net_edge", "stake"]
 
 def drift(t):
     period = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), "reference").otherwise("recent")
-    return ev.drift_summary(t.picks, period, FIELDS)
+    return ev.drift_summary(t.stored("picks"), period, FIELDS)
 
 
 @query("E21_drift_summary", DRIFT, "mean std")

@@ -382,7 +382,7 @@ def _(t):
     from pyspark.sql import Window as W
 
     # one row per source label: a closed, tiny set
-    table = ev.breakdown(t.picks, "odds_source").select("odds_source", "roi")
+    table = ev.breakdown(t.stored("picks"), "odds_source").select("odds_source", "roi")
     return table.withColumn("place", F.row_number().over(W.orderBy(F.desc("roi"), "odds_source")))
 
 

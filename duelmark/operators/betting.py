@@ -36,29 +36,33 @@ def desired_stake(net="net_edge", threshold: float = EDGE_RULE, max_stake: int =
 
 
 def allocate(df: DataFrame, group: list[str], row_id: list[str], cap: float | None = EVENT_DAY_CAP,
-             desired="desired", net="net_edge", stake="stake", eligible: Column | None = None) -> DataFrame:
+             desired="desired", net="net_edge", stake="stake", eligible: Column | None = None,
+             salts: int = 16) -> DataFrame:
     """Greedy capped allocation by net edge, in closed form.
 
     stake = least(desired, greatest(0, cap - sum of desired ranked before)). Stakes are at
-    least one unit, so only the first ``ceil(cap)`` rows of a group can receive one: a
-    ranking filter keeps just those rows *before* the shuffle (partial group limit), and a
-    hot group never gathers in one task. The winners, at most ``cap`` per group, are joined
-    back on the row key. ``row_id`` must be unique and orders ties.
+    least one unit, so only the best ``ceil(cap)`` rows of a group can receive one. Groups
+    are split into ``salts`` parts first; each part nominates its best rows, and only the
+    nominees (at most salts x cap per group) meet in one task. Both branches hang on the
+    same exchange, so the input is computed and shuffled once, and a hot group is spread.
+    ``row_id`` must be unique and orders ties.
     """
     want = F.col(desired)
     if cap is None:
         return df.withColumn(stake, want.cast("int"))
-    ok = want > 0 if eligible is None else (want > 0) & eligible
-    keys = list(dict.fromkeys([*group, *row_id]))
-    order = W.partitionBy(*group).orderBy(F.desc(net), *row_id)
-    ranked = (df.filter(ok).select(*keys, net, desired)
-              .withColumn("_rank", F.row_number().over(order))
-              .filter(F.col("_rank") <= math.ceil(cap)))
+    ok = F.coalesce(want > 0 if eligible is None else (want > 0) & eligible, F.lit(False))
+    best = [F.desc(net), *row_id]
+    part = W.partitionBy(*group, "_salt").orderBy(F.desc("_ok"), *best)
+    # a running count instead of a rank: a rank filter would give the branches different exchanges
+    rows = (df.withColumns({"_salt": F.pmod(F.xxhash64(*row_id), F.lit(salts)), "_ok": ok})
+            .withColumn("_place", F.count(F.lit(1)).over(part.rowsBetween(W.unboundedPreceding, 0))))
+    nominee = F.col("_ok") & (F.col("_place") <= math.ceil(cap))
+    order = W.partitionBy(*group).orderBy(*best)
     before = F.coalesce(F.sum(desired).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    winners = ranked.select(*keys, F.least(want, F.greatest(F.lit(0), F.lit(cap) - before))
-                            .cast("int").alias("_stake")).filter("_stake > 0")
-    return (df.join(winners, keys, "left")
-            .withColumn(stake, F.coalesce("_stake", F.lit(0))).drop("_stake"))
+    paid = rows.filter(nominee).withColumn(
+        stake, F.least(want, F.greatest(F.lit(0), F.lit(cap) - before)).cast("int"))
+    rest = rows.filter(~nominee).withColumn(stake, F.lit(0))
+    return paid.unionByName(rest).drop("_salt", "_ok", "_place")
 
 
 def row_pnl(side="pick_side", y="y", odds_a="odds_a", odds_b="odds_b", stake="stake") -> Column:

@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def _order(cols) -> Column:
-    return F.struct(*[c if isinstance(c, Column) else F.col(c) for c in cols])
+def _first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Row with the largest ``order`` per key, as an aggregation.
+def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Row with the largest ``order`` per key.
 
-    Unlike a ranking window this combines map-side, so a hot key costs one row per task.
+    Spark turns ``row_number() = 1`` into a group limit that also runs *before* the
+    shuffle: each task sends one row per key, so a hot key stays small, and unlike an
+    aggregate over whole-row structs the columns nobody reads are pruned at the scan.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    return (df.groupBy(*keys).agg(F.max_by(row, _order(order)).alias("_row"))
-            .select(*keys, "_row.*").select(*df.columns))
-
-
-def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Row with the smallest ``order`` per key."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*rest)
-    return (df.groupBy(*keys).agg(F.min_by(row, _order(order)).alias("_row"))
-            .select(*keys, "_row.*").select(*df.columns))
+    return _first_row(df, keys, [F.col(c).desc_nulls_last() for c in order])
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Row with the smallest ``order`` per key; NULLs come last."""
+    return _first_row(df, keys, [F.col(c).asc_nulls_last() for c in order])
 
 
 def unseen(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

@@ -172,9 +172,14 @@ def point_in_time(df: DataFrame, entity, time: str, seq: str, features: dict[str
         return _plain(df, keys, time, seq, features)
 
     cut = F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk
-    local = W.partitionBy(*keys, "_chunk").orderBy(time, seq)
+    # a key that is never NULL adds no filter to one side of the join below, so the rows and
+    # their summary share one exchange
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
+    key = parts[0] if len(parts) == 1 else F.concat_ws("\x1f", *parts)
+    base = df.withColumns({"_key": key, "_chunk": cut})
+    keys = ["_key"]
+    local = W.partitionBy("_key", "_chunk").orderBy(time, seq)
     before = local.rowsBetween(START, -1)
-    base = df.withColumn("_chunk", cut)
     indexed = base.withColumn("_i", (F.row_number().over(local) - 1).cast("long"))
     positional = any(p.kind in ("last", "streak") for p in features.values())
     summary, tail_k = _chunk_summary(indexed if positional else base, keys, time, seq, features)

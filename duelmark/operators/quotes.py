@@ -50,20 +50,23 @@ def rejected_quotes(df: DataFrame, snapshot: str, start: str, odds_a: str, odds_
 def book_consensus(quotes: DataFrame, keys: list[str], min_books: int = 3, book: str = "book_key",
                    snapshot: str = "snapshot_ts", start: str = "commence_time",
                    odds_a: str = "odds_a", odds_b: str = "odds_b", first: dict[str, str] | None = None,
-                   first_order: list[str] | None = None) -> DataFrame:
+                   first_order: list[str] | None = None, one_row_per_book: bool = True) -> DataFrame:
     """Consensus per key over de-duplicated book quotes.
 
     Probabilities are de-vigged per book and then aggregated (never the reverse). After
     de-duplication a group has one row per book, so the exact median keeps at most that
-    many values; partial aggregation happens before the shuffle.
+    many values; partial aggregation happens before the shuffle. Books are then counted as
+    rows: a distinct count would carry every median through a second shuffle. Pass
+    ``one_row_per_book=False`` for input that is not de-duplicated on (keys, book).
     """
+    n_books = F.count(book) if one_row_per_book else F.countDistinct(book)
     order = F.struct(*[F.col(c) for c in (first_order or [snapshot, book])])
     names = [F.min_by(c, order).alias(n) for n, c in (first or {}).items()]
     out = quotes.groupBy(*keys).agg(
         F.max(snapshot).alias("snapshot_ts"), F.min(start).alias("commence_time"), *names,
         F.percentile(odds_a, 0.5).alias("odds_a"), F.percentile(odds_b, 0.5).alias("odds_b"),
         F.percentile("book_prob", 0.5).alias("consensus_prob"),
-        F.countDistinct(book).alias("n_books"),
+        n_books.alias("n_books"),
     ).filter(F.col("n_books") >= min_books)
     out = out.withColumn("lead_hours", lead_hours("snapshot_ts", "commence_time"))
     return out.filter("lead_hours > 0")

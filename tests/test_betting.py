@@ -39,10 +39,12 @@ def test_allocation_equals_a_greedy_loop(spark, cap):
     assert got == {**{r[1]: 0 for r in rows}, **greedy(rows, cap)}
 
 
-def test_hot_group_is_cut_before_the_shuffle(spark):
-    df = spark.createDataFrame([("A", 0, .09)], "g string, id int, net_edge double").withColumn("desired", F.lit(1))
-    plan = betting.allocate(df, ["g"], ["id"], 2)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_hot_group_is_spread_and_the_input_is_shuffled_once(spark):
+    df = spark.range(400).selectExpr("concat('g', id % 1) g", "id", "id / 400.0D net_edge", "1 desired", "id * 2 payload")
+    out = betting.allocate(df, ["g"], ["id"], 2)
+    assert sorted(r.id for r in out.collect() if r.stake) == [398, 399]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "hashpartitioning(g" in plan and "_salt" in plan and "ReusedExchange" in plan
 
 
 def test_pick_tie_goes_to_a_and_pnl(spark):
