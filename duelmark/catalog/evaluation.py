@@ -200,7 +200,7 @@ def _(t):
 
 @query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 50), "ci_low ci_high")
 def _(t):
-    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", F.floor(F.col("event_key") / 1000), draws=50, seed=3)
+    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", F.floor(F.col("event_key") / 1_000_000), draws=50, seed=3)
 
 
 DRIFT = " UNION ALL ".join(

@@ -52,10 +52,10 @@ def _(t):
 
 
 def payload(t):
-    """Nested quote payload per event, as JSON text.
+    """Nested quote payloads, as JSON text.
 
-    A payload holds one event's books after de-duplication per (event, book), so each
-    array is bounded by the number of books.
+    A payload holds up to 100 neighbouring book numbers of one event, one quote per book, so
+    its arrays stay small however many books an event has.
     """
     books = t.clean.filter("lead_hours > 2")
     struct = F.struct(
@@ -68,7 +68,7 @@ def payload(t):
                 F.struct(F.lit("home").alias("name"), F.col("odds_a").cast("string").alias("price")),
                 F.struct(F.lit("away").alias("name"), F.when(F.col("line") == 1, F.lit("n/a")).otherwise(
                     F.col("odds_b").cast("string")).alias("price"))).alias("outcomes"))).alias("markets"))
-    event = books.groupBy("event_key").agg(F.max("commence_time").alias("c"), F.sort_array(F.collect_list(struct)).alias("b"))
+    event = books.groupBy("event_key", F.floor(F.col("book_key") / 100)).agg(F.max("commence_time").alias("c"), F.sort_array(F.collect_list(struct)).alias("b"))
     return event.select("event_key", F.to_json(F.array(F.struct(
         F.col("event_key").cast("string").alias("id"), F.date_format("c", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"),
         F.lit("home").alias("home_team"), F.lit("away").alias("away_team"), F.col("b").alias("bookmakers")))).alias("body"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelmark.checks import assert_unique
 from duelmark.functions.names import unresolved_key
@@ -27,18 +27,42 @@ def nearest_date(left: DataFrame, right: DataFrame, left_id: list[str], keys: li
                  tie: list[str] = ()) -> DataFrame:
     """Inner join to the closest right row within ``days``; ties go to the earlier time.
 
-    The right side is copied to each day it can match, so the join is an equi-join on
-    (keys, day): a hot key is spread over its days and no key pairs all with all.
+    No pairs are formed. Both sides are merged per (keys, day) in time order, where the
+    nearest right row before and after each left row is one window lookup. A day also
+    receives the last right row of the days before it and the first one of the days after
+    it, so a key is split into days and neighbours across midnight are still found.
     """
-    r = right.withColumn("_rday", F.explode(F.transform(
-        F.sequence(F.lit(-days), F.lit(days)),
-        lambda d: F.date_add(F.col(right_time).cast("date"), d))))
-    l = left.withColumn("_rday", F.col(left_time).cast("date"))
-    gap = F.abs(F.unix_micros(F.col(left_time).cast("timestamp"))
-                - F.unix_micros(F.col(right_time).cast("timestamp"))) / 8.64e10
-    j = l.join(r, [*keys, "_rday"]).withColumn("date_error_days", gap)
-    j = j.filter(F.col("date_error_days") <= days).drop("_rday")
-    return keep_first(j, left_id, ["date_error_days", right_time, *tie])
+    rest = [c for c in right.columns if c not in keys]
+    first_at_time = keep_first(right.dropna(subset=[*keys, right_time]), [*keys, right_time], [*tie, right_time])
+    r = first_at_time.select(*keys, F.col(right_time).cast("timestamp").alias("_t"), F.struct(*rest).alias("_r"))
+    r = r.withColumn("_day", F.col("_t").cast("date"))
+    edges = r.groupBy(*keys, "_day").agg(
+        F.max_by(F.struct("_t", "_r"), "_t").alias("last"), F.min_by(F.struct("_t", "_r"), "_t").alias("first"))
+
+    def carried(edge, sign):
+        shift = F.explode(F.array(*[F.lit(sign * n) for n in range(1, days + 1)])).alias("_shift")
+        return edges.select("*", shift).select(
+            *keys, F.col(f"{edge}._t").alias("_t"), F.col(f"{edge}._r").alias("_r"), F.date_add("_day", F.col("_shift")).alias("_day"))
+
+    context = r.unionByName(carried("last", 1)).unionByName(carried("first", -1))
+    l = left.withColumns({"_t": F.col(left_time).cast("timestamp"), "_left": F.lit(True)})
+    l = l.withColumn("_day", F.col("_t").cast("date"))
+    both = l.unionByName(context, allowMissingColumns=True)
+    order = W.partitionBy(*keys, "_day").orderBy("_t")
+    mark = F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))
+    # rows of one time are peers of a range frame: an exact hit counts on both sides
+    near = both.withColumns({
+        "_before": F.last(mark, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0)),
+        "_after": F.first(mark, ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing))}).filter("_left")
+
+    def gap(c):
+        return F.abs(F.unix_micros("_t") - F.unix_micros(f"{c}._t")) / 8.64e10
+
+    use_after = F.col("_before").isNull() | (gap("_after") < gap("_before"))
+    hit = near.withColumn("_hit", F.when(use_after, F.col("_after")).otherwise(F.col("_before")))
+    hit = hit.withColumn("date_error_days", gap("_hit")).filter(F.col("date_error_days") <= days)
+    new = [c for c in rest if c not in left.columns]
+    return hit.select(*left.columns, *[F.col(f"_hit._r.{c}").alias(c) for c in new], "date_error_days")
 
 
 def preferred_offset(left: DataFrame, right: DataFrame, left_id: list[str], keys: list[str],

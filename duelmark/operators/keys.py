@@ -42,14 +42,13 @@ def dropped_ids(old: DataFrame, new: DataFrame, columns: list[str], name: str =
 
 
 def conflicting_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys mapped to more than one distinct value, with the values sorted.
+    """(key, value, n_values) rows for keys mapped to more than one distinct value.
 
-    Pairs are de-duplicated first, so the list holds distinct values only.
+    The result stays one row per pair, so no group is gathered into a list.
     """
     pairs = df.select(key, value).where(F.col(value).isNotNull()).distinct()
-    return (pairs.groupBy(key)
-            .agg(F.count(F.lit(1)).alias("n_values"), F.sort_array(F.collect_list(value)).alias("value_list"))
-            .filter("n_values > 1"))
+    counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_values")).filter("n_values > 1")
+    return pairs.join(counts, key)
 
 
 def surplus_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -105,9 +105,9 @@ def _plain(df: DataFrame, keys, time, seq, features) -> DataFrame:
     return df.withColumns(out).drop("_i")
 
 
-def _chunk_summary(rows: DataFrame, keys, time, seq, features) -> DataFrame:
+def _chunk_summary(rows: DataFrame, keys, time, seq, features, entity_cols):
     """One row per (entity, chunk) with everything later chunks need."""
-    aggs = {"_n": F.count(F.lit(1))}
+    aggs = {"_n": F.count(F.lit(1)), **{f"_ent_{c}": F.min(c) for c in entity_cols}}
     tail_k = 0
     order = F.struct(F.col(time), F.col(seq))
     for p in set(features.values()):
@@ -135,7 +135,7 @@ def _chunk_summary(rows: DataFrame, keys, time, seq, features) -> DataFrame:
     return rows.groupBy(*keys, "_chunk").agg(*[v.alias(k) for k, v in aggs.items()]), tail_k
 
 
-def _carry(summary: DataFrame, keys, features, tail_k) -> DataFrame:
+def _carry(summary: DataFrame, keys, features, tail_k, entity_cols) -> DataFrame:
     """Running state before each chunk; the window runs over chunk rows only."""
     order = W.partitionBy(*keys).orderBy("_chunk")
     prior = order.rowsBetween(START, -1)
@@ -156,7 +156,7 @@ def _carry(summary: DataFrame, keys, features, tail_k) -> DataFrame:
               for c in summary.columns if c.startswith("_b_")}
     if breaks:
         carried = carried.withColumns(breaks)
-    return carried.select(*keys, "_chunk", *out, *breaks)
+    return carried.select(*keys, "_chunk", *out, *breaks, *[f"_ent_{c}" for c in entity_cols])
 
 
 def point_in_time(df: DataFrame, entity, time: str, seq: str, features: dict[str, Prior],
@@ -174,16 +174,16 @@ def point_in_time(df: DataFrame, entity, time: str, seq: str, features: dict[str
     cut = F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk
     # a key that is never NULL adds no filter to one side of the join below, so the rows and
     # their summary share one exchange
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]
-    key = parts[0] if len(parts) == 1 else F.concat_ws("\x1f", *parts)
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("(null)")) for k in keys]
+    key = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
     base = df.withColumns({"_key": key, "_chunk": cut})
-    keys = ["_key"]
+    entity_cols, keys = keys, ["_key"]
     local = W.partitionBy("_key", "_chunk").orderBy(time, seq)
     before = local.rowsBetween(START, -1)
     indexed = base.withColumn("_i", (F.row_number().over(local) - 1).cast("long"))
     positional = any(p.kind in ("last", "streak") for p in features.values())
-    summary, tail_k = _chunk_summary(indexed if positional else base, keys, time, seq, features)
-    carry = _carry(summary, keys, features, tail_k)
+    summary, tail_k = _chunk_summary(indexed if positional else base, keys, time, seq, features, entity_cols)
+    carry = _carry(summary, keys, features, tail_k, entity_cols)
 
     scratch = {}
     for p in set(features.values()):
@@ -240,7 +240,9 @@ def point_in_time(df: DataFrame, entity, time: str, seq: str, features: dict[str
             n = F.col(f"_tc{p.k}_{p.col}") + F.when(missing > 0, F.size(values)).otherwise(0)
             s = F.coalesce(F.col(f"_ts{p.k}_{p.col}"), zero) + F.when(missing > 0, extra).otherwise(zero)
             out[name] = _mean(s, F.nullif(n, F.lit(0)))
-    return joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+    # reading the entity from either side keeps both sides on the same columns (one exchange)
+    passed = [F.coalesce(c, f"_ent_{c}").alias(c) if c in entity_cols else F.col(c) for c in df.columns]
+    return joined.select(*passed, *[v.alias(k) for k, v in out.items()])
 
 
 def two_sided_long(df: DataFrame, shared: list[str], per_side: dict[str, tuple]) -> DataFrame:

@@ -63,3 +63,22 @@ def test_keep_and_fold_copies(spark):
     assert sorted(r.v for r in keys.keep_first(df, ["k"], ["o"]).collect()) == ["x", "z"]
     copies = joins.fold_copies(df, "o", [2, 6, 8]).groupBy("fold").count().collect()
     assert {r.fold: r["count"] for r in copies} == {2: 1, 6: 2, 8: 3}
+
+
+def test_nearest_date_equals_all_pairs_on_a_hot_key(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(2)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 12))
+    left = [(i, "hot" if rng.random() < 0.6 else "b", at()) for i in range(150)]
+    right = [(1000 + i, "hot" if rng.random() < 0.6 else "b", at()) for i in range(60)]
+    for days in (1, 2):
+        want = {}
+        for i, k, t in left:
+            near = [(abs(t - u), u, j) for j, kk, u in right if kk == k and abs(t - u) <= dt.timedelta(days=days)]
+            if near:
+                want[i] = min(near)[2]
+        l, r = spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "rid int, k string, u timestamp")
+        got = {x.id: x.rid for x in joins.nearest_date(l, r, ["id"], ["k"], "t", "u", days, ["rid"]).collect()}
+        assert got == want
