@@ -110,7 +110,7 @@ _LABELS = [*[k for k, _ in DIVISION_LIMITS], "catch weight"]
 
 
 @query("B10_division_limit", f"""
-SELECT c_custkey, CASE {_DIV} END AS weight_limit FROM (
+SELECT c_custkey, CAST(CASE {_DIV} END AS DOUBLE) AS weight_limit FROM (
 SELECT c_custkey, [{', '.join(repr(x) for x in _LABELS)}][c_custkey % {len(_LABELS)} + 1] AS label FROM customer)""")
 def _(t):
     label = F.get(F.array(*[F.lit(x.title()) for x in _LABELS]), (F.col("c_custkey") % len(_LABELS)).cast("int"))
@@ -333,7 +333,7 @@ _HIT = " OR ".join(f"lower(k) LIKE '%{x}%'" for x in PROP_TERMS)
 
 
 @query("B32_market_key_filter", f"""
-SELECT user_id, coalesce(list_sort(list(DISTINCT k) FILTER (WHERE {_HIT})), []) AS market_keys
+SELECT user_id, coalesce(array_to_string(list_sort(list(DISTINCT k) FILTER (WHERE {_HIT})), ','), '') AS market_keys
 FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'fight_method' WHEN 'click' THEN 'h2h' WHEN 'view' THEN 'total_Rounds'
       ELSE 'spreads' END AS k FROM events) GROUP BY user_id""")
 def _(t):
@@ -343,7 +343,8 @@ def _(t):
     keys = t.events.select("user_id", k.alias("k")).distinct().groupBy("user_id").agg(F.collect_set("k").alias("ks"))
     payload = keys.select("user_id", F.struct(F.array(F.struct(F.transform(
         "ks", lambda x: F.struct(x.alias("key"))).alias("markets"))).alias("bookmakers")).alias("event"))
-    return qt.market_keys(payload, ["user_id"], PROP_TERMS)
+    out = qt.market_keys(payload, ["user_id"], PROP_TERMS)
+    return out.withColumn("market_keys", F.array_join("market_keys", ","))
 
 
 @query("B33_manifest_status", """
