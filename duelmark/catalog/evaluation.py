@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from duelmark.catalog.fixtures import imp, ll, profit
+from duelmark.catalog.fixtures import ll, profit
 from duelmark.catalog.registry import query
 from duelmark.operators import betting, bootstrap as bs, evaluation as ev, running
 from duelmark.operators.betting import score_picks

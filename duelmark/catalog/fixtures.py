@@ -9,7 +9,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelmark.functions.pricing import implied_prob
 from duelmark.operators.betting import add_prices, desired_stake, row_pnl, score_picks, allocate
 from duelmark.operators.quotes import book_consensus, clean_quotes
 from duelmark.session import materialize

@@ -9,7 +9,6 @@ from duelmark.catalog.fixtures import ll
 from duelmark.catalog.registry import query
 from duelmark.functions import clipped_logit, fair_american, method_class
 from duelmark.operators import evaluation as ev, models as ml
-from duelmark.operators.betting import score_picks
 
 FEATS = ["line_logit", "line_abs", "d1", "d2", "d3"]
 FLIP = ["line_logit", "d1", "d2", "d3"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from duelmark.catalog.fixtures import imp
 from duelmark.catalog.registry import query
 from duelmark import functions as fn
-from duelmark.functions import parsing, pricing, timing
+from duelmark.functions import parsing, timing
 from duelmark.functions.ids import event_seed_of_set
 from duelmark.operators import betting, quotes as qt
 from duelmark.settings import DIVISION_LIMITS, NAME_ALIASES, PROP_TERMS

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelmark.functions.pricing import ceil_american, implied_prob, unit_profit
-from duelmark.settings import (EDGE_RULE, EVENT_DAY_CAP, MAX_ODDS_AGE_MINUTES, MAX_STAKE,
+from duelmark.settings import (EDGE_RULE, EVENT_DAY_CAP, LIVE_SOURCE_PREFIX, MAX_ODDS_AGE_MINUTES, MAX_STAKE,
                                MIN_MARKET_BOOKS, TWO_UNIT_RULE)
 
 
@@ -97,7 +97,7 @@ def execution_ladder(df: DataFrame, p: str, se: str,
 
 
 def eligibility(df: DataFrame, net="net_edge", books="market_books", age="quote_age_minutes",
-                source="odds_source", live_prefix="the-odds-api", threshold: float = EDGE_RULE,
+                source="odds_source", live_prefix=LIVE_SOURCE_PREFIX, threshold: float = EDGE_RULE,
                 min_books: int = MIN_MARKET_BOOKS, max_age: float = MAX_ODDS_AGE_MINUTES) -> DataFrame:
     """Adds ``quality_ok``, ``qualified`` and the reason text."""
     enough = F.coalesce(F.col(books) >= min_books, F.lit(True))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelmark.functions.pricing import clip
 from duelmark.operators.betting import allocate, row_pnl, two_sided_pnl
-from duelmark.settings import EDGE_BUCKETS, EDGE_RULE, EVENT_DAY_CAP, TWO_UNIT_RULE
+from duelmark.settings import (CLV_GATE_TEXT, EDGE_BUCKETS, EDGE_RULE, EVENT_DAY_CAP, POLICIES, ROI_GATE_TEXT)
 
 
 def log_loss_term(y, p, low: float = 0.001) -> Column:
@@ -137,13 +137,6 @@ def clv_report(df: DataFrame, clv="clv", stake="stake", close="p_close_line", y=
         F.avg((v > 0).cast("double")).alias("positive_clv_rate"))
 
 
-POLICIES = (
-    {"policy": "active_flat_1u_day_cap2", "high": None, "max_stake": 1.0, "cap": 2.0},
-    {"policy": "legacy_2u_at_8_day_cap2", "high": 0.08, "max_stake": 2.0, "cap": 2.0},
-    {"policy": "candidate_2u_at_10_day_cap2", "high": TWO_UNIT_RULE, "max_stake": 2.0, "cap": 2.0},
-)
-
-
 def apply_policies(df: DataFrame, row_id: list[str], date="date", policies=POLICIES) -> DataFrame:
     """All staking policies in one pass, the policy name in the allocation key."""
     cap = policies[0]["cap"]
@@ -220,10 +213,10 @@ def promotion_gate(report: DataFrame, min_events=50, min_bets=200, min_clv=200,
     return gate(r, [
         ("minimum_events", "events", c("events") >= min_events, f">= {min_events}"),
         ("minimum_bets", "bets", c("bets") >= min_bets, f">= {min_bets}"),
-        ("positive_roi_interval", "roi_low", c("roi_low") > 0, "90% event-clustered ROI lower bound > 0"),
+        ("positive_roi_interval", "roi_low", c("roi_low") > 0, ROI_GATE_TEXT),
         ("model_beats_entry_market", "ll_delta", c("ll_delta") < 0, "model-minus-market log loss < 0"),
         ("minimum_active_clv_bets", "clv_bets", c("clv_bets") >= min_clv, f">= {min_clv}"),
-        ("positive_clv_interval", "clv_low", c("clv_low") > 0, "90% event-clustered mean CLV lower bound > 0"),
+        ("positive_clv_interval", "clv_low", c("clv_low") > 0, CLV_GATE_TEXT),
         ("positive_clv_rate", "clv_rate", c("clv_rate") > min_rate, f"> {min_rate}"),
     ])
 
@@ -233,7 +226,7 @@ def live_gate(report: DataFrame, min_events=50, min_bets=200) -> DataFrame:
     return gate(report, [
         ("minimum_events", "events", c("events") >= min_events, f">= {min_events}"),
         ("minimum_bets", "bets", c("bets") >= min_bets, f">= {min_bets}"),
-        ("positive_roi_interval", "roi_low", c("roi_low") > 0, "90% event-clustered ROI lower bound > 0"),
+        ("positive_roi_interval", "roi_low", c("roi_low") > 0, ROI_GATE_TEXT),
     ])
 
 

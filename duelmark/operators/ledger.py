@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelmark.functions.ids import hash_id
 from duelmark.functions.names import pair_key
-from duelmark.functions.pricing import devig, implied_prob, signed_price, unit_profit
+from duelmark.functions.pricing import devig, signed_price, unit_profit
 from duelmark.operators.joins import preferred_offset
-from duelmark.operators.keys import keep_first, keep_last, unseen
+from duelmark.operators.keys import keep_first, unseen
 from duelmark.operators.quality import assert_pre_event
+from duelmark.settings import CLOSING_SOURCES, FORWARD_NOTE, FORWARD_STATUS
 
 
 def contest_key(start, a, b) -> Column:
@@ -76,7 +77,7 @@ def timing_rejects(trades: DataFrame) -> DataFrame:
 
 
 def settle(trades: DataFrame, settled: DataFrame | None, results: DataFrame, captured: DataFrame | None,
-           master: DataFrame | None, labels=("standardized-t30", "master")) -> DataFrame:
+           master: DataFrame | None, labels=CLOSING_SOURCES) -> DataFrame:
     """Settlement rows for valid, unsettled trades with a result on day 0, -1 or +1.
 
     trades: trade_id, locked_at, scheduled_start, date, pick, opp, pair, price, market, stake
@@ -144,6 +145,4 @@ def ledger_summary(trades: DataFrame, settlements: DataFrame) -> DataFrame:
 
 def forward_verdict(summary: DataFrame) -> DataFrame:
     return summary.withColumns({
-        "status": F.lit("paper_only"),
-        "interpretation": F.lit("Forward-test evidence only. Positive closing-line value should be "
-                                "established before ROI is treated as meaningful.")})
+        "status": F.lit(FORWARD_STATUS), "interpretation": F.lit(FORWARD_NOTE)})

@@ -290,7 +290,7 @@ def walk_forward(df: DataFrame, features: list[str], flip: list[str], date: str,
     give no prediction.
     """
     spark = df.sparkSession
-    day = {f: float((f - _EPOCH(f)).days) for f in folds}
+    day = {f: float((f - _epoch(f)).days) for f in folds}
     rows = df.withColumn("_day", F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")).cast("double"))
     train = symmetrize(rows, flip, label, row_key) if symmetric else rows
     half = half_life_years * 365.25 if half_life_years else None
@@ -308,7 +308,7 @@ def walk_forward(df: DataFrame, features: list[str], flip: list[str], date: str,
     return predict(test, models, features, flip if symmetric else None).drop("_day")
 
 
-def _EPOCH(value):
+def _epoch(value):
     import datetime as dt
 
     return dt.datetime(1970, 1, 1) if isinstance(value, dt.datetime) else dt.date(1970, 1, 1)
@@ -415,11 +415,10 @@ def method_model(df: DataFrame, features: list[str], label: str = "method_class"
     from pyspark.ml.feature import StringIndexer, VectorAssembler
 
     n = df.count()
-    stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="keep"),
+    stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip"),
               VectorAssembler(inputCols=features, outputCol="_features"),
               LogisticRegression(labelCol="_label", featuresCol="_features", family="multinomial",
                                  regParam=1.0 / (c * max(n, 1)), standardization=True, maxIter=300, tol=1e-9)]
-    stages[0].setHandleInvalid("skip")
     fitted = Pipeline(stages=stages).fit(df)
     return fitted, list(fitted.stages[0].labels)
 

@@ -57,6 +57,18 @@ EDGE_BUCKETS = (
 )
 MODEL_VERSION = "production-v3"
 STAKING_POLICY = "paper-flat-1u-day-cap2-v1"
+LIVE_SOURCE_PREFIX = "the-odds-api"
+CLOSING_SOURCES = ("standardized-t30", "master")
+POLICIES = (
+    {"policy": "active_flat_1u_day_cap2", "high": None, "max_stake": 1.0, "cap": 2.0},
+    {"policy": "legacy_2u_at_8_day_cap2", "high": 0.08, "max_stake": 2.0, "cap": 2.0},
+    {"policy": "candidate_2u_at_10_day_cap2", "high": 0.10, "max_stake": 2.0, "cap": 2.0},
+)
+ROI_GATE_TEXT = "90% event-clustered ROI lower bound > 0"
+CLV_GATE_TEXT = "90% event-clustered mean CLV lower bound > 0"
+FORWARD_STATUS = "paper_only"
+FORWARD_NOTE = ("Forward-test evidence only. Positive closing-line value should be "
+                "established before ROI is treated as meaningful.")
 TERMINAL_STATUSES = ("ok", "no_match", "no_quotes", "invalid_snapshot_time")
 # ----------------------------------------------------------------------------
 

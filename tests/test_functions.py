@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from duelmark import functions as fn
-from duelmark.functions import parsing, pricing
+from duelmark.functions import parsing
 from duelmark.functions.ids import event_seed_of_set
 
 
@@ -92,4 +92,3 @@ def test_scheduled_start_precision(spark):
     assert exact[:] == ("2030-01-01 03:00:00", "exact")
     assert one(spark, fn.scheduled_start(day, F.lit(None).cast("string")).cast("string"), fn.start_precision(day, F.lit("")))[:] == (
         "2030-01-01 00:00:00", "date_only")
-    assert pricing.clip is not None
