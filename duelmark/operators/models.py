@@ -261,11 +261,21 @@ def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[st
 
 
 def assign_fold(df: DataFrame, time: str, folds: list, name: str = "fold") -> DataFrame:
-    """Latest fold at or before the row; rows before the first fold get NULL."""
+    """Latest fold at or before the row; rows before the first fold get NULL.
+
+    A balanced CASE needs log2(folds) comparisons per row.
+    """
     if len(folds) > MAX_FOLDS:
-        raise ValueError("too many folds for one literal array")
-    grid = F.array(*[F.lit(f) for f in sorted(folds)])
-    return df.withColumn(name, F.array_max(F.filter(grid, lambda f: f <= F.col(time))))
+        raise ValueError("too many folds for one expression")
+    grid, t = sorted(folds), F.col(time)
+
+    def pick(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(grid[low])
+        middle = (low + high) // 2
+        return F.when(t < F.lit(grid[middle]), pick(low, middle)).otherwise(pick(middle, high))
+
+    return df.withColumn(name, F.when(t >= F.lit(grid[0]), pick(0, len(grid))))
 
 
 def fold_starts(df: DataFrame, time: str, refit_every: int = 1, start=None) -> list:
