@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,9 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "duelmark-checkpoints")
 
 
+def app_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; removed when the driver's interpreter ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/duelmark-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS[folder] = spark
+        atexit.register(drop_path, spark, folder)
+    return folder
+
+
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a path through the file system that holds it; nothing happens once the JVM is gone."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  at interpreter exit the gateway may have closed already
+        pass
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
