@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelmark.llm.batches import table
+from duelmark.llm.exact import exact_groups
 from duelmark.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,25 @@ def query(run):
     return run
 
 
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates of all documents by chunk recipes."""
+    return exact_groups(table(spark, sf_dir, "documents")).drop("points")
+
+
+oracle("op7_exact_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                  regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+g AS (SELECT doc_id, sha256(n) AS text_sha256, count(*) OVER (PARTITION BY n) AS group_size,
+             first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+""")
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into sequences of 2048 ids."""
