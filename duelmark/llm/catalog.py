@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelmark.llm.batches import table
 from duelmark.llm.exact import exact_groups
 from duelmark.llm.packing import pack_documents
+from duelmark.llm.simhash import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +26,12 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents by SimHash."""
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by chunk recipes."""
