@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelmark.llm.batches import table
+from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
 from duelmark.llm.packing import pack_documents
 from duelmark.llm.simhash import near_groups
@@ -32,6 +33,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, and how much of them."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+oracle("op5_decontamination", r"""
+WITH lowered AS (SELECT doc_id, list_filter(string_split_regex(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w
+       FROM documents),
+item AS (SELECT item_id, list_filter(string_split_regex(
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w
+       FROM benchmark),
+item_shingle AS (SELECT DISTINCT item_id, least(5, len(w)) AS width,
+         array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+       FROM item, range(1, len(w) - least(5, len(w)) + 2) AS t(i) WHERE len(w) > 0),
+size AS (SELECT item_id, count(*) AS item_shingles FROM item_shingle GROUP BY item_id),
+doc_shingle AS (SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS s
+       FROM lowered, (SELECT DISTINCT width FROM item_shingle), range(1, len(w) - width + 2) AS t(i))
+SELECT doc_id, item_id, count(*) / any_value(item_shingles)::DOUBLE AS containment, count(*) AS shared, any_value(item_shingles) AS item_shingles
+FROM doc_shingle JOIN item_shingle USING (width, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles) - 1e-9
+""")
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by chunk recipes."""
