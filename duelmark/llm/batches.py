@@ -30,6 +30,11 @@ def utf8(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def lowered(text: str) -> Column:
+    """UTF-8 bytes of the text in lower case, empty for null."""
+    return F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BYTES_PER_SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut at about ``most`` bytes of ``column``, at least one row each."""
     for batch in batches:

@@ -41,10 +41,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 oracle("op5_decontamination", r"""
 WITH lowered AS (SELECT doc_id, list_filter(string_split_regex(
-         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w
+         lower(coalesce(text, '')), '[ 	-
+]+'), lambda w: w <> '') AS w
        FROM documents),
 item AS (SELECT item_id, list_filter(string_split_regex(
-         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') AS w
+         lower(coalesce(text, '')), '[ 	-
+]+'), lambda w: w <> '') AS w
        FROM benchmark),
 item_shingle AS (SELECT DISTINCT item_id, least(5, len(w)) AS width,
          array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from duelmark.llm.batches import prepare, slices, utf8
+from duelmark.llm.batches import lowered, prepare, slices
 from duelmark.llm.words import WordHashes, mixed, sequences, ODD
 from duelmark.session import materialize
 
@@ -45,7 +45,7 @@ class Items:
         self.items: list[tuple] = []
         sketches: dict[int, tuple[list[int], list[int]]] = {}
         for item_id, text in rows:
-            words = text.lower().split()
+            words = text.split()
             if not words:
                 continue
             width = min(shingle, len(words))
@@ -88,7 +88,7 @@ class Items:
 
 def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
     block, held = [], 0
-    for key, data in items.select(F.col(item_id), utf8(text)).toLocalIterator():
+    for key, data in items.select(F.col(item_id), lowered(text)).toLocalIterator():
         block.append((key, bytes(data)))
         held += len(data)
         if held >= BLOCK_BYTES:
@@ -107,13 +107,13 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
     and no pair of documents is formed. Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, each
     compared with all documents.
 
-    Words are separated by ASCII white space, with A-Z in lower case. An item of fewer than ``shingle`` words is
+    Words are separated by ASCII white space, in lower case. An item of fewer than ``shingle`` words is
     one shingle of its own width. Null and empty texts hold and are nothing; an item text that occurs under two ids is
     found under both; repeated documents give a row each. An empty table on either side gives no rows.
     """
     spark = prepare(docs.sparkSession)
     schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, " + FOUND.format(item=items.schema[item_id].dataType.simpleString())
-    rows = docs.select(F.col(doc_id).alias("doc"), utf8(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc"), lowered(text).alias("text"))
 
     def search(block: list[tuple]) -> DataFrame:
         sent = spark.sparkContext.broadcast(Items(block, shingle, threshold))
@@ -121,7 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
         def read(batches):
             known, words_of = sent.value, WordHashes()
             for batch in slices(batches, "text"):
-                split = [t.lower().split() for t in batch.column("text").to_pylist()]
+                split = [t.split() for t in batch.column("text").to_pylist()]
                 at, found = [], []
                 for i, candidates in known.candidates(*words_of(split)).items():
                     for row in known.verify(split[i], candidates):
