@@ -103,7 +103,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     prepare(docs.sparkSession)
     made = materialize(recipes(docs, doc_id, text), "recipes")
-    shared = made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1 AND size(recipe) > 0")
+    # written before they are joined back: the joins then have exchanges of their own, whose hot parts Spark can split
+    shared = materialize(made.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1 AND size(recipe) > 0"), "shared")
     suspects = materialize(made.join(shared, "recipe", "left_semi").select("doc"), "suspects")
     read = docs.join(suspects, docs[doc_id].eqNullSafe(suspects["doc"]), "left_semi").select(text)
     contents = chunk_contents(read, text).distinct()
@@ -121,7 +122,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rank = F.struct((-F.col("points")).alias("points"), F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"))
     groups = (told.groupBy("recipe", "apart").agg(F.min(rank).alias("first"), F.count("*").alias("group_size"))
               .filter("group_size > 1"))
-    groups = groups.select("recipe", "apart", F.col("first.doc").alias("keep"), "group_size", F.lit(True).alias("found"))
+    groups = materialize(groups.select("recipe", "apart", F.col("first.doc").alias("keep"), "group_size", F.lit(True).alias("found")), "groups")
     out = told.join(groups, ["recipe", "apart"], "left")
     keep = F.when(F.col("found"), F.col("keep")).otherwise(F.col("doc"))
     return out.select(
