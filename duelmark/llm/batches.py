@@ -49,6 +49,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BYTES_PER
             yield batch.slice(start)
 
 
+def cut(texts: list[bytes], most: int = BYTES_PER_SLICE) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``most`` bytes, at least one text each."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(t)
+    if texts:
+        yield texts[start:]
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duelmark.llm.batches import table
+from duelmark.llm.batches import remainder, table
 from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
 from duelmark.llm.packing import pack_documents
 from duelmark.llm.simhash import near_groups
+from duelmark.llm.toxicity import toxicity, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,12 +42,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 oracle("op5_decontamination", r"""
 WITH lowered AS (SELECT doc_id, list_filter(string_split_regex(
-         lower(coalesce(text, '')), '[ 	-
-]+'), lambda w: w <> '') AS w
+         lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
        FROM documents),
 item AS (SELECT item_id, list_filter(string_split_regex(
-         lower(coalesce(text, '')), '[ 	-
-]+'), lambda w: w <> '') AS w
+         lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
        FROM benchmark),
 item_shingle AS (SELECT DISTINCT item_id, least(5, len(w)) AS width,
          array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
@@ -75,6 +74,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """)
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts with their labels; ids are told by value, so a repeated label row repeats the text."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label IS NOT NULL")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def held(modulus: int, value: int) -> Column:
+    """Whether a document is held out from learning."""
+    return remainder("doc_id", modulus) == value
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of four fifths of them."""
+    model = train(labelled(spark, sf_dir, "toxic").filter(~held(5, 0)))
+    scored = table(spark, sf_dir, "documents").select("doc_id", toxicity(spark, model).alias("score"))
+    return scored.select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into sequences of 2048 ids."""

@@ -123,7 +123,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
             for batch in slices(batches, "text"):
                 split = [t.split() for t in batch.column("text").to_pylist()]
                 at, found = [], []
-                for i, candidates in known.candidates(*words_of(split)).items():
+                begins, hashes = words_of(split)
+                for i, candidates in known.candidates(hashes, begins).items():
                     for row in known.verify(split[i], candidates):
                         at.append(i)
                         found.append(row)

@@ -18,23 +18,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hash of each word, kept from batch to batch; starts afresh at ``most`` words, so its memory is bounded."""
+    """64-bit hashes of each word, one for each of ``keys`` (what of the word is hashed), kept from batch to batch.
 
-    def __init__(self, key: Callable[[bytes], bytes] | None = None, most: int = 1_000_000):
-        self.key, self.most = key, most
+    Starts afresh at ``most`` words, so its memory is bounded.
+    """
+
+    def __init__(self, *keys: Callable[[bytes], bytes], most: int = 1_000_000):
+        self.keys, self.most = keys or (bytes,), most
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.tables = np.empty((len(self.keys), 1 << 12), np.uint64)
+
+    def _learn(self, words: set[bytes]) -> None:
+        used = len(self.known)
+        while used + len(words) > self.tables.shape[1]:
+            self.tables = np.concatenate([self.tables, np.empty_like(self.tables)], axis=1)
+        words = list(words)
+        for table, key in zip(self.tables, self.keys):
+            table[used:used + len(words)] = [xxhash.xxh3_64_intdigest(key(w)) for w in words]
+        self.known.update(zip(words, range(used, used + len(words))))
 
-    def __call__(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words in order, and where each text begins (with the end of the last)."""
+    def __call__(self, split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Where each text begins (with the end of the last), then the hashes of all words in order by each key."""
         if len(self.known) > self.most:
-            self.known.clear()
-        key = self.key
-        for w in set().union(*split) - self.known.keys():
-            self.known[w] = xxhash.xxh3_64_intdigest(key(w) if key else w)
+            self._clear()
+        if fresh := set().union(*split) - self.known.keys():
+            self._learn(fresh)
         get = self.known.__getitem__
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        hashes = np.fromiter((h for words in split for h in map(get, words)), np.uint64, int(sizes.sum()))
-        return hashes, np.concatenate([[0], np.cumsum(sizes)])
+        at = np.fromiter((h for words in split for h in map(get, words)), np.int64, int(sizes.sum()))
+        return np.concatenate([[0], np.cumsum(sizes)]), *(table[at] for table in self.tables)
 
 
 def sequences(hashes: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
