@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from duelmark.llm import quality as ranking
 from duelmark.llm.batches import remainder, table
 from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
@@ -93,6 +94,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, ranked from the labels of three quarters of them."""
+    model = ranking.train(labelled(spark, sf_dir, "quality").filter(~held(4, 2)))
+    scored = table(spark, sf_dir, "documents").select("doc_id", ranking.quality(spark, model).alias("score"))
+    return scored.select("doc_id", held(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into sequences of 2048 ids."""
