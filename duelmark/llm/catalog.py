@@ -10,6 +10,7 @@ from duelmark.llm import quality as ranking
 from duelmark.llm.batches import remainder, table
 from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
+from duelmark.llm.lm import score_texts
 from duelmark.llm.packing import pack_documents
 from duelmark.llm.simhash import near_groups
 from duelmark.llm.toxicity import toxicity, train
@@ -29,6 +30,11 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+def held(modulus: int, value: int) -> Column:
+    """Whether a document is held out from learning."""
+    return remainder("doc_id", modulus) == value
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by SimHash."""
@@ -60,6 +66,12 @@ GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles) - 1e-
 """)
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents by a model of nine tenths of them."""
+    return score_texts(table(spark, sf_dir, "documents"), held(10, 0))
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by chunk recipes."""
@@ -81,11 +93,6 @@ def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
-def held(modulus: int, value: int) -> Column:
-    """Whether a document is held out from learning."""
-    return remainder("doc_id", modulus) == value
-
-
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels of four fifths of them."""
