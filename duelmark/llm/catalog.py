@@ -10,6 +10,7 @@ from duelmark.llm import quality as ranking
 from duelmark.llm.batches import remainder, table
 from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
+from duelmark.llm.html import extract_main_text
 from duelmark.llm.lm import score_texts
 from duelmark.llm.packing import pack_documents
 from duelmark.llm.simhash import near_groups
@@ -41,6 +42,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by the consensus of their hosts."""
+    return extract_main_text(table(spark, sf_dir, "pages")).drop("path")
+
+
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain benchmark items, and how much of them."""
