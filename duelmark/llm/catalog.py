@@ -15,6 +15,7 @@ from duelmark.llm.lm import score_texts
 from duelmark.llm.packing import pack_documents
 from duelmark.llm.simhash import near_groups
 from duelmark.llm.toxicity import toxicity, train
+from duelmark.llm.warc import read_captures, url_key, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +32,14 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, then read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    read = read_captures(write_archive(pages), pages.select(url_key("url").alias("key")), payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def held(modulus: int, value: int) -> Column:
     """Whether a document is held out from learning."""
     return remainder("doc_id", modulus) == value
