@@ -13,6 +13,7 @@ from duelmark.llm.exact import exact_groups
 from duelmark.llm.html import extract_main_text
 from duelmark.llm.lm import score_texts
 from duelmark.llm.packing import pack_documents
+from duelmark.llm.pii import KINDS, count_of, find_private_data, spans_text
 from duelmark.llm.simhash import near_groups
 from duelmark.llm.toxicity import toxicity, train
 from duelmark.llm.warc import read_captures, url_key, write_archive
@@ -32,6 +33,15 @@ def oracle(name: str, sql: str) -> None:
     ORACLES[name] = sql
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the spans of known form, and all spans."""
+    spans = find_private_data(table(spark, sf_dir, "documents"))
+    counts = [count_of("base", rank).alias(f"n_{kind}") for rank, kind in enumerate(KINDS)]
+    return spans.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+                        spans_text(F.concat("base", "added")).alias("spans"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records, then read back through the capture index."""
