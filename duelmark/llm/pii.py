@@ -92,8 +92,8 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Words that could be identifiers, without the punctuation around them, where no base span is; their rank is -1."""
+def candidates(text: Column) -> Column:
+    """Words that could be identifiers, without the punctuation around them; their rank is -1."""
     def bare(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^[\"'(\[{<]*+", 0))
         core = F.regexp_replace(F.substring(s["value"], lead + 1, F.length(s["value"])), r"[\"')\]}>.,;:!?]++$", "")
@@ -103,8 +103,7 @@ def candidates(text: Column, base: Column) -> Column:
     words = F.transform(found(text, WORD_WITH_DIGIT), bare)
     likely = F.filter(words, lambda s: (F.contains(s["value"], F.lit("@")) & (F.length(s["value"]) > 2))
                       | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= LEAST_DIGITS))
-    free = F.filter(likely, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return F.when(text.rlike("[0-9@]"), free).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike("[0-9@]"), likely).otherwise(F.array().cast(SPAN))
 
 
 def patterns(text: Column, start: Column, stop: Column) -> Column:
@@ -165,16 +164,19 @@ def find_private_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("free", candidates(F.col("text"), F.col("base")))
-    places = F.transform(F.concat("base", "free"), lambda s: F.struct(
+    rows = rows.withColumn("words", candidates(F.col("text")))
+    places = F.transform(F.concat("base", "words"), lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), patterns(F.col("text"), s["start"], s["stop"]).alias("patterns")))
-    marked = rows.select("doc", "base", F.when(F.size("base") + F.size("free") > 0, places).alias("places"))
+    marked = rows.select("doc", "base", F.when(F.size("base") + F.size("words") > 0, places).alias("places"))
     marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()), "pii")
 
     each = marked.select("row", F.inline("places")).select("row", "start", "rank", "stop", "value", F.explode("patterns").alias("pattern"))
     strong = strong_patterns(each.select("rank", "value", "pattern"))
     hits = each.filter("rank < 0").drop("rank").join(strong, "pattern")
     best = hits.groupBy("row", "start", "stop", "rank").agg(F.max("score").alias("score"), F.first("value").alias("value"))
+    # a word that lies in a span of known form is no discovery
+    best = best.join(marked.select("row", "base"), "row").filter(
+        ~F.exists("base", lambda b: (b["start"] < F.col("stop")) & (F.col("start") < b["stop"])))
     best = best.groupBy("row", "start", "stop").agg(F.min(F.struct((-F.col("score")).alias("score"), "rank", "value")).alias("b"))
     added = best.groupBy("row").agg(F.collect_list(F.struct("start", F.col("b.rank").alias("rank"), "stop", F.col("b.value").alias("value"))).alias("added"))
     out = marked.select("row", "doc", "base").join(materialize(added, "pii-added"), "row", "left")
