@@ -210,8 +210,10 @@ DRIFT = " UNION ALL ".join(
 FIELDS = ["p_model", "p_line", "edge", "se", "net_edge", "stake"]
 
 
-def drift(t):
-    period = F.when(F.col("date") < F.lit("1998-01-01").cast("date"), "reference").otherwise("recent")
+def drift(t, reference=None):
+    if reference is None:
+        reference = F.col("date") < F.lit("1998-01-01").cast("date")
+    period = F.when(reference, "reference").otherwise("recent")
     return ev.drift_summary(t.stored("picks"), period, FIELDS)
 
 
@@ -220,12 +222,16 @@ def _(t):
     return drift(t)
 
 
+SPLIT = DRIFT.replace("date < DATE '1998-01-01'", "p_model < 0.7")
+
+
 @query("E21_drift_warnings", f"""
 SELECT r.field, r.mean AS reference_mean, r.std AS reference_std, c.mean AS recent_mean, (c.mean - r.mean) / r.std AS z_shift
-FROM ({DRIFT}) r JOIN ({DRIFT}) c ON r.field = c.field AND r.period = 'reference' AND c.period = 'recent' WHERE abs((c.mean - r.mean) / r.std) >= 0.005""",
+FROM ({SPLIT}) r JOIN ({SPLIT}) c ON r.field = c.field AND r.period = 'reference' AND c.period = 'recent' WHERE abs((c.mean - r.mean) / r.std) >= 2""",
        "reference_mean reference_std recent_mean z_shift")
 def _(t):
-    return ev.drift_warnings(drift(t), z=0.005)
+    # a split by the model's own output, so that it drifts by more than two deviations
+    return ev.drift_warnings(drift(t, F.col("p_model") < 0.7), z=2.0)
 
 
 REPORT = f"""(SELECT count(DISTINCT date) AS events, count(*) FILTER (WHERE stake > 0) AS bets, avg({ll('y', 'p_model')}) AS log_loss_model,

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelmark.operators.betting import add_prices, desired_stake, row_pnl, score_picks, allocate
-from duelmark.operators.quotes import book_consensus, clean_quotes
+from duelmark.operators.quotes import book_consensus, clean_quotes, valid_quotes
 from duelmark.session import materialize
 
 TIE = ["price", "part", "line", "ship"]
@@ -84,6 +84,10 @@ class Tables:
         return clean_quotes(self.quotes, ["event_key"], "book_key", "snapshot_ts", "commence_time", "odds_a",
                             "odds_b", tie=TIE)
 
+    @cached_property
+    def valid(self) -> DataFrame:
+        return valid_quotes(self.quotes, ["event_key", "book_key"], "snapshot_ts", "commence_time", "odds_a", "odds_b")
+
     @cached_property
     def consensus(self) -> DataFrame:
         return book_consensus(self.clean, ["event_key"], min_books=3)
@@ -147,6 +151,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_key, book_key
              ORDER BY snapshot_ts DESC, price DESC, part DESC, line DESC, ship DESC) AS rn
       FROM {{quotes}} WHERE abs(odds_a) >= 100 AND abs(odds_b) >= 100 AND snapshot_ts < commence_time)
 WHERE rn = 1""",
+    "valid": f"""
+SELECT *, {imp('odds_a')} / ({imp('odds_a')} + {imp('odds_b')}) AS book_prob
+FROM {{quotes}} WHERE abs(odds_a) >= 100 AND abs(odds_b) >= 100 AND snapshot_ts < commence_time""",
     "consensus": """
 SELECT event_key, max(snapshot_ts) AS snapshot_ts, min(commence_time) AS commence_time,
        quantile_cont(odds_a, 0.5) AS odds_a, quantile_cont(odds_b, 0.5) AS odds_b,

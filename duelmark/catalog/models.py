@@ -47,7 +47,7 @@ def _(t):
 
 @query("I3_bootstrap_ensemble")
 def _(t):
-    fitted = ml.fit_many(ml.symmetrize(model_input(t), FLIP), FEATS, ml.ensemble_specs([None], [7], 20))
+    fitted = ml.fit_many(ml.symmetrize(model_input(t), FLIP), FEATS, ml.ensemble_specs([None], [7], 30))
     rows = [(f.spec.tag, term, v) for f in fitted for term, v in zip(["intercept", *FEATS], [f.intercept, *map(float, f.coefficients)])]
     table = t.spark.createDataFrame(rows, "replicate int, term string, value double")
     return rounded(table.groupBy("term").agg(F.max(F.when(F.col("replicate") == 0, F.col("value"))).alias("value"),
@@ -57,13 +57,13 @@ def _(t):
 @query("I4_symmetric_prediction")
 def _(t):
     x = model_input(t)
-    fitted = ml.fit_many(ml.symmetrize(x, FLIP), FEATS, ml.ensemble_specs([None], [7], 10))
+    fitted = ml.fit_many(ml.symmetrize(x, FLIP), FEATS, ml.ensemble_specs([None], [7], 30))
     models = ml.model_table(t.spark, fitted)
     out = ml.predict(x.drop("p_model", "se"), models, FEATS, FLIP, fold=None)
     return rounded(out.select("event_key", "p_model", "se"), "p_model", "se")
 
 
-def audited(t, n_models=4):
+def audited(t, n_models=30):
     x = model_input(t).drop("p_model", "se")
     return ml.walk_forward(x, FEATS, FLIP, "date", YEARS, n_models, min_train=100)
 
@@ -95,8 +95,7 @@ OFF = ["d1", "d2", "d3"]
 @query("I7_market_offset")
 def _(t):
     x = model_input(t).drop("p_model", "se")
-    fitted = ml.fit_offset(x, OFF, ml.ensemble_specs([None], [11], 10))
-    out = ml.predict(x, ml.model_table(t.spark, fitted), OFF, None, offset="line_logit", fold=None)
+    out = ml.walk_forward_offset(x, OFF, "date", YEARS, 30)
     return rounded(out.select("event_key", "p_model", "se"), "p_model", "se")
 
 
@@ -118,11 +117,10 @@ def _(t):
 def _(t):
     from duelmark.plans.audit import candidate_report
 
-    x = audited(t, 2).withColumnsRenamed({"p_model": "p_current", "se": "se_current"})
+    x = audited(t).withColumnsRenamed({"p_model": "p_current", "se": "se_current"})
     off_x = model_input(t).drop("p_model", "se")
-    fitted = ml.fit_offset(off_x, OFF, ml.ensemble_specs([None], [11], 2))
-    x = ml.predict(x, ml.model_table(t.spark, fitted), OFF, None, offset="line_logit", fold=None,
-                   prob="p_market_offset", se="se_market_offset")
+    off = ml.walk_forward_offset(off_x, OFF, "date", YEARS, 30, prob="p_market_offset", se="se_market_offset")
+    x = x.join(off.select("event_key", "p_market_offset", "se_market_offset"), "event_key")
     weights = ml.past_only_blend(x, "date", F.year("date"))
     x = x.join(weights.select("date", "market_weight"), "date")
     w = F.col("market_weight")

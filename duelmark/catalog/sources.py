@@ -23,11 +23,11 @@ def _(t):
 @query("A2_closing_with_fallback", """
 SELECT event_key, odds_a, odds_b, odds_source FROM (
 SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY pri, snapshot_ts DESC, price DESC, part DESC, line DESC, ship DESC, book_key DESC) AS rn FROM (
-  SELECT *, 0 AS pri, 'closing' AS odds_source FROM {clean} WHERE lead_hours <= 12
-  UNION ALL SELECT *, 1, 'captured' FROM {clean} WHERE lead_hours > 12 AND commence_time <= TIMESTAMP '1998-01-01')) WHERE rn = 1""")
+  SELECT *, 0 AS pri, 'closing' AS odds_source FROM {valid} WHERE lead_hours <= 12
+  UNION ALL SELECT *, 1, 'captured' FROM {valid} WHERE lead_hours > 12 AND commence_time <= TIMESTAMP '1998-01-01')) WHERE rn = 1""")
 def _(t):
-    closing = t.clean.filter("lead_hours <= 12")
-    log = t.clean.filter("lead_hours > 12")
+    closing = t.valid.filter("lead_hours <= 12")
+    log = t.valid.filter("lead_hours > 12")
     out = qt.closing_with_fallback(closing, log, ["event_key"], "snapshot_ts", F.lit("1998-01-01").cast("timestamp_ntz"),
                                    date="commence_time", tie=[*TIE, "book_key"])
     return out.select("event_key", "odds_a", "odds_b", "odds_source")
@@ -57,7 +57,7 @@ def payload(t):
     A payload holds up to 100 neighbouring book numbers of one event, one quote per book, so
     its arrays stay small however many books an event has.
     """
-    books = t.clean.filter("lead_hours > 2")
+    books = t.clean
     struct = F.struct(
         F.col("book_key").cast("string").alias("key"), F.concat(F.lit("Book "), F.col("book_key").cast("string")).alias("title"),
         F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_update"),
@@ -76,7 +76,7 @@ def payload(t):
 
 @query("A4_paired_quotes_from_json", """
 SELECT CAST(event_key AS VARCHAR) AS event_id, CAST(book_key AS VARCHAR) AS book_key, odds_a, odds_b, book_prob
-FROM {clean} WHERE lead_hours > 2 AND line <> 1""", "book_prob")
+FROM {clean} WHERE line <> 1""", "book_prob")
 def _(t):
     rows = qt.explode_paired_quotes(qt.parse_payload(payload(t), "body"))
     return rows.select("event_id", "book_key", "odds_a", "odds_b", "book_prob")
@@ -84,7 +84,7 @@ def _(t):
 
 @query("A5_archive_quotes_from_json", """
 SELECT event_key, strftime(commence_time, '%Y-%m-%dT%H:%M:%SZ') AS commence_time, 'Book ' || CAST(book_key AS VARCHAR) AS book_title,
-       odds_a, CASE WHEN line <> 1 THEN odds_b END AS odds_b FROM {clean} WHERE lead_hours > 2""")
+       odds_a, CASE WHEN line <> 1 THEN odds_b END AS odds_b FROM {clean}""")
 def _(t):
     rows = qt.archive_quotes(qt.parse_payload(payload(t), "body", ["event_key"]), ["event_key"])
     return rows.select("event_key", "commence_time", "book_title", F.col("odds_a").try_cast("double").alias("odds_a"),

@@ -50,10 +50,12 @@ def nearest_date(left: DataFrame, right: DataFrame, left_id: list[str], keys: li
     both = l.unionByName(context, allowMissingColumns=True)
     order = W.partitionBy(*keys, "_day").orderBy("_t")
     mark = F.when(F.col("_r").isNotNull(), F.struct("_t", "_r"))
-    # rows of one time are peers of a range frame: an exact hit counts on both sides
+    # rows of one time are peers of a range frame: an exact hit counts on both sides. Both frames grow forward, each in
+    # its own order; a frame that shrinks would be scanned again for every row
+    back = W.partitionBy(*keys, "_day").orderBy(F.col("_t").desc())
     near = both.withColumns({
         "_before": F.last(mark, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0)),
-        "_after": F.first(mark, ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing))}).filter("_left")
+        "_after": F.last(mark, ignorenulls=True).over(back.rangeBetween(W.unboundedPreceding, 0))}).filter("_left")
 
     def gap(c):
         return F.abs(F.unix_micros("_t") - F.unix_micros(f"{c}._t")) / 8.64e10
@@ -156,7 +158,7 @@ def resume_worklist(wanted: DataFrame, manifest: DataFrame, event: str, kind: st
 
     Terminal (event, kind) attempts are removed; the last successful discovery wins.
     """
-    done = manifest.filter(F.col(status).isin(*TERMINAL_STATUSES)).select(event, kind).distinct()
+    done = manifest.filter(F.col(status).isin(*TERMINAL_STATUSES)).select(event, kind)
     starts = (manifest.filter(F.col(kind).startswith("discovery_") & (F.col(status) == "ok")
                               & F.col(start).isNotNull())
               .groupBy(event).agg(F.max_by(start, F.struct(*seq)).alias("known_start")))
@@ -165,7 +167,7 @@ def resume_worklist(wanted: DataFrame, manifest: DataFrame, event: str, kind: st
 
 def required_pairs(payload: DataFrame, wanted: DataFrame, keys: list[str], start: str) -> DataFrame:
     """Payload rows whose pair is wanted, and the earliest start among them per card."""
-    return payload.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return payload.join(wanted.select(*keys), keys, "left_semi")
 
 
 def fold_copies(rows: DataFrame, time: str, folds: list, name: str = "fold") -> DataFrame:

@@ -27,7 +27,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def unseen(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not in ``known`` (not captured, locked, settled or attempted yet)."""
-    return rows.join(known.select(*keys).distinct(), keys, "left_anti")
+    return rows.join(known.select(*keys), keys, "left_anti")
 
 
 def union_ids(df: DataFrame, columns: list[str], name: str = "id") -> DataFrame:

@@ -333,6 +333,20 @@ def fit_offset(rows: DataFrame, features: list[str], specs: list[Spec], offset="
                     intercept=False, scale="rms", **kw)
 
 
+def walk_forward_offset(df: DataFrame, features: list[str], date: str, folds: list, n_models: int, offset="line_logit",
+                        seeds: list[int] | None = None, prob="p_model", se="se", l2: float = OFFSET_L2) -> DataFrame:
+    """``fit_offset`` refitted at every fold on strictly earlier rows; each row gets its fold's prediction."""
+    spark = df.sparkSession
+    day = {f: float((f - _epoch(f)).days) for f in folds}
+    rows = df.withColumn("_day", F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")).cast("double"))
+    specs = ensemble_specs([day[f] for f in folds], seeds or list(range(len(folds))), n_models)
+    fitted = fit_offset(rows, features, specs, offset, l2, time="_day")
+    models = model_table(spark, fitted, {v: k for k, v in day.items()}, df.schema[date].dataType.simpleString())
+    test = assign_fold(rows, date, folds, "_fold").filter(F.col("_fold").isNotNull())
+    out = predict(test, models.withColumnRenamed("fold", "_fold"), features, None, offset=offset, fold="_fold", prob=prob, se=se)
+    return out.drop("_day", "_fold")
+
+
 # --- blends --------------------------------------------------------------------
 
 def past_only_blend(df: DataFrame, event_start: str, bucket: Column, y="y", market="p_line",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duelmark.checks import require_columns
 from duelmark.functions.pricing import devig, valid_price
 from duelmark.functions.timing import lead_hours
-from duelmark.operators.keys import keep_first, keep_last
+from duelmark.operators.keys import keep_last
 
 PAYLOAD_SCHEMA = """
 array<struct<id:string, commence_time:string, home_team:string, away_team:string,
@@ -24,19 +24,25 @@ def clean_quotes(df: DataFrame, keys: list[str], book: str, snapshot: str, start
 
     Unparsable values become NULL and are dropped; adds ``book_prob`` (de-vigged side A).
     """
-    require_columns(df, [*keys, book, snapshot, start, odds_a, odds_b, *required], "quotes")
     if kind:
         df = df.filter(F.col(kind).isin(*kinds))
+    group = [*keys, *([kind] if kind else []), book]
+    ok = valid_quotes(df, group, snapshot, start, odds_a, odds_b, required)
+    return keep_last(ok, group, [snapshot, *tie])
+
+
+def valid_quotes(df: DataFrame, keys: list[str], snapshot: str, start: str, odds_a: str, odds_b: str,
+                 required: list[str] = ()) -> DataFrame:
+    """All typed, valid, pre-start quotes with ``book_prob``; as-of lookups start from these, not from the last ones."""
+    require_columns(df, [*keys, snapshot, start, odds_a, odds_b, *required], "quotes")
     typed = df.withColumns({
         odds_a: F.nanvl(F.col(odds_a).try_cast("double"), F.lit(None).cast("double")),
         odds_b: F.nanvl(F.col(odds_b).try_cast("double"), F.lit(None).cast("double")),
     })
-    group = [*keys, *([kind] if kind else []), book]
-    ok = (typed.dropna(subset=[*group, snapshot, start, odds_a, odds_b, *required])
+    ok = (typed.dropna(subset=[*keys, snapshot, start, odds_a, odds_b, *required])
           .filter(valid_price(odds_a) & valid_price(odds_b))
           .filter(F.col(snapshot) < F.col(start)))
-    latest = keep_last(ok, group, [snapshot, *tie])
-    return latest.withColumn("book_prob", devig(odds_a, odds_b))
+    return ok.withColumn("book_prob", devig(odds_a, odds_b))
 
 
 def rejected_quotes(df: DataFrame, snapshot: str, start: str, odds_a: str, odds_b: str) -> DataFrame:
@@ -128,19 +134,33 @@ def _market_rows(events: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def explode_paired_quotes(events: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Paired head-to-head quotes with provenance; the first valid market per book."""
+    """Paired head-to-head quotes with provenance; the first valid market per book.
+
+    The market is chosen inside each book's array, so nothing is shuffled and an event may come in any number of payloads.
+    """
     keep = list(keep)
-    rows = _market_rows(events, keep).withColumns({
-        "odds_a": F.col("raw_a").try_cast("double"), "odds_b": F.col("raw_b").try_cast("double")})
-    rows = rows.filter(valid_price("odds_a") & valid_price("odds_b"))
-    rows = rows.select(
+    books = events.select(*keep, "event.id", "event.commence_time", "event.home_team", "event.away_team",
+                          F.posexplode("event.bookmakers").alias("book_pos", "book"))
+
+    def priced(market):
+        def side(name):
+            # the last outcome of that name wins, as in a dictionary
+            hits = F.filter(market["outcomes"], lambda o: o["name"] == F.col(name))
+            return F.try_element_at(hits, F.lit(-1))["price"].try_cast("double")
+
+        return F.struct(side("home_team").alias("odds_a"), side("away_team").alias("odds_b"))
+
+    h2h = F.transform(F.filter("book.markets", lambda m: m["key"] == "h2h"), priced)
+    valid = F.filter(h2h, lambda m: valid_price(m["odds_a"]) & valid_price(m["odds_b"]))
+    rows = books.withColumn("_market", F.try_element_at(valid, F.lit(1))).filter("_market IS NOT NULL")
+    return rows.select(
         *keep, F.col("id").alias("event_id"), "commence_time",
         F.col("home_team").alias("side_a"), F.col("away_team").alias("side_b"),
-        "book_pos", "market_pos", F.coalesce("book.key", F.lit("")).alias("book_key"),
+        "book_pos", F.coalesce("book.key", F.lit("")).alias("book_key"),
         F.coalesce("book.title", "book.key", F.lit("")).alias("book_title"),
-        F.coalesce("book.last_update", F.lit("")).alias("book_updated_at"), "odds_a", "odds_b",
-        devig("odds_a", "odds_b").alias("book_prob"))
-    return keep_first(rows, [*keep, "event_id", "book_pos"], ["market_pos"]).drop("market_pos")
+        F.coalesce("book.last_update", F.lit("")).alias("book_updated_at"),
+        F.col("_market.odds_a").alias("odds_a"), F.col("_market.odds_b").alias("odds_b"),
+        devig("_market.odds_a", "_market.odds_b").alias("book_prob"))
 
 
 def archive_quotes(events: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -187,18 +207,16 @@ def at_or_before_lead(df: DataFrame, key: list[str], hours: float, snapshot: str
 
 def entry_and_close(df: DataFrame, key: list[str], entry_when: Column, close_when: Column,
                     snapshot: str, values: list[str], tie: list[str] = ()) -> DataFrame:
-    """Entry and close snapshot per key from one conditional aggregation (no self-join)."""
-    order = F.struct(F.col(snapshot), *[F.col(c) for c in tie])
-    row = F.struct(F.col(snapshot).alias("snapshot_ts"), *values)
-    picked = df.groupBy(*key).agg(
-        F.max_by(row, F.when(entry_when, order)).alias("entry"),
-        F.max_by(row, F.when(close_when, order)).alias("close"),
-        F.max(F.when(entry_when, True)).alias("_e"), F.max(F.when(close_when, True)).alias("_c"))
-    fields = ["snapshot_ts", *values]
-    return picked.select(
-        *key,
-        *[F.when(F.col("_e"), F.col(f"entry.{f}")).alias(f"entry_{f}") for f in fields],
-        *[F.when(F.col("_c"), F.col(f"close.{f}")).alias(f"close_{f}") for f in fields])
+    """Entry and close snapshot per key without a self-join.
+
+    Rows are tagged and the last one per (key, tag) is kept, which limits groups before the shuffle; the two rows left per
+    key are then turned into columns.
+    """
+    tags = F.array_compact(F.array(F.when(entry_when, F.lit("entry")), F.when(close_when, F.lit("close"))))
+    last = keep_last(df.withColumn("_which", F.explode(tags)), [*key, "_which"], [snapshot, *tie])
+    fields = {"snapshot_ts": snapshot, **{v: v for v in values}}
+    return last.groupBy(*key).agg(*[F.max(F.when(F.col("_which") == which, F.col(c))).alias(f"{which}_{f}")
+                                    for which in ("entry", "close") for f, c in fields.items()])
 
 
 def valid_entry_close(start: str = "commence_time", min_entry: float = 24.0,

@@ -31,24 +31,24 @@ def score_a(winner) -> Column:
 
 def period_elo(bouts: DataFrame, contest: str, period: str, a: str, b: str, winner: str, method: str,
                k: float = K, base: float = BASE, finish_bonus: float = FINISH_BONUS,
-               checkpoint_every: int = 8, max_periods: int = 2000) -> tuple[DataFrame, DataFrame]:
+               checkpoint_every: int = 8) -> tuple[DataFrame, DataFrame]:
     """Returns (contests with elo_a_pre/elo_b_pre/elo_diff, final ratings).
 
-    Only the list of periods reaches the driver (bounded by ``max_periods``). Ratings are
+    Periods are read in order, one value at a time. Ratings are
     one row per entity; their lineage is cut through the shared folder every few periods.
     """
     spark = bouts.sparkSession
     rows = bouts.select(contest, F.col(period).alias("_period"), a, b,
                         score_a(winner).alias("_s"), k_factor(method, k, finish_bonus).alias("_k"))
-    periods = [r[0] for r in rows.select("_period").distinct().orderBy("_period").limit(max_periods + 1).collect()]
-    if len(periods) > max_periods:
-        raise ValueError("too many rating periods: use a coarser period")
     stored = materialize(rows, "elo-contests", partition_by="_period")
 
     ratings = spark.createDataFrame([], "entity string, rating double")
     ratings = ratings.withColumn("entity", F.col("entity").cast(bouts.schema[a].dataType))
     folder = scratch_path(spark, "elo-periods")
-    for n, p in enumerate(periods, 1):
+    n = 0
+    n = 0
+    periods = stored.select("_period").distinct().orderBy("_period")
+    for n, (p,) in enumerate(periods.toLocalIterator(), 1):
         now = stored.filter(F.col("_period") == F.lit(p))
         sides = now.withColumn("_e", F.explode(F.array(
             F.struct(F.col(a).alias("entity"), F.lit("a").alias("side")),
@@ -72,10 +72,11 @@ def period_elo(bouts: DataFrame, contest: str, period: str, a: str, b: str, winn
         new = moves.select("entity", F.lit(None).cast("double").alias("r"), "d")
         ratings = (old.unionByName(new).groupBy("entity")
                    .agg((F.coalesce(F.max("r"), F.lit(base)) + F.sum("d")).alias("rating")))
-        if n % checkpoint_every == 0 or n == len(periods):
+        if n % checkpoint_every == 0:
             ratings = materialize(ratings, "elo-ratings")
-    if not periods:
+    if n == 0:
         return bouts.withColumns({c: F.lit(None).cast("double") for c in ("elo_a_pre", "elo_b_pre", "elo_diff")}), ratings
+    ratings = materialize(ratings, "elo-ratings")
     pre_all = spark.read.schema(schema).parquet(f"{folder}/*").select(contest, "elo_a_pre", "elo_b_pre")
     out = bouts.join(pre_all, contest).withColumn("elo_diff", F.col("elo_a_pre") - F.col("elo_b_pre"))
     return out, ratings

@@ -29,34 +29,21 @@ PROFILE_ID_PATTERN = r"(?i)/fighter-details/([0-9a-f]+)"
 # Market-key fragments that mark a proposition market.
 PROP_TERMS = ("method", "victory", "finish", "round", "decision", "submission", "ko")
 
-# Differentials used by the deployed model, in coefficient order.
-FOCUS = (
-    "age_diff", "c_apm_diff", "c_ctrld_pm_diff", "c_won_diff", "reach_diff",
-    "c_tdd_diff", "c_ko_loss_n_diff", "elo_slow_diff", "r3_lpm_diff",
-)
-DIFF_FEATURES = FOCUS + ("ko_recent",)
-MODEL_FEATURES = ("line_logit", "line_abs") + DIFF_FEATURES
-
 EDGE_RULE = 0.04
 TWO_UNIT_RULE = 0.10
 MAX_STAKE = 1
 EVENT_DAY_CAP = 2
 MIN_MARKET_BOOKS = 3
 MAX_ODDS_AGE_MINUTES = 360
-MARKET_DISAGREEMENT = 0.05
-BOOTSTRAP_MODELS = 30
 ENSEMBLE_C = 0.05
 OFFSET_L2 = 0.02
 BLEND_GRID = (0.0, 0.25, 0.50, 0.75, 0.90, 1.0)
-BLEND_BENCHMARKS = (0.90, 0.75, 0.50)
 EDGE_BUCKETS = (
     ("4_to_6", 0.04, 0.06),
     ("6_to_8", 0.06, 0.08),
     ("8_to_10", 0.08, 0.10),
     ("10_plus", 0.10, None),
 )
-MODEL_VERSION = "production-v3"
-STAKING_POLICY = "paper-flat-1u-day-cap2-v1"
 LIVE_SOURCE_PREFIX = "the-odds-api"
 CLOSING_SOURCES = ("standardized-t30", "master")
 POLICIES = (
