@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -35,7 +36,7 @@ class WordTokens:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,16 +91,16 @@ class WordTokens:
             self._clear()
         # the tokenizer lower-cases too, but the strings of its special tokens are told by case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        seen = set().union(*split)
-        unseen = seen - self.index.keys()
-        if unseen:
-            self._learn(unseen)
         if b"" not in self.index:
             self.index[b""] = self._add([end_id])
-        get = self.index.__getitem__
         for words in split:
             words.append(b"")
-        at = np.fromiter((i for words in split for i in map(get, words)), np.int64, sum(map(len, split)))
+        line = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, line, repeat(-1)), np.int64, len(line))
+        unseen = np.flatnonzero(at < 0).tolist()
+        if unseen:
+            self._learn({line[i] for i in unseen})
+            at[unseen] = [self.index[line[i]] for i in unseen]
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         shift = self.starts[at] - (ends - lengths)
