@@ -11,7 +11,7 @@ def by_year():
     return F.year("date")
 
 
-DRAWS = 200
+DRAWS = 10_000
 
 
 @query("F16_pick_scoring", "SELECT event_key, edge, net_edge, pick_side, qualified FROM {edges}", "edge net_edge")
@@ -178,29 +178,31 @@ def _(t):
     return ev.clv_report(t.stored("picks").withColumn("clv", ev.clv_points()))
 
 
-def boot_sql(cluster_table: str, num: str, den: str, order: str, seed: int = 0, draws: int = DRAWS) -> str:
-    return f"""WITH c AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS pick, {num} AS num0, {den} AS den0 FROM {cluster_table}),
-n AS (SELECT count(*) AS n FROM c), g AS (SELECT draw, slot, ('0x' || substr(md5('{seed}|' || draw || '|' || slot), 1, 8))::BIGINT % n AS pick
-FROM n, (SELECT unnest(range({draws})) AS draw), (SELECT pick AS slot FROM c)),
-d AS (SELECT draw, sum(num0) / sum(den0) AS ratio FROM g JOIN c USING (pick) GROUP BY draw)
+def boot_sql(cluster_table: str, num: str, den: str, key: str, seed: int = 0, draws: int = DRAWS) -> str:
+    weight = " + ".join(f"CAST(u >= {step} AS INTEGER)" for step in bs.poisson_steps())
+    return f"""WITH g AS (SELECT block, md5('{seed}|' || block || '|' || CAST({key} AS VARCHAR)) AS h, {num} AS num0, {den} AS den0
+FROM {cluster_table}, (SELECT unnest(range({-(-draws // bs.PER_HASH)})) AS block)),
+e AS (SELECT block * {bs.PER_HASH} + j AS draw, (('0x' || substr(h, CASE WHEN j < 3 THEN 1 ELSE 17 END, 15))::BIGINT >> CAST({bs.BITS} * (j % 3) AS INTEGER)) & {(1 << bs.BITS) - 1} AS u, num0, den0
+FROM g, (SELECT unnest(range({bs.PER_HASH})) AS j) WHERE block * {bs.PER_HASH} + j < {draws}),
+d AS (SELECT draw, sum(w * num0) / nullif(sum(w * den0), 0) AS ratio FROM (SELECT *, {weight} AS w FROM e) GROUP BY draw)
 SELECT quantile_cont(ratio, 0.05) AS ci_low, quantile_cont(ratio, 0.95) AS ci_high FROM d"""
 
 
 @query("E17_cluster_bootstrap_ratio", boot_sql(f"(SELECT * FROM {CARDS} WHERE staked > 0)", "pnl", "staked", "date"), "ci_low ci_high")
 def _(t):
-    return bs.cluster_ratio_ci(cards(t), ["date"], by_year(), draws=DRAWS)
+    return bs.cluster_ratio_ci(cards(t), ["date"], draws=DRAWS)
 
 
 @query("E18_cluster_bootstrap_mean", boot_sql(
     "(SELECT date, sum(unit_pnl) AS s, count(*) AS k FROM {picks} WHERE stake > 0 GROUP BY date)", "s", "k", "date", 7), "ci_low ci_high")
 def _(t):
     active = t.stored("picks").filter("stake > 0").withColumn("unit_pnl", F.col("pnl") / F.col("stake"))
-    return bs.cluster_mean_ci(active, "date", "unit_pnl", by_year(), draws=DRAWS, seed=7)
+    return bs.cluster_mean_ci(active, "date", "unit_pnl", draws=DRAWS, seed=7)
 
 
-@query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 50), "ci_low ci_high")
+@query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 4000), "ci_low ci_high")
 def _(t):
-    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", F.floor(F.col("event_key") / 1_000_000), draws=50, seed=3)
+    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", draws=4000, seed=3)
 
 
 DRIFT = " UNION ALL ".join(
@@ -243,8 +245,8 @@ def report(t):
     """One-row report; the intervals are attached as scalar sub-queries."""
     picks = t.stored("picks").withColumn("clv", ev.clv_points())
     active = F.col("stake") > 0
-    roi = bs.cluster_ratio_ci(ev.event_rollup(picks), ["date"], by_year(), draws=DRAWS)
-    clv = bs.cluster_mean_ci(picks.filter(active & F.col("clv").isNotNull()), "date", "clv", by_year(), draws=DRAWS)
+    roi = bs.cluster_ratio_ci(ev.event_rollup(picks), ["date"], draws=DRAWS)
+    clv = bs.cluster_mean_ci(picks.filter(active & F.col("clv").isNotNull()), "date", "clv", draws=DRAWS)
     base = picks.agg(
         F.countDistinct("date").alias("events"), F.count_if(active).alias("bets"),
         F.avg(ev.log_loss_term("y", "p_model")).alias("log_loss_model"), F.avg(ev.log_loss_term("y", "p_line")).alias("log_loss_market"),

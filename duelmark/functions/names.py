@@ -1,5 +1,7 @@
 """Names, aliases and identity keys."""
 
+import sys
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -10,6 +12,14 @@ from duelmark.settings import NAME_ALIASES, PROFILE_ID_PATTERN
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
+@cache
+def _combining_marks() -> dict[int, None]:
+    """Every combining mark mapped to nothing, built once per worker."""
+    import unicodedata
+
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
+
+
 def _fold_udf():
     """Arrow UDF for values with non-ASCII characters (there is no NFKD built-in)."""
     import pandas as pd
@@ -18,11 +28,10 @@ def _fold_udf():
     def fold(values: pd.Series) -> pd.Series:
         import unicodedata
 
+        marks = _combining_marks()
+
         def one(text):
-            if text is None:
-                return None
-            folded = unicodedata.normalize("NFKD", text)
-            folded = "".join(ch for ch in folded if not unicodedata.combining(ch))
+            folded = unicodedata.normalize("NFKD", text).translate(marks)
             return " ".join(folded.lower().replace(".", "").replace("-", " ").split())
 
         known = {v: one(v) for v in values.dropna().unique()}

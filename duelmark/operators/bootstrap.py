@@ -1,32 +1,53 @@
-"""Cluster bootstrap with reproducible, hash-picked draws.
+"""Cluster bootstrap with reproducible, hash-picked weights.
 
-Rows are aggregated to clusters first. Draw ``d`` picks cluster ``hash(seed|d|slot) % n``
-for each of the n slots, so results do not depend on partitioning and can be checked in
-any SQL engine. Draws are spread over tasks by ``spark.range``; clusters are joined by
-index (AQE broadcasts them only when they are measured to be small).
+Rows are aggregated to clusters first. In draw ``d`` a cluster counts as often as a Poisson(1) variable that a hash
+of (seed, draw, cluster) picks, the limit of resampling with replacement. Weights are made beside the clusters and summed
+in each task, so nothing is joined or numbered and only one row per task and draw is shuffled; results do not depend on
+partitioning and can be checked in any SQL engine.
 """
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import DataFrame, functions as F
 
-from duelmark.functions.ids import uniform_index
-from duelmark.operators.running import ordered_index
+BITS = 20                       # of a hash that pick a weight
+PER_HASH = 6                    # draws that share a hash: three in each of two numbers of 60 bits
+
+
+def poisson_steps() -> list[int]:
+    """Where the weight grows by one: cumulative Poisson(1) probabilities in units of 2**-BITS."""
+    term, total, steps = exp(-1.0), 0.0, []
+    for k in range(1, 10):
+        total += term
+        steps.append(int(total * (1 << BITS)))
+        term /= k
+    return steps
+
+
+def bootstrap_draws(clusters: DataFrame, key: list[str], numerator: str, denominator: str, draws: int, seed: int = 0) -> DataFrame:
+    """One row per draw: sum(numerator) / sum(denominator) over the weighted clusters, which ``key`` identifies."""
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
+    blocks = -(-draws // PER_HASH)
+    # clusters are few and small, their draws are not: spread them before they are multiplied
+    spread = clusters.select(name.alias("_key"), F.col(numerator).alias("_num"), F.col(denominator).alias("_den"))
+    spread = spread.repartition(clusters.sparkSession.sparkContext.defaultParallelism, "_key")
+    hashed = spread.select("_key", "_num", "_den", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    hashed = hashed.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), "_key")))
+    halves = [F.conv(F.substring("_hash", at, 15), 16, 10).cast("long").alias(f"_h{n}") for n, at in enumerate((1, 17))]
+    hashed = hashed.select("_block", "_num", "_den", *halves)
 
+    def weight(j: int):
+        u = F.shiftright(F.col(f"_h{j // 3}"), BITS * (j % 3)).bitwiseAND(F.lit((1 << BITS) - 1))
+        return sum((u >= step).cast("int") for step in poisson_steps())
 
-def bootstrap_draws(clusters: DataFrame, order: list[str], bucket, numerator: str, denominator: str,
-                    draws: int, seed: int = 0) -> DataFrame:
-    """One row per draw: sum(numerator) / sum(denominator) over n resampled clusters."""
-    spark = clusters.sparkSession
-    indexed = ordered_index(clusters, order, bucket, "pick").select("pick", numerator, denominator)
-    n = indexed.agg(F.count(F.lit(1))).scalar()
-    grid = (spark.range(draws).withColumnRenamed("id", "draw").withColumn("n", n)
-            .filter("n > 0")
-            .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-            .withColumn("pick", uniform_index("n", F.lit(seed), "draw", "slot")))
-    return (grid.join(indexed, "pick").groupBy("draw")
-            .agg(F.sum(numerator).alias("num"), F.sum(denominator).alias("den"))
-            .withColumn("ratio", F.try_divide("num", "den")))
+    weighed = hashed.select("_block", "_num", "_den", *[weight(j).alias(f"_w{j}") for j in range(PER_HASH)])
+    sums = weighed.groupBy("_block").agg(*[F.sum(F.col(f"_w{j}") * F.col(c)).alias(f"{c}{j}")
+                                           for j in range(PER_HASH) for c in ("_num", "_den")])
+    each = F.inline(F.array(*[F.struct((F.col("_block") * PER_HASH + j).alias("draw"), F.col(f"_num{j}").alias("num"), F.col(f"_den{j}").alias("den"))
+                              for j in range(PER_HASH)]))
+    return sums.select(each).filter(F.col("draw") < draws).withColumn("ratio", F.try_divide("num", "den"))
 
 
 def interval(draws: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -34,23 +55,19 @@ def interval(draws: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFra
     return draws.agg(F.percentile("ratio", low).alias("ci_low"), F.percentile("ratio", high).alias("ci_high"))
 
 
-def cluster_ratio_ci(events: DataFrame, order: list[str], bucket, pnl="pnl", staked="staked",
-                     draws: int = 10000, seed: int = 0) -> DataFrame:
+def cluster_ratio_ci(events: DataFrame, key: list[str], pnl="pnl", staked="staked", draws: int = 10000, seed: int = 0) -> DataFrame:
     """Interval of sum(pnl) / sum(staked) over events with a stake."""
-    active = events.filter(F.col(staked) > 0)
-    return interval(bootstrap_draws(active, order, bucket, pnl, staked, draws, seed))
+    return interval(bootstrap_draws(events.filter(F.col(staked) > 0), key, pnl, staked, draws, seed))
 
 
-def cluster_mean_ci(rows: DataFrame, cluster: str, value: str, bucket, draws: int = 10000,
-                    seed: int = 0) -> DataFrame:
+def cluster_mean_ci(rows: DataFrame, cluster: str, value: str, draws: int = 10000, seed: int = 0) -> DataFrame:
     """Interval of a row-level mean, resampling whole clusters (aggregated first)."""
     usable = rows.dropna(subset=[cluster, value])
     cards = usable.groupBy(cluster).agg(F.sum(value).alias("num0"), F.count(value).alias("den0"))
-    return interval(bootstrap_draws(cards, [cluster], bucket, "num0", "den0", draws, seed))
+    return interval(bootstrap_draws(cards, [cluster], "num0", "den0", draws, seed))
 
 
-def row_mean_ci(rows: DataFrame, order: list[str], value: str, bucket, draws: int = 4000,
-                seed: int = 0) -> DataFrame:
+def row_mean_ci(rows: DataFrame, key: list[str], value: str, draws: int = 4000, seed: int = 0) -> DataFrame:
     """Interval of a mean with every row its own cluster."""
     one = rows.dropna(subset=[value]).withColumn("_one", F.lit(1))
-    return interval(bootstrap_draws(one, order, bucket, value, "_one", draws, seed))
+    return interval(bootstrap_draws(one, key, value, "_one", draws, seed))

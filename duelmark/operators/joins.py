@@ -173,13 +173,9 @@ def required_pairs(payload: DataFrame, wanted: DataFrame, keys: list[str], start
 def fold_copies(rows: DataFrame, time: str, folds: list, name: str = "fold") -> DataFrame:
     """Walk-forward: copy each row to every fold that starts strictly after it.
 
-    ``folds`` is the sorted list of fold times (bounded by the refit schedule). The copies
+    ``folds`` is the sorted list of fold times (one value per refit). The copies
     come from a slice of a literal array, so there is no theta join and no shuffle.
     """
-    from duelmark.settings import MAX_FOLDS
-
-    if len(folds) > MAX_FOLDS:
-        raise ValueError(f"{len(folds)} folds exceed the limit of {MAX_FOLDS}: refit less often")
     grid = F.array(*[F.lit(f) for f in sorted(folds)])
     later = F.filter(grid, lambda f: f > F.col(time))
     return rows.withColumn(name, F.explode(later))

@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelmark.functions.pricing import clip, logit
-from duelmark.settings import (BLEND_GRID, ENSEMBLE_C, MAX_FOLDS, OFFSET_L2)
+from duelmark.settings import BLEND_GRID, ENSEMBLE_C, OFFSET_L2
 
-MAX_MODELS = 50_000
+LITERAL_RUN = 64                # folds in one literal array
+MODELS_AT_ONCE = 2_000          # models whose sums meet in the driver; more are fitted block by block
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,7 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
     parts = rows.mapInPandas(partial, schema)
     summed = parts.groupBy("model").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(n_out)])
     got = np.zeros((n_models, n_out))
-    for r in summed.collect():      # one row per model: bounded by MAX_MODELS
+    for r in summed.collect():      # one row per model: at most MODELS_AT_ONCE
         got[r[0]] = r[1:]
     full = np.zeros((n_models, width, width))
     full[:, left, right] = got[:, :len(upper)]
@@ -146,8 +147,11 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
     sample; ``'rms'`` divides by the root mean square without centring (keeps symmetry).
     ``penalty_per_row`` multiplies the penalty by the sample size (loss stated as a mean).
     """
-    if len(specs) > MAX_MODELS:
-        raise ValueError(f"{len(specs)} models in one run; raise refit_every or split the run")
+    if len(specs) > MODELS_AT_ONCE:
+        how = dict(label=label, row_key=row_key, time=time, offset=offset, penalty=penalty, penalty_per_row=penalty_per_row,
+                   intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
+        return [f for at in range(0, len(specs), MODELS_AT_ONCE)
+                for f in fit_many(rows, features, specs[at:at + MODELS_AT_ONCE], **how)]
     p = len(features)
     t = F.col(time).cast("double") if time else F.lit(0.0)
     data = rows.select(*[F.col(c).cast("double").alias(c) for c in features],
@@ -235,7 +239,7 @@ def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[st
     """Probability of the base model and the population deviation over the ensemble.
 
     With ``flip`` the prediction is averaged with the side-swapped one. The model table has
-    one row per fold (at most ``MAX_FOLDS``), checked when it is built, so it is broadcast.
+    one row per fold; Spark broadcasts it only when it is measured to be small.
     """
     base = F.col(offset).cast("double") if offset else F.lit(0.0)
 
@@ -249,8 +253,7 @@ def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[st
     def one(m):
         return (dot(m, 1.0) + 1.0 - dot(m, -1.0)) / 2.0 if flip else dot(m, 1.0)
 
-    small = F.broadcast(models)
-    j = df.join(small, fold) if fold else df.withColumn("models", models.select("models").scalar())
+    j = df.join(models, fold) if fold else df.withColumn("models", models.select("models").scalar())
     j = j.withColumn("_p", F.transform("models", one))
     n = F.size("_p")
     mean = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v) / n
@@ -263,15 +266,14 @@ def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[st
 def assign_fold(df: DataFrame, time: str, folds: list, name: str = "fold") -> DataFrame:
     """Latest fold at or before the row; rows before the first fold get NULL.
 
-    A balanced CASE needs log2(folds) comparisons per row.
+    A balanced CASE finds a run of folds, and the run is a literal array, so the expression stays small.
     """
-    if len(folds) > MAX_FOLDS:
-        raise ValueError("too many folds for one expression")
     grid, t = sorted(folds), F.col(time)
 
     def pick(low: int, high: int) -> Column:
-        if high - low == 1:
-            return F.lit(grid[low])
+        if high - low <= LITERAL_RUN:
+            run = F.array(*[F.lit(f) for f in grid[low:high]])
+            return F.try_element_at(F.filter(run, lambda f: f <= t), F.lit(-1))
         middle = (low + high) // 2
         return F.when(t < F.lit(grid[middle]), pick(low, middle)).otherwise(pick(middle, high))
 
@@ -279,15 +281,11 @@ def assign_fold(df: DataFrame, time: str, folds: list, name: str = "fold") -> Da
 
 
 def fold_starts(df: DataFrame, time: str, refit_every: int = 1, start=None) -> list:
-    """Refit schedule: every k-th distinct event time, in order (bounded by MAX_FOLDS)."""
+    """Refit schedule: every k-th distinct event time, in order, read one at a time."""
     times = df.select(time).distinct()
     if start is not None:
         times = times.filter(F.col(time) >= F.lit(start))
-    rows = times.orderBy(time).limit(MAX_FOLDS * max(1, refit_every) + 1).collect()
-    folds = [r[0] for r in rows][::max(1, refit_every)]
-    if len(folds) > MAX_FOLDS:
-        raise ValueError("too many refits: raise refit_every")
-    return folds
+    return [t for n, (t,) in enumerate(times.orderBy(time).toLocalIterator()) if n % max(1, refit_every) == 0]
 
 
 def walk_forward(df: DataFrame, features: list[str], flip: list[str], date: str, folds: list,

@@ -58,6 +58,3 @@ FORWARD_NOTE = ("Forward-test evidence only. Positive closing-line value should
                 "established before ROI is treated as meaningful.")
 TERMINAL_STATUSES = ("ok", "no_match", "no_quotes", "invalid_snapshot_time")
 # ----------------------------------------------------------------------------
-
-# Upper bound for walk-forward folds held as one literal array.
-MAX_FOLDS = 4096
