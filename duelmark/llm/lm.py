@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ PROBES = 4                      # bits set for each level of an n-gram
 BITS_PER_ENTRY = 8
 MOST_FILTER_BITS = 1 << 29      # 64 MiB, the most that is broadcast
 LEAST_FILTER_BITS = 1 << 20
+SLICE = 4 << 20                 # bytes of text scored at once
 SEGMENTS = 256                  # slices of the filter, built in parallel, at least
 
 
@@ -39,29 +40,30 @@ def expected(levels: np.ndarray) -> np.ndarray:
     return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 1.45 * 2.0 ** (levels - 1)))
 
 
-def ngrams(begins: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the unigram and of the bigram that end at each token; a text's first token follows the end token's place."""
+def unigram_keys(hashes: np.ndarray) -> np.ndarray:
+    return mixed(hashes * ODD[2]) >> np.uint64(64 - KEY_BITS)
+
+
+def bigram_keys(begins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bigrams that end at each token; before a text's first token there is a place of its own."""
     previous = np.empty_like(hashes)
     previous[1:] = hashes[:-1]
     previous[begins[:-1]] = 0
-    shift = np.uint64(64 - KEY_BITS)
-    return mixed(hashes * ODD[2]) >> shift, mixed(previous * ODD[0] + hashes * ODD[1]) >> shift
+    return mixed(previous * ODD[0] + hashes * ODD[1]) >> np.uint64(64 - KEY_BITS)
 
 
-def offsets(keys: np.ndarray, number: int, size: int) -> Iterator[np.ndarray]:
-    """Places in a slice of ``size`` bits that stand for an n-gram having ``number``."""
-    x = mixed(keys + np.uint64(number * int(ODD[3]) & 0xFFFFFFFFFFFFFFFF))
-    a, b = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) & np.uint64(size - 1)
+def offset(keys: np.ndarray, number: int, probe: int, size: int) -> np.ndarray:
+    """Places in a slice of ``size`` bits, one of ``PROBES`` that stand for an n-gram having ``number``."""
+    return mixed(keys + np.uint64((number * PROBES + probe) * int(ODD[3]) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(size - 1)
 
 
 def filter_slice(keys: np.ndarray, levels: np.ndarray, first: int, size: int) -> bytes:
     """A slice of the filter: every n-gram is entered with each of the numbers ``first`` to its level."""
     bits = np.zeros(size, bool)
     for number in range(first, int(levels.max(initial=0)) + 1):
-        for at in offsets(keys[levels >= number], number, size):
-            bits[at] = True
+        own = keys[levels >= number]
+        for probe in range(PROBES):
+            bits[offset(own, number, probe, size)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -83,12 +85,10 @@ class Filter:
         base = (keys >> self.shift) * np.uint64(self.size)
         active, number = np.arange(len(keys)), self.first
         while len(active):
-            own, start = keys[active], base[active]
-            hit = np.ones(len(active), bool)
-            for at in offsets(own, number, self.size):
-                at += start
-                hit &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            active = active[hit]
+            # most of those that have not the number leave at the first place
+            for probe in range(PROBES):
+                at = offset(keys[active], number, probe, self.size) + base[active]
+                active = active[(self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
             out[active] = number
             number += 1
         return out
@@ -143,7 +143,7 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
 def ngram_blocks(texts: DataFrame, segments: int) -> DataFrame:
     """(segment, block): packed n-gram keys and counts of each task, dealt by the slice of the filter they belong to."""
     def read(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(most=600_000)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flushed():
@@ -156,11 +156,12 @@ def ngram_blocks(texts: DataFrame, segments: int) -> DataFrame:
                 [pa.array(found, pa.int32()), pa.array([pack(keys[cuts[s]:cuts[s + 1]], counts[cuts[s]:cuts[s + 1]]) for s in found], pa.binary())],
                 ["segment", "block"])
 
-        for batch in slices(batches, "text"):
-            keys = np.concatenate(ngrams(*hashes([tokens_of(t) for t in batch.column("text").to_pylist()])))
+        for batch in slices(batches, "text", SLICE):
+            begins, h = hashes([tokens_of(t) for t in batch.column("text").to_pylist()])
+            keys = np.concatenate([unigram_keys(h), bigram_keys(begins, h)])
             keys.sort()
             held.append(merge(keys, np.ones(len(keys), np.int64)))
-            if sum(len(k) for k, _ in held) > 6_000_000:
+            if sum(len(k) for k, _ in held) > 3_000_000:
                 yield flushed()
         if held:
             yield flushed()
@@ -238,22 +239,21 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def read(batches):
-        known, grams, hashes = common.value, ngram_filter.value, WordHashes()
-        logs = {w: float(np.log10(c + SMOOTHING)) for w, c in known.items()}
+        lexicon = Lexicon(common.value, ngram_filter.value)
         made = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             split = [tokens_of(t) for t in batch.column("text").to_pylist()]
-            begins, h = hashes(split)
-            one, two = ngrams(begins, h)
-            score = text_scores(grams, one, two, begins, tokens, vocabulary)
-            rare = [[w for w in words if w not in known] for words in split]
-            part = [sum(logs[w] for w in words if w in known) for words in split]
-            n = [len(words) for words in split]
+            begins, at = lexicon.places(split)
+            score = text_scores(ngram_filter.value, lexicon.values[0][at], bigram_keys(begins, lexicon.tables[0][at]), begins, tokens, vocabulary)
+            logs = lexicon.values[1][at]
+            rare = np.flatnonzero(np.isnan(logs))
+            words = list(chain.from_iterable(split))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, begins), pa.int32()), pa.array([words[i] for i in rare.tolist()], pa.binary()))
             ids = np.arange(made, made + len(split))
             made += len(split)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), batch.column("doc"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(part, pa.float64()),
-                 pa.array(score), pa.array(rare, pa.list_(pa.binary()))],
+                [pa.array(ids), batch.column("doc"), batch.column("held_out"), pa.array(np.diff(begins)), pa.array(np.add.reduceat(np.nan_to_num(logs), begins[:-1])),
+                 pa.array(score), lists],
                 ["row", "doc", "held_out", "n_tokens", "part", "score", "rare"])
 
     scored = rows.mapInArrow(read, f"row long, doc {kind}, held_out boolean, n_tokens long, part double, score double, rare array<binary>")
@@ -268,13 +268,30 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
-def text_scores(grams: Filter, one: np.ndarray, two: np.ndarray, begins: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
-    """Sum over each text's tokens of log10 of the interpolated probability."""
-    def counts(keys: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(keys, return_inverse=True)
-        return expected(grams.levels(distinct))[at]
+class Lexicon(WordHashes):
+    """Word hashes with two values a word: its unigram's count in the filter, and the log of its exact count (nan if rare)."""
+
+    def __init__(self, counts: dict[bytes, int], grams: Filter):
+        self.counts, self.grams = counts, grams
+        super().__init__(most=600_000)
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.values = np.empty((2, self.tables.shape[1]))
+
+    def _learn(self, words: set[bytes]) -> None:
+        used, words = len(self.known), list(words)
+        super()._learn(words)
+        while self.values.shape[1] < self.tables.shape[1]:
+            self.values = np.concatenate([self.values, np.empty_like(self.values)], axis=1)
+        own = slice(used, used + len(words))
+        self.values[0, own] = expected(self.grams.levels(unigram_keys(self.tables[0, own])))
+        self.values[1, own] = np.log10([self.counts.get(w, np.nan) + SMOOTHING for w in words])
+
 
-    word, pair = counts(one), counts(two)
+def text_scores(grams: Filter, word: np.ndarray, pairs: np.ndarray, begins: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+    """Sum over each text's tokens of log10 of the interpolated probability; ``word`` are the unigram counts, ``pairs`` bigram keys."""
+    pair = expected(grams.levels(pairs))
     # a text's first token has no word before it; as often as an end token, a text began
     before = np.empty_like(word)
     before[1:] = word[:-1]

@@ -40,8 +40,8 @@ class WordHashes:
             table[used:used + len(words)] = [xxhash.xxh3_64_intdigest(key(w)) for w in words]
         self.known.update(zip(words, range(used, used + len(words))))
 
-    def __call__(self, split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-        """Where each text begins (with the end of the last), then the hashes of all words in order by each key."""
+    def places(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text begins (with the end of the last), and the column of all words in order in the tables."""
         if len(self.known) > self.most:
             self._clear()
         if fresh := set().union(*split) - self.known.keys():
@@ -49,7 +49,12 @@ class WordHashes:
         get = self.known.__getitem__
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter((h for words in split for h in map(get, words)), np.int64, int(sizes.sum()))
-        return np.concatenate([[0], np.cumsum(sizes)]), *(table[at] for table in self.tables)
+        return np.concatenate([[0], np.cumsum(sizes)]), at
+
+    def __call__(self, split: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """Where each text begins (with the end of the last), then the hashes of all words in order by each key."""
+        begins, at = self.places(split)
+        return begins, *(table[at] for table in self.tables)
 
 
 def sequences(hashes: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
