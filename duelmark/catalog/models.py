@@ -2,6 +2,7 @@
 with plain numpy fits in the tests instead."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from duelmark.operators import evaluation as ev, models as ml
 
 FEATS = ["line_logit", "line_abs", "d1", "d2", "d3"]
 FLIP = ["line_logit", "d1", "d2", "d3"]
+OFF = ["d1", "d2", "d3"]
 YEARS = [dt.date(y, 1, 1) for y in range(1995, 2000)]
 
 
@@ -45,6 +47,75 @@ def _(t):
     return rounded(t.spark.createDataFrame(coefficients(m, FEATS), "term string, value double"), "value")
 
 
+def optimality(rows, features, model, penalty, offset=None, centred=True):
+    """One row per term: the slope of the penalised loss at a fitted model, which is 0 at the optimum."""
+    mean = [F.avg(c).alias(f"m{j}") for j, c in enumerate(features)]
+    square = [F.avg(F.col(c) * F.col(c)).alias(f"q{j}") for j, c in enumerate(features)]
+    at = rows.agg(*mean, *square, F.count("*").alias("n")).first()
+    mu = [at[f"m{j}"] if centred else 0.0 for j in range(len(features))]
+    sd = [(at[f"q{j}"] - mu[j] ** 2) ** 0.5 for j in range(len(features))]
+    z = F.lit(float(model.intercept)) + (F.col(offset) if offset else F.lit(0.0))
+    for c, b in zip(features, map(float, model.coefficients)):
+        z = z + F.lit(b) * F.col(c)
+    miss = 1 / (1 + F.exp(-z)) - F.col("y")
+    slopes = [F.sum(miss)] if model.intercept else []
+    slopes += [F.sum(miss * (F.col(c) - mu[j]) / sd[j]) + penalty(at["n"]) * float(model.coefficients[j]) * sd[j] for j, c in enumerate(features)]
+    terms = (["intercept"] if model.intercept else []) + features
+    return rows.agg(F.count("*").alias("n"), *[s.alias(f"s{k}") for k, s in enumerate(slopes)]).select("n", F.inline(F.array(
+        *[F.struct(F.lit(t).alias("term"), (F.round(F.col(f"s{k}"), 4) + 0.0).alias("slope")) for k, t in enumerate(terms)])))
+
+
+def _terms(terms):
+    return ", ".join(f"('{t}')" for t in terms)
+
+
+@query("I2_ridge_optimality", f"""
+SELECT term, 2 * count(*) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {{scored}}, (VALUES {_terms(['intercept', *FEATS])}) v(term) GROUP BY term""")
+def _(t):
+    rows = ml.symmetrize(model_input(t), FLIP)
+    fitted = ml.fit_many(rows, FEATS, [ml.Spec()])[0]
+    return optimality(rows, FEATS, fitted, lambda n: 1 / ml.ENSEMBLE_C).select("term", "n", "slope")
+
+
+@query("I5_walk_forward_optimality", f"""
+SELECT fold, term, 2 * count(*) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {{scored}} JOIN (SELECT unnest([{', '.join(f"DATE '{y}'" for y in YEARS)}]) AS fold) ON date < fold,
+(VALUES {_terms(['intercept', *FEATS])}) v(term) GROUP BY fold, term""")
+def _(t):
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double")
+    rows = ml.symmetrize(model_input(t).withColumn("day", day), FLIP)
+    fitted = ml.fit_many(rows, FEATS, [ml.Spec(float((y - dt.date(1970, 1, 1)).days), tag=y) for y in YEARS], time="day")
+    parts = [optimality(rows.filter(F.col("day") < f.spec.fold), FEATS, f, lambda n: 1 / ml.ENSEMBLE_C)
+             .select(F.lit(f.spec.tag).alias("fold"), "term", "n", "slope") for f in fitted if f.n]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("I7_market_offset_optimality", """
+SELECT term, count(*) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {scored}, (VALUES ('d1'), ('d2'), ('d3')) v(term) GROUP BY term""")
+def _(t):
+    x = model_input(t)
+    fitted = ml.fit_offset(x, OFF, [ml.Spec()])[0]
+    return optimality(x, OFF, fitted, lambda n: ml.OFFSET_L2 * n, "line_logit", centred=False).select("term", "n", "slope")
+
+
+# coefficients stated in the query, so that SQL can repeat the prediction
+GIVEN = [[0.1, 0.8, -0.2, 0.3, -0.1, 0.05], [0.0, 0.9, -0.1, 0.2, 0.1, 0.0], [0.2, 0.7, 0.1, 0.4, -0.2, 0.1]]
+
+
+def _given(sign: int) -> str:
+    line, d1, d2 = "ln(q / (1 - q))", "((event_key * 37) % 101) / 50.0 - 1.0", "((event_key * 59) % 89) / 44.0 - 1.0"
+    dots = [f"{m[0]} + {sign} * {m[1]} * {line} + {m[2]} * abs({line}) + {sign} * ({m[3]} * ({d1}) + {m[4]} * ({d2}) + {m[5]} * odds_a / 400.0)" for m in GIVEN]
+    return ", ".join(f"1 / (1 + exp(-({d}))) AS {'p' if sign > 0 else 'q'}{k}" for k, d in enumerate(dots))
+
+
+@query("I4_symmetric_prediction_given_weights", f"""
+WITH s AS (SELECT event_key, odds_a, least(greatest(p_line, 0.02), 0.98) AS q FROM {{scored}}), p AS (SELECT event_key, {_given(1)}, {_given(-1)} FROM s),
+m AS (SELECT event_key, (p0 + 1 - q0) / 2 AS a, (p1 + 1 - q1) / 2 AS b, (p2 + 1 - q2) / 2 AS c FROM p)
+SELECT event_key, a AS p_model, sqrt((a * a + b * b + c * c) / 3 - ((a + b + c) / 3) ** 2) AS se FROM m""", "p_model se", 5)
+def _(t):
+    models = t.spark.createDataFrame([(None, GIVEN)], "fold double, models array<array<double>>")
+    return ml.predict(model_input(t).drop("p_model", "se"), models, FEATS, FLIP, fold=None).select("event_key", "p_model", "se")
+
+
 @query("I3_bootstrap_ensemble")
 def _(t):
     fitted = ml.fit_many(ml.symmetrize(model_input(t), FLIP), FEATS, ml.ensemble_specs([None], [7], 30))
@@ -89,9 +160,6 @@ def _(t):
     return rounded(t.spark.createDataFrame(rows, "half_life double, term string, value double"), "value")
 
 
-OFF = ["d1", "d2", "d3"]
-
-
 @query("I7_market_offset")
 def _(t):
     x = model_input(t).drop("p_model", "se")

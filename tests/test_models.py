@@ -182,3 +182,36 @@ def test_period_elo_equals_sequential_when_nobody_plays_twice(spark):
     assert {r.entity: round(r.rating, 9) for r in final.collect()} == {k: round(v, 9) for k, v in ratings.items()}
     for r in pool_elo(df, "pool", "day", "id", "id", "a", "b", "winner", "method").collect():
         assert abs(r.elo_a_pre - want[r.id][0]) < 1e-9
+
+
+def test_offset_predictions_ignore_the_future(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(3)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(120)]
+    rows = [(i, d, float(rng.normal()), float(rng.normal()), int(rng.integers(0, 2))) for i, d in enumerate(days)]
+    folds = [dt.date(2020, 2, 1), dt.date(2020, 3, 1), dt.date(2020, 4, 1)]
+    schema = "row_key long, date date, line_logit double, d1 double, y int"
+    past = ml.walk_forward_offset(spark.createDataFrame(rows, schema), ["d1"], "date", folds, 3)
+    changed = [(i, d, o, -x, 1 - y) if d >= folds[2] else (i, d, o, x, y) for i, d, o, x, y in rows]
+    again = ml.walk_forward_offset(spark.createDataFrame(changed, schema), ["d1"], "date", folds, 3)
+    keep = {r.row_key: (r.p_model, r.se) for r in past.filter("date < '2020-04-01'").collect()}
+    assert len(keep) == sum(folds[0] <= d < folds[2] for d in days)
+    assert keep == {r.row_key: (r.p_model, r.se) for r in again.filter("date < '2020-04-01'").collect()}
+
+
+def test_many_models_are_fitted_block_by_block(spark, monkeypatch):
+    x, y = data(200)
+    df, names = frame(spark, x, y)
+    specs = ml.ensemble_specs([None], [5], 6)
+    whole = ml.fit_many(df, names, specs)
+    monkeypatch.setattr(ml, "MODELS_AT_ONCE", 3)
+    parts = ml.fit_many(df, names, specs)
+    assert [f.spec for f in parts] == specs and np.allclose([f.coefficients for f in whole], [f.coefficients for f in parts], atol=1e-9)
+
+
+def test_folds_are_found_beyond_one_literal_array(spark, monkeypatch):
+    monkeypatch.setattr(ml, "LITERAL_RUN", 3)
+    df = spark.createDataFrame([(i,) for i in range(-2, 25)], "t int")
+    got = {r.t: r.fold for r in ml.assign_fold(df, "t", list(range(0, 20, 2))).collect()}
+    assert got == {i: None if i < 0 else min(i // 2 * 2, 18) for i in range(-2, 25)}
