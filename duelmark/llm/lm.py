@@ -181,7 +181,7 @@ def build_filter(texts: DataFrame, tokens: int) -> Filter:
     that broadcasting is bounded. If all entries do not fit at that density, the lowest levels are not entered: such
     n-grams answer 0, and their estimate comes from the unigram, as if unseen. Every n-gram is counted either way.
     """
-    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << (tokens * BITS_PER_ENTRY).bit_length() - 1))
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << max(1, tokens * BITS_PER_ENTRY).bit_length() - 1))
     # a slice is merged in one task: about as many n-grams as two million tokens give
     segments = min(bits >> 10, max(SEGMENTS, 1 << (tokens // 2_000_000).bit_length()))
     blocks = materialize(ngram_blocks(texts, segments), "ngrams")
