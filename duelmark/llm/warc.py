@@ -291,7 +291,9 @@ def read_records(archive: Archive, places: DataFrame, page_type: str, payload: b
                                              ["page", "url", "record_type", "refers_to", "refers_key", "payload_digest", "payload_bytes", "payload"])
         ranges.close()
 
-    ordered = places.repartition("file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    # a place is a few bytes and its record many, so the number of tasks is stated rather than left to the places' size
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = places.repartition(tasks, "file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
     found = ordered.select("file", "offset", "length").mapInArrow(
         read, "page string, url string, record_type string, refers_to string, refers_key string, payload_digest string, payload_bytes long, payload binary")
     return found.withColumn("page", F.col("page").cast(page_type)).withColumn("refers_to", F.col("refers_to").cast(page_type))
