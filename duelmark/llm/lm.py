@@ -24,7 +24,7 @@ FLUSH = 300_000                 # distinct words that a task counts before it ha
 KEY_BITS = 40                   # of an n-gram's hash
 PROBES = 4                      # bits set for each level of an n-gram
 BITS_PER_ENTRY = 8
-MOST_FILTER_BITS = 1 << 29      # 64 MiB, the most that is broadcast
+MOST_FILTER_BITS = 1 << 29      # 64 MiB, the most that is broadcast; a larger filter is probed slice by slice where it is built
 LEAST_FILTER_BITS = 1 << 20
 SLICE = 4 << 20                 # bytes of text scored at once
 SEGMENTS = 256                  # slices of the filter, built in parallel, at least
@@ -57,10 +57,10 @@ def offset(keys: np.ndarray, number: int, probe: int, size: int) -> np.ndarray:
     return mixed(keys + np.uint64((number * PROBES + probe) * int(ODD[3]) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(size - 1)
 
 
-def filter_slice(keys: np.ndarray, levels: np.ndarray, first: int, size: int) -> bytes:
-    """A slice of the filter: every n-gram is entered with each of the numbers ``first`` to its level."""
+def filter_slice(keys: np.ndarray, levels: np.ndarray, size: int) -> bytes:
+    """A slice of the filter: every n-gram is entered with each of the numbers 1 to its level."""
     bits = np.zeros(size, bool)
-    for number in range(first, int(levels.max(initial=0)) + 1):
+    for number in range(1, int(levels.max(initial=0)) + 1):
         own = keys[levels >= number]
         for probe in range(PROBES):
             bits[offset(own, number, probe, size)] = True
@@ -68,14 +68,14 @@ def filter_slice(keys: np.ndarray, levels: np.ndarray, first: int, size: int) ->
 
 
 class Filter:
-    """Log-frequency Bloom filter: the largest number that answers yes from ``first`` on is an n-gram's level.
+    """Log-frequency Bloom filter: the largest number that answers yes from 1 on is an n-gram's level.
 
     One-sided errors only raise a level. All bits of an n-gram lie in the slice that its key's leading bits choose, so
     slices are built apart.
     """
 
-    def __init__(self, data: np.ndarray, segments: int, first: int):
-        self.data, self.first = data, first
+    def __init__(self, data: np.ndarray, segments: int):
+        self.data = data
         self.size = len(data) * 8 // segments
         self.shift = np.uint64(KEY_BITS - segments.bit_length() + 1)
 
@@ -83,7 +83,7 @@ class Filter:
         """Probe with one number after the other until one is missing."""
         out = np.zeros(len(keys), np.int64)
         base = (keys >> self.shift) * np.uint64(self.size)
-        active, number = np.arange(len(keys)), self.first
+        active, number = np.arange(len(keys)), 1
         while len(active):
             # most of those that have not the number leave at the first place
             for probe in range(PROBES):
@@ -174,45 +174,86 @@ def _merged(blocks: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return merge(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
-def build_filter(texts: DataFrame, tokens: int) -> Filter:
-    """The filter of all unigrams and bigrams of ``texts``.
+def filter_shape(tokens: int) -> tuple[int, int]:
+    """Bits of the filter and the slices it is cut into.
 
-    Its size follows the corpus (``BITS_PER_ENTRY`` for about as many entries as tokens) up to ``MOST_FILTER_BITS``, so
-    that broadcasting is bounded. If all entries do not fit at that density, the lowest levels are not entered: such
-    n-grams answer 0, and their estimate comes from the unigram, as if unseen. Every n-gram is counted either way.
+    The size follows the corpus: at least ``BITS_PER_ENTRY`` for as many entries as tokens. A slice is merged in one task:
+    about as many n-grams as two million tokens give.
     """
-    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, 1 << max(1, tokens * BITS_PER_ENTRY).bit_length() - 1))
-    # a slice is merged in one task: about as many n-grams as two million tokens give
-    segments = min(bits >> 10, max(SEGMENTS, 1 << (tokens // 2_000_000).bit_length()))
-    blocks = materialize(ngram_blocks(texts, segments), "ngrams")
+    bits = max(LEAST_FILTER_BITS, 1 << max(0, tokens * BITS_PER_ENTRY - 1).bit_length())
+    return bits, min(bits >> 10, max(SEGMENTS, 1 << (tokens // 2_000_000).bit_length()))
 
-    def histogram(part: pd.DataFrame) -> pd.DataFrame:
-        levels = np.bincount(level(_merged(part["block"])[1]))
-        return pd.DataFrame({"level": np.flatnonzero(levels), "n": levels[levels > 0]})
-
-    grams = blocks.groupBy("segment").applyInPandas(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    at_level = dict(grams.collect())        # one row per level, at most 64
-    first = 1
-    while sum(n * (q - first + 1) for q, n in at_level.items() if q >= first) * BITS_PER_ENTRY > 2 * bits:
-        first += 1
 
+def build_filter(blocks: DataFrame, bits: int, segments: int) -> Filter:
+    """The filter of all n-grams of ``blocks``; its slices are built apart."""
     size = bits // segments
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(part["block"])
-        return pd.DataFrame({"segment": [int(part["segment"].iloc[0])], "data": [filter_slice(keys, level(counts), first, size)]})
+        return pd.DataFrame({"segment": [int(part["segment"].iloc[0])], "data": [filter_slice(keys, level(counts), size)]})
 
     data = np.zeros(bits >> 3, np.uint8)
     for segment, piece in blocks.groupBy("segment").applyInPandas(build, "segment int, data binary").collect():
         data[segment * size >> 3:(segment + 1) * size >> 3] = np.frombuffer(piece, np.uint8)
-    return Filter(data, segments, first)
+    return Filter(data, segments)
+
+
+def questions(begins: np.ndarray, hashes: np.ndarray, segments: int) -> tuple[list[int], list[bytes]]:
+    """What a slice of texts asks a filter that is not broadcast: its distinct keys by the filter's slices, and, as
+    number -1, its words' hashes and every token's place in them, from which the keys follow again."""
+    words, places = np.unique(hashes, return_inverse=True)
+    keys = asked_keys(words, bigram_keys(begins, hashes))
+    cuts = np.searchsorted((keys >> np.uint64(KEY_BITS - segments.bit_length() + 1)).astype(np.int64), np.arange(segments + 1))
+    found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
+    packed = [pack(k, np.zeros(len(k), np.int64)) for k in (keys[cuts[s]:cuts[s + 1]] for s in found)]
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    stream = b"".join([np.array([len(begins), len(words)], "<i8").tobytes(), begins.astype("<i8").tobytes(), words.astype("<u8").tobytes(), planes.tobytes()])
+    return [-1, *found], [zstandard.ZstdCompressor(level=1).compress(stream), *packed]
+
+
+def asked_keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([unigram_keys(words), pairs]))
+
+
+def sliced_scores(asked: DataFrame, blocks: DataFrame, bits: int, segments: int, tokens: int, vocabulary: int) -> DataFrame:
+    """(row, score) from ``questions`` (row of the first text, segment, block).
+
+    Keys go to the slice of the filter they belong to, which is built and probed in one task; the levels go back to the
+    texts that asked. A key is asked once per slice of texts, so that frequent n-grams are not hot. Nothing is broadcast.
+    """
+    def answer(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(wanted):
+            return pd.DataFrame({"row": [], "segment": [], "levels": []})
+        keys, counts = _merged(part["block"]) if len(part) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        grams = Filter(np.frombuffer(filter_slice(keys, level(counts), bits // segments), np.uint8), 1)
+        compress = zstandard.ZstdCompressor(level=1).compress
+        levels = [compress(grams.levels(unpack(b)[0]).astype(np.uint8).tobytes()) for b in wanted["block"]]
+        return pd.DataFrame({"row": wanted["row"], "segment": wanted["segment"], "levels": levels})
+
+    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        data = zstandard.ZstdDecompressor().decompress(texts["block"].iloc[0])
+        n, m = np.frombuffer(data, "<i8", 2).tolist()
+        begins, words = np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<u8", m, 16 + 8 * n)
+        places = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=16 + 8 * (n + m)).reshape(4, -1).T).view("<u4").ravel()
+        pairs = bigram_keys(begins, words[places])
+        keys = asked_keys(words, pairs)
+        answers = answers.sort_values("segment")
+        counts = expected(np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, answers["levels"])), np.uint8).astype(np.int64))
+        word = counts[np.searchsorted(keys, unigram_keys(words))][places]
+        found = text_scores(counts[np.searchsorted(keys, pairs)], word, begins, tokens, vocabulary)
+        return pd.DataFrame({"row": int(texts["row"].iloc[0]) + np.arange(len(found)), "score": found})
+
+    levels = blocks.groupBy("segment").cogroup(asked.filter("segment >= 0").groupBy("segment")).applyInPandas(
+        answer, "row long, segment int, levels binary")
+    return asked.filter("segment < 0").groupBy("row").cogroup(levels.groupBy("row")).applyInPandas(score, "row long, score double")
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Log10 probability of every text by a model of the texts that are not held out.
 
     The model interpolates bigram and smoothed unigram estimates; the counts of both come from a log-frequency Bloom
-    filter that every worker holds, by probing level after level. Beside it stands the exact unigram score: counts of
+    filter, by probing level after level. It holds every n-gram and grows with the corpus: up to ``MOST_FILTER_BITS`` every
+    worker has it, and beyond that the texts' keys go to its slices. Both ways give the same scores. Beside it stands the exact unigram score: counts of
     frequent words, at most ``FREQUENT``, are broadcast too, and the others are joined, so that no word is a hot key.
 
     Null and empty texts are the end token alone. Repeated rows count, and are scored, as often as they occur. Without
@@ -226,7 +267,10 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     counts = materialize(unigram_counts(learned), "unigrams")
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = float(np.log10(tokens + SMOOTHING * (vocabulary + 1)))
-    ngram_filter = spark.sparkContext.broadcast(build_filter(learned, tokens))
+    bits, segments = filter_shape(tokens)
+    blocks = ngram_blocks(learned, segments)         # read once, so only shuffled
+    sliced = bits > MOST_FILTER_BITS
+    ngram_filter = spark.sparkContext.broadcast(None if sliced else build_filter(blocks, bits, segments))
 
     # the least count that at most FREQUENT words reach, from a histogram of eighths of doublings
     steps = dict(counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).count().collect())
@@ -244,7 +288,15 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         for batch in slices(batches, "text", SLICE):
             split = [tokens_of(t) for t in batch.column("text").to_pylist()]
             begins, at = lexicon.places(split)
-            score = text_scores(ngram_filter.value, lexicon.values[0][at], bigram_keys(begins, lexicon.tables[0][at]), begins, tokens, vocabulary)
+            hashes = lexicon.tables[0][at]
+            if sliced:
+                score = pa.nulls(len(split), pa.float64())
+                asked, packed = questions(begins, hashes, segments)
+                none = {f.name: pa.nulls(len(asked), f.type) for f in made_schema(batch)}
+                yield pa.RecordBatch.from_pydict(none | {"row": pa.array([made] * len(asked)), "segment": pa.array(asked, pa.int32()), "block": pa.array(packed, pa.binary())})
+            else:
+                pair = expected(ngram_filter.value.levels(bigram_keys(begins, hashes)))
+                score = pa.array(text_scores(pair, lexicon.values[0][at], begins, tokens, vocabulary))
             logs = lexicon.values[1][at]
             rare = np.flatnonzero(np.isnan(logs))
             words = list(chain.from_iterable(split))
@@ -253,11 +305,18 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
             made += len(split)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), batch.column("doc"), batch.column("held_out"), pa.array(np.diff(begins)), pa.array(np.add.reduceat(np.nan_to_num(logs), begins[:-1])),
-                 pa.array(score), lists],
-                ["row", "doc", "held_out", "n_tokens", "part", "score", "rare"])
-
-    scored = rows.mapInArrow(read, f"row long, doc {kind}, held_out boolean, n_tokens long, part double, score double, rare array<binary>")
-    scored = materialize(scored, "scored")
+                 score, lists, pa.nulls(len(split), pa.int32()), pa.nulls(len(split), pa.binary())], made_schema(batch).names)
+
+    def made_schema(batch):
+        return pa.schema({"row": pa.int64(), "doc": batch.column("doc").type, "held_out": pa.bool_(), "n_tokens": pa.int64(), "part": pa.float64(),
+                          "score": pa.float64(), "rare": pa.list_(pa.binary()), "segment": pa.int32(), "block": pa.binary()})
+
+    scored = rows.mapInArrow(read, f"row long, doc {kind}, held_out boolean, n_tokens long, part double, score double, rare array<binary>, segment int, block binary")
+    made = materialize(scored, "scored")
+    scored = made.filter("segment IS NULL").drop("segment", "block")
+    if sliced:
+        asked = made.filter("segment IS NOT NULL").select("row", "segment", "block")
+        scored = scored.drop("score").join(sliced_scores(asked, blocks, bits, segments, tokens, vocabulary), "row", "left")
     rest = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("more"), F.count("c").alias("found"))
     out = scored.select("row", "doc", "held_out", "n_tokens", "part", "score", (F.col("n_tokens") - F.size("rare")).alias("common"))
@@ -269,9 +328,9 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
 
 
 class Lexicon(WordHashes):
-    """Word hashes with two values a word: its unigram's count in the filter, and the log of its exact count (nan if rare)."""
+    """Word hashes with two values a word: its unigram's count in the filter (nan if that is not at hand), and the log of its exact count (nan if rare)."""
 
-    def __init__(self, counts: dict[bytes, int], grams: Filter):
+    def __init__(self, counts: dict[bytes, int], grams: Filter | None):
         self.counts, self.grams = counts, grams
         super().__init__(most=600_000)
 
@@ -285,13 +344,12 @@ class Lexicon(WordHashes):
         while self.values.shape[1] < self.tables.shape[1]:
             self.values = np.concatenate([self.values, np.empty_like(self.values)], axis=1)
         own = slice(used, used + len(words))
-        self.values[0, own] = expected(self.grams.levels(unigram_keys(self.tables[0, own])))
+        self.values[0, own] = expected(self.grams.levels(unigram_keys(self.tables[0, own]))) if self.grams else np.nan
         self.values[1, own] = np.log10([self.counts.get(w, np.nan) + SMOOTHING for w in words])
 
 
-def text_scores(grams: Filter, word: np.ndarray, pairs: np.ndarray, begins: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
-    """Sum over each text's tokens of log10 of the interpolated probability; ``word`` are the unigram counts, ``pairs`` bigram keys."""
-    pair = expected(grams.levels(pairs))
+def text_scores(pair: np.ndarray, word: np.ndarray, begins: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+    """Sum over each text's tokens of log10 of the interpolated probability; ``word`` are the unigram counts, ``pair`` those of the bigrams."""
     # a text's first token has no word before it; as often as an end token, a text began
     before = np.empty_like(word)
     before[1:] = word[:-1]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelmark.llm import catalog, pii, simhash
+from duelmark.llm import catalog, lm, pii, simhash
 from duelmark.llm.components import components
 from duelmark.llm.decontaminate import contained_items, drop_contaminated
 from duelmark.llm.exact import boundaries, chunks, drop_exact_copies, exact_groups
@@ -215,6 +215,15 @@ def test_language_model(docs, empty):
     assert len(untrained) == len(ROWS) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in untrained)
 
 
+def test_language_model_keeps_all_counts_beyond_a_broadcast(spark, docs, monkeypatch):
+    def scores():
+        return sorted((r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.base_score, round(r.score, 9)) for r in score_texts(docs, F.col("doc_id") == 8).collect())
+
+    whole = scores()
+    monkeypatch.setattr(lm, "MOST_FILTER_BITS", 1 << 12)      # less than the n-grams that occur once need
+    assert scores() == whole
+
+
 def test_main_text(spark):
     soup = """<html><head><title>t</title></head><body><div id="top" class="menu"><a href=x>Home</a></div><div class="cookie-notice">We use
       cookies</div><div class="layout"><div class="post-body post-17"><h2>Head</h2><p>First para &amp; more<p>Second &lt;b&gt;
