@@ -6,6 +6,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -207,9 +208,27 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return out.select(F.col("doc").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, **how) -> DataFrame:
     """The row with the smallest id of every component, with all its columns. Rows without an id stay if no row of
-    their component has one."""
-    gone = near_groups(docs, doc_id, text, **how).filter(~F.col(doc_id).eqNullSafe(F.col("component_id")))
-    gone = materialize(gone.select(F.col(doc_id).alias("_gone")), "near")
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    their component has one. Rows are decided one by one, also those that share an id or have none."""
+    kept = F.col(doc_id).eqNullSafe(F.col("component_id"))
+    groups = near_groups(docs, doc_id, text, shingle=shingle, **how).select(F.col(doc_id).alias("doc"), "fingerprint", kept.alias("kept"))
+    groups = materialize(groups, "near")
+    ids = groups.groupBy("doc").agg(F.min("kept").alias("all"), F.max("kept").alias("any"))
+    mixed = materialize(ids.filter("any AND NOT all").select("doc"), "mixed")
+    gone = groups.filter("NOT kept").select(F.col("doc").alias("_gone"))
+    if mixed.isEmpty():
+        return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    # of an id's rows some leave: a fingerprint lies in one component, so it tells which
+    gone = gone.union(mixed)
+    plain = docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+
+    @F.pandas_udf("string")
+    def mark(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: format(fingerprint(t, shingle), "016x"))
+
+    staying = groups.filter("kept").join(mixed, groups["doc"].eqNullSafe(mixed["doc"]), "left_semi")
+    staying = staying.select("doc", F.col("fingerprint").alias("_stays")).distinct()
+    again = docs.join(mixed, docs[doc_id].eqNullSafe(mixed["doc"]), "left_semi").withColumn("_fp", mark(utf8(text)))
+    again = again.join(staying, again[doc_id].eqNullSafe(staying["doc"]) & (again["_fp"] == staying["_stays"]), "left_semi")
+    return plain.unionByName(again.drop("_fp"))

@@ -86,6 +86,15 @@ def test_near_groups(docs, empty):
     assert no_rows(near_groups(empty)) and no_rows(drop_near_copies(empty))
 
 
+def test_near_copies_are_decided_per_row(spark, docs):
+    kept = [(r.doc_id or 0, r.text) for r in drop_near_copies(docs).collect()]
+    assert sorted(kept, key=lambda k: k[0]) == [(0, "A row without an id"), (1, ROWS[0][1]), (4, None), (7, LONG), (10, ROWS[-2][1]), (11, "x")]
+    rows = [(3, "one text of a few words"), (5, "one text of a few words"), (5, "quite another thing that nobody else has"), (6, "the last of them all"),
+            (None, "one text of a few words"), (None, "no id and no copy anywhere here")]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, rows[5][1]), (3, rows[0][1]), (5, rows[2][1]), (6, rows[3][1])]
+
+
 @pytest.mark.parametrize("block", [8, 4096])
 def test_links_are_those_of_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK", block)        # small blocks: large cells meet block by block
