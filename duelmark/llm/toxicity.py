@@ -16,10 +16,10 @@ from duelmark.session import materialize
 
 BITS = 20                       # feature space
 STEM = 4                        # bytes of a word's stem
-SKIPS = (1, 2)               # a pair of words at distance 1 is an n-gram, the others are skip-grams
+SKIPS = (1, 2, 3)            # a pair of words at distance 1 is an n-gram, the others are skip-grams
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 0.1
 EPOCHS = 4
-MOST_ROWS = 12_000              # labelled rows that are learned from, at most
+MOST_ROWS = 20_000              # labelled rows that are learned from, at most
 LETTERS = re.compile(rb"[^a-z\x80-\xff]+")
 
 

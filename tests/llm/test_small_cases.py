@@ -193,6 +193,14 @@ def test_toxicity(spark, docs, empty):
     assert docs.select(toxicity(spark, none).alias("s")).distinct().collect()[0].s == 0.5
 
 
+def test_toxicity_sees_pairs_with_two_words_between():
+    from duelmark.llm import toxicity as tox
+
+    begins, hashes = np.array([0, 4]), np.arange(1, 5, dtype=np.uint64)
+    assert len(tox.features(begins, hashes, hashes)[0]) == 4 + 4 + 3 + 2 + 1
+    assert tox.MOST_ROWS == 20_000
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, f"Fine prose with many words number {i} here." if i % 4 else "SPAM!! " * 9, int(i % 4 != 0)) for i in range(400)]
     model = train_quality(spark.createDataFrame([*rows, (1000, None, 1), (1001, "x", None)], "doc_id long, text string, label int"))
