@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelmark.llm import quality as ranking
 from duelmark.llm.batches import remainder, table
+from duelmark.llm.bestfit import pack_best_fit
 from duelmark.llm.decontaminate import contained_items
 from duelmark.llm.exact import exact_groups
 from duelmark.llm.html import extract_main_text
@@ -17,6 +18,7 @@ from duelmark.llm.packing import pack_documents
 from duelmark.llm.pii import KINDS, count_of, find_private_data, spans_text
 from duelmark.llm.simhash import near_groups
 from duelmark.llm.toxicity import toxicity, train
+from duelmark.llm.trie import conversation_trie
 from duelmark.llm.warc import read_captures, url_key, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +170,36 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
               ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(t) AS restored_sha256 FROM p
 """)
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into sequences of 2048 ids."""
+    return pack_best_fit(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, each rebuilt with the first turns of its group's first conversation."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+oracle("op11_conversation_trie", r"""
+WITH own AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS w
+       FROM conversations GROUP BY conv_id),
+-- crc32 of the id's digits
+h AS (SELECT conv_id, w, conv_id::VARCHAR AS c, xor(list_reduce(
+         [4294967295::BIGINT] || list_transform(range(1, length(c) + 1), lambda i: ascii(c[i])::BIGINT),
+         lambda y, b: list_reduce([xor(y, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h FROM own),
+b AS (SELECT h.conv_id, list_concat(coalesce(list_slice(g.w, 1, h), []), list_slice(h.w, h + 1, len(h.w))) AS w
+       FROM h LEFT JOIN own g ON g.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, list_slice(w, 1, d) AS path, len(w) AS n, strlen(w[d].x) AS bytes FROM b, range(0, len(w) + 1) AS r(d)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY path, d),
+child AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+whole AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.path = node.path),
+sub AS (SELECT list_slice(path, 1, k) AS path, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+        FROM whole, range(0, d + 1) AS r(k) GROUP BY 1)
+SELECT whole.conv_id, whole.d AS depth, parent.conv_id AS parent_conv_id, whole.n_convs, n_children, n_leaves, saved_tokens, whole.ends_sha256
+FROM whole JOIN sub ON sub.path = whole.path LEFT JOIN node parent ON whole.d > 0 AND parent.path = list_slice(whole.path, 1, whole.d - 1)
+""")

@@ -50,6 +50,7 @@ class WordTokens:
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
         self.words = self.used = 0
+        self.end = None         # the id that closes a text, entered as the empty word
 
     def _add(self, ids: list[int]) -> int:
         n = len(ids)
@@ -91,8 +92,8 @@ class WordTokens:
             self._clear()
         # the tokenizer lower-cases too, but the strings of its special tokens are told by case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if b"" not in self.index:
-            self.index[b""] = self._add([end_id])
+        if self.end != end_id:
+            self.index[b""], self.end = self._add([end_id]), end_id
         for words in split:
             words.append(b"")
         line = list(chain.from_iterable(split))
