@@ -32,6 +32,9 @@ BOILERPLATE = frozenset("""ad ads adv advert adverts advertisement advertising a
     recommended related replies reply respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe taboola
     tags toolbar toplinks widget alert gdpr complementary contentinfo search""".split())
 MAIN = frozenset("article post entry content story main body text".split())
+# beginnings and endings of class names that tell what a page or an article has, not what the element is
+ABOUT = re.compile(r"^(?:has|with|without|no|not|is|tag|category|cat|hide|show)[-_]|[-_](?:enabled|disabled|open|closed|on|off)$", re.I)
+WRAPPERS = frozenset(("form", "fieldset"))      # dropped, but some pages are one form as a whole
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)>?|([^<]+|<)", re.S)
@@ -42,38 +45,42 @@ _WHITE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "container", "text", "linked", "own", "paragraphs")
+    """``dropped``: not part of the article, by itself or by what is around it. ``suspect``: only its name says so."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, container: bool):
+    __slots__ = ("tag", "path", "dropped", "container", "number", "hidden", "suspect")
+
+    def __init__(self, tag: str, path: str, dropped: bool, container: bool, number: int = 0, hidden: bool = False, suspect: bool = False):
         self.tag, self.path, self.dropped, self.container = tag, path, dropped, container
-        self.text = self.linked = self.own = self.paragraphs = 0
+        self.number, self.hidden, self.suspect = number, hidden, suspect
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """The class as it is written into paths (numbers generalised), and whether the element is marked as not the article."""
-    label, dropped = "", False
+def _named(attributes: str) -> tuple[str, bool, bool]:
+    """The class as it is written into paths (numbers generalised), whether the element is hidden, and whether its names mark it as not the article."""
+    label, dropped, hidden = "", False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            dropped = True
+            hidden = True
         elif name == "style":
-            dropped |= "display:none" in value.replace(" ", "").lower()
+            hidden |= "display:none" in value.replace(" ", "").lower()
         else:
-            words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            told = " ".join(v for v in value.split() if not ABOUT.search(v))
+            words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", told).lower()))
             # the header of an article holds its headline
             dropped |= bool(words & BOILERPLATE - {"header"} or "header" in words and not words & {"article", "post", "entry", "story"})
             if name == "class" and value.strip():
                 label = "." + ".".join(sorted({_DIGITS.sub("#", c) for c in value.split()}))
-    return label, dropped
+    return label, hidden, dropped
 
 
-def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
+def walk(page: str, spared: frozenset[int] = frozenset()) -> Iterator[tuple[str, Element | None, str]]:
     """Events of a page: ("open", element, ""), ("close", element, "") and ("text", innermost element, text).
 
     Tag soup is read as browsers do in the main: void elements, paragraphs and list items that another one ends, end
-    tags without a start. Scripts and styles run to their own end tag.
+    tags without a start. Scripts and styles run to their own end tag. Suspects whose number is in ``spared`` stay.
     """
     stack = [Element("", "", False, False)]
+    number = 0
     at, size = 0, len(page)
     while at < size:
         match = _PIECE.match(page, at)
@@ -108,10 +115,14 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
                         yield "close", stack.pop(), ""
                     break
         above = stack[-1]
-        label, marked = _named(attributes) if attributes.strip() else ("", False)
+        label, hidden, marked = _named(attributes) if attributes.strip() else ("", False, False)
         block = tag in BLOCKS and tag not in ("p", "br", "html", "body")
+        number += 1
+        outright = (hidden or tag in DROPPED and tag not in WRAPPERS) and tag not in ("html", "body")
+        suspect = tag in WRAPPERS or marked and tag not in ("html", "body", "main", "article")
         element = Element(tag, f"{above.path}>{tag}{label}" if block else above.path or ">body",
-                          above.dropped or tag in DROPPED or marked and tag not in ("html", "body"), tag in CONTAINERS)
+                          above.dropped or outright or suspect and number not in spared, tag in CONTAINERS,
+                          number, above.hidden or outright, suspect)
         yield "open", element, ""
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             yield "close", element, ""
@@ -125,7 +136,37 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str]]:
         yield "close", stack.pop(), ""
 
 
-def score_containers(page: str) -> dict[str, float]:
+def spared_elements(page: str) -> frozenset[int]:
+    """Suspects that are the page itself: they hold at least half of its unlinked text, and a headline or an article too,
+    unless the page has none; then next to nothing is left without them. Reader comments below an article have neither."""
+    open_now: list[Element] = []
+    held: dict[int, int] = {}
+    heads: set[int] = set()
+    total = outside = links = 0
+    headed = False              # a headline or an article that is in no suspect
+    for event, element, text in walk(page):
+        if event == "open":
+            links += element.tag == "a"
+            if element.suspect and not element.hidden:
+                open_now.append(element)
+                held[element.number] = 0
+            elif element.tag in ("h1", "article", "main") and not element.hidden:
+                heads.update(e.number for e in open_now)
+                headed |= not open_now
+        elif event == "close":
+            links -= element.tag == "a" and links > 0
+            if open_now and open_now[-1] is element:
+                open_now.pop()
+        elif not element.hidden and not links:
+            n = len(text.strip())
+            total += n
+            outside += n * (not element.dropped)
+            for e in open_now:
+                held[e.number] += n
+    return frozenset(k for k, n in held.items() if 2 * n >= total > 0 and (k in heads or not headed and 20 * outside < total))
+
+
+def score_containers(page: str, spared: frozenset[int] = frozenset()) -> dict[str, float]:
     """Scores of a page's containers by generalised path: text in their own blocks, less what is linked.
 
     Text counts fully for the nearest container and half for the one around it, so the innermost element that
@@ -134,7 +175,7 @@ def score_containers(page: str) -> dict[str, float]:
     scores: dict[str, float] = {}
     holders: list[Element] = []
     links = 0
-    for event, element, text in walk(page):
+    for event, element, text in walk(page, spared):
         if event == "open":
             if element.container and element.tag != "blockquote":
                 holders.append(element)
@@ -155,7 +196,7 @@ def score_containers(page: str) -> dict[str, float]:
 
 def best_path(page: str) -> str | None:
     """The path of highest score, or of the article element around it; of equal ones the longest, then the first in order."""
-    scores = score_containers(page)
+    scores = score_containers(page, spared_elements(page))
     if not scores:
         return None
     best = min(scores, key=lambda p: (-scores[p], -len(p), p))
@@ -180,7 +221,7 @@ def extract(page: str, path: str | None) -> str:
         if line:
             blocks.append(line)
 
-    for event, element, text in walk(page):
+    for event, element, text in walk(page, spared_elements(page)):
         if event == "text":
             if (depth or path is None) and not element.dropped:
                 run.append(text)
