@@ -26,6 +26,7 @@ SUPPORT = 5                     # distinct seeds that such a pattern needs
 STEP = 128                      # matches summed at once for their places
 
 SPAN = "array<struct<start: long, rank: int, stop: long, value: string>>"
+PLACE = "array<struct<start: long, rank: int, stop: long, value: string, before: string, after: string>>"
 
 
 def let(value: Column, body) -> Column:
@@ -34,9 +35,10 @@ def let(value: Column, body) -> Column:
 
 
 def found(text: Column, form: str) -> Column:
-    """Matches from left to right as structs (start, stop, value) in code points, end exclusive.
+    """Matches from left to right as structs (start, stop, value, before, after), places in code points, end exclusive.
 
-    The pieces between the matches and the matches themselves alternate, so places are sums of their lengths; sums over
+    ``before`` and ``after`` are the text next to a match, up to ``REACH`` characters or the match beside it: they come from the
+    piece there, so that a text's length does not count for each of its matches. The pieces between the matches and the matches themselves alternate, so places are sums of their lengths; sums over
     ``STEP`` lengths are made first, so a text with n matches costs n * (STEP + n / STEP).
     """
     def places(v: Column) -> Column:
@@ -55,13 +57,15 @@ def found(text: Column, form: str) -> Column:
                     block = F.floor(i / STEP).cast("int")
                     before = summed(F.slice(bl, F.lit(1), block)) + summed(F.slice(s, block * STEP + 1, i % STEP))
                     start = before + F.length(pieces[i])
-                    return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("value"))
+                    return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("value"),
+                                    F.right(pieces[i], F.lit(REACH)).alias("before"), F.left(pieces[i + 1], F.lit(REACH)).alias("after"))
 
                 return F.transform(matches, one)
 
             return let(blocks, each)
 
-        return F.when(F.size(matches) > 0, let(sizes, placed)).otherwise(F.array().cast("array<struct<start: long, stop: long, value: string>>"))
+        return F.when(F.size(matches) > 0, let(sizes, placed)).otherwise(
+            F.array().cast("array<struct<start: long, stop: long, value: string, before: string, after: string>>"))
 
     return let(F.struct(F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("matches"), F.split(text, form, -1).alias("pieces")), places)
 
@@ -80,14 +84,15 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Valid matches of all kinds by start, then kind: (start, rank of the kind, stop, value)."""
+    """Valid matches of all kinds by start, then kind: (start, rank of the kind, stop, value, before, after)."""
     gate = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     digit = text.rlike("[0-9]")
 
     def of(rank: int, kind: str) -> Column:
         kept = F.filter(found(text, FORMS[kind]), lambda s: valid(kind, s["value"]))
-        spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), s["value"].alias("value")))
-        return F.when(gate.get(kind, digit), spans).otherwise(F.array().cast(SPAN))
+        spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"),
+                                                     s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")))
+        return F.when(gate.get(kind, digit), spans).otherwise(F.array().cast(PLACE))
 
     return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
@@ -98,30 +103,27 @@ def candidates(text: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^[\"'(\[{<]*+", 0))
         core = F.regexp_replace(F.substring(s["value"], lead + 1, F.length(s["value"])), r"[\"')\]}>.,;:!?]++$", "")
         start = s["start"] + lead
-        return let(core, lambda c: F.struct(start.alias("start"), F.lit(-1).alias("rank"), (start + F.length(c)).alias("stop"), c.alias("value")))
+        return let(core, lambda c: F.struct(start.alias("start"), F.lit(-1).alias("rank"), (start + F.length(c)).alias("stop"), c.alias("value"),
+                                           s["before"].alias("before"), s["after"].alias("after")))
 
     words = F.transform(found(text, WORD_WITH_DIGIT), bare)
     likely = F.filter(words, lambda s: (F.contains(s["value"], F.lit("@")) & (F.length(s["value"]) > 2))
                       | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= LEAST_DIGITS))
-    return F.when(text.rlike("[0-9@]"), likely).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike("[0-9@]"), likely).otherwise(F.array().cast(PLACE))
 
 
-def patterns(text: Column, start: Column, stop: Column) -> Column:
-    """Lexical patterns of a place: the word before, the two words before, the words on both sides."""
+def patterns(before: Column, after: Column) -> Column:
+    """Lexical patterns of the text around a place: the word before, the two words before, the words on both sides."""
     def words(part: Column) -> Column:
         return F.filter(F.split(F.lower(part), r"[^\p{L}\p{N}=]+"), lambda w: w != "")
 
-    begin = F.greatest(start - REACH, F.lit(0).cast("long"))
-    before = words(F.substring(text, begin.cast("int") + 1, (start - begin).cast("int")))
-    after = words(F.substring(text, stop.cast("int") + 1, F.lit(REACH)))
-
     def made(v: Column) -> Column:
         left, right = F.try_element_at(v["b"], F.lit(-1)), F.try_element_at(v["a"], F.lit(1))
         pair = F.try_element_at(v["b"], F.lit(-2))
         return F.filter(F.array(F.concat(left, F.lit(" _")), F.concat(pair, F.lit(" "), left, F.lit(" _")),
                                 F.concat(left, F.lit(" _ "), right)), lambda p: p.isNotNull())
 
-    return let(F.struct(before.alias("b"), after.alias("a")), made)
+    return let(F.struct(words(before).alias("b"), words(after).alias("a")), made)
 
 
 def strong_patterns(places: DataFrame) -> DataFrame:
@@ -166,8 +168,10 @@ def find_private_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("words", candidates(F.col("text")))
     places = F.transform(F.concat("base", "words"), lambda s: F.struct(
-        s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), patterns(F.col("text"), s["start"], s["stop"]).alias("patterns")))
-    marked = rows.select("doc", "base", F.when(F.size("base") + F.size("words") > 0, places).alias("places"))
+        s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"),
+        patterns(s["before"], s["after"]).alias("patterns")))
+    base = F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "rank", "stop", "value"))))
+    marked = rows.select("doc", base.alias("base"), F.when(F.size("base") + F.size("words") > 0, places).alias("places"))
     marked = materialize(marked.withColumn("row", F.monotonically_increasing_id()), "pii")
 
     each = marked.select("row", F.inline("places")).select("row", "start", "rank", "stop", "value", F.explode("patterns").alias("pattern"))
