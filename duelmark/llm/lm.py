@@ -206,11 +206,16 @@ def questions(begins: np.ndarray, hashes: np.ndarray, segments: int) -> tuple[li
     cuts = np.searchsorted((keys >> np.uint64(KEY_BITS - segments.bit_length() + 1)).astype(np.int64), np.arange(segments + 1))
     found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
     packed = [pack(k, np.zeros(len(k), np.int64)) for k in (keys[cuts[s]:cuts[s + 1]] for s in found)]
-    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T[:place_bytes(len(words))]
     stream = b"".join([np.array([len(begins), len(words)], "<i8").tobytes(), begins.astype("<i8").tobytes(), words.astype("<u8").tobytes(), planes.tobytes()])
     return [-1, *found], [zstandard.ZstdCompressor(level=1).compress(stream), *packed]
 
 
+def place_bytes(words: int) -> int:
+    """Bytes of a token's place among the distinct words of its slice."""
+    return 3 if words <= 1 << 24 else 4
+
+
 def asked_keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([unigram_keys(words), pairs]))
 
@@ -234,7 +239,8 @@ def sliced_scores(asked: DataFrame, blocks: DataFrame, bits: int, segments: int,
         data = zstandard.ZstdDecompressor().decompress(texts["block"].iloc[0])
         n, m = np.frombuffer(data, "<i8", 2).tolist()
         begins, words = np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<u8", m, 16 + 8 * n)
-        places = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=16 + 8 * (n + m)).reshape(4, -1).T).view("<u4").ravel()
+        planes = np.frombuffer(data, np.uint8, offset=16 + 8 * (n + m)).reshape(place_bytes(m), -1)
+        places = sum(plane.astype(np.int64) << 8 * k for k, plane in enumerate(planes))
         pairs = bigram_keys(begins, words[places])
         keys = asked_keys(words, pairs)
         answers = answers.sort_values("segment")
@@ -314,13 +320,14 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     scored = rows.mapInArrow(read, f"row long, doc {kind}, held_out boolean, n_tokens long, part double, score double, rare array<binary>, segment int, block binary")
     made = materialize(scored, "scored")
     scored = made.filter("segment IS NULL").drop("segment", "block")
-    if sliced:
-        asked = made.filter("segment IS NOT NULL").select("row", "segment", "block")
-        scored = scored.drop("score").join(sliced_scores(asked, blocks, bits, segments, tokens, vocabulary), "row", "left")
     rest = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("more"), F.count("c").alias("found"))
     out = scored.select("row", "doc", "held_out", "n_tokens", "part", "score", (F.col("n_tokens") - F.size("rare")).alias("common"))
     out = out.join(rest, "row", "left")
+    if sliced:
+        # joined once and last: whatever is derived from the scores works the slices out again
+        asked = made.filter("segment IS NOT NULL").select("row", "segment", "block")
+        out = out.drop("score").join(sliced_scores(asked, blocks, bits, segments, tokens, vocabulary), "row", "left")
     return out.select(
         F.col("doc").alias(doc_id), "held_out", "n_tokens", (F.col("common") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

@@ -74,16 +74,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+# removes the shuffle files of an execution when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage in a way that survives executor loss: the rows live in shared
-    storage, not in executor block managers.
+    storage, not in executor block managers. The shuffle files that led to them are removed at once, so a chain
+    of steps needs disk for one step's shuffles and not for all.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -140,11 +140,19 @@ def test_contained_items(spark, docs, empty):
     got = sorted((r.doc_id or 0, r.item_id or 0, r.containment) for r in contained_items(docs, items).collect())
     assert got == [(0, 0, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0), (7, 5, 1.0), (8, 5, 1.0), (9, 5, 1.0), (9, 5, 1.0), (11, 2, 1.0)]
     kept = drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 10]
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str) == [(0, None), (10, ROWS[-2][1]), (4, None), (5, ""), (6, " \n")]
     assert no_rows(contained_items(empty, items)) and no_rows(contained_items(docs, items.limit(0)))
     assert drop_contaminated(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_contaminated_rows_are_decided_one_by_one(spark):
+    rows = [(1, "a b c d e f"), (1, "something else"), (None, "x a b c d e f"), (None, "a clean row"), (2, "a b c d e f"), (2, "a b c d e f")]
+    items = spark.createDataFrame([(9, "a b c d e f")], "item_id long, text string")
+    kept = drop_contaminated(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _gone string"), items)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a clean row"), (1, "something else")]
+
+
 def test_containment_at_the_threshold(spark):
     words = [f"v{i}" for i in range(44)]                # 40 shingles
     kept = words[:36]                                   # 32 of them: exactly 0.8
@@ -239,6 +247,9 @@ def test_language_model_keeps_all_counts_beyond_a_broadcast(spark, docs, monkeyp
     whole = scores()
     monkeypatch.setattr(lm, "MOST_FILTER_BITS", 1 << 12)      # less than the n-grams that occur once need
     assert scores() == whole
+    # the slices are worked out once
+    plan = score_texts(docs, F.col("doc_id") == 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 2
 
 
 def test_main_text(spark):
@@ -257,6 +268,47 @@ def test_main_text(spark):
     assert no_rows(extract_main_text(pages.limit(0)))
 
 
+ARTICLE = "<h1>Head line</h1><p>" + "Plain words of the article. " * 12 + "</p><p>Its second part &amp; end.</p>"
+ARTICLE_TEXT = "Head line " + ("Plain words of the article. " * 12).strip() + " Its second part & end."
+
+
+@pytest.mark.parametrize("before, after", [
+    ('<div class="layout has-sidebar">', "</div>"), ('<main class="content with-sidebar">', "</main>"), ('<article class="post tag-privacy category-social">', "</article>"),
+    ('<section id="search-results">', "</section>"), ('<div class="page no-sidebar">', "</div>"), ('<form action="/"><div>', "</div></form>"),
+    ('<div class="comment-enabled entry">', "</div>"), ('<main id="widget">', "</main>"), ('<form><div class="toolbar"><input>', "</div></form>"), ("<div>", "</div>")])
+def test_wrappers_with_words_of_boilerplate_keep_the_article(before, after):
+    around = ('<nav><a href="/">Home</a> <a href="/x">More</a></nav>{}<aside>Beside it</aside><div class="cookie-notice">We use cookies.</div>'
+              '<div id="comments"><p>Some reader says a thing.</p></div><footer>(c) someone</footer>')
+    page = f"<html><body>{around.format(before + ARTICLE + after)}</body></html>"
+    assert extract(page, best_path(page)) == ARTICLE_TEXT
+
+
+def test_long_comments_are_no_article():
+    page = f"<body><article><h1>Short</h1><p>A short article.</p></article><section id='comments'>{'<p>A long comment of a reader.</p>' * 60}</section></body>"
+    assert extract(page, best_path(page)) == "Short A short article."
+
+
+def test_main_text_of_generated_pages(spark):
+    """Pages built from known articles and known rest, against the articles."""
+    rng = np.random.default_rng(4)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows, want = [], {}
+    for k in range(60):
+        paragraphs = [" ".join(rng.choice(words, rng.integers(20, 60))) + "." for _ in range(rng.integers(2, 6))]
+        host = k % 3
+        body = "".join(f"<p class='p{j}'>{p.replace('alpha', '<b>alpha</b>')}</p>" for j, p in enumerate(paragraphs))
+        wrapped = [f"<article class='post-{k} tag-social'>{body}</article>", f"<div class='content no-sidebar' id='c{k}'>{body}</div>",
+                   f"<form><div class='story-{k}'>{body}<script>x = '<p>no</p>'</script></div></form>"][host]
+        rest = "<ul class='menu'>" + "".join(f"<li><a href='/{j}'>link {j}</a></li>" for j in range(9)) + "</ul>"
+        page = f"<html><head><title>T{k}</title></head><body>{rest}<div class='wrap'>{wrapped}<div class='sidebar-box'>side</div></div><div class='related-posts'><p>{'other ' * 30}</p></div></body></html>"
+        rows.append((k, f"http://h{host}.example/{k}", page, "x", 3))
+        want[k] = " ".join(paragraphs)
+    # columns with the names that the operator uses inside
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string, page int")
+    got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
+    assert got == want
+
+
 def test_archives(spark):
     rows = [(1, "http://a.example/x", "<p>same"), (2, "http://b.example/y z", "<p>same"), (2, "http://b.example/y z", "<p>same"), (3, "http://a.example/x", "<p>other"),
             (4, None, None), (5, "http://a.example/x#frag", ""), (None, "q", ""), (6, "http://c.example/", "x" * 300_000), (None, None, "alone\r\n\r\nWARC/1.1\r\n")]
