@@ -49,6 +49,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BYTES_PER
             yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = BYTES_PER_SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of ``column``: small ones are put together, large ones cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, most):
+        own = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def cut(texts: list[bytes], most: int = BYTES_PER_SLICE) -> Iterator[list[bytes]]:
     """The texts in runs of about ``most`` bytes, at least one text each."""
     start = held = 0
@@ -66,5 +82,12 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def crc(value: str) -> int:
     return zlib.crc32(value.encode())

@@ -12,7 +12,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from duelmark.llm.batches import prepare, slices, utf8
+from duelmark.llm.batches import gathered, prepare, slices, utf8
 from duelmark.llm.words import ODD, WordHashes, mixed
 from duelmark.session import materialize
 
@@ -20,13 +20,15 @@ END = b"\n"                     # closes every text; no word holds white space
 SMOOTHING = 0.1                 # added to every unigram count
 WEIGHT = 0.35                   # of the bigram estimate against the unigram one
 FREQUENT = 200_000              # words whose counts are broadcast, at most
-FLUSH = 300_000                 # distinct words that a task counts before it hands them on
+FLUSH = 200_000                 # distinct words that a task counts before it hands them on
+LEXICON = 300_000               # words that a worker keeps at hand
 KEY_BITS = 40                   # of an n-gram's hash
 PROBES = 4                      # bits set for each level of an n-gram
 BITS_PER_ENTRY = 8
-MOST_FILTER_BITS = 1 << 29      # 64 MiB, the most that is broadcast; a larger filter is probed slice by slice where it is built
+MOST_FILTER_BITS = 1 << 27      # 16 MiB, the most that is broadcast; a larger filter is probed slice by slice where it is built
+COUNT_BITS = 24                 # of a slice's count beside its key when both are sorted as one number
 LEAST_FILTER_BITS = 1 << 20
-SLICE = 4 << 20                 # bytes of text scored at once
+SLICE = 2 << 20                 # bytes of text scored at once
 SEGMENTS = 256                  # slices of the filter, built in parallel, at least
 
 
@@ -97,19 +99,25 @@ class Filter:
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and their counts: differences, byte plane by byte plane, compressed."""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    planes = np.concatenate([gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T, counts.astype("<u4").view(np.uint8).reshape(-1, 4).T])
+    planes = np.concatenate([gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T[:KEY_BITS // 8], counts.astype("<u4").view(np.uint8).reshape(-1, 4).T])
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(12, -1)
-    gaps = np.ascontiguousarray(planes[:8].T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(KEY_BITS // 8 + 4, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :KEY_BITS // 8] = planes[:KEY_BITS // 8].T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64), np.ascontiguousarray(planes[KEY_BITS // 8:].T).view("<u4").ravel().astype(np.int64)
 
 
 def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    """Distinct keys in order with their summed counts; small counts are sorted with their keys as one number."""
+    if len(counts) and counts.max() < 1 << COUNT_BITS:
+        both = np.sort(keys << np.uint64(COUNT_BITS) | counts.astype(np.uint64))
+        keys, counts = both >> np.uint64(COUNT_BITS), (both & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
@@ -156,7 +164,7 @@ def ngram_blocks(texts: DataFrame, segments: int) -> DataFrame:
                 [pa.array(found, pa.int32()), pa.array([pack(keys[cuts[s]:cuts[s + 1]], counts[cuts[s]:cuts[s + 1]]) for s in found], pa.binary())],
                 ["segment", "block"])
 
-        for batch in slices(batches, "text", SLICE):
+        for batch in gathered(batches, "text", SLICE):
             begins, h = hashes([tokens_of(t) for t in batch.column("text").to_pylist()])
             keys = np.concatenate([unigram_keys(h), bigram_keys(begins, h)])
             keys.sort()
@@ -198,14 +206,21 @@ def build_filter(blocks: DataFrame, bits: int, segments: int) -> Filter:
     return Filter(data, segments)
 
 
-def questions(begins: np.ndarray, hashes: np.ndarray, segments: int) -> tuple[list[int], list[bytes]]:
-    """What a slice of texts asks a filter that is not broadcast: its distinct keys by the filter's slices, and, as
-    number -1, its words' hashes and every token's place in them, from which the keys follow again."""
-    words, places = np.unique(hashes, return_inverse=True)
-    keys = asked_keys(words, bigram_keys(begins, hashes))
+def questions(begins: np.ndarray, at: np.ndarray, table: np.ndarray, learned: np.ndarray, segments: int) -> tuple[list[int], list[bytes]]:
+    """What a slice of texts tells and asks a filter that is not broadcast, by the filter's slices.
+
+    The distinct keys of the texts, each with its count in the texts that are ``learned`` from; and, as number -1, the words'
+    hashes and every token's place in them, from which the keys follow again.
+    """
+    present = np.bincount(at, minlength=len(table)) > 0
+    words = table[np.flatnonzero(present)]
+    places = (np.cumsum(present) - 1)[at]
+    taught = np.repeat(learned, np.diff(begins)).astype(np.int64)
+    keys, counts = merge(np.concatenate([unigram_keys(words), bigram_keys(begins, words[places])]),
+                         np.concatenate([np.bincount(places, taught, len(words)).astype(np.int64), taught]))
     cuts = np.searchsorted((keys >> np.uint64(KEY_BITS - segments.bit_length() + 1)).astype(np.int64), np.arange(segments + 1))
     found = [s for s in range(segments) if cuts[s] < cuts[s + 1]]
-    packed = [pack(k, np.zeros(len(k), np.int64)) for k in (keys[cuts[s]:cuts[s + 1]] for s in found)]
+    packed = [pack(keys[cuts[s]:cuts[s + 1]], counts[cuts[s]:cuts[s + 1]]) for s in found]
     planes = places.astype("<u4").view(np.uint8).reshape(-1, 4).T[:place_bytes(len(words))]
     stream = b"".join([np.array([len(begins), len(words)], "<i8").tobytes(), begins.astype("<i8").tobytes(), words.astype("<u8").tobytes(), planes.tobytes()])
     return [-1, *found], [zstandard.ZstdCompressor(level=1).compress(stream), *packed]
@@ -216,24 +231,23 @@ def place_bytes(words: int) -> int:
     return 3 if words <= 1 << 24 else 4
 
 
-def asked_keys(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([unigram_keys(words), pairs]))
-
-
-def sliced_scores(asked: DataFrame, blocks: DataFrame, bits: int, segments: int, tokens: int, vocabulary: int) -> DataFrame:
+def sliced_scores(asked: DataFrame, bits: int, segments: int, tokens: int, vocabulary: int) -> DataFrame:
     """(row, score) from ``questions`` (row of the first text, segment, block).
 
-    Keys go to the slice of the filter they belong to, which is built and probed in one task; the levels go back to the
-    texts that asked. A key is asked once per slice of texts, so that frequent n-grams are not hot. Nothing is broadcast.
+    A slice of the filter gets the keys of all texts that lie in it: their counts are summed and entered, and then the slice
+    is probed with every distinct key; the levels go back to the texts that asked. A key is told once per slice of texts,
+    so that frequent n-grams are not hot. Nothing is broadcast.
     """
-    def answer(part: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(wanted):
-            return pd.DataFrame({"row": [], "segment": [], "levels": []})
-        keys, counts = _merged(part["block"]) if len(part) else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        grams = Filter(np.frombuffer(filter_slice(keys, level(counts), bits // segments), np.uint8), 1)
-        compress = zstandard.ZstdCompressor(level=1).compress
-        levels = [compress(grams.levels(unpack(b)[0]).astype(np.uint8).tobytes()) for b in wanted["block"]]
-        return pd.DataFrame({"row": wanted["row"], "segment": wanted["segment"], "levels": levels})
+    size = bits // segments
+
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
+        told = [unpack(b) for b in part["block"]]
+        keys, counts = merge(np.concatenate([k for k, _ in told]), np.concatenate([c for _, c in told]))
+        known = counts > 0
+        grams = Filter(np.frombuffer(filter_slice(keys[known], level(counts[known]), size), np.uint8), 1)
+        levels, compress = grams.levels(keys).astype(np.uint8), zstandard.ZstdCompressor(level=1).compress
+        return pd.DataFrame({"row": part["row"], "segment": part["segment"],
+                             "levels": [compress(levels[np.searchsorted(keys, k)].tobytes()) for k, _ in told]})
 
     def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         data = zstandard.ZstdDecompressor().decompress(texts["block"].iloc[0])
@@ -241,17 +255,18 @@ def sliced_scores(asked: DataFrame, blocks: DataFrame, bits: int, segments: int,
         begins, words = np.frombuffer(data, "<i8", n, 16), np.frombuffer(data, "<u8", m, 16 + 8 * n)
         planes = np.frombuffer(data, np.uint8, offset=16 + 8 * (n + m)).reshape(place_bytes(m), -1)
         places = sum(plane.astype(np.int64) << 8 * k for k, plane in enumerate(planes))
-        pairs = bigram_keys(begins, words[places])
-        keys = asked_keys(words, pairs)
+        pairs, single = bigram_keys(begins, words[places]), unigram_keys(words)
+        keys = np.unique(np.concatenate([single, pairs]))
         answers = answers.sort_values("segment")
         counts = expected(np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, answers["levels"])), np.uint8).astype(np.int64))
-        word = counts[np.searchsorted(keys, unigram_keys(words))][places]
+        word = counts[np.searchsorted(keys, single)][places]
         found = text_scores(counts[np.searchsorted(keys, pairs)], word, begins, tokens, vocabulary)
         return pd.DataFrame({"row": int(texts["row"].iloc[0]) + np.arange(len(found)), "score": found})
 
-    levels = blocks.groupBy("segment").cogroup(asked.filter("segment >= 0").groupBy("segment")).applyInPandas(
-        answer, "row long, segment int, levels binary")
-    return asked.filter("segment < 0").groupBy("row").cogroup(levels.groupBy("row")).applyInPandas(score, "row long, score double")
+    levels = asked.filter("segment >= 0").groupBy("segment").applyInPandas(answer, "row long, segment int, levels binary")
+    levels = materialize(levels, "levels")      # by then the questions need no disk any more
+    scores = asked.filter("segment < 0").groupBy("row").cogroup(levels.groupBy("row")).applyInPandas(score, "row long, score double")
+    return materialize(scores, "scores")
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,9 +289,8 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = float(np.log10(tokens + SMOOTHING * (vocabulary + 1)))
     bits, segments = filter_shape(tokens)
-    blocks = ngram_blocks(learned, segments)         # read once, so only shuffled
     sliced = bits > MOST_FILTER_BITS
-    ngram_filter = spark.sparkContext.broadcast(None if sliced else build_filter(blocks, bits, segments))
+    ngram_filter = spark.sparkContext.broadcast(None if sliced else build_filter(ngram_blocks(learned, segments), bits, segments))
 
     # the least count that at most FREQUENT words reach, from a histogram of eighths of doublings
     steps = dict(counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).count().collect())
@@ -291,17 +305,17 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     def read(batches):
         lexicon = Lexicon(common.value, ngram_filter.value)
         made = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text", SLICE):
+        for batch in gathered(batches, "text", SLICE):
             split = [tokens_of(t) for t in batch.column("text").to_pylist()]
             begins, at = lexicon.places(split)
-            hashes = lexicon.tables[0][at]
             if sliced:
                 score = pa.nulls(len(split), pa.float64())
-                asked, packed = questions(begins, hashes, segments)
+                taught = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+                asked, packed = questions(begins, at, lexicon.tables[0][:len(lexicon.known)], taught, segments)
                 none = {f.name: pa.nulls(len(asked), f.type) for f in made_schema(batch)}
                 yield pa.RecordBatch.from_pydict(none | {"row": pa.array([made] * len(asked)), "segment": pa.array(asked, pa.int32()), "block": pa.array(packed, pa.binary())})
             else:
-                pair = expected(ngram_filter.value.levels(bigram_keys(begins, hashes)))
+                pair = expected(ngram_filter.value.levels(bigram_keys(begins, lexicon.tables[0][at])))
                 score = pa.array(text_scores(pair, lexicon.values[0][at], begins, tokens, vocabulary))
             logs = lexicon.values[1][at]
             rare = np.flatnonzero(np.isnan(logs))
@@ -325,9 +339,8 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     out = scored.select("row", "doc", "held_out", "n_tokens", "part", "score", (F.col("n_tokens") - F.size("rare")).alias("common"))
     out = out.join(rest, "row", "left")
     if sliced:
-        # joined once and last: whatever is derived from the scores works the slices out again
         asked = made.filter("segment IS NOT NULL").select("row", "segment", "block")
-        out = out.drop("score").join(sliced_scores(asked, blocks, bits, segments, tokens, vocabulary), "row", "left")
+        out = out.drop("score").join(sliced_scores(asked, bits, segments, tokens, vocabulary), "row", "left")
     return out.select(
         F.col("doc").alias(doc_id), "held_out", "n_tokens", (F.col("common") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
@@ -339,7 +352,7 @@ class Lexicon(WordHashes):
 
     def __init__(self, counts: dict[bytes, int], grams: Filter | None):
         self.counts, self.grams = counts, grams
-        super().__init__(most=600_000)
+        super().__init__(most=LEXICON)
 
     def _clear(self) -> None:
         super()._clear()
