@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from duelmark.llm.batches import WHITE, prepare, slices, utf8
+from duelmark.llm.batches import WHITE, prepare, slices, unused, utf8
 from duelmark.session import materialize
 
 LEAST, MOST = 256, 16384        # bytes of a chunk
@@ -143,8 +143,9 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["doc"]), "left_anti")
     gone = dropped.union(several).toDF("_gone")
     plain = docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+    name = unused(docs, "_sha")
     staying = groups.filter("kept").select("doc", F.col("sha").alias("_stays"))
     sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    again = docs.join(several, docs[doc_id].eqNullSafe(several["doc"]), "left_semi").withColumn("_sha", sha)
-    again = again.join(staying, again[doc_id].eqNullSafe(staying["doc"]) & (again["_sha"] == staying["_stays"]), "left_semi")
-    return plain.unionByName(again.dropDuplicates([doc_id, "_sha"]).drop("_sha"))
+    again = docs.join(several, docs[doc_id].eqNullSafe(several["doc"]), "left_semi").withColumn(name, sha)
+    again = again.join(staying, again[doc_id].eqNullSafe(staying["doc"]) & (again[name] == staying["_stays"]), "left_semi")
+    return plain.unionByName(again.dropDuplicates([doc_id, name]).drop(name))

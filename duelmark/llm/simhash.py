@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from duelmark.llm.batches import prepare, slices, utf8
+from duelmark.llm.batches import prepare, slices, unused, utf8
 from duelmark.llm.components import components
 from duelmark.session import materialize
 
@@ -229,6 +229,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     staying = groups.filter("kept").join(mixed, groups["doc"].eqNullSafe(mixed["doc"]), "left_semi")
     staying = staying.select("doc", F.col("fingerprint").alias("_stays")).distinct()
-    again = docs.join(mixed, docs[doc_id].eqNullSafe(mixed["doc"]), "left_semi").withColumn("_fp", mark(utf8(text)))
-    again = again.join(staying, again[doc_id].eqNullSafe(staying["doc"]) & (again["_fp"] == staying["_stays"]), "left_semi")
-    return plain.unionByName(again.drop("_fp"))
+    name = unused(docs, "_fp")
+    again = docs.join(mixed, docs[doc_id].eqNullSafe(mixed["doc"]), "left_semi").withColumn(name, mark(utf8(text)))
+    again = again.join(staying, again[doc_id].eqNullSafe(staying["doc"]) & (again[name] == staying["_stays"]), "left_semi")
+    return plain.unionByName(again.drop(name))
