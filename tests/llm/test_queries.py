@@ -12,7 +12,7 @@ SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
-@pytest.mark.parametrize("name", ["op5_decontamination", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op5_decontamination", "op7_exact_dedup", "op11_conversation_trie", "op12_fill_in_middle"])
 def test_query_equals_sql(spark, name):
     from duelmark.llm.catalog import ORACLES, QUERIES
 
@@ -76,3 +76,34 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert set(clean) == {i for i, t in near.items() if not hit(t)}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {p.doc_id for p in pieces} == set(clean) and all(zlib.crc32(bytes(p.ids)) == p.ids_crc32 for p in pieces)
+
+
+COLUMNS = {
+    "op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op3_simhash": "doc_id fingerprint component_id", "op4_html": "page_id url text n_chars",
+    "op6_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op10_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op13_best_fit": "doc_id piece start length ids_crc32 sequence_id offset"}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_every_query_covers_its_table(spark, name):
+    from duelmark.llm.catalog import QUERIES
+
+    table, key = ("pages", "page_id") if name in ("op2_warc", "op4_html") else ("documents", "doc_id")
+    got = QUERIES[name](spark, SF).toPandas()
+    ids = {r[key] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert set(COLUMNS[name].split()) <= set(got.columns) and set(got[key]) == ids
+    if "sequence_id" not in got:
+        assert len(got) == len(ids)
+
+
+def test_best_fit_needs_few_sequences(spark):
+    from duelmark.llm.catalog import QUERIES
+
+    got = QUERIES["op13_best_fit"](spark, SF).toPandas().sort_values(["sequence_id", "offset"])
+    by = got.groupby("sequence_id").length
+    assert ((by.cumsum() - got.length) == got.offset).all() and by.sum().max() <= 2048
+    assert by.ngroups <= -(-int(got.length.sum()) // 2048) + 2
+    pieces = got.sort_values(["doc_id", "piece"]).groupby("doc_id")
+    assert (pieces.piece.cumcount() == got.sort_values(["doc_id", "piece"]).piece).all() and (got.start == 2048 * got.piece).all()
