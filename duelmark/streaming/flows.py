@@ -8,11 +8,13 @@ repeated batch overwrites itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from duelmark.operators.keys import keep_last
-from duelmark.operators.quotes import upper_median
 from duelmark.session import scratch_path
+from duelmark.streaming.stateful import CloseOfContest, ConsensusOfPoll
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_landed(spark: SparkSession, folder: str, file_glob: str, schema, max_files: int = 1000) -> DataFrame:
@@ -49,8 +51,6 @@ def run_available_now(stream: DataFrame, label: str, mode: str = "append",
 
 
 def _with_batch(schema):
-    from pyspark.sql import types as T
-
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
 
@@ -59,17 +59,38 @@ def latest_update(rows: DataFrame, keys: list[str]) -> DataFrame:
     return keep_last(rows, keys, ["batch_id"]).drop("batch_id")
 
 
-def live_consensus(quotes: DataFrame, keys: list[str], fetched_at: str, window: str, watermark: str,
+def _fields(df: DataFrame, names: list[str]) -> list:
+    return [T.StructField(n, df.schema[n].dataType) for n in names]
+
+
+def _keyed_state(spark: SparkSession) -> None:
+    """Processors with timers keep their state in the store that has column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def live_consensus(quotes: DataFrame, keys: list[str], book: str, fetched_at: str, window: str, watermark: str, order: list[str] = (),
                    odds_a="odds_a", odds_b="odds_b", prob="book_prob") -> DataFrame:
-    """Consensus per key and poll window as quotes arrive."""
-    return (quotes.withWatermark(fetched_at, watermark)
-            .groupBy(F.window(fetched_at, window).alias("poll"), *keys)
-            .agg(upper_median(odds_a).alias("odds_a"), upper_median(odds_b).alias("odds_b"),
-                 F.percentile(prob, 0.5).alias("market_prob_a"), F.count(F.lit(1)).alias("market_books"),
-                 (F.max(prob) - F.min(prob)).alias("market_spread"),
-                 F.max(odds_a).alias("best_odds_a"), F.max(odds_b).alias("best_odds_b"))
-            .select(F.col("poll.start").alias("poll_start"), *keys, "odds_a", "odds_b", "market_prob_a",
-                    "market_books", "market_spread", "best_odds_a", "best_odds_b"))
+    """Consensus per key and poll window as quotes arrive, from the last quote of every book.
+
+    State is one quote per (window, key, book), so it is bounded by the books and not by the quotes; a timer at the window's end
+    drops it. A group is one key in one window, so a busy key is many groups. Quotes of one book at one time are
+    ordered by ``order``. A window whose end the watermark has passed takes no quotes any more. Every micro-batch emits
+    the new consensus of the windows that it changed (update mode): poll_start, keys, upper-median prices, median
+    probability, books, spread, and the best price of each side with the book that offers it (the smallest of equals).
+    """
+    _keyed_state(quotes.sparkSession)
+    poll = F.window(fetched_at, window)
+    rows = quotes.withWatermark(fetched_at, watermark).select(
+        F.unix_micros(poll["start"]).alias("start_us_"), F.unix_micros(poll["end"]).alias("end_us_"), *keys,
+        F.unix_micros(fetched_at).alias("at_us_"), *order, F.col(book).alias("book_"),
+        F.col(odds_a).cast("double").alias("a_"), F.col(odds_b).cast("double").alias("b_"), F.col(prob).cast("double").alias("p_"), fetched_at)
+    state = T.StructType(_fields(rows, ["book_", "at_us_", *order, "a_", "b_", "p_"]))
+    book_type = rows.schema["book_"].dataType
+    out = T.StructType([*_fields(rows, ["start_us_", *keys]), *(T.StructField(n, T.DoubleType()) for n in ("odds_a", "odds_b", "market_prob_a")),
+                        T.StructField("market_books", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("market_spread", "best_odds_a", "best_odds_b")),
+                        T.StructField("best_book_a", book_type), T.StructField("best_book_b", book_type)])
+    made = rows.groupBy("start_us_", *keys).transformWithState(ConsensusOfPoll(state, out.fieldNames()), out, "Update", "EventTime")
+    return made.select(F.timestamp_micros("start_us_").alias("poll_start"), *out.fieldNames()[1:])
 
 
 def append_once(rows: DataFrame, key: str, event_time: str, watermark: str) -> DataFrame:
@@ -77,13 +98,22 @@ def append_once(rows: DataFrame, key: str, event_time: str, watermark: str) -> D
     return rows.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
 
 
-def close_snapshots(quotes: DataFrame, schedule: DataFrame, event: str, captured_at: str, start: str,
-                    values: list[str], low: float = 10.0, high: float = 50.0) -> DataFrame:
-    """First capture per event inside the due window [low, high] minutes before the start."""
+def close_snapshots(quotes: DataFrame, schedule: DataFrame, event: str, captured_at: str, start: str, values: list[str],
+                    watermark: str = "0 seconds", low: float = 10.0, high: float = 50.0) -> DataFrame:
+    """First capture per event inside the due window [low, high] minutes before the start, emitted when the event starts.
+
+    State is one capture per event that has not started. A timer at the start emits it and drops it, so state goes back to
+    nothing; captures that come after that are ignored. Append mode: one row per event.
+    """
+    _keyed_state(quotes.sparkSession)
     lead = (F.unix_micros(start) - F.unix_micros(captured_at)) / 6.0e7
-    due = quotes.join(schedule, event).withColumn("lead_minutes", lead).filter(F.col("lead_minutes").between(low, high))
-    first = F.min_by(F.struct(captured_at, "lead_minutes", *values), F.struct(captured_at, *values))
-    return due.groupBy(event, start).agg(first.alias("s")).select(event, start, "s.*")
+    due = quotes.withWatermark(captured_at, watermark).join(schedule, event).withColumn("lead_minutes", lead)
+    due = due.filter(F.col("lead_minutes").between(low, high))
+    rows = due.select(F.unix_micros(start).alias("start_us_"), event, F.unix_micros(captured_at).alias("at_us_"), "lead_minutes", *values, captured_at)
+    state = T.StructType(_fields(rows, ["at_us_", "lead_minutes", *values]))
+    out = T.StructType(_fields(rows, [event, "start_us_", "at_us_", "lead_minutes", *values]))
+    made = rows.groupBy(event, "start_us_").transformWithState(CloseOfContest(state, out.fieldNames()), out, "Append", "EventTime")
+    return made.select(event, F.timestamp_micros("start_us_").alias(start), F.timestamp_micros("at_us_").alias(captured_at), "lead_minutes", *values)
 
 
 def admit_pre_start(quotes: DataFrame, captured_at: str, start: str) -> DataFrame:
