@@ -158,13 +158,39 @@ def _(t):
     return ev.stake_summary(rows, ["threshold", "cap"])
 
 
-@query("E15_edge_buckets", """
-SELECT CASE WHEN net_edge < CAST(0.06 AS DOUBLE) THEN '4_to_6' WHEN net_edge < CAST(0.08 AS DOUBLE) THEN '6_to_8' WHEN net_edge < CAST(0.10 AS DOUBLE) THEN '8_to_10' ELSE '10_plus' END AS bucket,
-  count(*) AS bets, sum(unit_pnl) AS pnl, avg(unit_pnl) AS roi, count(clv) AS clv_bets, avg(clv) AS mean_clv
-FROM (SELECT *, (CASE WHEN pick_side = 'A' THEN p_close_line - p_line ELSE p_line - p_close_line END) * 100 AS clv FROM {picks})
-WHERE net_edge >= CAST(0.04 AS DOUBLE) GROUP BY 1""", "pnl roi mean_clv", 5)
+def poisson_weights(u: str) -> str:
+    low, steps = bs.poisson_steps()
+    return " + ".join([str(low)] + [f"CAST({u} >= {step} AS INTEGER)" for step in steps])
+
+
+def uniforms(keys: str, key: str, seed: int, draws: int) -> str:
+    """(key, draw, u): the number that picks a key's weight in each draw."""
+    return f"""(SELECT key, block * {bs.PER_HASH} + j AS draw, (('0x' || substr(h, CASE WHEN j < 3 THEN 1 ELSE 17 END, 15))::BIGINT >> CAST({bs.BITS} * (j % 3) AS INTEGER)) & {(1 << bs.BITS) - 1} AS u
+FROM (SELECT key, block, md5('{seed}|' || block || '|' || CAST(key AS VARCHAR)) AS h FROM (SELECT DISTINCT {key} AS key FROM {keys}), (SELECT unnest(range({-(-draws // bs.PER_HASH)})) AS block)),
+  (SELECT unnest(range({bs.PER_HASH})) AS j) WHERE block * {bs.PER_HASH} + j < {draws})"""
+
+
+def grouped_boot(cells: str, by: str, key: str, ratios: dict[str, tuple[str, str]], draws: int = DRAWS, seed: int = 0) -> str:
+    """(by, <name>_low, <name>_high) over a table with a row per group and cluster."""
+    each = ", ".join(f"sum(w * {num}) / nullif(sum(w * {den}), 0) AS {name}" for name, (num, den) in ratios.items())
+    ends = ", ".join(f"quantile_cont({name}, {q}) AS {name}_{end}" for name in ratios for end, q in (("low", 0.05), ("high", 0.95)))
+    return f"""(SELECT {by}, {ends} FROM (SELECT {by}, draw, {each} FROM {cells} c
+JOIN (SELECT key, draw, CAST({poisson_weights('u')} AS DOUBLE) AS w FROM {uniforms(cells, key, seed, draws)}) g ON c.{key} = g.key GROUP BY {by}, draw) GROUP BY {by})"""
+
+
+BUCKET = """CASE WHEN net_edge < CAST(0.06 AS DOUBLE) THEN '4_to_6' WHEN net_edge < CAST(0.08 AS DOUBLE) THEN '6_to_8' WHEN net_edge < CAST(0.10 AS DOUBLE) THEN '8_to_10' ELSE '10_plus' END"""
+_ROI_CLV = {"roi": ("pnl", "bets"), "clv": ("clv", "clv_bets")}
+
+
+@query("E15_edge_buckets", f"""
+WITH c AS (SELECT {BUCKET} AS bucket, date, count(*) AS bets, sum(unit_pnl) AS pnl, count(clv) AS clv_bets, coalesce(sum(clv), 0) AS clv
+FROM (SELECT *, ((CASE WHEN pick_side = 'A' THEN p_close_line ELSE 1.0 - p_close_line END) - (CASE WHEN pick_side = 'A' THEN p_line ELSE 1.0 - p_line END)) * 100.0 AS clv FROM {{picks}})
+WHERE net_edge >= CAST(0.04 AS DOUBLE) GROUP BY 1, 2)
+SELECT bucket, CAST(sum(bets) AS BIGINT) AS bets, sum(pnl) AS pnl, sum(pnl) / sum(bets) AS roi, CAST(sum(clv_bets) AS BIGINT) AS clv_bets, sum(clv) / nullif(sum(clv_bets), 0) AS mean_clv,
+  any_value(roi_low) AS roi_low, any_value(roi_high) AS roi_high, any_value(clv_low) AS clv_low, any_value(clv_high) AS clv_high
+FROM c JOIN {grouped_boot('c', 'bucket', 'date', _ROI_CLV)} USING (bucket) GROUP BY 1""", "pnl roi mean_clv roi_low roi_high clv_low clv_high", 5)
 def _(t):
-    return ev.edge_bucket_report(t.stored("picks").withColumn("clv", ev.clv_points()), clv="clv")
+    return ev.edge_bucket_report(t.stored("picks").withColumn("clv", ev.clv_points()), clv="clv", draws=DRAWS)
 
 
 @query("E16_closing_line_value", f"""
@@ -179,12 +205,8 @@ def _(t):
 
 
 def boot_sql(cluster_table: str, num: str, den: str, key: str, seed: int = 0, draws: int = DRAWS) -> str:
-    weight = " + ".join(f"CAST(u >= {step} AS INTEGER)" for step in bs.poisson_steps())
-    return f"""WITH g AS (SELECT block, md5('{seed}|' || block || '|' || CAST({key} AS VARCHAR)) AS h, {num} AS num0, {den} AS den0
-FROM {cluster_table}, (SELECT unnest(range({-(-draws // bs.PER_HASH)})) AS block)),
-e AS (SELECT block * {bs.PER_HASH} + j AS draw, (('0x' || substr(h, CASE WHEN j < 3 THEN 1 ELSE 17 END, 15))::BIGINT >> CAST({bs.BITS} * (j % 3) AS INTEGER)) & {(1 << bs.BITS) - 1} AS u, num0, den0
-FROM g, (SELECT unnest(range({bs.PER_HASH})) AS j) WHERE block * {bs.PER_HASH} + j < {draws}),
-d AS (SELECT draw, sum(w * num0) / nullif(sum(w * den0), 0) AS ratio FROM (SELECT *, {weight} AS w FROM e) GROUP BY draw)
+    return f"""WITH g AS (SELECT {key} AS key, {num} AS num0, {den} AS den0 FROM {cluster_table}),
+d AS (SELECT draw, sum(w * num0) / nullif(sum(w * den0), 0) AS ratio FROM (SELECT key, draw, {poisson_weights('u')} AS w FROM {uniforms('g', 'key', seed, draws)}) JOIN g USING (key) GROUP BY draw)
 SELECT quantile_cont(ratio, 0.05) AS ci_low, quantile_cont(ratio, 0.95) AS ci_high FROM d"""
 
 
@@ -200,40 +222,77 @@ def _(t):
     return bs.cluster_mean_ci(active, "date", "unit_pnl", draws=DRAWS, seed=7)
 
 
-@query("E19_iid_bootstrap_mean", boot_sql("(SELECT * FROM {picks} WHERE stake > 0)", "pnl", "1", "event_key", 3, 4000), "ci_low ci_high")
+def counted_boot(cells: str, by: str, draws: int, seed: int) -> str:
+    """Draws of the mean per group over cells (by, cell, total, n): a cell's weight is Poisson(n), from its cumulative probabilities."""
+    comma = f"{by}, " if by else ""
+    key = f"CAST({by} AS VARCHAR) || '|' || cell" if by else "CAST(cell AS VARCHAR)"
+    reach = "9 + 9 * sqrt(n)"
+    return f"""(SELECT {comma}draw, sum(w * total / n) / nullif(sum(w), 0) AS ratio FROM (
+  SELECT {comma}draw, total, n, low + len(list_filter(steps, lambda s: s <= u)) AS w FROM (SELECT *, {key} AS key FROM {cells}) k
+  JOIN {uniforms(f"(SELECT {key} AS key FROM {cells})", "key", seed, draws)} USING (key)
+  JOIN (SELECT n, min(k) AS low, list(step ORDER BY k) FILTER (WHERE step < {(1 << bs.BITS) - 1}) AS steps FROM (
+    SELECT n, k, CAST(floor(sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) * {1 << bs.BITS}) AS BIGINT) AS step
+    FROM (SELECT DISTINCT n FROM {cells}), range(greatest(0, CAST(trunc(n - ({reach})) AS BIGINT)), CAST(trunc(n + {reach}) AS BIGINT) + 1) r(k)) GROUP BY n) USING (n))
+  GROUP BY {comma}draw)"""
+
+
+def value_cells(rows: str, value: str, by: str = "") -> str:
+    return f"(SELECT {by}{',' if by else ''} CAST(floor({value} * {bs.STEP} + 0.5) AS BIGINT) AS cell, sum({value}) AS total, count(*) AS n FROM {rows} GROUP BY ALL)"
+
+
+@query("E19_iid_bootstrap_mean", f"""WITH c AS {value_cells('{picks} WHERE stake > 0', 'pnl')}
+SELECT quantile_cont(ratio, 0.05) AS ci_low, quantile_cont(ratio, 0.95) AS ci_high FROM {counted_boot('c', '', 4000, 3)}""", "ci_low ci_high")
 def _(t):
-    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), ["event_key"], "pnl", draws=4000, seed=3)
+    return bs.row_mean_ci(t.stored("picks").filter("stake > 0"), "pnl", draws=4000, seed=3)
 
 
+# reference rows are those before a date, recent ones the rest; open_days grows with time, the other fields do not
+SINCE = "1996-01-01"
+DRIFTING = """(SELECT *, CASE WHEN date < DATE '1996-01-01' THEN 'reference' ELSE 'recent' END AS period, date_diff('day', DATE '1995-01-01', date) AS open_days FROM {picks})"""
+RANGES = {"p_model": (0.0, 1.0), "p_line": (0.0, 1.0), "edge": (-0.5, 1.0), "se": (0.0, 0.05), "net_edge": (-0.5, 1.0), "stake": (0.0, 2.0), "open_days": (0.0, 2500.0)}
 DRIFT = " UNION ALL ".join(
-    f"""SELECT period, count(*) AS rows, '{c}' AS field, avg({c}) AS mean, stddev_pop({c}) AS std, count(*) FILTER (WHERE {c} IS NULL) AS missing
-    FROM (SELECT *, CASE WHEN date < DATE '1998-01-01' THEN 'reference' ELSE 'recent' END AS period FROM {{picks}}) GROUP BY 1"""
-    for c in ("p_model", "p_line", "edge", "se", "net_edge", "stake"))
-FIELDS = ["p_model", "p_line", "edge", "se", "net_edge", "stake"]
+    f"""SELECT period, count(*) AS rows, avg(CAST(stake > 0 AS DOUBLE)) AS bet_rate, '{c}' AS field, avg({c}) AS mean, stddev_pop({c}) AS std,
+    count(*) FILTER (WHERE {c} IS NULL) AS missing FROM {DRIFTING} GROUP BY 1""" for c in RANGES)
 
 
-def drift(t, reference=None):
-    if reference is None:
-        reference = F.col("date") < F.lit("1998-01-01").cast("date")
-    period = F.when(reference, "reference").otherwise("recent")
-    return ev.drift_summary(t.stored("picks"), period, FIELDS)
+def drifting(t):
+    rows = t.stored("picks").withColumn("open_days", F.datediff("date", F.lit("1995-01-01").cast("date")))
+    return rows, F.when(F.col("date") < F.lit(SINCE).cast("date"), "reference").otherwise("recent")
 
 
-@query("E21_drift_summary", DRIFT, "mean std")
+@query("E21_drift_summary", DRIFT, "mean std bet_rate")
 def _(t):
-    return drift(t)
-
-
-SPLIT = DRIFT.replace("date < DATE '1998-01-01'", "p_model < 0.7")
+    rows, period = drifting(t)
+    return ev.drift_summary(rows, period, list(RANGES), "stake")
 
 
 @query("E21_drift_warnings", f"""
 SELECT r.field, r.mean AS reference_mean, r.std AS reference_std, c.mean AS recent_mean, (c.mean - r.mean) / r.std AS z_shift
-FROM ({SPLIT}) r JOIN ({SPLIT}) c ON r.field = c.field AND r.period = 'reference' AND c.period = 'recent' WHERE abs((c.mean - r.mean) / r.std) >= 2""",
+FROM ({DRIFT}) r JOIN ({DRIFT}) c ON r.field = c.field AND r.period = 'reference' AND c.period = 'recent' WHERE abs((c.mean - r.mean) / r.std) >= 2""",
        "reference_mean reference_std recent_mean z_shift")
 def _(t):
-    # a split by the model's own output, so that it drifts by more than two deviations
-    return ev.drift_warnings(drift(t, F.col("p_model") < 0.7), z=2.0)
+    rows, period = drifting(t)
+    return ev.drift_warnings(ev.drift_summary(rows, period, list(RANGES)), z=2.0)
+
+
+_BINS = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, period, CAST(least(greatest(floor((CAST({f} AS DOUBLE) - {low}) / {high - low} * 20), 0), 19) AS INTEGER) AS bin FROM {DRIFTING} WHERE {f} IS NOT NULL"
+    for f, (low, high) in RANGES.items())
+
+
+@query("E21_drift_distance", f"""
+WITH c AS (SELECT field, bin, count(*) FILTER (WHERE period = 'reference') AS a, count(*) FILTER (WHERE period = 'recent') AS b FROM ({_BINS}) GROUP BY 1, 2),
+w AS (SELECT field, sum(a) AS na, sum(b) AS nb FROM c GROUP BY 1)
+SELECT field, sum(abs(a / na - b / nb)) / 2 AS distance, count(*) AS bins FROM c JOIN w USING (field) GROUP BY 1""", "distance")
+def _(t):
+    rows, period = drifting(t)
+    return ev.drift_distance(rows, period, RANGES)
+
+
+@query("E21_recent_sources", f"SELECT odds_source, count(*) AS n FROM {DRIFTING} WHERE period = 'recent' GROUP BY 1")
+def _(t):
+    rows, period = drifting(t)
+    return ev.source_counts(rows, period, "odds_source")
 
 
 REPORT = f"""(SELECT count(DISTINCT date) AS events, count(*) FILTER (WHERE stake > 0) AS bets, avg({ll('y', 'p_model')}) AS log_loss_model,
@@ -299,22 +358,54 @@ def _(t):
 _POL = [("active_flat_1u_day_cap2", "1"), ("legacy_2u_at_8_day_cap2", "CASE WHEN net_edge >= CAST(0.08 AS DOUBLE) THEN 2 ELSE 1 END"),
         ("candidate_2u_at_10_day_cap2", "CASE WHEN net_edge >= CAST(0.1 AS DOUBLE) THEN 2 ELSE 1 END")]
 POLICY = " UNION ALL ".join(
-    f"""SELECT '{n}' AS policy, date, event_key, unit_pnl, CASE WHEN desired > 0 THEN least(desired, greatest(0, 2 - coalesce(sum(desired) OVER (PARTITION BY date ORDER BY net_edge DESC, event_key
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS stake FROM (SELECT *, CASE WHEN qualified THEN {d} ELSE 0 END AS desired FROM {{units}})"""
+    f"""SELECT prediction_set, '{n}' AS policy, date, event_key, unit_pnl, CASE WHEN desired > 0 THEN least(desired, greatest(0, 2 - coalesce(sum(desired) OVER (PARTITION BY prediction_set, date ORDER BY net_edge DESC, event_key
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) ELSE 0 END AS stake FROM (SELECT *, CASE WHEN net_edge >= CAST(0.04 AS DOUBLE) THEN {d} ELSE 0 END AS desired FROM {{sets}})"""
     for n, d in _POL)
+_POLICY_EVENTS = f"SELECT prediction_set, policy, date, count(*) FILTER (WHERE stake > 0) AS bets, CAST(sum(stake) AS DOUBLE) AS staked, sum(stake * unit_pnl) AS pnl FROM ({POLICY}) GROUP BY 1, 2, 3"
+_POLICY_CI = grouped_boot("(SELECT * FROM c WHERE staked > 0)", "prediction_set, policy", "date", {"roi": ("pnl", "staked")})
+_BUCKET_EVENTS = f"""SELECT prediction_set, {BUCKET} AS bucket, date, count(*) AS bets, sum(unit_pnl) AS pnl, count(clv) AS clv_bets, coalesce(sum(clv), 0) AS clv
+FROM {{sets}} WHERE net_edge >= CAST(0.04 AS DOUBLE) GROUP BY 1, 2, 3"""
 
 
 @query("E25_policy_comparison", f"""
-WITH p AS ({POLICY}), c AS (SELECT policy, date, sum(stake * unit_pnl) AS pnl FROM p GROUP BY 1, 2),
-e AS (SELECT *, sum(pnl) OVER (PARTITION BY policy ORDER BY date) AS eq FROM c),
-d AS (SELECT policy, max(pk - eq) AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY policy ORDER BY date) AS pk FROM e) GROUP BY 1)
-SELECT policy, count(*) FILTER (WHERE stake > 0) AS bets, CAST(sum(stake) AS DOUBLE) AS staked, sum(stake * unit_pnl) AS pnl, sum(stake * unit_pnl) / sum(stake) AS roi, any_value(dd) AS max_drawdown
-FROM p JOIN d USING (policy) GROUP BY 1""", "staked pnl roi max_drawdown", 5)
+WITH c AS ({_POLICY_EVENTS}), e AS (SELECT *, sum(pnl) OVER (PARTITION BY prediction_set, policy ORDER BY date) AS eq FROM c),
+d AS (SELECT prediction_set, policy, max(pk - eq) AS dd FROM (SELECT *, max(eq) OVER (PARTITION BY prediction_set, policy ORDER BY date) AS pk FROM e) GROUP BY 1, 2)
+SELECT prediction_set, policy, CAST(sum(bets) AS BIGINT) AS bets, sum(staked) AS staked, sum(pnl) AS pnl, sum(pnl) / sum(staked) AS roi, any_value(dd) AS max_drawdown,
+  any_value(roi_low) AS roi_low, any_value(roi_high) AS roi_high
+FROM c JOIN d USING (prediction_set, policy) JOIN {_POLICY_CI} USING (prediction_set, policy) GROUP BY 1, 2""", "staked pnl roi max_drawdown roi_low roi_high", 5)
+def _(t):
+    return ev.policy_report(t.sets, ["event_key"], by=["prediction_set"], draws=DRAWS)
+
+
+@query("E25_edge_buckets_by_set", f"""
+WITH c AS ({_BUCKET_EVENTS})
+SELECT prediction_set, bucket, CAST(sum(bets) AS BIGINT) AS bets, sum(pnl) AS pnl, sum(pnl) / sum(bets) AS roi, CAST(sum(clv_bets) AS BIGINT) AS clv_bets,
+  sum(clv) / nullif(sum(clv_bets), 0) AS mean_clv, any_value(roi_low) AS roi_low, any_value(roi_high) AS roi_high, any_value(clv_low) AS clv_low, any_value(clv_high) AS clv_high
+FROM c JOIN {grouped_boot('c', 'prediction_set, bucket', 'date', _ROI_CLV)} USING (prediction_set, bucket) GROUP BY 1, 2""", "pnl roi mean_clv roi_low roi_high clv_low clv_high", 5)
+def _(t):
+    return ev.edge_bucket_report(t.sets, clv="clv", by=["prediction_set"], draws=DRAWS)
+
+
+_BUCKET_CI = grouped_boot("b", "prediction_set, bucket", "date", _ROI_CLV)
+
+
+@query("E22_staking_gate", f"""
+WITH c AS ({_POLICY_EVENTS}), b AS ({_BUCKET_EVENTS}),
+p AS (SELECT max(roi_low) FILTER (WHERE prediction_set = 'production') AS pp, max(roi_low) FILTER (WHERE prediction_set = 'entry') AS ep FROM {_POLICY_CI} WHERE policy = 'candidate_2u_at_10_day_cap2'),
+i AS (SELECT max(roi_low) FILTER (WHERE prediction_set = 'production') AS pr, max(roi_low) FILTER (WHERE prediction_set = 'entry') AS er, max(clv_low) FILTER (WHERE prediction_set = 'entry') AS ec
+  FROM {_BUCKET_CI} WHERE bucket = '10_plus'),
+n AS (SELECT coalesce(sum(bets) FILTER (WHERE prediction_set = 'production'), 0) AS pb, coalesce(sum(bets) FILTER (WHERE prediction_set = 'entry'), 0) AS eb,
+  coalesce(sum(clv_bets) FILTER (WHERE prediction_set = 'entry'), 0) AS cb FROM b WHERE bucket = '10_plus')
+SELECT v.chk, coalesce(v.observed >= v.least AND (v.least > 0 OR v.observed > 0), false) AS passed, v.observed, v.required FROM p, i, n, (VALUES
+  ('production_candidate_bets_at_least_100', CAST(pb AS DOUBLE), 100, '>= 100'), ('entry_candidate_bets_at_least_100', CAST(eb AS DOUBLE), 100, '>= 100'),
+  ('entry_candidate_clv_bets_at_least_100', CAST(cb AS DOUBLE), 100, '>= 100'), ('production_candidate_roi_ci_lower_positive', pr, 0, '> 0'),
+  ('entry_candidate_roi_ci_lower_positive', er, 0, '> 0'), ('production_candidate_policy_roi_ci_lower_positive', pp, 0, '> 0'),
+  ('entry_candidate_policy_roi_ci_lower_positive', ep, 0, '> 0'), ('entry_candidate_clv_ci_lower_positive', ec, 0, '> 0')) v(chk, observed, least, required)""", "observed", 5)
 def _(t):
-    rows = ev.apply_policies(score_picks(t.scored), ["event_key"])
-    per_day = rows.groupBy("policy", "date").agg(F.sum("pnl").alias("pnl"))
-    dd = running.max_drawdown(running.equity_curve(per_day, ["date"], "pnl", by_year(), ["policy"]), ["policy"])
-    return ev.stake_summary(rows, ["policy"]).join(dd, "policy")
+    rows = t.stored("sets")
+    buckets = ev.edge_bucket_report(rows, clv="clv", by=["prediction_set"], draws=DRAWS)
+    policies = ev.policy_report(rows, ["event_key"], by=["prediction_set"], draws=DRAWS)
+    return ev.staking_gate(ev.staking_report(buckets, policies)).withColumnRenamed("check", "chk")
 
 
 _SN, _SP, _SW = two_sided_sql("e")
@@ -327,19 +418,47 @@ def _(t):
     return ev.edge_summary(t.scored.withColumn("year", F.year("date")), by=["year"])
 
 
+@query("E26_line_summary", f"""
+SELECT count(*) AS n, avg({ll('y', 'p_model')}) AS model_log_loss, avg({ll('y', 'p_line')}) AS line_log_loss, avg({ll('y', 'p_model')}) - avg({ll('y', 'p_line')}) AS log_loss_delta,
+  avg(CAST(CAST(p_model >= 0.5 AS INTEGER) = y AS DOUBLE)) AS model_accuracy, avg(CAST(CAST(p_line >= 0.5 AS INTEGER) = y AS DOUBLE)) AS line_accuracy FROM {{scored}}""",
+       "model_log_loss line_log_loss log_loss_delta model_accuracy line_accuracy")
+def _(t):
+    return ev.line_summary(t.scored)
+
+
+_BETS = f"""(SELECT e AS min_edge, {_SP} AS pnl FROM {{scored}}, (VALUES (CAST(0.0 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) v(e) WHERE {_SN} > 0)"""
+
+
+@query("E26_edge_intervals", f"""
+WITH c AS {value_cells(_BETS, 'pnl', 'min_edge')}
+SELECT min_edge, CAST(sum(n) AS BIGINT) AS n_bets, sum(total) AS pnl, sum(total) / sum(n) AS roi, any_value(roi_low) AS roi_low, any_value(roi_high) AS roi_high
+FROM c JOIN (SELECT min_edge, quantile_cont(ratio, 0.05) AS roi_low, quantile_cont(ratio, 0.95) AS roi_high FROM {counted_boot('c', 'min_edge', 4000, 0)} GROUP BY 1) USING (min_edge)
+GROUP BY 1 HAVING sum(n) >= 20""", "min_edge pnl roi roi_low roi_high", 5)
+def _(t):
+    return ev.edge_intervals(t.scored)
+
+
 BL = " UNION ALL ".join(
-    f"""SELECT CAST({w} AS DOUBLE) AS market_weight, date, event_key, y, odds_a, odds_b, pr_raw, pb_raw, CAST({w} AS DOUBLE) * p_line + (1 - CAST({w} AS DOUBLE)) * p_model AS p, (1 - CAST({w} AS DOUBLE)) * se AS se FROM {{scored}}"""
+    f"""SELECT CAST({w} AS DOUBLE) AS market_weight, date, event_key, y, odds_a, odds_b, pr_raw, pb_raw, CAST({w} AS DOUBLE) * p_line + (1 - CAST({w} AS DOUBLE)) * p_model AS p, (1 - CAST({w} AS DOUBLE)) * se AS se,
+    p_line, CASE WHEN event_key % 4 <> 0 THEN p_line + ((event_key * 17) % 21 - 10) / CAST(400.0 AS DOUBLE) END AS p_close_line FROM {{scored}}"""
     for w in ("0.9", "0.75", "0.5"))
 
 
 @query("I8_fixed_blends", f"""
 WITH s AS (SELECT *, greatest(p - pr_raw, (1 - p) - pb_raw) - se AS net, CASE WHEN p - pr_raw >= (1 - p) - pb_raw THEN 'A' ELSE 'B' END AS side FROM ({BL})),
-k AS (SELECT *, CASE WHEN net >= CAST(0.04 AS DOUBLE) AND row_number() OVER (PARTITION BY market_weight, date, net >= CAST(0.04 AS DOUBLE) ORDER BY net DESC, event_key) <= 2 THEN 1 ELSE 0 END AS stake FROM s)
-SELECT market_weight, avg({ll('y', 'p')}) AS log_loss, avg(pow(least(greatest(p, 0.001), 0.999) - y, 2)) AS brier, count(*) FILTER (WHERE stake > 0) AS bets,
-  sum(stake * CASE WHEN (side = 'A') = (y = 1) THEN CASE WHEN side = 'A' THEN {profit('odds_a')} ELSE {profit('odds_b')} END ELSE -1.0 END) AS pnl FROM k GROUP BY 1""",
-       "market_weight log_loss brier pnl", 5)
-def _(t):
-    rows = ev.blend_scores(t.scored, (0.9, 0.75, 0.5), ["event_key"])
-    return rows.groupBy("market_weight").agg(
-        F.avg(ev.log_loss_term("y", "p_model")).alias("log_loss"), F.avg(ev.brier_term("y", "p_model")).alias("brier"),
-        F.count_if(F.col("stake") > 0).alias("bets"), F.sum("pnl").alias("pnl"))
+k AS (SELECT *, CASE WHEN net >= CAST(0.04 AS DOUBLE) AND row_number() OVER (PARTITION BY market_weight, date, net >= CAST(0.04 AS DOUBLE) ORDER BY net DESC, event_key) <= 2 THEN 1 ELSE 0 END AS stake FROM s),
+v AS (SELECT *, CASE WHEN stake > 0 THEN ((CASE WHEN side = 'A' THEN p_close_line ELSE 1.0 - p_close_line END) - (CASE WHEN side = 'A' THEN p_line ELSE 1.0 - p_line END)) * 100.0 END AS up FROM k),
+c AS (SELECT market_weight, date, count(*) AS n, sum({ll('y', 'p')}) AS ll, sum(pow(least(greatest(p, 0.001), 0.999) - y, 2)) AS br, sum(CAST(CAST(p >= 0.5 AS INTEGER) = y AS INTEGER)) AS hit,
+  count(*) FILTER (WHERE stake > 0) AS bets, CAST(sum(stake) AS DOUBLE) AS staked,
+  sum(stake * CASE WHEN (side = 'A') = (y = 1) THEN CASE WHEN side = 'A' THEN {profit('odds_a')} ELSE {profit('odds_b')} END ELSE -1.0 END) AS pnl,
+  count(up) AS clv_bets, coalesce(sum(up), 0) AS clv, count(*) FILTER (WHERE up > 0) AS ups FROM v GROUP BY 1, 2)
+SELECT market_weight, sum(ll) / sum(n) AS log_loss, sum(br) / sum(n) AS brier, sum(hit) / sum(n) AS accuracy, CAST(sum(bets) AS BIGINT) AS bets, sum(staked) AS staked, sum(pnl) AS pnl, sum(pnl) / sum(staked) AS roi,
+  CAST(sum(clv_bets) AS BIGINT) AS clv_bets, sum(clv) / nullif(sum(clv_bets), 0) AS mean_clv, sum(ups) / nullif(sum(clv_bets), 0) AS positive_clv_rate,
+  any_value(roi_low) AS roi_low, any_value(roi_high) AS roi_high, any_value(clv_low) AS clv_low, any_value(clv_high) AS clv_high,
+  CAST(row_number() OVER (ORDER BY sum(ll) / sum(n), market_weight) AS INTEGER) AS rank
+FROM c JOIN {grouped_boot('c', 'market_weight', 'date', {'roi': ('pnl', 'staked'), 'clv': ('clv', 'clv_bets')})} USING (market_weight) GROUP BY 1""",
+       "market_weight log_loss brier accuracy staked pnl roi mean_clv positive_clv_rate roi_low roi_high clv_low clv_high", 5)
+def _(t):
+    close = F.col("p_line") + ((F.col("event_key") * 17) % 21 - 10) / 400.0
+    rows = t.scored.withColumn("p_close_line", F.when(F.col("event_key") % 4 != 0, close))
+    return ev.blend_report(rows, (0.9, 0.75, 0.5), ["event_key"], draws=DRAWS)

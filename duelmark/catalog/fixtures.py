@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelmark.operators.betting import add_prices, desired_stake, row_pnl, score_picks, allocate
+from duelmark.operators.evaluation import clv_points, explode_params
 from duelmark.operators.quotes import book_consensus, clean_quotes, valid_quotes
 from duelmark.session import materialize
 
@@ -114,6 +115,17 @@ class Tables:
                                  "p_close_line": F.when(F.col("event_key") % 4 != 0, close)})
 
 
+    @cached_property
+    def sets(self) -> DataFrame:
+        """Two prediction sets over the same events, scored: the model, and half of it with half of the market."""
+        rows = explode_params(self.scored, [{"prediction_set": "production", "w": 0.0}, {"prediction_set": "entry", "w": 0.5}])
+        w = F.col("w")
+        rows = rows.withColumns({"p_model": w * F.col("p_line") + (1 - w) * F.col("p_model"), "se": (1 - w) * F.col("se")})
+        close = F.col("p_line") + ((F.col("event_key") * 17) % 21 - 10) / 400.0
+        rows = rows.withColumn("p_close_line", F.when(F.col("event_key") % 4 != 0, close))
+        return score_picks(rows).withColumn("clv", clv_points())
+
+
 def imp(o: str) -> str:
     return f"(CASE WHEN {o} < 0 THEN -({o}) / (-({o}) + 100.0) ELSE 100.0 / ({o} + 100.0) END)"
 
@@ -175,6 +187,13 @@ SELECT *, greatest(p_model - pr_raw, (1 - p_model) - pb_raw) AS edge,
     "units": f"""
 SELECT *, CASE WHEN (pick_side = 'A') = (y = 1) THEN CASE WHEN pick_side = 'A' THEN {profit('odds_a')}
           ELSE {profit('odds_b')} END ELSE -1.0 END AS unit_pnl FROM {{edges}}""",
+    "sets": f"""
+SELECT *, CASE WHEN (pick_side = 'A') = (y = 1) THEN CASE WHEN pick_side = 'A' THEN {profit('odds_a')} ELSE {profit('odds_b')} END ELSE -1.0 END AS unit_pnl,
+  ((CASE WHEN pick_side = 'A' THEN p_close_line ELSE 1.0 - p_close_line END) - (CASE WHEN pick_side = 'A' THEN p_line ELSE 1.0 - p_line END)) * 100.0 AS clv
+FROM (SELECT *, greatest(p - pr_raw, (1 - p) - pb_raw) - s AS net_edge, CASE WHEN p - pr_raw >= (1 - p) - pb_raw THEN 'A' ELSE 'B' END AS pick_side
+  FROM (SELECT prediction_set, event_key, date, odds_a, odds_b, p_line, y, pr_raw, pb_raw, w * p_line + (1 - w) * p_model AS p, (1 - w) * se AS s,
+    CASE WHEN event_key % 4 <> 0 THEN p_line + ((event_key * 17) % 21 - 10) / CAST(400.0 AS DOUBLE) END AS p_close_line
+    FROM {{scored}}, (VALUES ('production', CAST(0.0 AS DOUBLE)), ('entry', CAST(0.5 AS DOUBLE))) v(prediction_set, w)))""",
     "picks": """
 SELECT *, stake * unit_pnl AS pnl, CASE WHEN event_key % 3 = 0 THEN 'captured' ELSE 'closing' END AS odds_source,
        CASE WHEN event_key % 4 <> 0 THEN p_line + ((event_key * 17) % 21 - 10) / CAST(400.0 AS DOUBLE) END AS p_close_line

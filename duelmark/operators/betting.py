@@ -35,33 +35,35 @@ def desired_stake(net="net_edge", threshold: float = EDGE_RULE, max_stake: int =
     return F.when(n >= threshold, want).otherwise(0)
 
 
-def allocate(df: DataFrame, group: list[str], row_id: list[str], cap: float | None = EVENT_DAY_CAP,
+def allocate(df: DataFrame, group: list[str], row_id: list[str], cap: float | str | None = EVENT_DAY_CAP,
              desired="desired", net="net_edge", stake="stake", eligible: Column | None = None,
-             salts: int = 16) -> DataFrame:
+             salts: int | None = None) -> DataFrame:
     """Greedy capped allocation by net edge, in closed form.
 
-    stake = least(desired, greatest(0, cap - sum of desired ranked before)). Stakes are at
-    least one unit, so only the best ``ceil(cap)`` rows of a group can receive one. Groups
-    are split into ``salts`` parts first; each part nominates its best rows, and only the
-    nominees (at most salts x cap per group) meet in one task. Both branches hang on the
+    stake = least(desired, greatest(0, cap - sum of desired ranked before)). ``cap`` may name a column with each group's
+    cap; without a cap every wish is met. Stakes are at least one unit, so only the best ``ceil(cap)`` rows of a group can
+    receive one. Groups are split into ``salts`` parts first (by default as many as shuffle partitions); each part nominates its
+    best rows, and only the nominees (at most salts x cap per group) meet in one task. Both branches hang on the
     same exchange, so the input is computed and shuffled once, and a hot group is spread.
     ``row_id`` must be unique and orders ties.
     """
     want = F.col(desired)
     if cap is None:
         return df.withColumn(stake, want.cast("int"))
+    most = F.col(cap) if isinstance(cap, str) else F.lit(cap)
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ok = F.coalesce(want > 0 if eligible is None else (want > 0) & eligible, F.lit(False))
     best = [F.desc(net), *row_id]
     part = W.partitionBy(*group, "_salt").orderBy(F.desc("_ok"), *best)
     # a running count instead of a rank: a rank filter would give the branches different exchanges
     rows = (df.withColumns({"_salt": F.pmod(F.xxhash64(*row_id), F.lit(salts)), "_ok": ok})
             .withColumn("_place", F.count(F.lit(1)).over(part.rowsBetween(W.unboundedPreceding, 0))))
-    nominee = F.col("_ok") & (F.col("_place") <= math.ceil(cap))
+    nominee = F.col("_ok") & F.coalesce(F.col("_place") <= F.ceil(most), F.lit(False))
     order = W.partitionBy(*group).orderBy(*best)
     before = F.coalesce(F.sum(desired).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    paid = rows.filter(nominee).withColumn(
-        stake, F.least(want, F.greatest(F.lit(0), F.lit(cap) - before)).cast("int"))
-    rest = rows.filter(~nominee).withColumn(stake, F.lit(0))
+    paid = rows.filter(nominee).withColumn(stake, F.least(want, F.greatest(F.lit(0), most - before)).cast("int"))
+    unlimited = F.when(most.isNull(), want).otherwise(0)
+    rest = rows.filter(~nominee).withColumn(stake, unlimited.cast("int"))
     return paid.unionByName(rest).drop("_salt", "_ok", "_place")
 
 

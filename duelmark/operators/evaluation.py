@@ -6,10 +6,13 @@ single scan with map-side aggregation: no cross join and no job per parameter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelmark.functions.pricing import clip
 from duelmark.operators.betting import allocate, row_pnl, two_sided_pnl
+from duelmark.operators.bootstrap import grouped_intervals, value_counts, weighted_sums
+from duelmark.operators.running import equity_curve, max_drawdown
+from duelmark.session import materialize
 from duelmark.settings import (CLV_GATE_TEXT, EDGE_BUCKETS, EDGE_RULE, EVENT_DAY_CAP, POLICIES, ROI_GATE_TEXT)
 
 
@@ -110,13 +113,22 @@ def bucket_edges(df: DataFrame, net="net_edge", buckets=EDGE_BUCKETS) -> DataFra
     return df.withColumn("bucket", label).filter("bucket IS NOT NULL")
 
 
-def edge_bucket_report(df: DataFrame, clv: str | None = None) -> DataFrame:
-    """Flat-stake result per edge bucket."""
+def edge_bucket_report(df: DataFrame, clv: str | None = None, by: list[str] = (), date: str = "date", draws: int = 10000) -> DataFrame:
+    """Flat-stake result per edge bucket, with event-clustered intervals of ROI and closing-line value.
+
+    Rows are summed per bucket and event once; totals and intervals come from these sums.
+    """
     rows = bucket_edges(df).withColumn("_one", F.lit(1)).withColumn("_unit", row_pnl(stake="_one"))
-    aggs = [F.count(F.lit(1)).alias("bets"), F.sum("_unit").alias("pnl"), F.avg("_unit").alias("roi")]
-    if clv:
-        aggs += [F.count(clv).alias("clv_bets"), F.avg(clv).alias("mean_clv")]
-    return rows.groupBy("bucket").agg(*aggs)
+    line = F.col(clv) if clv else F.lit(None).cast("double")
+    cells = rows.groupBy(*by, "bucket", date).agg(F.count(F.lit(1)).alias("bets"), F.sum("_unit").alias("pnl"),
+                                                  F.count(line).alias("clv_bets"), F.sum(line).alias("clv"))
+    cells = materialize(cells, "bucket-events")
+    keys = [*by, "bucket"]
+    out = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("bets", "pnl", "clv_bets", "clv")])
+    ratios = {"roi": ("pnl", "bets")} | ({"clv": ("clv", "clv_bets")} if clv else {})
+    out = out.join(grouped_intervals(cells, keys, [date], ratios, draws), keys)
+    out = out.withColumns({"roi": F.col("pnl") / F.col("bets"), "mean_clv": F.try_divide("clv", "clv_bets")})
+    return out.drop("clv") if clv else out.drop("clv", "clv_bets", "mean_clv")
 
 
 def clv_points(side="pick_side", entry="p_line", close="p_close_line") -> Column:
@@ -137,31 +149,41 @@ def clv_report(df: DataFrame, clv="clv", stake="stake", close="p_close_line", y=
         F.avg((v > 0).cast("double")).alias("positive_clv_rate"))
 
 
-def apply_policies(df: DataFrame, row_id: list[str], date="date", policies=POLICIES) -> DataFrame:
-    """All staking policies in one pass, the policy name in the allocation key."""
-    cap = policies[0]["cap"]
-    if any(p["cap"] != cap for p in policies):
-        raise ValueError("policies of one pass share their group cap")
+def apply_policies(df: DataFrame, row_id: list[str], date="date", policies=POLICIES, by: list[str] = ()) -> DataFrame:
+    """All staking policies in one pass, the policy name in the allocation key and its cap in a column."""
     rows = explode_params(df, list(policies))
     want = F.when((F.col("max_stake") >= 2) & (F.col("net_edge") >= F.col("high")), 2).otherwise(1)
     rows = rows.withColumn("desired", F.when(F.col("net_edge") >= EDGE_RULE, want).otherwise(0))
-    out = allocate(rows, ["policy", date], row_id, cap)
+    out = allocate(rows, [*by, "policy", date], row_id, "cap")
     return out.withColumn("pnl", row_pnl())
 
 
+def policy_report(df: DataFrame, row_id: list[str], date="date", bucket: Column | None = None, policies=POLICIES, by: list[str] = (),
+                  draws: int = 10000) -> DataFrame:
+    """Bets, stake, profit, ROI with its event-clustered interval, and drawdown of every policy.
+
+    The allocation is summed per policy and event once; the totals, the equity curve and the intervals come from these sums.
+    ``bucket`` cuts the events for the running totals (years by default).
+    """
+    keys = [*by, "policy"]
+    rows = apply_policies(df, row_id, date, policies, by)
+    events = rows.groupBy(*keys, date).agg(F.count_if(F.col("stake") > 0).alias("bets"), F.sum("stake").cast("double").alias("staked"),
+                                           F.sum("pnl").alias("pnl"))
+    events = materialize(events, "policy-events")
+    out = events.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("bets", "staked", "pnl")]).withColumn("roi", F.try_divide("pnl", "staked"))
+    curve = equity_curve(events, [date], "pnl", F.year(date) if bucket is None else bucket, keys)
+    active = events.filter("staked > 0")
+    return (out.join(max_drawdown(curve, keys), keys)
+            .join(grouped_intervals(active, keys, [date], {"roi": ("pnl", "staked")}, draws), keys, "left"))
+
+
 def allocate_grid(df: DataFrame, row_id: list[str], thresholds, caps, date="date") -> DataFrame:
-    """Threshold x cap grid of the tiered rule; ``None`` as cap means unlimited."""
-    parts = []
-    for cap in caps:
-        rows = explode_params(df, [{"threshold": t, "high": max(0.08, 2 * t)} for t in thresholds])
-        want = F.when(F.col("net_edge") >= F.col("high"), 2).otherwise(1)
-        rows = rows.withColumn("desired", F.when(F.col("net_edge") >= F.col("threshold"), want).otherwise(0))
-        out = allocate(rows, ["threshold", date], row_id, cap)
-        parts.append(out.withColumns({"cap": F.lit(cap).cast("double"), "pnl": row_pnl()}))
-    first, *rest = parts
-    for p in rest:
-        first = first.unionByName(p)
-    return first
+    """Threshold x cap grid of the tiered rule in one scan and one allocation; ``None`` as cap means unlimited."""
+    cells = [{"threshold": float(t), "high": max(0.08, 2 * t), "cap": None if c is None else float(c)} for t in thresholds for c in caps]
+    rows = explode_params(df, cells)
+    want = F.when(F.col("net_edge") >= F.col("high"), 2).otherwise(1)
+    rows = rows.withColumn("desired", F.when(F.col("net_edge") >= F.col("threshold"), want).otherwise(0))
+    return allocate(rows, ["threshold", "cap", date], row_id, "cap").withColumn("pnl", row_pnl())
 
 
 def stake_summary(df: DataFrame, by: list[str]) -> DataFrame:
@@ -170,12 +192,13 @@ def stake_summary(df: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("roi", F.try_divide("pnl", "staked")))
 
 
-def drift_summary(df: DataFrame, period: Column, fields: list[str]) -> DataFrame:
-    """Mean, population std and missing count per (field, period), plus the row count.
+def drift_summary(df: DataFrame, period: Column, fields: list[str], stake: str | None = None) -> DataFrame:
+    """Mean, population std and missing count per (field, period), with the row count and the share of rows with a stake.
 
     All fields are aggregated in one pass; only the tiny result is unpivoted.
     """
-    aggs = [F.count(F.lit(1)).alias("rows")]
+    bet = F.avg((F.col(stake) > 0).cast("double")) if stake else F.lit(None).cast("double")
+    aggs = [F.count(F.lit(1)).alias("rows"), bet.alias("bet_rate")]
     for f in fields:
         aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std"),
                  F.count_if(F.col(f).isNull()).alias(f"{f}__missing")]
@@ -183,7 +206,31 @@ def drift_summary(df: DataFrame, period: Column, fields: list[str]) -> DataFrame
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}__mean").alias("mean"),
                                F.col(f"{f}__std").alias("std"), F.col(f"{f}__missing").alias("missing"))
                       for f in fields])
-    return wide.select("period", "rows", F.explode(cells).alias("c")).select("period", "rows", "c.*")
+    return wide.select("period", "rows", "bet_rate", F.explode(cells).alias("c")).select("period", "rows", "bet_rate", "c.*")
+
+
+def drift_distance(df: DataFrame, period: Column, ranges: dict[str, tuple[float, float]], bins: int = 20,
+                   reference="reference", recent="recent") -> DataFrame:
+    """Distance of each field's distributions in two periods: half the sum of differences of the shares per bin.
+
+    ``ranges`` gives a field's range; values outside lie in its outer bins, missing ones are left out. Counts per
+    (field, bin, period) are merged from counts per task, at any size.
+    """
+    def place(field: str, low: float, high: float) -> Column:
+        at = F.floor((F.col(field).cast("double") - low) / (high - low) * bins)
+        inside = F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1)).cast("int")
+        return F.struct(F.lit(field).alias("field"), F.when(F.col(field).isNotNull(), inside).alias("bin"))
+
+    cells = df.select(period.alias("period"), F.inline(F.array(*[place(f, *r) for f, r in ranges.items()]))).filter("bin IS NOT NULL")
+    counts = cells.groupBy("field", "bin").agg(F.count_if(F.col("period") == reference).alias("a"), F.count_if(F.col("period") == recent).alias("b"))
+    whole = counts.groupBy("field").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.try_divide("a", "na") - F.try_divide("b", "nb"))
+    return counts.join(whole, "field").groupBy("field").agg((F.sum(gap) / 2).alias("distance"), F.count(F.lit(1)).alias("bins"))
+
+
+def source_counts(df: DataFrame, period: Column, source: str, recent="recent") -> DataFrame:
+    """Rows per source in the recent period."""
+    return df.filter(period == recent).groupBy(source).agg(F.count(F.lit(1)).alias("n"))
 
 
 def drift_warnings(summary: DataFrame, reference="reference", recent="recent", z: float = 2.0) -> DataFrame:
@@ -243,6 +290,21 @@ def staking_gate(report: DataFrame, min_bets=100) -> DataFrame:
     return gate(report, sized + lows)
 
 
+def staking_report(buckets: DataFrame, policies: DataFrame, production="production", entry="entry", bucket="10_plus",
+                   policy="candidate_2u_at_10_day_cap2", key="prediction_set") -> DataFrame:
+    """The one-row report of the staking gate from bucket and policy reports of two prediction sets."""
+    def at(column: str, prediction_set: str) -> Column:
+        return F.max(F.when(F.col(key) == prediction_set, F.col(column)))
+
+    b = buckets.filter(F.col("bucket") == bucket).agg(
+        F.coalesce(at("bets", production), F.lit(0)).alias("prod_bets"), F.coalesce(at("bets", entry), F.lit(0)).alias("entry_bets"),
+        F.coalesce(at("clv_bets", entry), F.lit(0)).alias("entry_clv_bets"), at("roi_low", production).alias("prod_roi_low"),
+        at("roi_low", entry).alias("entry_roi_low"), at("clv_low", entry).alias("entry_clv_low"))
+    p = policies.filter(F.col("policy") == policy).agg(at("roi_low", production).alias("prod_policy_low"), at("roi_low", entry).alias("entry_policy_low"))
+    # one row each
+    return b.withColumns({c: p.select(c).scalar() for c in ("prod_policy_low", "entry_policy_low")})
+
+
 def verdict(checks: DataFrame, passed: str, failed: str) -> DataFrame:
     """Overall status of a gate."""
     return checks.agg(F.when(F.bool_and("passed"), passed).otherwise(failed).alias("status"),
@@ -277,3 +339,49 @@ def blend_scores(df: DataFrame, weights, row_id: list[str], date="date", keep: l
     rows = score_picks(rows).withColumn("desired", desired_stake())
     out = allocate(rows, ["market_weight", date], row_id, EVENT_DAY_CAP)
     return out.withColumn("pnl", row_pnl())
+
+
+def blend_report(df: DataFrame, weights, row_id: list[str], date="date", close: str = "p_close_line", y="y", draws: int = 10000) -> DataFrame:
+    """Fixed market blends ranked by log loss: probability metrics, stakes, ROI and closing-line value with intervals.
+
+    ``close`` is a benchmark only. The scored rows are summed per blend and event once. ``rank`` 1 is the smallest log loss.
+    """
+    rows = blend_scores(df, weights, row_id, date)
+    active = F.col("stake") > 0
+    line = F.when(active, clv_points(close=close))
+    sums = {"n": F.count(F.lit(1)), "_ll": F.sum(log_loss_term(y, "p_model")), "_br": F.sum(brier_term(y, "p_model")), "_hit": F.sum(hit_term(y, "p_model")),
+            "bets": F.count_if(active), "staked": F.sum("stake").cast("double"), "pnl": F.sum("pnl"),
+            "clv_bets": F.count(line), "_clv": F.coalesce(F.sum(line), F.lit(0.0)), "_up": F.count_if(line > 0)}
+    key = "market_weight"
+    cells = materialize(rows.groupBy(key, date).agg(*[v.alias(k) for k, v in sums.items()]), "blend-events")
+    out = cells.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+    ratios = {"roi": ("pnl", "staked"), "clv": ("_clv", "clv_bets")}
+    out = out.join(grouped_intervals(cells, [key], [date], ratios, draws), key)
+    out = out.withColumns({"log_loss": F.col("_ll") / F.col("n"), "brier": F.col("_br") / F.col("n"), "accuracy": F.col("_hit") / F.col("n"),
+                           "roi": F.try_divide("pnl", "staked"), "mean_clv": F.try_divide("_clv", "clv_bets"),
+                           "positive_clv_rate": F.try_divide("_up", "clv_bets")})
+    # one row per blend
+    out = out.withColumn("rank", F.row_number().over(W.orderBy("log_loss", key)))
+    return out.drop("_ll", "_br", "_hit", "_clv", "_up", "n")
+
+
+def line_summary(df: DataFrame, y="y", model="p_model", market="p_line") -> DataFrame:
+    """One row: log loss and accuracy of model and line, and the model's log loss minus the line's."""
+    out = df.agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss_term(y, model)).alias("model_log_loss"), F.avg(log_loss_term(y, market)).alias("line_log_loss"),
+                 F.avg(hit_term(y, model)).alias("model_accuracy"), F.avg(hit_term(y, market)).alias("line_accuracy"))
+    return out.withColumn("log_loss_delta", F.col("model_log_loss") - F.col("line_log_loss"))
+
+
+def edge_intervals(df: DataFrame, edges=(0.00, 0.05, 0.10), least: int = 20, draws: int = 4000, seed: int = 0) -> DataFrame:
+    """Bets, ROI and its interval per edge of the two-sided simulator, for edges with at least ``least`` bets.
+
+    A bet's profit takes few values, so bets are collapsed to (edge, profit) cells with Poisson(bets) weights.
+    """
+    n, pnl = two_sided_pnl(F.col("min_edge"))
+    bets = explode_params(df, [{"min_edge": e} for e in edges]).withColumns({"_n": n, "_pnl": pnl}).filter("_n > 0")
+    cells = materialize(value_counts(bets, "_pnl", ["min_edge"]), "edge-cells")
+    out = cells.groupBy("min_edge").agg(F.sum("n").alias("n_bets"), F.sum("total").alias("pnl")).filter(F.col("n_bets") >= least)
+    means = cells.withColumns({"mean": F.col("total") / F.col("n"), "one": F.lit(1.0)})
+    sums = weighted_sums(means, ["min_edge"], ["min_edge", "cell"], ["mean", "one"], draws, seed, count="n")
+    ci = sums.groupBy("min_edge").agg(*[F.percentile(F.try_divide("mean", "one"), q).alias(f"roi_{end}") for end, q in (("low", 0.05), ("high", 0.95))])
+    return out.join(ci, "min_edge").withColumn("roi", F.col("pnl") / F.col("n_bets"))
