@@ -6,16 +6,17 @@ deterministic ids and anti joins, so a step can be repeated after a failure.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelmark.functions.ids import hash_id
 from duelmark.functions.names import pair_key
 from duelmark.functions.pricing import devig, signed_price, unit_profit
-from duelmark.operators.joins import preferred_offset
 from duelmark.operators.keys import keep_first, unseen
 from duelmark.operators.quality import assert_pre_event
 from duelmark.settings import CLOSING_SOURCES, FORWARD_NOTE, FORWARD_STATUS
 
+OFFSETS = (0, -1, 1)            # days between a trade and its result or close, in order of preference
+
 
 def contest_key(start, a, b) -> Column:
     """Stable contest id: start date and unordered pair."""
@@ -76,6 +77,13 @@ def timing_rejects(trades: DataFrame) -> DataFrame:
     return trades.agg(F.count_if(timing_valid()).alias("valid"), F.count_if(~timing_valid()).alias("invalid"))
 
 
+def _serving(table: DataFrame, tag: str, **payload: Column) -> DataFrame:
+    """(pair, _day, tag): a dated row for each trade day that it can serve, with the rank of that offset."""
+    days = F.explode(F.array(*[F.struct(F.lit(n).alias("rank"), F.date_sub("date", o).alias("day")) for n, o in enumerate(OFFSETS)]))
+    rows = table.filter("pair IS NOT NULL AND date IS NOT NULL").select("pair", *[v.alias(k) for k, v in payload.items()], days.alias("_o"))
+    return rows.select("pair", F.col("_o.day").alias("_day"), F.struct(F.col("_o.rank").alias("rank"), *payload).alias(tag))
+
+
 def settle(trades: DataFrame, settled: DataFrame | None, results: DataFrame, captured: DataFrame | None,
            master: DataFrame | None, labels=CLOSING_SOURCES) -> DataFrame:
     """Settlement rows for valid, unsettled trades with a result on day 0, -1 or +1.
@@ -84,25 +92,28 @@ def settle(trades: DataFrame, settled: DataFrame | None, results: DataFrame, cap
     results: date, pair, side_a, winner; unique on (date, pair)
     captured: date, pair, side_a, odds_a, odds_b, prob_a (the preferred close)
     master: date, pair, side_a, odds_a, odds_b (the fallback close)
+
+    Trades, results and both closes meet in one pass: the dated tables are told to the days they can serve, all rows are dealt by
+    (pair, day) once, and the smallest offset wins in each table. Neither trades nor their copies are joined.
     """
     open_trades = trades.filter(timing_valid())
     if settled is not None:
         open_trades = unseen(open_trades, settled, ["trade_id"])
-    res = results.filter(F.col("winner").isin("A", "B")).select(
-        F.col("date").alias("_d"), "pair", F.col("side_a").alias("r_side_a"), F.col("winner").alias("r_winner"))
-    t = preferred_offset(open_trades, res, ["trade_id"], ["pair"], "date", "_d").drop("_d", "offset_rank")
-
+    rows = open_trades.filter("pair IS NOT NULL AND date IS NOT NULL").select("pair", F.col("date").alias("_day"), F.struct(*trades.columns).alias("_trade"))
+    decided = results.filter(F.col("winner").isin("A", "B"))
+    rows = rows.unionByName(_serving(decided, "_res", side=F.col("side_a"), winner=F.col("winner")), allowMissingColumns=True)
     closes = []
     for table, tag in ((captured, "t30"), (master, "mst")):
         if table is None:
             continue
         prob = F.col("prob_a") if "prob_a" in table.columns else devig("odds_a", "odds_b")
-        c = table.select(F.col("date").alias(f"_d_{tag}"), "pair", F.col("side_a").alias(f"{tag}_side"),
-                         F.col("odds_a").alias(f"{tag}_a"), F.col("odds_b").alias(f"{tag}_b"),
-                         prob.alias(f"{tag}_p"))
-        t = preferred_offset(t, c, ["trade_id"], ["pair"], "date", f"_d_{tag}", how="left")
-        t = t.drop(f"_d_{tag}", "offset_rank")
+        close = _serving(table, tag, side=F.col("side_a"), a=F.col("odds_a"), b=F.col("odds_b"), p=prob)
+        rows = rows.unionByName(close, allowMissingColumns=True)
         closes.append(tag)
+    same = W.partitionBy("pair", "_day")
+    t = rows.withColumns({tag: F.min(tag).over(same) for tag in ("_res", *closes)}).filter("_trade IS NOT NULL AND _res IS NOT NULL")
+    t = t.select("_trade.*", F.col("_res.side").alias("r_side_a"), F.col("_res.winner").alias("r_winner"),
+                 *[F.col(f"{tag}.{c}").alias(f"{tag}_{c}") for tag in closes for c in ("side", "a", "b", "p")])
 
     price = F.regexp_replace(F.col("price").cast("string"), r"\+", "").try_cast("double")
     won = (F.col("r_winner") == "A") == (F.col("pick") == F.col("r_side_a"))

@@ -77,3 +77,22 @@ def test_summary_of_nothing_and_something(spark):
     assert lg.settle(t, s, result(spark), None, None).count() == 0
     e = lg.forward_verdict(lg.ledger_summary(t, s.filter("pnl > 99"))).first()
     assert (e.settled, e.staked, e.roi, e.status) == (0, 0.0, None, "paper_only")
+
+
+def test_settlement_moves_trades_once(spark):
+    """Trades, results and both closes meet behind one exchange by (pair, day)."""
+    close = spark.createDataFrame([("2025-01-02", "fighter a|fighter b", "fighter a", -150.0, 130.0)],
+                                  "date string, pair string, side_a string, odds_a double, odds_b double").withColumn("date", F.col("date").cast("date"))
+    out = lg.settle(trade(spark), None, result(spark), close, close)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    full = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and full.count("Exchange hashpartitioning") == 1 and full.count("Window ") >= 1
+
+
+def test_offsets_are_preferred_in_order(spark):
+    results = result(spark, "2025-01-03", "B").unionByName(result(spark, "2025-01-01", "A"))
+    assert lg.settle(trade(spark), None, results, None, None).first().result == "WIN"           # the day before comes before the day after
+    results = results.unionByName(result(spark, "2025-01-02", "B"))
+    assert lg.settle(trade(spark), None, results, None, None).first().result == "LOSS"          # the day itself first
+    none = trade(spark).withColumn("date", F.lit(None).cast("date"))
+    assert lg.settle(none, None, results, None, None).count() == 0
