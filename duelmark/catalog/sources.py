@@ -142,8 +142,8 @@ def _(t):
             [refresh_regressions(previous, staged, "bout_ts", ["a", "b"])] if previous is not None else [])
 
     ap.staged_replace(old, path, gates(None))
-    ap.staged_replace(b, path, gates(t.spark.read.parquet(path)))
-    return t.spark.read.parquet(path).select("bout_id", "a", "b", "winner")
+    ap.staged_replace(b, path, gates(ap.read_current(t.spark, path)))
+    return ap.read_current(t.spark, path).select("bout_id", "a", "b", "winner")
 
 
 @query("A11_file_fingerprint")

@@ -89,13 +89,13 @@ BOUT_COLUMNS = (
 
 
 def refresh(target: str, bouts: DataFrame, date: str = "date") -> None:
-    """Replace the bout table only when the audit and the regression gate are clean."""
+    """A new version of the bout table, if the audit and the regression gate are clean; ``read_current`` reads it."""
     from duelmark.functions import norm_name, pair_key
     from duelmark.operators.quality import audit_bouts, refresh_regressions
-    from duelmark.sources.append import staged_replace, table_exists
+    from duelmark.sources.append import current_version, read_current, staged_replace
 
     spark = bouts.sparkSession
-    previous = spark.read.parquet(target) if table_exists(spark, target) else None
+    previous = read_current(spark, target) if current_version(spark, target) else None
 
     def gates(staged: DataFrame):
         named = staged.withColumns({"name_a": norm_name("fighter_a"), "name_b": norm_name("fighter_b"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MAX_FINGERPRINT_BYTES = 1 << 30
+WHOLE_FILE_BYTES = 1 << 29      # a file that is read as one value, at most
+BLOCK_BYTES = 64 << 20          # of a file that one task hashes
+PIECE_BYTES = 4 << 20           # held at a time
 # microseconds survive the text form
 _JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -38,18 +42,64 @@ def read_fragments(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).options(**_JSON_TIMES).json(path)
 
 
-def file_fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and size of whole files (source manifests).
+def file_fingerprint(spark: SparkSession, path: str, glob: str = "*", block: int = BLOCK_BYTES, at_once: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """Name, size and SHA-256 of every file, and a Merkle root over its blocks; files of any size.
 
-    ``binaryFile`` loads a file as one value, so larger files are refused from their listed
-    length before any content is read; use ``table_fingerprint`` for those.
+    ``merkle`` is the SHA-256 of the SHA-256s of the file's blocks of ``block`` bytes, one after the other; roots compare
+    if they were made with one block size. Files of up to ``at_once`` bytes are read by Spark as one value. Larger ones are
+    never loaded: each block is read from its own range by its own task, so many tasks check one file at once, and the
+    whole file's SHA-256, which has to see the bytes in order, is a stream through one task. Empty files are not listed.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    large = files.filter(F.col("length") > MAX_FINGERPRINT_BYTES).select("path").limit(1).collect()
-    if large:
-        raise ValueError(f"{large[0][0]} is too large for a file hash; use table_fingerprint")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"),
-                        F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    count = F.greatest(F.ceil(F.col("length") / block), F.lit(1)).cast("int")
+    numbers = F.sequence(F.lit(0), count - 1)
+    pieces = F.transform(numbers, lambda n: F.sha2(F.substring("content", n * block + 1, F.lit(block)), 256))
+    small = files.filter(F.col("length") <= at_once).select("path", "length", F.sha2("content", 256).alias("sha256"), _root(pieces).alias("merkle"))
+
+    large = files.filter(F.col("length") > at_once).select("path", "length")
+    start = F.col("block").cast("long") * block
+    parts = large.select("path", F.explode(numbers).alias("block"), "length").select(
+        "path", "block", start.alias("start"), F.least(F.lit(block).cast("long"), F.col("length") - start).alias("size"))
+    whole = large.select("path", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("start"), F.col("length").alias("size"))
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            made = []
+            for where, begin, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "size"))):
+                digest = hashlib.sha256()
+                for piece in read_range(where, begin, size):
+                    digest.update(piece)
+                made.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("block"), pa.array(made, pa.string())], ["path", "block", "digest"])
+
+    hashed = whole.unionByName(parts).repartition("path", "block").mapInArrow(digests, "path string, block int, digest string")
+    told = F.transform(F.sort_array(F.collect_list(F.when(F.col("block") >= 0, F.struct("block", "digest")))), lambda b: b["digest"])
+    roots = hashed.groupBy("path").agg(F.max(F.when(F.col("block") < 0, F.col("digest"))).alias("sha256"), _root(told).alias("merkle"))
+    out = small.unionByName(large.join(roots, "path").select(*small.columns))
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "sha256", "merkle")
+
+
+def _root(digests: Column) -> Column:
+    return F.sha2(F.unhex(F.array_join(digests, "")), 256)
+
+
+def read_range(where: str, start: int, size: int) -> Iterator[bytes]:
+    """Bytes of a file from a place on, piece by piece; for tasks, through the file system that the path names."""
+    from pyarrow import fs
+
+    if where.startswith("file:") or where.startswith("/"):
+        files, name = fs.LocalFileSystem(), "/" + where.removeprefix("file:").lstrip("/")
+    else:
+        files, name = fs.FileSystem.from_uri(where)
+    with files.open_input_file(name) as source:
+        source.seek(start)
+        while size > 0 and (piece := source.read(min(size, PIECE_BYTES))):
+            size -= len(piece)
+            yield piece
 
 
 def table_fingerprint(df: DataFrame, columns: list[str | Column]) -> DataFrame:

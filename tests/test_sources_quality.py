@@ -33,16 +33,75 @@ def test_append_dedup_and_schema_growth(spark):
     assert got == {"other": None, "same": None, "new": 0.5}
 
 
+def rows_of(spark, path):
+    return ap.read_current(spark, path).count()
+
+
 def test_staged_replace_keeps_the_old_table_when_a_gate_fails(spark):
     path = scratch_path(spark, "swap")
     ap.staged_replace(spark.range(3), path, lambda s: [])
     failing = spark.createDataFrame([("bad", 1)], "check string, n long")
     with pytest.raises(ValueError, match="refresh rejected: bad=1"):
         ap.staged_replace(spark.range(9), path, lambda s: [failing])
-    assert spark.read.parquet(path).count() == 3
+    assert rows_of(spark, path) == 3
     ap.staged_replace(spark.range(9), path, lambda s: [failing.filter("n > 5")])
-    assert spark.read.parquet(path).count() == 9
-    assert not [d for d in os.listdir(os.path.dirname(path)) if d.startswith(os.path.basename(path) + ".")]
+    assert rows_of(spark, path) == 9
+    with pytest.raises(FileNotFoundError):
+        ap.read_current(spark, scratch_path(spark, "nothing"))
+
+
+@pytest.mark.parametrize("step", ["write", "gate", "publish", "pointer"])
+def test_a_failure_between_the_steps_leaves_the_old_version(spark, monkeypatch, step):
+    path = scratch_path(spark, "torn")
+    ap.staged_replace(spark.range(3), path, lambda s: [])
+
+    class Broken(Exception):
+        pass
+
+    def breaks(*args):
+        raise Broken
+
+    new, gates = spark.range(9), lambda s: []
+    if step == "write":
+        new = spark.range(9).select(F.raise_error(F.lit("torn")).alias("id"))
+        broken = Exception
+    elif step == "gate":
+        gates, broken = breaks, Broken
+    elif step == "publish":
+        monkeypatch.setattr(ap, "_publish", breaks)
+        broken = Broken
+    else:
+        # the pointer is there, its version is not
+        def half(fs, pointer, version, folder):
+            fs.create(pointer, False).close()
+            raise Broken
+
+        monkeypatch.setattr(ap, "_publish", half)
+        broken = Broken
+    with pytest.raises(broken):
+        ap.staged_replace(new, path, gates)
+    monkeypatch.undo()
+    assert rows_of(spark, path) == 3
+    ap.staged_replace(spark.range(5), path, lambda s: [])
+    assert rows_of(spark, path) == 5
+
+
+def test_two_writers_cannot_both_replace_and_readers_keep_their_version(spark):
+    path = scratch_path(spark, "race")
+    ap.staged_replace(spark.range(3), path, lambda s: [])
+    held = ap.read_current(spark, path)
+
+    def meanwhile(staged):
+        ap.staged_replace(spark.range(7), path, lambda s: [])
+        return []
+
+    with pytest.raises(ap.ConcurrentReplace):
+        ap.staged_replace(spark.range(9), path, meanwhile)
+    assert rows_of(spark, path) == 7 and held.count() == 3
+    for n in (11, 12, 13):
+        ap.staged_replace(spark.range(n), path, lambda s: [])
+    assert rows_of(spark, path) == 13
+    assert len([d for d in os.listdir(path.removeprefix("file:")) if d.startswith("version=")]) == 2
 
 
 def test_month_partitions_prune(spark):
@@ -53,11 +112,31 @@ def test_month_partitions_prune(spark):
     assert "PartitionFilters: [isnotnull(month" in plan
 
 
+def test_a_large_month_gets_many_files_and_small_ones_share_a_task(spark):
+    path = scratch_path(spark, "sized")
+    day = F.when(F.col("id") < 900, F.lit("2024-05-05")).otherwise(F.date_add(F.lit("2024-01-01"), (F.col("id") % 90).cast("int")))
+    ap.write_by_month(spark.range(1000).withColumn("t", day.cast("date")), path, "t", rows_per_file=100)
+    log = spark.read.parquet(path)
+    files = log.groupBy("month", F.input_file_name().alias("f")).count().collect()
+    assert log.count() == 1000 and max(r["count"] for r in files) <= 100
+    assert sum(r["count"] for r in files if r.month == "2024-05") == 900 and len([r for r in files if r.month == "2024-05"]) >= 9
+    assert len([r for r in files if r.month != "2024-05"]) <= 6
+
+
 def test_fingerprints(spark, tmp_path):
     import hashlib
-    (tmp_path / "f.bin").write_bytes(b"abc")
-    r = fl.file_fingerprint(spark, str(tmp_path), "*.bin").first()
-    assert (r.file, r.bytes, r.sha256) == ("f.bin", 3, hashlib.sha256(b"abc").hexdigest())
+    data = os.urandom(1000)
+    for name, content in (("f.bin", b"abc"), ("l.bin", data)):
+        (tmp_path / name).write_bytes(content)
+
+    def sha(x):
+        return hashlib.sha256(x).hexdigest()
+
+    want = {(n, len(c), sha(c), sha(b"".join(hashlib.sha256(c[k:k + 64]).digest() for k in range(0, len(c), 64))))
+            for n, c in (("f.bin", b"abc"), ("l.bin", data))}
+    # as one value, and block by block from ranges
+    for at_once in (1 << 20, 2):
+        assert {tuple(r) for r in fl.file_fingerprint(spark, str(tmp_path), "*.bin", block=64, at_once=at_once).collect()} == want
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     a = fl.table_fingerprint(df, ["k", "v"]).first()
     assert a == fl.table_fingerprint(df.orderBy(F.desc("k")), ["k", "v"]).first()
