@@ -179,7 +179,7 @@ def _(t):
 SELECT bout_id, (stat_a - avg(stat_a) OVER w) / nullif(stddev_samp(stat_a) OVER w, 0) AS z FROM {bouts}
 WINDOW w AS (PARTITION BY method ORDER BY bout_ts, bout_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", "z", 4)
 def _(t):
-    return pit.class_z_point_in_time(t.bouts, "method", "bout_ts", "bout_id", "stat_a", "z", "DAY").select("bout_id", "z")
+    return pit.class_z_point_in_time(t.bouts, "method", "bout_ts", "bout_id", "stat_a", "z").select("bout_id", "z")
 
 
 def _elo_sql(periods: int = 5) -> str:

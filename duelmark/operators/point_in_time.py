@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from duelmark.checks import require_columns
+from duelmark.session import materialize
 
 START = W.unboundedPreceding
+ROWS_PER_PART = 500_000         # of a range of sorted rows, about
 
 
 @dataclass(frozen=True)
@@ -350,10 +352,52 @@ def class_z(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     return df.join(stats, group, "left").withColumn(name, z).drop("_mu", "_sd")
 
 
-def class_z_point_in_time(df: DataFrame, group: str, time: str, seq: str, value: str,
-                          name: str, chunk="MONTH") -> DataFrame:
+def balanced_parts(df: DataFrame, keys: list[str], time: str, seq: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Rows range-sorted by (keys, time, seq) into parts of about equal size, told in ``_part``.
+
+    However few keys there are, and however busy one is, no part holds more than its share.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_part))
+    return materialize(df.repartitionByRange(parts, *keys, time, seq).withColumn("_part", F.spark_partition_id()), "parts")
+
+
+def prior_moments(df: DataFrame, group: str, time: str, seq: str, value: str, mean: str, std: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Mean and sample deviation of the group's earlier rows, from triples (n, mean, M2) that merge.
+
+    A few huge groups are the normal case here: rows lie in parts of equal size, every part has one triple per group, and the
+    triples of the parts before are merged over one row per (group, part). Inside a part, windows sum what is left after the
+    part's own mean, so that large values lose no digits.
+    """
+    rows = balanced_parts(df, [group], time, seq, rows_per_part)
+    keys = [group, "_part"]
+    v = F.col(value).cast("double")
+    triples = rows.groupBy(*keys).agg(F.count(v).alias("_n"), F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_q"))
+    order = W.partitionBy(group).orderBy("_part")
+    before = order.rowsBetween(START, -1)
+    # means are summed as differences from the group's first one
+    shift = triples.withColumn("_c", F.first("_m", ignorenulls=True).over(order.rowsBetween(START, W.unboundedFollowing)))
+    d = F.col("_m") - F.col("_c")
+    n, s = F.sum("_n").over(before), F.sum(F.col("_n") * d).over(before)
+    q = F.sum(F.col("_q") + F.col("_n") * d * d).over(before)
+    carry = shift.select(*keys, F.col("_m").alias("_own"), F.coalesce(n, F.lit(0)).alias("_N"), (F.col("_c") + s / F.nullif(n, F.lit(0))).alias("_M"),
+                         (q - s * s / F.nullif(n, F.lit(0))).alias("_Q"))
+    local = W.partitionBy(*keys).orderBy(time, seq).rowsBetween(START, -1)
+    # the group may be NULL
+    joined = rows.join(carry.withColumnsRenamed({group: "_g", "_part": "_p"}), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
+    e = v - F.col("_own")
+    joined = joined.withColumns({"_k": F.count(e).over(local), "_e": F.sum(e).over(local), "_f": F.sum(e * e).over(local)})
+    k, here, spread = F.col("_k"), F.col("_own") + F.col("_e") / F.nullif(F.col("_k"), F.lit(0)), F.col("_f") - F.col("_e") * F.col("_e") / F.nullif(F.col("_k"), F.lit(0))
+    total, gap = F.col("_N") + k, here - F.col("_M")
+    mu = F.when(F.col("_N") == 0, here).when(k == 0, F.col("_M")).otherwise(F.col("_M") + gap * k / total)
+    m2 = F.when(F.col("_N") == 0, spread).when(k == 0, F.col("_Q")).otherwise(F.col("_Q") + spread + gap * gap * F.col("_N") * k / total)
+    deviation = F.when(total >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (total - 1)))
+    return joined.select(*df.columns, F.when(total > 0, mu).alias(mean), deviation.alias(std))
+
+
+def class_z_point_in_time(df: DataFrame, group: str, time: str, seq: str, value: str, name: str,
+                          rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """z-score against earlier rows of the class only."""
-    out = point_in_time(df, group, time, seq,
-                        {"_mu": prior_mean(value), "_sd": prior_std(value)}, chunk)
+    out = prior_moments(df, group, time, seq, value, "_mu", "_sd", rows_per_part)
     z = F.try_divide(F.col(value) - F.col("_mu"), F.nullif("_sd", F.lit(0.0)))
     return out.withColumn(name, z).drop("_mu", "_sd")

@@ -140,8 +140,7 @@ def feature_table(bouts: DataFrame, stats: DataFrame, contest: str = "fight_id",
     df = df.fillna(0, subset=columns)
     sides = pit.two_sided_long(df, [contest, "date", "weightclass"], {"reach": ("reach_a", "reach_b")})
     if point_in_time_reach:
-        z = pit.class_z_point_in_time(sides.withColumn("_seq", F.struct("side_no", contest)), "weightclass", "date", "_seq",
-                                      "reach", "reach_z", chunk)
+        z = pit.class_z_point_in_time(sides.withColumn("_seq", F.struct("side_no", contest)), "weightclass", "date", "_seq", "reach", "reach_z")
     else:
         z = pit.class_z(sides, "weightclass", "reach", "reach_z")
     z = pit.to_wide(z, [contest], ["reach_z"])
