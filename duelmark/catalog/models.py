@@ -2,19 +2,19 @@
 with plain numpy fits in the tests instead."""
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from duelmark.catalog.fixtures import ll
+from duelmark.catalog.fixtures import imp, ll
 from duelmark.catalog.registry import query
 from duelmark.functions import clipped_logit, fair_american, method_class
-from duelmark.operators import evaluation as ev, models as ml
+from duelmark.operators import entity_state as es, evaluation as ev, models as ml, point_in_time as pit
+from duelmark.session import materialize
 
 FEATS = ["line_logit", "line_abs", "d1", "d2", "d3"]
 FLIP = ["line_logit", "d1", "d2", "d3"]
 OFF = ["d1", "d2", "d3"]
-YEARS = [dt.date(y, 1, 1) for y in range(1995, 2000)]
+AUDIT = dt.date(2001, 1, 1)     # the audited period, with a refit at every date; earlier contests are only learned from
 
 
 def model_input(t):
@@ -77,16 +77,89 @@ def _(t):
     return optimality(rows, FEATS, fitted, lambda n: 1 / ml.ENSEMBLE_C).select("term", "n", "slope")
 
 
+def slopes_by_fold(rows, features, fitted, time, penalty, offset=None, centred=True):
+    """One row per fold and term: the slope of the penalised loss of every fold's model, over the rows before the fold.
+
+    The rows are summed per day first, for every model of a later fold in the same task; the models are broadcast, a few numbers each.
+    """
+    import numpy as np
+
+    width = len(features) + 1
+    models = as_arrays(fitted)
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    data = rows.select(*features, "y", F.col(time).alias("_t"), (F.col(offset) if offset else F.lit(0.0)).alias("_o"))
+
+    def add(batches):
+        import pandas as pd
+
+        folds, beta = shared.value
+        total, seen = np.zeros((len(folds), 1 + 3 * width)), False
+        for batch in batches:
+            seen = True
+            batch = batch.sort_values("_t")
+            x = np.column_stack([np.ones(len(batch)), *(batch[c].to_numpy(float) for c in features)])
+            n = np.searchsorted(batch["_t"].to_numpy(float), folds, "left")
+            for m in np.flatnonzero(n):
+                xs = x[:n[m]]
+                z = xs @ beta[m] + batch["_o"].to_numpy(float)[:n[m]]
+                miss = 1 / (1 + np.exp(-z)) - batch["y"].to_numpy(float)[:n[m]]
+                total[m] += np.concatenate([[n[m]], xs.sum(axis=0), (xs * xs).sum(axis=0), miss @ xs])
+        if seen:
+            yield pd.DataFrame(total, columns=[f"v{k}" for k in range(total.shape[1])]).assign(fold=folds)
+
+    names = [f"v{k}" for k in range(1 + 3 * width)]
+    sums = data.mapInPandas(add, ", ".join(f"{c} double" for c in names) + ", fold double").groupBy("fold").agg(*[F.sum(c).alias(c) for c in names])
+    weights = rows.sparkSession.createDataFrame([(float(f), [float(v) for v in b]) for f, b in zip(*models)], "fold double, b array<double>")
+    j = sums.join(weights, "fold").withColumn("n", F.col("v0"))
+    cells = []
+    for k, term in enumerate(["intercept", *features]):
+        if k == 0 and not centred:
+            continue
+        mean = F.col(f"v{1 + k}") / F.col("n") if centred else F.lit(0.0)
+        sd = F.sqrt(F.col(f"v{1 + width + k}") / F.col("n") - mean * mean)
+        g, g0 = F.col(f"v{1 + 2 * width + k}"), F.col(f"v{1 + 2 * width}")
+        slope = g if k == 0 else (g - mean * g0) / sd + penalty(F.col("n")) * F.col("b")[k] * sd
+        cells.append(F.struct(F.lit(term).alias("term"), (F.round(slope, 4) + 0.0).alias("slope")))
+    return j.select("fold", F.col("n").cast("long").alias("n"), F.inline(F.array(*cells)))
+
+
+def as_arrays(fitted):
+    import numpy as np
+
+    return np.array([f.spec.fold for f in fitted]), np.array([[f.intercept, *f.coefficients] for f in fitted])
+
+
+def by_day(t):
+    return model_input(t).withColumn("day", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double"))
+
+
+def every_date(t, rows, least: int):
+    """Dates with at least ``least`` rows before them, as days: one fold each."""
+    dates = rows.groupBy("day").agg(F.count("*").alias("n"))
+    dates = dates.withColumn("before", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    return [r.day for r in dates.filter(F.col("before") >= least).orderBy("day").toLocalIterator()]
+
+
+LEAST = 100                     # rows that a model learns from
+_FOLDS = f"""(SELECT date AS fold, before AS n FROM (SELECT date, sum(count(*)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+FROM {{scored}} GROUP BY date) WHERE before >= {LEAST})"""
+
+
 @query("I5_walk_forward_optimality", f"""
-SELECT fold, term, 2 * count(*) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {{scored}} JOIN (SELECT unnest([{', '.join(f"DATE '{y}'" for y in YEARS)}]) AS fold) ON date < fold,
-(VALUES {_terms(['intercept', *FEATS])}) v(term) GROUP BY fold, term""")
+SELECT date_diff('day', DATE '1970-01-01', fold) * 1.0 AS fold, term, CAST(2 * n AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {_FOLDS}, (VALUES {_terms(['intercept', *FEATS])}) v(term)""")
 def _(t):
-    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double")
-    rows = ml.symmetrize(model_input(t).withColumn("day", day), FLIP)
-    fitted = ml.fit_many(rows, FEATS, [ml.Spec(float((y - dt.date(1970, 1, 1)).days), tag=y) for y in YEARS], time="day")
-    parts = [optimality(rows.filter(F.col("day") < f.spec.fold), FEATS, f, lambda n: 1 / ml.ENSEMBLE_C)
-             .select(F.lit(f.spec.tag).alias("fold"), "term", "n", "slope") for f in fitted if f.n]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = by_day(t)
+    folds, train = every_date(t, rows, LEAST), ml.symmetrize(rows, FLIP)
+    fitted = ml.fit_many(train, FEATS, [ml.Spec(f) for f in folds], time="day")
+    return slopes_by_fold(train, FEATS, fitted, "day", lambda n: 1 / ml.ENSEMBLE_C)
+
+
+@query("I7_walk_forward_offset_optimality", f"""
+SELECT date_diff('day', DATE '1970-01-01', fold) * 1.0 AS fold, term, CAST(n AS BIGINT) AS n, CAST(0.0 AS DOUBLE) AS slope FROM {_FOLDS}, (VALUES {_terms(OFF)}) v(term)""")
+def _(t):
+    rows = by_day(t)
+    fitted = ml.fit_offset(rows, OFF, [ml.Spec(f) for f in every_date(t, rows, LEAST)], time="day")
+    return slopes_by_fold(rows, OFF, fitted, "day", lambda n: ml.OFFSET_L2 * n, "line_logit", centred=False)
 
 
 @query("I7_market_offset_optimality", """
@@ -134,9 +207,14 @@ def _(t):
     return rounded(out.select("event_key", "p_model", "se"), "p_model", "se")
 
 
+def audit_dates(t, x):
+    """Every event date of the audited period."""
+    return ml.fold_starts(x, "date", start=AUDIT)
+
+
 def audited(t, n_models=30):
     x = model_input(t).drop("p_model", "se")
-    return ml.walk_forward(x, FEATS, FLIP, "date", YEARS, n_models, min_train=100)
+    return ml.walk_forward(x, FEATS, FLIP, "date", audit_dates(t, x), n_models, min_train=LEAST)
 
 
 @query("I5_walk_forward")
@@ -163,7 +241,7 @@ def _(t):
 @query("I7_market_offset")
 def _(t):
     x = model_input(t).drop("p_model", "se")
-    out = ml.walk_forward_offset(x, OFF, "date", YEARS, 30)
+    out = ml.walk_forward_offset(x, OFF, "date", audit_dates(t, x), 30)
     return rounded(out.select("event_key", "p_model", "se"), "p_model", "se")
 
 
@@ -187,7 +265,7 @@ def _(t):
 
     x = audited(t).withColumnsRenamed({"p_model": "p_current", "se": "se_current"})
     off_x = model_input(t).drop("p_model", "se")
-    off = ml.walk_forward_offset(off_x, OFF, "date", YEARS, 30, prob="p_market_offset", se="se_market_offset")
+    off = ml.walk_forward_offset(off_x, OFF, "date", audit_dates(t, off_x), 30, prob="p_market_offset", se="se_market_offset")
     x = x.join(off.select("event_key", "p_market_offset", "se_market_offset"), "event_key")
     weights = ml.past_only_blend(x, "date", F.year("date"))
     x = x.join(weights.select("date", "market_weight"), "date")
@@ -262,7 +340,7 @@ def _(t):
 def _(t):
     x = model_input(t).withColumn("is_validation", F.col("event_key") % 7 == 0)
     train = ml.symmetrize(x.filter("date < DATE '1997-01-01'"), FLIP)
-    model = ml.gbt_baseline(train, FEATS, max_iter=8)
+    model = ml.gbt_baseline(train, FEATS)
     test = x.filter("date >= DATE '1997-01-01'")
     out = ml.model_probability(model, test, FEATS, "p_gbt")
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), *ev.prob_metrics("y", "p_gbt")), "log_loss", "brier", "accuracy")
@@ -287,13 +365,94 @@ def _(t):
     return rounded(scored.groupBy("feature_set").agg(F.count(F.lit(1)).alias("n"), *ev.prob_metrics("y", "p")), "log_loss", "brier", "accuracy")
 
 
+def card_rows(t):
+    x = model_input(t).drop("p_model", "se").withColumns({
+        "quote_age_minutes": (F.col("event_key") % 500).cast("double"), "odds_source": F.lit("the-odds-api-live"),
+        "best_odds_a": F.when(F.col("event_key") % 3 != 0, F.col("odds_a") + 5), "best_odds_b": F.when(F.col("event_key") % 4 != 0, F.col("odds_b") + 5)})
+    return x.filter("date < DATE '1998-01-01'"), x.filter("date >= DATE '1998-01-01'")
+
+
 @query("K4_card_scoring")
 def _(t):
     from duelmark.plans.card import score_card
 
-    x = model_input(t).drop("p_model", "se").withColumns({
-        "quote_age_minutes": (F.col("event_key") % 500).cast("double"), "odds_source": F.lit("the-odds-api-live")})
-    train, card = x.filter("date < DATE '1998-01-01'"), x.filter("date >= DATE '1998-01-01'")
-    fitted = ml.fit_many(ml.symmetrize(train, FLIP), FEATS, ml.ensemble_specs([None], [5], 6))
-    out = score_card(card, ml.model_table(t.spark, fitted), FEATS, FLIP, ["event_key"], books="n_books")
+    train, card = card_rows(t)
+    fitted = ml.fit_many(ml.symmetrize(train, FLIP), FEATS, ml.ensemble_specs([None], [5], 30))
+    out = score_card(card, ml.model_table(t.spark, fitted), FEATS, FLIP, ["event_key"], books="n_books", execution=("best_odds_a", "best_odds_b"))
     return rounded(out.select("event_key", "date", "pick_side", "stake", "net_edge", "eligibility_reason"), "net_edge")
+
+
+_CARD = f"""(WITH s AS (SELECT *, least(greatest(p_line, 0.02), 0.98) AS q, CASE WHEN event_key % 3 <> 0 THEN odds_a + 5 ELSE odds_a END AS ea, CASE WHEN event_key % 4 <> 0 THEN odds_b + 5 ELSE odds_b END AS eb
+  FROM {{scored}} WHERE date >= DATE '1998-01-01'), p AS (SELECT event_key, date, n_books, ea, eb, {_given(1)}, {_given(-1)} FROM s),
+m AS (SELECT *, (p0 + 1 - q0) / 2 AS a, (p1 + 1 - q1) / 2 AS b, (p2 + 1 - q2) / 2 AS c FROM p),
+e AS (SELECT *, sqrt((a * a + b * b + c * c) / 3 - ((a + b + c) / 3) ** 2) AS se, a - {imp('ea')} AS edge_a, 1 - a - {imp('eb')} AS edge_b, event_key % 500 <= 360 AS fresh FROM m),
+n AS (SELECT *, CASE WHEN edge_a >= edge_b THEN 'A' ELSE 'B' END AS pick_side, greatest(edge_a, edge_b) - se AS net_edge, n_books >= 3 AND fresh AS ok FROM e),
+k AS (SELECT *, CASE WHEN net_edge >= CAST(0.04 AS DOUBLE) AND ok AND row_number() OVER (PARTITION BY date, net_edge >= CAST(0.04 AS DOUBLE) AND ok ORDER BY net_edge DESC, event_key) <= 2 THEN 1 ELSE 0 END AS stake FROM n)
+SELECT *, CASE WHEN net_edge >= CAST(0.04 AS DOUBLE) AND ok THEN CASE WHEN stake = 0 THEN 'event-day exposure cap' ELSE 'eligible' END
+  WHEN NOT fresh THEN 'price stale' WHEN n_books < 3 THEN 'fewer than 3 paired books' ELSE 'below edge rule' END AS eligibility_reason FROM k)"""
+
+
+def given_card(t):
+    from duelmark.plans.card import score_card
+
+    models = t.spark.createDataFrame([(None, GIVEN)], "fold double, models array<array<double>>")
+    return score_card(card_rows(t)[1], models, FEATS, FLIP, ["event_key"], books="n_books", execution=("best_odds_a", "best_odds_b"))
+
+
+@query("K4_card_given_weights", f"SELECT event_key, date, pick_side, stake, net_edge, eligibility_reason FROM {_CARD}", "net_edge", 5)
+def _(t):
+    return given_card(t).select("event_key", "date", "pick_side", "stake", "net_edge", "eligibility_reason")
+
+
+@query("K4_card_execution_ladder", f"""
+SELECT event_key, tier, CAST(ceil(CASE WHEN p >= 0.5 THEN -100 * p / (1 - p) ELSE 100 * (1 - p) / p END) AS BIGINT) AS worst_price FROM (
+  SELECT event_key, tier, CASE WHEN pick_side = 'A' THEN a ELSE 1 - a END - se - least_edge AS p FROM {_CARD}, (VALUES ('1u', CAST(0.04 AS DOUBLE)), ('2u_candidate', CAST(0.1 AS DOUBLE))) v(tier, least_edge))
+WHERE p BETWEEN 0.02 AND 0.98""")
+def _(t):
+    from duelmark.operators.betting import execution_ladder
+
+    card = given_card(t).withColumn("p_pick", F.when(F.col("pick_side") == "A", F.col("p_model")).otherwise(1 - F.col("p_model")))
+    return execution_ladder(card, "p_pick", "se").select("event_key", "tier", F.col("worst_price").cast("long").alias("worst_price"))
+
+
+STATE = {"n": pit.prior_count(), "mean": pit.prior_mean("value"), "best": pit.prior_max("value"), "run": pit.streak("won"), "last3": pit.last_mean("value", 3),
+         "before": pit.previous("value")}
+
+
+@query("K4_entity_states", """
+SELECT entity, count(*) AS n, avg(value) AS mean, max(value) AS best, count(*) - coalesce(max(CASE WHEN NOT won THEN pos END), 0) AS run,
+  avg(value) FILTER (WHERE pos > n - 3) AS last3, max(CASE WHEN pos = n THEN value END) AS before
+FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY time, seq) AS pos, count(*) OVER (PARTITION BY entity) AS n FROM {history}) GROUP BY entity""", "mean best last3 before")
+def _(t):
+    # the history in two parts: the states of the first are stored and updated by the second
+    first, later = t.history.filter("time < TIMESTAMP_NTZ '2024-01-16'"), t.history.filter("time >= TIMESTAMP_NTZ '2024-01-16'")
+    states = materialize(es.entity_states(first, "entity", "time", "seq", STATE), "states")
+    states = es.update_states(states, later, "entity", "time", "seq", STATE)
+    return es.next_features(states.select("entity"), states, "entity", STATE).select("entity", *STATE)
+
+
+# the next contest of every entity is against the one with the next larger id; method shares are those of its kinds of event
+_METHODS = """(SELECT user_id AS entity, count(*) FILTER (WHERE event_type = 'error') * 1.0 / count(*) AS ko, count(*) FILTER (WHERE event_type = 'purchase') * 1.0 / count(*) AS sub,
+  count(*) FILTER (WHERE event_type NOT IN ('error', 'purchase')) * 1.0 / count(*) AS dec, avg(value) AS mean FROM events GROUP BY 1)"""
+
+
+@query("K4_hypothetical_method_prices", f"""
+WITH s AS {_METHODS}, c AS (SELECT a.entity AS a, b.entity AS b, 1 / (1 + exp(-(a.mean - b.mean) / 10)) AS p, a.ko AS ako, a.sub AS asub, a.dec AS adec, b.ko AS bko, b.sub AS bsub, b.dec AS bdec
+  FROM s a JOIN s b ON b.entity = a.entity + 1),
+r AS (SELECT a, b, 'A' AS side, unnest(['KO', 'SUB', 'DEC']) AS method, unnest([p * ako, p * asub, p * adec]) AS q FROM c
+  UNION ALL SELECT a, b, 'B', unnest(['KO', 'SUB', 'DEC']), unnest([(1 - p) * bko, (1 - p) * bsub, (1 - p) * bdec]) FROM c)
+SELECT a, b, side, method, greatest(least(q, 0.995), 0.005) AS p FROM r""", "p")
+def _(t):
+    shares = {"ko": F.col("event_type") == "error", "sub": F.col("event_type") == "purchase", "dec": ~F.col("event_type").isin("error", "purchase")}
+    rows = t.history.withColumns({k: v.cast("double") for k, v in shares.items()})
+    features = {"mean": pit.prior_mean("value"), **{k: pit.prior_mean(k) for k in shares}}
+    states = materialize(es.entity_states(rows, "entity", "time", "seq", features), "states")
+    card = states.select(F.col("entity").alias("entity_a"), (F.col("entity") + 1).alias("entity_b"))
+    card = card.join(states.select(F.col("entity").alias("entity_b")), "entity_b")
+    for side in ("_a", "_b"):
+        card = es.next_features(card, states, "entity", features, side)
+    p = 1 / (1 + F.exp(-(F.col("mean_a") - F.col("mean_b")) / 10))
+    cells = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(m.upper()).alias("method"), (w * F.col(f"{m}_{s.lower()}")).alias("q"))
+                      for s, w in (("A", p), ("B", 1 - p)) for m in shares])
+    out = card.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"), F.inline(cells))
+    return out.select("a", "b", "side", "method", F.greatest(F.least("q", F.lit(0.995)), F.lit(0.005)).alias("p"))

@@ -5,6 +5,9 @@ same time. One Newton step is one Spark job: every task turns its rows into grad
 Hessian sums for all models with a few matrix products and emits one row per model; Spark
 adds them up; the driver only solves tiny p x p systems. Data volume through the driver is
 (models x p^2), independent of the number of rows, and is checked.
+
+Refits at every date are neighbours: all start from the model of all rows, so most need two steps, and a step works only on
+models that have not converged.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelmark.functions.pricing import clip, logit
+from duelmark.session import materialize
 from duelmark.settings import BLEND_GRID, ENSEMBLE_C, OFFSET_L2
 
 LITERAL_RUN = 64                # folds in one literal array
-MODELS_AT_ONCE = 2_000          # models whose sums meet in the driver; more are fitted block by block
+MODELS_AT_ONCE = 4_000          # models whose sums meet in the driver; more are fitted block by block
+SHARED_SEEDS = 256              # seeds whose draws of a batch are made at once
+MOST_STEP = 4.0                 # of a scaled coefficient
 
 
 @dataclass(frozen=True)
@@ -65,8 +71,12 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
     groups: dict = {}
     for m, s in enumerate(specs):
         groups.setdefault((s.fold, s.half_life_days), []).append(m)
-    plan = [(fold, half, np.array(ids), np.array([-1 if specs[m].seed is None else specs[m].seed for m in ids],
-                                                 dtype=np.int64)) for (fold, half), ids in groups.items()]
+    # replicates with one seed draw a row alike in every fold, so its copies are drawn once for all folds
+    seeds = sorted({-1 if s.seed is None else s.seed for s in specs})
+    place = {seed: j for j, seed in enumerate(seeds)}
+    seeds = np.array(seeds, dtype=np.int64)
+    plan = [(fold, half, np.array(ids), np.array([place[-1 if specs[m].seed is None else specs[m].seed] for m in ids]))
+            for (fold, half), ids in groups.items()]
     left = np.array([i for i, _ in upper])
     right = np.array([j for _, j in upper])
     n_models = len(specs)
@@ -85,11 +95,11 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
             z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             return z ^ (z >> np.uint64(31))
 
-        def copies(keys, seeds):
-            w = np.ones((len(keys), len(seeds)))
-            drawn = np.flatnonzero(seeds >= 0)
+        def copies(keys, own):
+            w = np.ones((len(keys), len(own)))
+            drawn = np.flatnonzero(own >= 0)
             if len(drawn):
-                h = mix(keys[:, None] ^ mix(seeds[drawn].astype(np.uint64))[None, :])
+                h = mix(keys[:, None] ^ mix(own[drawn].astype(np.uint64))[None, :])
                 u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
                 w[:, drawn] = np.searchsorted(cdf, u, side="right")
             return w
@@ -99,27 +109,33 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
         with np.errstate(over="ignore"):
             for batch in batches:
                 seen = True
+                batch = batch.sort_values("_t", kind="stable")
                 x = np.column_stack([np.ones(len(batch))] + [batch[c].to_numpy(float) for c in names])
                 y = batch["_y"].to_numpy(float)
                 t = batch["_t"].to_numpy(float)
                 base = batch["_o"].to_numpy(float)
                 keys = batch["_k"].to_numpy(np.int64).astype(np.uint64)
                 products = x[:, left] * x[:, right]
-                for fold, half, ids, seeds in plan:
-                    on = slice(None) if fold is None else np.flatnonzero(t < fold)
-                    xs, ps = x[on], products[on]
-                    if not len(xs):
+                shared = copies(keys, seeds) if len(seeds) <= SHARED_SEEDS else None
+                for fold, half, ids, which in plan:
+                    # rows before the fold come first
+                    n = len(t) if fold is None else int(np.searchsorted(t, fold, "left"))
+                    if not n:
                         continue
-                    w = copies(keys[on], seeds)
+                    xs, ps = x[:n], products[:n]
+                    w = shared[:n][:, which] if shared is not None else copies(keys[:n], seeds[which])
                     if moments:
                         total[ids, :len(left)] += (ps.T @ w).T
                         continue
                     if half:
-                        w = w * (0.5 ** ((fold - t[on]) / half))[:, None]
-                    eta = xs @ beta[ids].T + (base[on][:, None] if offset else 0.0)
-                    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -35, 35)))
-                    total[ids, :len(left)] += (ps.T @ (w * p * (1 - p))).T
-                    total[ids, len(left):] += (xs.T @ (w * (y[on][:, None] - p))).T
+                        w = w * (0.5 ** ((fold - t[:n]) / half))[:, None]
+                    eta = xs @ beta[ids].T
+                    if offset:
+                        eta += base[:n][:, None]
+                    p = 1.0 / (1.0 + np.exp(-np.clip(eta, -35, 35, out=eta)))
+                    wp = w * p
+                    total[ids, :len(left)] += (ps.T @ (wp * (1 - p))).T
+                    total[ids, len(left):] += (xs.T @ (w * y[:n][:, None] - wp)).T
         if seen:
             out = pd.DataFrame(total, columns=[f"v{i}" for i in range(n_out)])
             out.insert(0, "model", np.arange(n_models, dtype=np.int32))
@@ -146,66 +162,80 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
     ``scale='standard'`` centres and divides by the population deviation of the model's own
     sample; ``'rms'`` divides by the root mean square without centring (keeps symmetry).
     ``penalty_per_row`` multiplies the penalty by the sample size (loss stated as a mean).
+
+    The rows are written once, as numbers. Models of many folds start at the fit to all rows; a model whose
+    last step was below the root of ``tol`` has converged, because a Newton step squares what is missing.
     """
-    if len(specs) > MODELS_AT_ONCE:
-        how = dict(label=label, row_key=row_key, time=time, offset=offset, penalty=penalty, penalty_per_row=penalty_per_row,
-                   intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
-        return [f for at in range(0, len(specs), MODELS_AT_ONCE)
-                for f in fit_many(rows, features, specs[at:at + MODELS_AT_ONCE], **how)]
-    p = len(features)
     t = F.col(time).cast("double") if time else F.lit(0.0)
     data = rows.select(*[F.col(c).cast("double").alias(c) for c in features],
                        F.col(label).cast("double").alias("_y"), t.alias("_t"),
                        (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"),
-                       F.col(row_key).cast("long").alias("_k")).persist()
-    try:
-        sums, _ = _sums(data, features, specs, np.zeros((len(specs), p + 1)), bool(offset), moments=True)
-        n = sums[:, 0, 0]
-        safe = np.maximum(n, 1.0)
-        mean = sums[:, 0, 1:] / safe[:, None]
-        square = sums[:, np.arange(1, p + 1), np.arange(1, p + 1)] / safe[:, None]
-        if scale == "rms":
-            mu = np.zeros_like(mean)
-            sd = np.sqrt(square)
-        else:
-            mu, sd = mean, np.sqrt(np.maximum(square - mean ** 2, 0.0))
-        sd = np.where(sd > 1e-12, sd, 1.0)
-        # scaled = A @ raw for raw = (1, x)
-        a = np.zeros((len(specs), p + 1, p + 1))
-        a[:, 0, 0] = 1.0
-        idx = np.arange(1, p + 1)
-        a[:, idx, idx] = 1.0 / sd
-        a[:, 1:, 0] = -mu / sd
-        active = []
-        for s in specs:
-            used = range(p) if s.subset is None else s.subset
-            active.append(np.array(([0] if intercept else []) + [1 + j for j in used]))
-        ridge = np.full((len(specs), p + 1), float(penalty))
-        if penalty_per_row:
-            ridge *= safe[:, None]
-        ridge[:, 0] = 0.0
-        b = np.zeros((len(specs), p + 1))
-        steps = 0
-        for steps in range(1, max_iter + 1):
-            raw = np.einsum("mj,mjk->mk", b, a)
-            hess, grad = _sums(data, features, specs, raw, bool(offset), moments=False)
-            h = np.einsum("mij,mjk,mlk->mil", a, hess, a)
-            g = np.einsum("mij,mj->mi", a, grad) - ridge * b
-            move = 0.0
-            for m, on in enumerate(active):
-                if n[m] <= 0:
-                    continue
-                lhs = h[m][np.ix_(on, on)] + np.diag(ridge[m, on]) + 1e-12 * np.eye(len(on))
-                step = np.linalg.solve(lhs, g[m, on])
-                b[m, on] += step
-                move = max(move, float(np.abs(step).max()))
-            if move < tol:
-                break
-        raw = np.einsum("mj,mjk->mk", b, a)
-        return [Fitted(s, float(raw[m, 0]), raw[m, 1:], b[m, 1:], float(n[m]), steps)
-                for m, s in enumerate(specs)]
-    finally:
-        data.unpersist()
+                       F.col(row_key).cast("long").alias("_k"))
+    data = materialize(data, "model-rows")
+    how = dict(offset=bool(offset), penalty=penalty, penalty_per_row=penalty_per_row, intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
+    kinds = list(dict.fromkeys((s.seed, s.subset) for s in specs))
+    start: dict = {}
+    if len(kinds) < len(specs):
+        # replicates that share a seed start from that replicate of all rows
+        kinds = kinds if len(kinds) <= SHARED_SEEDS else list(dict.fromkeys((None, subset) for _, subset in kinds))
+        start = {(f.spec.seed, f.spec.subset): f for f in _newton(data, features, [Spec(seed=a, subset=b) for a, b in kinds], {}, **how)}
+    return [f for at in range(0, len(specs), MODELS_AT_ONCE) for f in _newton(data, features, specs[at:at + MODELS_AT_ONCE], start, **how)]
+
+
+def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict, offset: bool, penalty: float, penalty_per_row: bool,
+            intercept: bool, scale: str, max_iter: int, tol: float) -> list[Fitted]:
+    p = len(features)
+    sums, _ = _sums(data, features, specs, np.zeros((len(specs), p + 1)), offset, moments=True)
+    n = sums[:, 0, 0]
+    safe = np.maximum(n, 1.0)
+    mean = sums[:, 0, 1:] / safe[:, None]
+    square = sums[:, np.arange(1, p + 1), np.arange(1, p + 1)] / safe[:, None]
+    if scale == "rms":
+        mu = np.zeros_like(mean)
+        sd = np.sqrt(square)
+    else:
+        mu, sd = mean, np.sqrt(np.maximum(square - mean ** 2, 0.0))
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    # scaled = A @ raw for raw = (1, x)
+    a = np.zeros((len(specs), p + 1, p + 1))
+    a[:, 0, 0] = 1.0
+    idx = np.arange(1, p + 1)
+    a[:, idx, idx] = 1.0 / sd
+    a[:, 1:, 0] = -mu / sd
+    active = []
+    for s in specs:
+        used = range(p) if s.subset is None else s.subset
+        active.append(np.array(([0] if intercept else []) + [1 + j for j in used]))
+    ridge = np.full((len(specs), p + 1), float(penalty))
+    if penalty_per_row:
+        ridge *= safe[:, None]
+    ridge[:, 0] = 0.0
+    b = np.zeros((len(specs), p + 1))
+    for m, (s, on) in enumerate(zip(specs, active)):
+        # the starting model on the model's own scale; features that it does not use stay 0
+        if f := start.get((s.seed, s.subset)) or start.get((None, s.subset)):
+            b[m, on] = np.concatenate([[f.intercept + mu[m] @ f.coefficients], sd[m] * f.coefficients])[on]
+    todo = np.flatnonzero(n > 0)
+    steps = 0
+    for steps in range(1, max_iter + 1):
+        raw = np.einsum("mj,mjk->mk", b[todo], a[todo])
+        hess, grad = _sums(data, features, [specs[m] for m in todo], raw, offset, moments=False)
+        h = np.einsum("mij,mjk,mlk->mil", a[todo], hess, a[todo])
+        g = np.einsum("mij,mj->mi", a[todo], grad) - ridge[todo] * b[todo]
+        moved = np.zeros(len(todo))
+        for k, m in enumerate(todo):
+            on = active[m]
+            lhs = h[k][np.ix_(on, on)] + np.diag(ridge[m, on]) + 1e-12 * np.eye(len(on))
+            step = np.linalg.solve(lhs, g[k, on])
+            # far from the optimum a step is held back
+            step *= min(1.0, MOST_STEP / max(float(np.abs(step).max()), 1e-300))
+            b[m, on] += step
+            moved[k] = np.abs(step).max()
+        todo = todo[moved >= tol ** 0.5]
+        if not len(todo):
+            break
+    raw = np.einsum("mj,mjk->mk", b, a)
+    return [Fitted(s, float(raw[m, 0]), raw[m, 1:], b[m, 1:], float(n[m]), steps) for m, s in enumerate(specs)]
 
 
 def replicate_seed(event_seed: int, replicate: int) -> int:
@@ -302,8 +332,7 @@ def walk_forward(df: DataFrame, features: list[str], flip: list[str], date: str,
     rows = df.withColumn("_day", F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")).cast("double"))
     train = symmetrize(rows, flip, label, row_key) if symmetric else rows
     half = half_life_years * 365.25 if half_life_years else None
-    seeds = seeds or list(range(len(folds)))
-    specs = ensemble_specs([day[f] for f in folds], seeds, n_models, half_life_days=half)
+    specs = ensemble_specs([day[f] for f in folds], seeds or [0] * len(folds), n_models, half_life_days=half)
     fitted = fit_many(train, features, specs, label, row_key, "_day", penalty=1.0 / c)
     copies = 2 if symmetric else 1
     sizes = {f.spec.fold: f.n / copies for f in fitted if not f.spec.tag}
@@ -337,7 +366,7 @@ def walk_forward_offset(df: DataFrame, features: list[str], date: str, folds: li
     spark = df.sparkSession
     day = {f: float((f - _epoch(f)).days) for f in folds}
     rows = df.withColumn("_day", F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date")).cast("double"))
-    specs = ensemble_specs([day[f] for f in folds], seeds or list(range(len(folds))), n_models)
+    specs = ensemble_specs([day[f] for f in folds], seeds or [0] * len(folds), n_models)
     fitted = fit_offset(rows, features, specs, offset, l2, time="_day")
     models = model_table(spark, fitted, {v: k for k, v in day.items()}, df.schema[date].dataType.simpleString())
     test = assign_fold(rows, date, folds, "_fold").filter(F.col("_fold").isNotNull())
