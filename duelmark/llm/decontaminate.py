@@ -13,8 +13,8 @@ from duelmark.llm.batches import gathered, lowered, prepare
 from duelmark.llm.words import WordHashes, mixed, sequences, ODD
 from duelmark.session import materialize
 
-TABLE_BITS = (20, 27)           # of the bit table that most shingles miss: at least, and at most (16 MiB a width)
-BITS_PER_VALUE = 64             # of that table for each sketch value, where it may grow
+TABLE_BITS = (20, 26)           # of the two bit tables that most shingles miss: at least, and at most (16 MiB a width)
+BITS_PER_VALUE = 256            # of a table for each sketch value, where it may grow
 ROWS_BITS = 33                  # of a row's number below the partition
 
 
@@ -59,9 +59,9 @@ def sketches(items: DataFrame, shingle: int, threshold: float) -> DataFrame:
 
 
 def bit_tables(values: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
-    """Bits of the tables, and per width a table of the leading bits of the sketch values.
+    """Bits of the tables, and per width two tables: of the leading and of the last bits of the sketch values.
 
-    Tasks mark their own values and tables are joined by OR, so the driver gets one table per width, of a bounded size.
+    Tasks mark their own values and tables are joined by OR, so the driver gets two tables per width, of a bounded size.
     """
     n = values.count()
     least, most = TABLE_BITS
@@ -71,8 +71,9 @@ def bit_tables(values: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
         tables: dict[int, np.ndarray] = {}
         for part in parts:
             for width, own in part.groupby("width"):
-                table = tables.setdefault(int(width), np.zeros(1 << bits, bool))
-                table[own["value"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)] = True
+                table = tables.setdefault(int(width), np.zeros((2, 1 << bits), bool))
+                for side, at in zip(table, places(own["value"].to_numpy(np.int64).view(np.uint64), bits)):
+                    side[at] = True
         for width, table in tables.items():
             yield pd.DataFrame({"width": [width], "marks": [np.packbits(table).tobytes()]})
 
@@ -82,7 +83,12 @@ def bit_tables(values: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
 
     few = values.coalesce(max(1, -(-n // 1_000_000)))
     made = few.mapInPandas(mark, "width int, marks binary").groupBy("width").applyInPandas(either, "width int, marks binary")
-    return bits, {r.width: np.unpackbits(np.frombuffer(r.marks, np.uint8)).astype(bool) for r in made.collect()}
+    return bits, {r.width: np.unpackbits(np.frombuffer(r.marks, np.uint8)).astype(bool).reshape(2, -1) for r in made.collect()}
+
+
+def places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where values are marked in the two tables."""
+    return values >> np.uint64(64 - bits), values & np.uint64((1 << bits) - 1)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, doc_id: str = "doc_id",
@@ -115,7 +121,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, s
             owners, found, widths = [], [], []
             for width, table in tables.items():
                 h, owner = sequences(hashes, begins, width)
-                hit = np.flatnonzero(table[h >> np.uint64(64 - bits)])
+                hit = np.flatnonzero(table[0][h >> np.uint64(64 - bits)])
+                hit = hit[table[1][places(h[hit], bits)[1]]]
                 owners.append(owner[hit])
                 found.append(h[hit])
                 widths.append(np.full(len(hit), width, np.int32))
