@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import Window, functions as F
 
-from duelmark.catalog.fixtures import imp, ll
+from duelmark.catalog.fixtures import imp, ll, profit
 from duelmark.catalog.registry import query
 from duelmark.functions import clipped_logit, fair_american, method_class
 from duelmark.operators import entity_state as es, evaluation as ev, models as ml, point_in_time as pit
@@ -198,6 +198,20 @@ def _(t):
                                              F.stddev_pop("value").alias("se")), "value", "se")
 
 
+def slope_table(t, found, tag: str):
+    rows = [(str(a), term, round(value, 4) + 0.0) for a, term, _, value in found]
+    return t.spark.createDataFrame(rows, f"{tag} string, term string, slope double")
+
+
+@query("I3_bootstrap_optimality", f"""
+SELECT CAST(r AS VARCHAR) AS replicate, term, CAST(0.0 AS DOUBLE) AS slope FROM range(31) t(r), (VALUES {_terms(['intercept', *FEATS])}) v(term)
+WHERE EXISTS (SELECT 1 FROM {{scored}})""")
+def _(t):
+    rows = ml.symmetrize(model_input(t), FLIP)
+    fitted = ml.fit_many(rows, FEATS, ml.ensemble_specs([None], [7], 30))
+    return slope_table(t, ml.slopes(rows, FEATS, fitted), "replicate")
+
+
 @query("I4_symmetric_prediction")
 def _(t):
     x = model_input(t)
@@ -279,6 +293,47 @@ def _(t):
     return rounded(out, "log_loss", "log_loss_market", "pnl", "roi")
 
 
+@query("I10_candidates_given_probabilities", f"""
+WITH l AS ({_LW}), g AS (SELECT date, weight, sum({ll('y', 'p')}) AS loss, count(*) AS n FROM l GROUP BY 1, 2),
+c AS (SELECT date, weight, sum(loss) OVER w AS loss, coalesce(sum(n) OVER w, 0) AS n FROM g WINDOW w AS (PARTITION BY weight ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT date, CASE WHEN max(n) >= 200 THEN arg_min(weight, (loss / n, -weight)) ELSE 1.0 END AS mw FROM c GROUP BY date),
+v AS (SELECT x.*, mw, unnest(['current_entry_refit', 'fixed_50_50', 'nested_past_only_blend']) AS candidate, unnest([CAST(0.0 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(mw AS DOUBLE)]) AS w FROM {{scored}} x JOIN b USING (date)),
+p AS (SELECT * EXCLUDE (p_model, se), w * p_line + (1 - w) * p_model AS p, (1 - w) * se AS s FROM v),
+e AS (SELECT *, greatest(p - pr_raw, (1 - p) - pb_raw) - s AS net, CASE WHEN p - pr_raw >= (1 - p) - pb_raw THEN 'A' ELSE 'B' END AS side FROM p),
+k AS (SELECT *, CASE WHEN net >= CAST(0.04 AS DOUBLE) AND row_number() OVER (PARTITION BY candidate, date, net >= CAST(0.04 AS DOUBLE) ORDER BY net DESC, event_key) <= 2 THEN 1 ELSE 0 END AS stake FROM e),
+m AS (SELECT *, stake * CASE WHEN (side = 'A') = (y = 1) THEN CASE WHEN side = 'A' THEN {profit('odds_a')} ELSE {profit('odds_b')} END ELSE -1.0 END AS pnl FROM k)
+SELECT candidate, count(DISTINCT date) AS events, count(*) AS contests, count(*) FILTER (WHERE stake > 0) AS bets, CAST(sum(stake) AS DOUBLE) AS staked, sum(pnl) AS pnl,
+  avg({ll('y', 'p')}) AS log_loss, avg({ll('y', 'p_line')}) AS log_loss_market, sum(pnl) / sum(stake) AS roi FROM m GROUP BY 1""", "staked pnl log_loss log_loss_market roi", 5)
+def _(t):
+    from duelmark.plans.audit import candidate_report
+
+    x = t.scored.withColumnsRenamed({"p_model": "p_current", "se": "se_current"})
+    x = x.join(ml.past_only_blend(x, "date", F.year("date")).select("date", "market_weight"), "date")
+    for name, w in (("fixed", F.lit(0.5)), ("nested", F.col("market_weight"))):
+        x = x.withColumns({f"p_{name}": w * F.col("p_line") + (1 - w) * F.col("p_current"), f"se_{name}": (1 - w) * F.col("se_current")})
+    return candidate_report(x, {"current_entry_refit": ("p_current", "se_current"), "fixed_50_50": ("p_fixed", "se_fixed"),
+                                "nested_past_only_blend": ("p_nested", "se_nested")}, ["event_key"])
+
+
+# least squares under order: fitted values never fall, and over each run of equal ones they are the mean of the labels
+@query("I11_calibration_optimality", """
+SELECT * FROM (VALUES ('platt_intercept', CAST(0.0 AS DOUBLE)), ('platt_slope', 0.0), ('isotonic_falls', 0.0), ('isotonic_gaps', 0.0)) v(chk, value) WHERE EXISTS (SELECT 1 FROM {scored})""")
+def _(t):
+    train = t.stored("scored").filter("date < DATE '1997-01-01'")
+    out = materialize(ml.calibrate(train, ml.fit_calibrators(train)), "calibrated")
+    z = F.ln(F.col("p_model") / (1 - F.col("p_model")))
+    miss = F.col("p_platt") - F.col("y")
+    # one row per distinct probability
+    steps = out.groupBy("p_model").agg(F.max("p_isotonic").alias("p"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    falls = steps.withColumn("before", F.lag("p").over(Window.orderBy("p_model"))).agg(F.count_if(F.col("before") > F.col("p") + 1e-12).alias("falls"))
+    runs = steps.withColumn("run", F.round("p", 9)).groupBy("run").agg(F.abs(F.sum("y") - F.sum(F.col("p") * F.col("n"))).alias("gap"))
+    gaps = runs.agg(F.max("gap").alias("gaps"))
+    one = out.agg(F.avg(miss).alias("a"), F.avg(miss * z).alias("b")).withColumns({"c": falls.select("falls").scalar(), "d": gaps.select("gaps").scalar()})
+    cells = [F.struct(F.lit(name).alias("chk"), (F.round(F.col(c).cast("double"), 4) + 0.0).alias("value"))
+             for name, c in (("platt_intercept", "a"), ("platt_slope", "b"), ("isotonic_falls", "c"), ("isotonic_gaps", "d"))]
+    return one.select(F.inline(F.array(*cells)))
+
+
 @query("I11_calibration")
 def _(t):
     s = t.stored("scored")
@@ -307,6 +362,45 @@ def _(t):
     return rounded(out.select("bout_id", *[f"p_{c}" for c in classes]), *[f"p_{c}" for c in classes])
 
 
+# of the penalised multinomial loss per row, on features over their sample deviation
+@query("I12_method_optimality", f"""
+SELECT class, term, CAST(0.0 AS DOUBLE) AS slope FROM (VALUES ('DEC'), ('KO'), ('SUB')) c(class), (VALUES {_terms(METHOD_FEATS)}) v(term) WHERE EXISTS (SELECT 1 FROM {{bouts}})""")
+def _(t):
+    rows = materialize(method_rows(t).filter("method_class <> 'OTHER'"), "method-rows")
+    model, classes = ml.method_model(rows, METHOD_FEATS)
+    scored = ml.method_probabilities(model, rows, classes)
+    at = rows.agg(F.count("*").alias("n"), *[F.stddev_samp(f).alias(f) for f in METHOD_FEATS]).first()
+    weights = model.stages[-1].coefficientMatrix.toArray()
+    cells = [F.struct(F.lit(c).alias("class"), F.lit(f).alias("term"), (F.round(
+        F.avg((F.col(f"p_{c}") - (F.col("method_class") == c).cast("double")) * F.col(f)) / at[f] + F.lit(float(weights[i][j] * at[f] / (0.3 * at["n"]))), 3) + 0.0).alias("slope"))
+        for i, c in enumerate(classes) for j, f in enumerate(METHOD_FEATS)]
+    return scored.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+@query("I13_fair_prices_given_rates", """
+SELECT bout_id, side, method, CAST(round_even(CASE WHEN q >= 0.5 THEN -100.0 * q / (1.0 - q) ELSE 100.0 * (1.0 - q) / q END, 0) AS BIGINT) AS fair_price FROM (
+  SELECT bout_id, side, method, least(greatest(p * share, CAST(0.005 AS DOUBLE)), CAST(0.995 AS DOUBLE)) AS q FROM (
+    SELECT bout_id, s AS side, m AS method, share, CASE WHEN s = 'A' THEN CAST(0.2 AS DOUBLE) + (bout_id % 60) / CAST(100.0 AS DOUBLE) ELSE 1 - (CAST(0.2 AS DOUBLE) + (bout_id % 60) / CAST(100.0 AS DOUBLE)) END AS p
+    FROM {bouts}, (VALUES ('A'), ('B')) a(s), (VALUES ('KO', CAST(0.3 AS DOUBLE)), ('SUB', CAST(0.2 AS DOUBLE)), ('DEC', CAST(0.5 AS DOUBLE))) c(m, share)))""")
+def _(t):
+    p = 0.2 + (F.col("bout_id") % 60) / 100.0
+    cells = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(m).alias("method"), fair_american(q * share).alias("fair_price"))
+                      for side, q in (("A", p), ("B", 1 - p)) for m, share in (("KO", 0.3), ("SUB", 0.2), ("DEC", 0.5))])
+    return t.bouts.select("bout_id", F.inline(cells))
+
+
+@query("I14_method_prior", """
+WITH r AS (SELECT bout_ts, CASE WHEN method LIKE '%KO%' THEN 'KO' WHEN method LIKE '%SUB%' THEN 'SUB' ELSE 'DEC' END AS m FROM {bouts} WHERE winner IN ('A', 'B')),
+s AS (SELECT m, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM r WHERE bout_ts < TIMESTAMP '2024-01-20' GROUP BY m)
+SELECT (SELECT count(*) FROM r WHERE bout_ts < TIMESTAMP '2024-01-20') AS train_rows, count(*) AS test_rows, avg(-ln(p)) AS log_loss_prior FROM r JOIN s USING (m) WHERE bout_ts >= TIMESTAMP '2024-01-20'""", "log_loss_prior")
+def _(t):
+    from duelmark.plans.audit import method_prior
+
+    rows = t.bouts.filter("winner IN ('A', 'B')").withColumn("method_class", method_class("method"))
+    cut = F.col("bout_ts") < F.lit("2024-01-20").cast("timestamp_ntz")
+    return method_prior(rows.filter(cut), rows.filter(~cut))
+
+
 @query("I13_method_fair_prices")
 def _(t):
     from duelmark.catalog.history import method_rates
@@ -346,14 +440,29 @@ def _(t):
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), *ev.prob_metrics("y", "p_gbt")), "log_loss", "brier", "accuracy")
 
 
+SETS = {"line_only": (0,), "line_and_abs": (0, 1), "line_d1": (0, 2), "all": tuple(range(len(FEATS)))}
+
+
+def ablated(t):
+    cut = float((dt.date(1997, 1, 1) - dt.date(1970, 1, 1)).days)
+    rows = ml.symmetrize(by_day(t), FLIP)
+    return rows, ml.fit_many(rows, FEATS, [ml.Spec(cut, subset=s, tag=n) for n, s in SETS.items()], time="day")
+
+
+_USED = ", ".join(f"('{n}', '{term}')" for n, s in SETS.items() for term in ["intercept", *(FEATS[j] for j in s)])
+
+
+@query("I16_ablation_optimality", f"""
+SELECT feature_set, term, CAST(0.0 AS DOUBLE) AS slope FROM (VALUES {_USED}) v(feature_set, term) WHERE EXISTS (SELECT 1 FROM {{scored}})""")
+def _(t):
+    rows, fitted = ablated(t)
+    return slope_table(t, ml.slopes(rows, FEATS, fitted, time="day"), "feature_set")
+
+
 @query("I16_feature_ablation")
 def _(t):
-    sets = {"line_only": (0,), "line_and_abs": (0, 1), "line_d1": (0, 2), "all": tuple(range(len(FEATS)))}
     x = model_input(t)
-    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double")
-    cut = float((dt.date(1997, 1, 1) - dt.date(1970, 1, 1)).days)
-    fitted = ml.fit_many(ml.symmetrize(x.withColumn("day", day), FLIP), FEATS,
-                         [ml.Spec(cut, subset=s, tag=n) for n, s in sets.items()], time="day")
+    _, fitted = ablated(t)
     # one row per feature set; the models are compared in one scan of the test rows
     table = [(f.spec.tag, [f.intercept, *map(float, f.coefficients)]) for f in fitted]
     variants = F.array(*[F.struct(F.lit(n).alias("feature_set"), F.array(*[F.lit(v) for v in m]).alias("m")) for n, m in table])

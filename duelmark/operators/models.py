@@ -153,6 +153,14 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
     return full, got[:, len(upper):]
 
 
+def _numbers(rows: DataFrame, features: list[str], label: str, row_key: str, time: str | None, offset: str | None) -> DataFrame:
+    t = F.col(time).cast("double") if time else F.lit(0.0)
+    return rows.select(*[F.col(c).cast("double").alias(c) for c in features],
+                       F.col(label).cast("double").alias("_y"), t.alias("_t"),
+                       (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"),
+                       F.col(row_key).cast("long").alias("_k"))
+
+
 def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y", row_key="row_key",
              time: str | None = None, offset: str | None = None, penalty: float = 1.0 / ENSEMBLE_C,
              penalty_per_row: bool = False, intercept: bool = True, scale: str = "standard",
@@ -166,12 +174,7 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
     The rows are written once, as numbers. Models of many folds start at the fit to all rows; a model whose
     last step was below the root of ``tol`` has converged, because a Newton step squares what is missing.
     """
-    t = F.col(time).cast("double") if time else F.lit(0.0)
-    data = rows.select(*[F.col(c).cast("double").alias(c) for c in features],
-                       F.col(label).cast("double").alias("_y"), t.alias("_t"),
-                       (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("_o"),
-                       F.col(row_key).cast("long").alias("_k"))
-    data = materialize(data, "model-rows")
+    data = materialize(_numbers(rows, features, label, row_key, time, offset), "model-rows")
     how = dict(offset=bool(offset), penalty=penalty, penalty_per_row=penalty_per_row, intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
     kinds = list(dict.fromkeys((s.seed, s.subset) for s in specs))
     start: dict = {}
@@ -182,8 +185,23 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
     return [f for at in range(0, len(specs), MODELS_AT_ONCE) for f in _newton(data, features, specs[at:at + MODELS_AT_ONCE], start, **how)]
 
 
-def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict, offset: bool, penalty: float, penalty_per_row: bool,
-            intercept: bool, scale: str, max_iter: int, tol: float) -> list[Fitted]:
+@dataclass(frozen=True)
+class _Scaling:
+    """Per model: sample size, centre and deviation of the features, the map to scaled features, ridge and used coefficients."""
+
+    n: np.ndarray
+    mu: np.ndarray
+    sd: np.ndarray
+    a: np.ndarray
+    ridge: np.ndarray
+    active: list[np.ndarray]
+
+    def gradient(self, at: np.ndarray, raw: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ascent direction on the scaled coefficients ``b`` from raw gradients, for the models ``at``."""
+        return np.einsum("mij,mj->mi", self.a[at], raw) - self.ridge[at] * b
+
+
+def _scale(data: DataFrame, features: list[str], specs: list[Spec], offset: bool, penalty: float, penalty_per_row: bool, intercept: bool, scale: str) -> _Scaling:
     p = len(features)
     sums, _ = _sums(data, features, specs, np.zeros((len(specs), p + 1)), offset, moments=True)
     n = sums[:, 0, 0]
@@ -210,6 +228,26 @@ def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict
     if penalty_per_row:
         ridge *= safe[:, None]
     ridge[:, 0] = 0.0
+    return _Scaling(n, mu, sd, a, ridge, active)
+
+
+def slopes(rows: DataFrame, features: list[str], fitted: list[Fitted], label="y", row_key="row_key", time: str | None = None,
+           penalty: float = 1.0 / ENSEMBLE_C) -> list[tuple[object, str, float, float]]:
+    """(tag, term, rows, slope) of the penalised loss at every model, on its own sample: 0 at the optimum."""
+    data, specs = _numbers(rows, features, label, row_key, time, None), [f.spec for f in fitted]
+    sc = _scale(data, features, specs, False, penalty, False, True, "standard")
+    raw = np.array([[f.intercept, *f.coefficients] for f in fitted])
+    b = np.column_stack([raw[:, 0] + (raw[:, 1:] * sc.mu).sum(axis=1), raw[:, 1:] * sc.sd])
+    g = sc.gradient(np.arange(len(specs)), _sums(data, features, specs, raw, False, moments=False)[1], b)
+    terms = ["intercept", *features]
+    return [(s.tag, terms[j], float(sc.n[m]), float(g[m, j])) for m, s in enumerate(specs) for j in sc.active[m]]
+
+
+def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict, offset: bool, penalty: float, penalty_per_row: bool,
+            intercept: bool, scale: str, max_iter: int, tol: float) -> list[Fitted]:
+    p = len(features)
+    sc = _scale(data, features, specs, offset, penalty, penalty_per_row, intercept, scale)
+    n, mu, sd, a, active = sc.n, sc.mu, sc.sd, sc.a, sc.active
     b = np.zeros((len(specs), p + 1))
     for m, (s, on) in enumerate(zip(specs, active)):
         # the starting model on the model's own scale; features that it does not use stay 0
@@ -221,11 +259,11 @@ def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict
         raw = np.einsum("mj,mjk->mk", b[todo], a[todo])
         hess, grad = _sums(data, features, [specs[m] for m in todo], raw, offset, moments=False)
         h = np.einsum("mij,mjk,mlk->mil", a[todo], hess, a[todo])
-        g = np.einsum("mij,mj->mi", a[todo], grad) - ridge[todo] * b[todo]
+        g = sc.gradient(todo, grad, b[todo])
         moved = np.zeros(len(todo))
         for k, m in enumerate(todo):
             on = active[m]
-            lhs = h[k][np.ix_(on, on)] + np.diag(ridge[m, on]) + 1e-12 * np.eye(len(on))
+            lhs = h[k][np.ix_(on, on)] + np.diag(sc.ridge[m, on]) + 1e-12 * np.eye(len(on))
             step = np.linalg.solve(lhs, g[k, on])
             # far from the optimum a step is held back
             step *= min(1.0, MOST_STEP / max(float(np.abs(step).max()), 1e-300))

@@ -41,6 +41,15 @@ def candidate_report(df: DataFrame, candidates: dict[str, tuple[str, str]], row_
     return rows.groupBy("candidate").agg(*aggs).withColumn("roi", F.try_divide("pnl", "staked"))
 
 
+def method_prior(train: DataFrame, test: DataFrame, label: str = "method_class") -> DataFrame:
+    """One row: sizes, and the log loss of the training shares of the classes on later contests."""
+    shares = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = shares.agg(F.sum("_n")).scalar()
+    scored = test.join(shares.withColumn("_p", F.col("_n") / total), label, "left")
+    out = scored.agg(F.count(F.lit(1)).alias("test_rows"), F.avg(-F.ln(F.greatest(F.coalesce("_p", F.lit(0.0)), F.lit(1e-15)))).alias("log_loss_prior"))
+    return out.withColumn("train_rows", total)
+
+
 def method_audit(model, train: DataFrame, test: DataFrame, classes: list[str],
                  label: str = "method_class") -> DataFrame:
     """Log loss of the method model and of the training class shares on later contests."""
