@@ -52,39 +52,47 @@ class WordTokens:
         self.words = self.used = 0
         self.end = None         # the id that closes a text, entered as the empty word
 
-    def _add(self, ids: list[int]) -> int:
-        n = len(ids)
-        while self.used + n > len(self.pool):
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Enter words with their ids, one word's after the other's."""
+        while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        if self.words == len(self.starts):
+        while self.words + len(words) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
             self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-        self.pool[self.used:self.used + n] = ids
-        self.starts[self.words], self.lengths[self.words] = self.used, n
-        self.used += n
-        self.words += 1
-        return self.words - 1
-
-    def _ids(self, at: int) -> list[int]:
-        start = self.starts[at]
-        return self.pool[start:start + self.lengths[at]].tolist()
+        own = slice(self.words, self.words + len(words))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.starts[own], self.lengths[own] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.index.update(zip(words, range(own.start, own.stop)))
+        self.used += len(ids)
+        self.words = own.stop
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the entries ``at``, one after the other."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.pool[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
     def _learn(self, words: set[bytes]) -> None:
-        cut = {}
+        ended, whole = [], set()
         for w in words:
             core = w.rstrip(ENDINGS)
             # a letter or digit ends its run of letters before the ending; other words stay whole
-            cut[w] = core if len(core) < len(w) and core.decode()[-1:].isalnum() else w
-        parts = {p for w, core in cut.items() for p in (core, w[len(core):]) if p}
-        fresh = [p for p in parts if p not in self.index]
+            if len(core) < len(w) and (core[-1:].isalnum() if core[-1:] < b"\x80" else core.decode()[-1].isalnum()):
+                ended.append((w, core, w[len(core):]))
+            else:
+                whole.add(w)
+        whole.update(core for _, core, _ in ended)
+        whole.update({ending for _, _, ending in ended})
+        fresh = [p for p in whole if p not in self.index]
         for begin in range(0, len(fresh), 4096):
             some = fresh[begin:begin + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, e in zip(some, found):
-                self.index[p] = self._add(e.ids)
-        for w, core in cut.items():
-            if w not in self.index:
-                self.index[w] = self._add(self._ids(self.index[core]) + self._ids(self.index[w[len(core):]]))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(some, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        ended = [e for e in ended if e[0] not in self.index]
+        if ended:
+            parts = np.fromiter((self.index[p] for _, core, ending in ended for p in (core, ending)), np.int64, 2 * len(ended))
+            self._add([w for w, _, _ in ended], self._gather(parts), self.lengths[parts].reshape(-1, 2).sum(axis=1))
 
     def __call__(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text closed by ``end_id``, and where each text ends."""
@@ -93,7 +101,8 @@ class WordTokens:
         # the tokenizer lower-cases too, but the strings of its special tokens are told by case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if self.end != end_id:
-            self.index[b""], self.end = self._add([end_id]), end_id
+            self._add([b""], np.array([end_id], np.uint32), np.array([1]))
+            self.end = end_id
         for words in split:
             words.append(b"")
         line = list(chain.from_iterable(split))
@@ -102,9 +111,6 @@ class WordTokens:
         if unseen:
             self._learn({line[i] for i in unseen})
             at[unseen] = [self.index[line[i]] for i in unseen]
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        shift = self.starts[at] - (ends - lengths)
-        flat = self.pool[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        flat, ends = self._gather(at), np.cumsum(self.lengths[at])
         last = np.cumsum([len(words) for words in split]) - 1
         return flat, ends[last] if len(last) else ends
