@@ -278,6 +278,14 @@ def _(t):
             .withColumn("fold", F.col("fold").cast("timestamp_ntz")))
 
 
+@query("D14_walk_forward_totals", """
+SELECT f AS fold, count(*) AS n, sum(value) AS total FROM {history} JOIN (SELECT DISTINCT date_trunc('hour', time) AS f FROM {history}) ON time < f GROUP BY f""", "total", 3)
+def _(t):
+    folds = t.history.select(F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time")).distinct()
+    out = joins.fold_totals(t.history.select("time", "value"), "time", folds, ["value"], F.date_trunc("day", "time"))
+    return out.filter("n > 0").select(F.col("time").alias("fold"), "n", F.col("value").alias("total"))
+
+
 @query("D15_hypothetical_rows", """
 SELECT user_id AS entity, count(*) AS n_prior, max(ts) AS prev_time, avg(value) AS prior_mean FROM events GROUP BY user_id""", "prior_mean", 5)
 def _(t):

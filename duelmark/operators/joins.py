@@ -179,3 +179,17 @@ def fold_copies(rows: DataFrame, time: str, folds: list, name: str = "fold") ->
     grid = F.array(*[F.lit(f) for f in sorted(folds)])
     later = F.filter(grid, lambda f: f > F.col(time))
     return rows.withColumn(name, F.explode(later))
+
+
+def fold_totals(rows: DataFrame, time: str, folds: DataFrame, values: list[str], bucket) -> DataFrame:
+    """Walk-forward sums: per fold the number of rows strictly before it and the sums of ``values`` over them.
+
+    ``folds`` is a table of fold times under the name ``time``, of any length. Rows are summed per time once and run up in order of time in two
+    levels (``bucket`` never decreases along it), so that no row is copied to a fold.
+    """
+    from duelmark.operators.running import running_before
+
+    parts = rows.select(time, F.lit(1).cast("long").alias("n"), *values, F.lit(False).alias("_fold"))
+    marks = folds.select(time, F.lit(0).cast("long").alias("n"), *[F.lit(None).cast(rows.schema[v].dataType).alias(v) for v in values], F.lit(True).alias("_fold"))
+    per = parts.unionByName(marks).groupBy(time).agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values], F.max("_fold").alias("_fold"))
+    return running_before(per, time, ["n", *values], bucket).filter("_fold").drop("_fold")

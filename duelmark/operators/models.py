@@ -524,8 +524,8 @@ def method_probabilities(model, df: DataFrame, classes: list[str], label: str =
 
 
 def gbt_baseline(df: DataFrame, features: list[str], label="y", holdout: str = "is_validation",
-                 max_iter: int = 30, step: float = 0.1, max_depth: int = 4, seed: int = 0):
-    """Boosted-tree baseline with early stopping on a held-out flag (no numeric parity claimed)."""
+                 max_iter: int = 500, step: float = 0.03, max_depth: int = 4, seed: int = 0):
+    """Boosted-tree baseline of at most ``max_iter`` rounds, which stops early on a held-out flag (no numeric parity claimed)."""
     from pyspark.ml.classification import GBTClassifier
 
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, stepSize=step,

@@ -82,3 +82,13 @@ def test_nearest_date_equals_all_pairs_on_a_hot_key(spark):
         l, r = spark.createDataFrame(left, "id int, k string, t timestamp"), spark.createDataFrame(right, "rid int, k string, u timestamp")
         got = {x.id: x.rid for x in joins.nearest_date(l, r, ["id"], ["k"], "t", "u", days, ["rid"]).collect()}
         assert got == want
+
+
+def test_fold_totals_equal_copies(spark):
+    rows = spark.createDataFrame([(k * 7 % 40, float(k % 5)) for k in range(200)], "o int, v double")
+    folds = [0, 3, 3, 12, 40, 99]
+    table = spark.createDataFrame([(f,) for f in sorted(set(folds))], "o int")
+    got = {r.o: (r.n, r.v) for r in joins.fold_totals(rows, "o", table, ["v"], F.floor(F.col("o") / 10)).collect()}
+    want = {r.fold: (r.n, r.v) for r in joins.fold_copies(rows, "o", sorted(set(folds))).groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("v").alias("v")).collect()}
+    assert got == {f: want.get(f, (0, 0.0)) for f in folds}
