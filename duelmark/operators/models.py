@@ -6,8 +6,8 @@ Hessian sums for all models with a few matrix products and emits one row per mod
 adds them up; the driver only solves tiny p x p systems. Data volume through the driver is
 (models x p^2), independent of the number of rows, and is checked.
 
-Refits at every date are neighbours: all start from the model of all rows, so most need two steps, and a step works only on
-models that have not converged.
+Refits at every date are neighbours: they start from the model of the first of them, so most need few steps, and a step works
+only on models that have not converged.
 """
 
 from __future__ import annotations
@@ -164,25 +164,32 @@ def _numbers(rows: DataFrame, features: list[str], label: str, row_key: str, tim
 def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y", row_key="row_key",
              time: str | None = None, offset: str | None = None, penalty: float = 1.0 / ENSEMBLE_C,
              penalty_per_row: bool = False, intercept: bool = True, scale: str = "standard",
-             max_iter: int = 30, tol: float = 1e-9) -> list[Fitted]:
+             max_iter: int = 30, tol: float = 1e-10) -> list[Fitted]:
     """Fit every spec by Newton steps on sum(log loss) + penalty/2 * |b|^2.
 
     ``scale='standard'`` centres and divides by the population deviation of the model's own
     sample; ``'rms'`` divides by the root mean square without centring (keeps symmetry).
     ``penalty_per_row`` multiplies the penalty by the sample size (loss stated as a mean).
 
-    The rows are written once, as numbers. Models of many folds start at the fit to all rows; a model whose
-    last step was below the root of ``tol`` has converged, because a Newton step squares what is missing.
+    The rows are written once, as numbers. Models of many folds start at the fit to the rows before the first of them, so no
+    later row has a part in a model; a model whose last step was below the root of ``tol`` has converged, because a Newton
+    step squares what is missing.
     """
     data = materialize(_numbers(rows, features, label, row_key, time, offset), "model-rows")
     how = dict(offset=bool(offset), penalty=penalty, penalty_per_row=penalty_per_row, intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
-    kinds = list(dict.fromkeys((s.seed, s.subset) for s in specs))
     start: dict = {}
-    if len(kinds) < len(specs):
-        # replicates that share a seed start from that replicate of all rows
-        kinds = kinds if len(kinds) <= SHARED_SEEDS else list(dict.fromkeys((None, subset) for _, subset in kinds))
-        start = {(f.spec.seed, f.spec.subset): f for f in _newton(data, features, [Spec(seed=a, subset=b) for a, b in kinds], {}, **how)}
-    return [f for at in range(0, len(specs), MODELS_AT_ONCE) for f in _newton(data, features, specs[at:at + MODELS_AT_ONCE], start, **how)]
+    out: list[Fitted] = []
+    for at in range(0, len(specs), MODELS_AT_ONCE):
+        block = specs[at:at + MODELS_AT_ONCE]
+        folds = [s.fold for s in block if s.fold is not None]
+        kinds = list(dict.fromkeys((s.seed, s.subset) for s in block))
+        if folds and len(kinds) < len(block):
+            # replicates that share a seed start from that replicate of the rows before the block's first fold
+            kinds = kinds if len(kinds) <= SHARED_SEEDS else list(dict.fromkeys((None, subset) for _, subset in kinds))
+            first = [Spec(min(folds), seed, subset) for seed, subset in kinds]
+            start = {(f.spec.seed, f.spec.subset): f for f in _newton(data, features, first, start, **how) if f.n}
+        out += _newton(data, features, block, start, **how)
+    return out
 
 
 @dataclass(frozen=True)
