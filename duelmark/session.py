@@ -78,15 +78,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (to ``path`` there, or a fresh one) and read it back.
 
     Cuts lineage in a way that survives executor loss: the rows live in shared
     storage, not in executor block managers. The shuffle files that led to them are removed at once, so a chain
     of steps needs disk for one step's shuffles and not for all.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
