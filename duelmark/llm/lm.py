@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelmark.llm.batches import gathered, prepare, slices, utf8
 from duelmark.llm.words import ODD, WordHashes, mixed
-from duelmark.session import materialize
+from duelmark.session import drop_path, materialize, scratch_path
 
 END = b"\n"                     # closes every text; no word holds white space
 SMOOTHING = 0.1                 # added to every unigram count
@@ -231,8 +231,8 @@ def place_bytes(words: int) -> int:
     return 3 if words <= 1 << 24 else 4
 
 
-def sliced_scores(asked: DataFrame, bits: int, segments: int, tokens: int, vocabulary: int) -> DataFrame:
-    """(row, score) from ``questions`` (row of the first text, segment, block).
+def sliced_scores(asked: DataFrame, path: str, bits: int, segments: int, tokens: int, vocabulary: int) -> DataFrame:
+    """(row, score) from ``questions`` (row of the first text, segment, block), which lie at ``path`` by their kind.
 
     A slice of the filter gets the keys of all texts that lie in it: their counts are summed and entered, and then the slice
     is probed with every distinct key; the levels go back to the texts that asked. A key is told once per slice of texts,
@@ -263,9 +263,10 @@ def sliced_scores(asked: DataFrame, bits: int, segments: int, tokens: int, vocab
         found = text_scores(counts[np.searchsorted(keys, pairs)], word, begins, tokens, vocabulary)
         return pd.DataFrame({"row": int(texts["row"].iloc[0]) + np.arange(len(found)), "score": found})
 
-    levels = asked.filter("segment >= 0").groupBy("segment").applyInPandas(answer, "row long, segment int, levels binary")
-    levels = materialize(levels, "levels")      # by then the questions need no disk any more
-    scores = asked.filter("segment < 0").groupBy("row").cogroup(levels.groupBy("row")).applyInPandas(score, "row long, score double")
+    levels = asked.filter("kind = 'questions'").groupBy("segment").applyInPandas(answer, "row long, segment int, levels binary")
+    levels = materialize(levels, "levels")
+    drop_path(asked.sparkSession, f"{path}/kind=questions")     # answered; their disk is free for the next step
+    scores = asked.filter("kind = 'streams'").groupBy("row").cogroup(levels.groupBy("row")).applyInPandas(score, "row long, score double")
     return materialize(scores, "scores")
 
 
@@ -332,15 +333,17 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
                           "score": pa.float64(), "rare": pa.list_(pa.binary()), "segment": pa.int32(), "block": pa.binary()})
 
     scored = rows.mapInArrow(read, f"row long, doc {kind}, held_out boolean, n_tokens long, part double, score double, rare array<binary>, segment int, block binary")
-    made = materialize(scored, "scored")
-    scored = made.filter("segment IS NULL").drop("segment", "block")
+    kinds = F.when(F.col("segment").isNull(), "texts").when(F.col("segment") < 0, "streams").otherwise("questions")
+    path = scratch_path(spark, "scored")
+    made = materialize(scored.withColumn("kind", kinds), "scored", partition_by="kind", path=path)
+    scored = made.filter("kind = 'texts'").drop("segment", "block", "kind")
     rest = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).alias("more"), F.count("c").alias("found"))
     out = scored.select("row", "doc", "held_out", "n_tokens", "part", "score", (F.col("n_tokens") - F.size("rare")).alias("common"))
     out = out.join(rest, "row", "left")
     if sliced:
-        asked = made.filter("segment IS NOT NULL").select("row", "segment", "block")
-        out = out.drop("score").join(sliced_scores(asked, bits, segments, tokens, vocabulary), "row", "left")
+        asked = made.select("kind", "row", "segment", "block")
+        out = out.drop("score").join(sliced_scores(asked, path, bits, segments, tokens, vocabulary), "row", "left")
     return out.select(
         F.col("doc").alias(doc_id), "held_out", "n_tokens", (F.col("common") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

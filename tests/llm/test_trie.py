@@ -99,12 +99,13 @@ def test_heads_and_empty_tables(spark):
     rows = [(0, 0, "user", "a"), (0, 1, "user", "b"), (1, 0, "user", "c"), (2, 0, "user", "a"), (7, 0, "user", "d"), (-3, 0, "user", "e")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = conversation_trie(table, head=F.lit(1)).select(*NAMES).collect()
-    built = {0: "ab", 1: "a", 2: "a", 7: "", -3: ""}
+    # -3 lies in the group of 0; 7 in that of 5, which is absent
+    built = {0: "ab", 1: "a", 2: "a", 7: "", -3: "a"}
     root = next(r for r in got if r.depth == 0)
     assert (root.conv_id, root.n_convs, root.n_children, root.n_leaves) == (-3, len(built), 1, 1)
-    assert root.ends_sha256 == hashlib.sha256(b"-3,7").hexdigest()
+    assert root.ends_sha256 == hashlib.sha256(b"7").hexdigest()
     one = next(r for r in got if r.depth == 1)
-    assert (one.conv_id, one.n_convs, one.parent_conv_id, one.saved_tokens) == (0, 3, -3, 2)
+    assert (one.conv_id, one.n_convs, one.parent_conv_id, one.saved_tokens) == (-3, 4, -3, 3)
     assert conversation_trie(table.limit(0)).count() == 0
     # only turnless conversations: the root is the one leaf
     alone = conversation_trie(table.filter("conv_id = 7"), head=F.lit(3)).collect()
