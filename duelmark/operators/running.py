@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 START = W.unboundedPreceding
+ROUNDING = 1e-9                 # by which a sum of doubles may miss its true value
 
 
 def ordered_index(df: DataFrame, order: list[str], bucket, name: str = "idx") -> DataFrame:
@@ -59,10 +60,11 @@ def halt_after_drawdown(curve: DataFrame, order_col: str, stop: float,
     """Rows after the first breach of ``peak - equity >= stop`` are flagged ``halted``.
 
     The path up to the breach does not depend on what is dropped later, so one pass
-    over the unrestricted curve finds it.
+    over the unrestricted curve finds it. A drawdown that reaches the stop exactly is a breach
+    however its sum was rounded.
     """
     keys = list(partition or [])
-    breach = (curve.filter(F.col("drawdown") >= stop)
+    breach = (curve.filter(F.col("drawdown") >= stop - ROUNDING)
               .groupBy(*keys).agg(F.min(order_col).alias("_breach")))
     if keys:
         out = curve.join(breach, keys, "left")

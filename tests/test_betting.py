@@ -119,3 +119,13 @@ def test_freshness_states(spark):
     assert (r.status, r.n_missing) == ("lagging", 1)
     assert ev.freshness(res, tracked.filter("k = 'x'"), ["k"], "d", "s", now).first().status == "current"
     assert ev.freshness(res, tracked.filter("k = 'x'"), ["k"], "d", "s", dt.datetime(2024, 3, 1)).first().status == "check"
+
+
+def test_a_drawdown_that_meets_the_stop_is_a_breach_however_it_is_rounded(spark):
+    # 0.7 - 0.1 - 0.1 - 0.1 is a drawdown of 0.3, which doubles miss from below
+    rows = [(0, 0.7), (1, -0.1), (2, -0.1), (3, -0.1), (4, 0.5)]
+    df = spark.createDataFrame(rows, "d int, pnl double")
+    for width in (1, 2, 10):
+        curve = running.equity_curve(df, ["d"], "pnl", F.floor(F.col("d") / width), peak_floor=0.0)
+        out = running.halt_after_drawdown(curve, "d", 0.3).orderBy("d").collect()
+        assert [r.halted for r in out] == [False, False, False, False, True]
