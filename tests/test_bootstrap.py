@@ -94,3 +94,14 @@ def test_drift_distance(spark):
     df = spark.createDataFrame(rows, "p string, v double")
     r = ev.drift_distance(df, F.col("p"), {"v": (0.0, 1.0)}, bins=10).first()
     assert (r.field, round(r.distance, 9), r.bins) == ("v", 0.9, 10)
+
+
+def test_rows_with_a_key_are_drawn_one_by_one(spark):
+    values = [(i, [-1.0, 0.9, 2.5][i % 3]) for i in range(60)]
+    df = spark.createDataFrame([*values, (60, None)], "k int, v double")
+    r = bs.row_mean_ci(df, "v", draws=50, seed=3, key=["k"]).first()
+    means = []
+    for draw in range(50):
+        w = [weight(3, draw, str(k)) for k, _ in values]
+        means.append(sum(x * v for x, (_, v) in zip(w, values)) / sum(w))
+    assert r.ci_low == pytest.approx(np.quantile(means, 0.05)) and r.ci_high == pytest.approx(np.quantile(means, 0.95))
