@@ -19,9 +19,10 @@ from duelmark.session import drop_path, materialize, scratch_path
 END = b"\n"                     # closes every text; no word holds white space
 SMOOTHING = 0.1                 # added to every unigram count
 WEIGHT = 0.35                   # of the bigram estimate against the unigram one
-FREQUENT = 200_000              # words whose counts are broadcast, at most
-FLUSH = 200_000                 # distinct words that a task counts before it hands them on
-LEXICON = 300_000               # words that a worker keeps at hand
+FREQUENT = 100_000              # words whose counts are broadcast, at most
+FLUSH = 100_000                 # distinct words that a task counts before it hands them on
+LEXICON = 150_000               # words that a worker keeps at hand
+HELD_KEYS = 1_000_000           # n-grams that a task holds before it hands them on
 KEY_BITS = 40                   # of an n-gram's hash
 PROBES = 4                      # bits set for each level of an n-gram
 BITS_PER_ENTRY = 8
@@ -151,7 +152,7 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
 def ngram_blocks(texts: DataFrame, segments: int) -> DataFrame:
     """(segment, block): packed n-gram keys and counts of each task, dealt by the slice of the filter they belong to."""
     def read(batches):
-        hashes = WordHashes(most=600_000)
+        hashes = WordHashes(most=LEXICON)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flushed():
@@ -169,7 +170,7 @@ def ngram_blocks(texts: DataFrame, segments: int) -> DataFrame:
             keys = np.concatenate([unigram_keys(h), bigram_keys(begins, h)])
             keys.sort()
             held.append(merge(keys, np.ones(len(keys), np.int64)))
-            if sum(len(k) for k, _ in held) > 3_000_000:
+            if sum(len(k) for k, _ in held) > HELD_KEYS:
                 yield flushed()
         if held:
             yield flushed()

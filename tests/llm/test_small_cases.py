@@ -362,3 +362,9 @@ def test_remainders_are_those_of_crc32(spark):
 
     df = spark.createDataFrame([(7,), (123456,), (None,)], "doc_id long").select("doc_id", remainder("doc_id", 5).alias("r"))
     assert {r.doc_id: r.r for r in df.collect()} == {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i in (7, 123456, None)}
+
+
+def test_language_model_workers_hold_little():
+    # bytes that a task holds: n-grams with their counts, and again when they are merged; words with their dictionary entries
+    assert 4 * 16 * (lm.HELD_KEYS + lm.SLICE // 2) <= 160 << 20
+    assert 250 * (lm.LEXICON + lm.FREQUENT) <= 64 << 20
