@@ -13,6 +13,8 @@ only on models that have not converged.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
+from math import factorial, prod
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,6 +27,10 @@ LITERAL_RUN = 64                # folds in one literal array
 MODELS_AT_ONCE = 4_000          # models whose sums meet in the driver; more are fitted block by block
 SHARED_SEEDS = 256              # seeds whose draws of a batch are made at once
 MOST_STEP = 4.0                 # of a scaled coefficient
+DEGREE = 5                      # of the expansion of the loss around a neighbouring model
+LEAST_ROWS = 100_000            # before the first fold of a block whose models are fitted by expansion
+MOST_MISS = 1e-10               # of a probability, by an expansion
+GROWTH = 1.5                    # of the rows before a fold within a block
 
 
 @dataclass(frozen=True)
@@ -63,6 +69,26 @@ def symmetrize(df: DataFrame, flip: list[str], label: str = "y", key: str = "row
     return out.withColumns(cols).drop("_sign")
 
 
+def draw_copies(keys: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """How often each row appears in each replicate, a Poisson(1) variable from a hash; seed -1 is every row once."""
+    cdf = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320], dtype=float))
+
+    def mix(z):
+        z = (z + np.uint64(0x9E3779B97F4A7C15))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    w = np.ones((len(keys), len(seeds)))
+    drawn = np.flatnonzero(seeds >= 0)
+    if len(drawn):
+        with np.errstate(over="ignore"):
+            h = mix(keys[:, None] ^ mix(seeds[drawn].astype(np.uint64))[None, :])
+        u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
+        w[:, drawn] = np.searchsorted(cdf, u, side="right")
+    return w
+
+
 def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset: bool, moments: bool):
     """Per-model sums over all rows: (products, gradient)."""
     width = len(features) + 1
@@ -86,24 +112,6 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
         import numpy as np
         import pandas as pd
 
-        # Poisson(1) distribution: how often a row appears in one bootstrap replicate
-        cdf = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320], dtype=float))
-
-        def mix(z):
-            z = (z + np.uint64(0x9E3779B97F4A7C15))
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            return z ^ (z >> np.uint64(31))
-
-        def copies(keys, own):
-            w = np.ones((len(keys), len(own)))
-            drawn = np.flatnonzero(own >= 0)
-            if len(drawn):
-                h = mix(keys[:, None] ^ mix(own[drawn].astype(np.uint64))[None, :])
-                u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
-                w[:, drawn] = np.searchsorted(cdf, u, side="right")
-            return w
-
         total = np.zeros((n_models, n_out))
         seen = False
         with np.errstate(over="ignore"):
@@ -116,14 +124,14 @@ def _sums(rows: DataFrame, features: list[str], specs: list[Spec], beta, offset:
                 base = batch["_o"].to_numpy(float)
                 keys = batch["_k"].to_numpy(np.int64).astype(np.uint64)
                 products = x[:, left] * x[:, right]
-                shared = copies(keys, seeds) if len(seeds) <= SHARED_SEEDS else None
+                shared = draw_copies(keys, seeds) if len(seeds) <= SHARED_SEEDS else None
                 for fold, half, ids, which in plan:
                     # rows before the fold come first
                     n = len(t) if fold is None else int(np.searchsorted(t, fold, "left"))
                     if not n:
                         continue
                     xs, ps = x[:n], products[:n]
-                    w = shared[:n][:, which] if shared is not None else copies(keys[:n], seeds[which])
+                    w = shared[:n][:, which] if shared is not None else draw_copies(keys[:n], seeds[which])
                     if moments:
                         total[ids, :len(left)] += (ps.T @ w).T
                         continue
@@ -161,6 +169,162 @@ def _numbers(rows: DataFrame, features: list[str], label: str, row_key: str, tim
                        F.col(row_key).cast("long").alias("_k"))
 
 
+class _Expansion:
+    """Sums of many folds from one pass: the loss of each replicate as a polynomial around a model ``ref`` of its own.
+
+    A row counts in every later fold. Its Taylor coefficients are added up by the time between two folds, and running totals
+    over the folds give each fold its polynomial, so work follows rows x replicates and not rows x folds.
+    """
+
+    def __init__(self, data: DataFrame, features: list[str], folds: list[float], seeds: list[int | None], ref: np.ndarray, offset: bool, largest: np.ndarray):
+        width = len(features) + 1
+        self.folds, self.ref, self.largest = {f: j for j, f in enumerate(folds)}, ref, largest
+        self.kinds = {s: k for k, s in enumerate(seeds)}
+        powers = [c for k in range(DEGREE + 1) for c in combinations_with_replacement(range(width), k)]
+        at = {c: j for j, c in enumerate(powers)}
+        parent = [[(at[c[:-1]], c[-1]) for c in powers if len(c) == k] for k in range(1, DEGREE + 1)]
+        self.exponents = np.array([[c.count(i) for i in range(width)] for c in powers])
+        self.factor = 1 / np.array([prod(map(factorial, e)) for e in self.exponents.tolist()], dtype=float)
+        # the place of a power with one factor less, for derivatives
+        self.less = np.array([[at[c[:c.index(i)] + c[c.index(i) + 1:]] if i in c else 0 for i in range(width)] for c in powers])
+        self.upper = [(i, j) for i in range(width) for j in range(i, width)]
+        square = np.array([at[c] for c in self.upper])
+        edges, own = np.array(folds), np.array([-1 if s is None else s for s in seeds], dtype=np.int64)
+        n_kinds, n_powers, names = len(seeds), len(powers), list(features)
+        n_out = n_powers + len(square)
+
+        def add(batches):
+            import numpy as np
+            import pandas as pd
+
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                batch = batch[batch["_t"].to_numpy(float) < edges[-1]].sort_values("_t", kind="stable")
+                if not len(batch):
+                    continue
+                x = np.column_stack([np.ones(len(batch))] + [batch[c].to_numpy(float) for c in names])
+                w = draw_copies(batch["_k"].to_numpy(np.int64).astype(np.uint64), own)
+                eta = x @ ref.T
+                if offset:
+                    eta += batch["_o"].to_numpy(float)[:, None]
+                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -35, 35)))
+                # of the logistic curve: value (less the label), then derivatives
+                curve = [p - batch["_y"].to_numpy(float)[:, None], p * (1 - p), p * (1 - p) * (1 - 2 * p),
+                         p * (1 - p) * (1 - 6 * p + 6 * p * p), p * (1 - p) * (1 - 2 * p) * (1 - 12 * p + 12 * p * p)]
+                terms = np.ones((len(batch), n_powers))
+                first = 1
+                spans = []
+                for level in parent:
+                    span = slice(first, first + len(level))
+                    np.multiply(terms[:, [j for j, _ in level]], x[:, [i for _, i in level]], out=terms[:, span])
+                    spans.append(span)
+                    first += len(level)
+                part = np.searchsorted(edges, batch["_t"].to_numpy(float), "right")
+                ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+                weighted = [w * c for c in curve]
+                begin = 0
+                for end in ends.tolist():
+                    rows, segment = slice(begin, end), int(part[begin])
+                    begin = end
+                    into = total.setdefault(segment, np.zeros((n_kinds, n_out)))
+                    for c, span in zip(weighted, spans):
+                        into[:, span] += c[rows].T @ terms[rows, span]
+                    into[:, n_powers:] += w[rows].T @ terms[rows][:, square]
+            for segment, sums in total.items():
+                yield pd.DataFrame({"segment": segment, "kind": np.arange(n_kinds), "sums": list(sums)})
+
+        parts = data.filter(F.col("_t") < float(edges[-1])).mapInPandas(add, "segment int, kind int, sums array<double>")
+
+        def meet(part):
+            import numpy as np
+            import pandas as pd
+
+            # a row per task and replicate
+            sums = np.zeros((n_kinds, n_out))
+            np.add.at(sums, part["kind"].to_numpy(), np.stack(part["sums"].to_list()))
+            return pd.DataFrame({"segment": int(part["segment"].iloc[0]), "kind": np.arange(n_kinds), "sums": list(sums)})
+
+        rows = parts.groupBy("segment").applyInPandas(meet, "segment int, kind int, sums array<double>")
+        got = np.zeros((len(folds), n_kinds, n_out))
+        for segment, kind, sums in rows.collect():      # at most MODELS_AT_ONCE
+            got[segment, kind] = sums
+        got = got.cumsum(axis=0)
+        self.totals, self.squares = got[:, :, :n_powers] * self.factor, got[:, :, n_powers:]
+
+    def _at(self, specs: list[Spec]) -> tuple[list[int], list[int]]:
+        return [self.folds[s.fold] for s in specs], [self.kinds[s.seed] for s in specs]
+
+    def near(self, specs: list[Spec], raw: np.ndarray) -> np.ndarray:
+        """Whether what the expansion leaves out of any row's probability is below ``MOST_MISS``."""
+        reach = np.abs(raw - self.ref[self._at(specs)[1]]) @ self.largest
+        # no fifth derivative of the logistic curve is above a quarter
+        return reach ** DEGREE / factorial(DEGREE) / 4 < MOST_MISS
+
+    def sums(self, specs: list[Spec], raw: np.ndarray, moments: bool):
+        """What ``_sums`` gives."""
+        where, width = self._at(specs), len(self.largest)
+        hess, grad = np.zeros((len(specs), width, width)), np.zeros((len(specs), width))
+        left, right = np.array(self.upper).T
+        if moments:
+            hess[:, left, right] = hess[:, right, left] = self.squares[where]
+            return hess, grad
+        c = self.totals[where]
+        d = raw - self.ref[where[1]]
+        steps = d[:, :, None] ** np.arange(DEGREE + 1)
+        value = np.ones((len(specs), len(self.exponents)))
+        for i in range(width):
+            value *= steps[:, i, self.exponents[:, i]]
+        for i in range(width):
+            ci = c * self.exponents[:, i]
+            grad[:, i] = -(ci * value[:, self.less[:, i]]).sum(axis=1)
+            for j in range(i, width):
+                twice = self.exponents[self.less[:, i], j] * (self.exponents[:, i] > 0)
+                hess[:, i, j] = hess[:, j, i] = (ci * twice * value[:, self.less[self.less[:, i], j]]).sum(axis=1)
+        return hess, grad
+
+
+def _rows_before(data: DataFrame, folds: list[float]) -> np.ndarray:
+    """How many rows lie before each of the sorted folds; distinct times are read one at a time."""
+    counts = np.zeros(len(folds) + 1)
+    for r in data.groupBy("_t").count().toLocalIterator():
+        counts[np.searchsorted(folds, r["_t"], "right")] += r["count"]
+    return counts[:-1].cumsum()
+
+
+def _expanded(data: DataFrame, features: list[str], specs: list[Spec], **how) -> list[Fitted | None]:
+    """Models that an expansion around the fit at an earlier fold determines; None for the others, which need exact steps.
+
+    Folds make a block as long as rows grow by no more than ``GROWTH``. Every replicate is fitted by exact steps at the block's first fold, and
+    the other folds of the block are solved on the expansions around these fits.
+    """
+    found: list[Fitted | None] = [None] * len(specs)
+    folds = sorted({s.fold for s in specs if s.fold is not None})
+    seeds = list(dict.fromkeys(s.seed for s in specs))
+    if any(s.fold is None or s.half_life_days or s.subset is not None for s in specs) or len(seeds) > SHARED_SEEDS or len(folds) < 4:
+        return found
+    before = _rows_before(data, folds)
+    largest = np.array([1.0, *data.agg(*[F.max(F.abs(c)) for c in features]).first()])
+    ids: dict = {}
+    for m, s in enumerate(specs):
+        ids.setdefault(s.fold, []).append(m)
+    start: dict = {}
+    at = int(np.searchsorted(before, LEAST_ROWS))
+    while at < len(folds):
+        end = min(int(np.searchsorted(before, GROWTH * before[at], "right")), at + max(1, MODELS_AT_ONCE // len(seeds)))
+        if end - at >= 4:
+            first = _newton(data.filter(F.col("_t") < folds[at]), features, [Spec(folds[at], s) for s in seeds], start, **how)
+            start = {(f.spec.seed, None): f for f in first}
+            ref = np.array([[f.intercept, *f.coefficients] for f in first])
+            near = _Expansion(data, features, folds[at:end], seeds, ref, how["offset"], largest)
+            own = [m for f in folds[at:end] for m in ids[f]]
+            fitted = _newton(data, features, [specs[m] for m in own], start, **how, sums=near.sums)
+            good = near.near([specs[m] for m in own], np.array([[f.intercept, *f.coefficients] for f in fitted]))
+            for m, f, ok in zip(own, fitted, good):
+                found[m] = f if ok else None
+        at = max(end, at + 1)
+    return found
+
+
 def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y", row_key="row_key",
              time: str | None = None, offset: str | None = None, penalty: float = 1.0 / ENSEMBLE_C,
              penalty_per_row: bool = False, intercept: bool = True, scale: str = "standard",
@@ -171,12 +335,15 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
     sample; ``'rms'`` divides by the root mean square without centring (keeps symmetry).
     ``penalty_per_row`` multiplies the penalty by the sample size (loss stated as a mean).
 
-    The rows are written once, as numbers. Models of many folds start at the fit to the rows before the first of them, so no
+    The rows are written once, as numbers. Many folds are fitted on expansions of the loss (``_expanded``) where these miss no
+    probability by ``MOST_MISS``; the others by exact steps. Models of many folds start at the fit to the rows before the first of them, so no
     later row has a part in a model; a model whose last step was below the root of ``tol`` has converged, because a Newton
     step squares what is missing.
     """
-    data = materialize(_numbers(rows, features, label, row_key, time, offset), "model-rows")
+    data = materialize(_numbers(rows, features, label, row_key, time, offset).sortWithinPartitions("_t"), "model-rows")
     how = dict(offset=bool(offset), penalty=penalty, penalty_per_row=penalty_per_row, intercept=intercept, scale=scale, max_iter=max_iter, tol=tol)
+    every, found = specs, _expanded(data, features, specs, **how)
+    specs = [s for s, f in zip(every, found) if f is None]
     start: dict = {}
     out: list[Fitted] = []
     for at in range(0, len(specs), MODELS_AT_ONCE):
@@ -189,7 +356,8 @@ def fit_many(rows: DataFrame, features: list[str], specs: list[Spec], label="y",
             first = [Spec(min(folds), seed, subset) for seed, subset in kinds]
             start = {(f.spec.seed, f.spec.subset): f for f in _newton(data, features, first, start, **how) if f.n}
         out += _newton(data, features, block, start, **how)
-    return out
+    exact = iter(out)
+    return [f or next(exact) for f in found]
 
 
 @dataclass(frozen=True)
@@ -208,9 +376,11 @@ class _Scaling:
         return np.einsum("mij,mj->mi", self.a[at], raw) - self.ridge[at] * b
 
 
-def _scale(data: DataFrame, features: list[str], specs: list[Spec], offset: bool, penalty: float, penalty_per_row: bool, intercept: bool, scale: str) -> _Scaling:
+def _scale(data: DataFrame, features: list[str], specs: list[Spec], offset: bool, penalty: float, penalty_per_row: bool, intercept: bool, scale: str,
+           given=None) -> _Scaling:
     p = len(features)
-    sums, _ = _sums(data, features, specs, np.zeros((len(specs), p + 1)), offset, moments=True)
+    zero = np.zeros((len(specs), p + 1))
+    sums, _ = given(specs, zero, True) if given else _sums(data, features, specs, zero, offset, moments=True)
     n = sums[:, 0, 0]
     safe = np.maximum(n, 1.0)
     mean = sums[:, 0, 1:] / safe[:, None]
@@ -251,9 +421,10 @@ def slopes(rows: DataFrame, features: list[str], fitted: list[Fitted], label="y"
 
 
 def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict, offset: bool, penalty: float, penalty_per_row: bool,
-            intercept: bool, scale: str, max_iter: int, tol: float) -> list[Fitted]:
+            intercept: bool, scale: str, max_iter: int, tol: float, sums=None) -> list[Fitted]:
+    """Newton steps on sums over ``data``, or on what ``sums`` tells of them."""
     p = len(features)
-    sc = _scale(data, features, specs, offset, penalty, penalty_per_row, intercept, scale)
+    sc = _scale(data, features, specs, offset, penalty, penalty_per_row, intercept, scale, sums)
     n, mu, sd, a, active = sc.n, sc.mu, sc.sd, sc.a, sc.active
     b = np.zeros((len(specs), p + 1))
     for m, (s, on) in enumerate(zip(specs, active)):
@@ -264,7 +435,8 @@ def _newton(data: DataFrame, features: list[str], specs: list[Spec], start: dict
     steps = 0
     for steps in range(1, max_iter + 1):
         raw = np.einsum("mj,mjk->mk", b[todo], a[todo])
-        hess, grad = _sums(data, features, [specs[m] for m in todo], raw, offset, moments=False)
+        own = [specs[m] for m in todo]
+        hess, grad = sums(own, raw, False) if sums else _sums(data, features, own, raw, offset, moments=False)
         h = np.einsum("mij,mjk,mlk->mil", a[todo], hess, a[todo])
         g = sc.gradient(todo, grad, b[todo])
         moved = np.zeros(len(todo))

@@ -215,3 +215,27 @@ def test_folds_are_found_beyond_one_literal_array(spark, monkeypatch):
     df = spark.createDataFrame([(i,) for i in range(-2, 25)], "t int")
     got = {r.t: r.fold for r in ml.assign_fold(df, "t", list(range(0, 20, 2))).collect()}
     assert got == {i: None if i < 0 else min(i // 2 * 2, 18) for i in range(-2, 25)}
+
+
+@pytest.mark.parametrize("offset", [None, "o"])
+def test_folds_by_expansion_equal_exact_steps(spark, monkeypatch, offset):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    x = rng.uniform(-1, 1, (n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + x @ [0.8, -0.5])))).astype(int)
+    rows = [(i, float(i // 500), float(a), float(b), 0.1, int(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "row_key long, t double, a double, b double, o double, y int")
+    specs = [ml.Spec(float(f), seed) for f in range(20, 40) for seed in (None, 5)]
+    fit = lambda: ml.fit_many(df, ["a", "b"], specs, time="t", offset=offset, intercept=offset is None, scale="rms" if offset else "standard")
+    exact = fit()
+    monkeypatch.setattr(ml, "LEAST_ROWS", 1000)
+    monkeypatch.setattr(ml, "MOST_MISS", 1e-7)
+    steps = []
+    real = ml._sums
+    monkeypatch.setattr(ml, "_sums", lambda data, features, own, *a, **k: steps.append(len(own)) or real(data, features, own, *a, **k))
+    near = fit()
+    # exact steps are left to the first fold of each block
+    assert max(steps) <= 2
+    for e, g in zip(exact, near):
+        assert e.spec == g.spec and e.n == g.n
+        assert np.allclose([e.intercept, *e.coefficients], [g.intercept, *g.coefficients], atol=1e-6)
