@@ -116,10 +116,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """)
 
 
+def labels_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label IS NOT NULL")
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts with their labels; ids are told by value, so a repeated label row repeats the text."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).filter("label IS NOT NULL")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels_of(spark, sf_dir, label), "doc_id")
 
 
 @query
@@ -133,7 +136,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, ranked from the labels of three quarters of them."""
-    model = ranking.train(labelled(spark, sf_dir, "quality").filter(~held(4, 2)))
+    # features are smaller than texts, so they are made before they meet the labels
+    labels = labels_of(spark, sf_dir, "quality").filter(~held(4, 2))
+    described = ranking.described(table(spark, sf_dir, "documents").select("doc_id", "text").filter(~held(4, 2)))
+    model = ranking.train_described(described.join(labels, "doc_id"))
     scored = table(spark, sf_dir, "documents").select("doc_id", ranking.quality(spark, model).alias("score"))
     return scored.select("doc_id", held(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

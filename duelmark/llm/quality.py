@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from duelmark.llm.batches import cut, prepare, slices, utf8
-from duelmark.llm.toxicity import sample
+from duelmark.operators.running import ordered_index, running_before
 from duelmark.session import materialize
 
-MOST_ROWS = 20_000              # labelled rows that pairs are drawn from, at most
-RIVALS = 8                      # pairs that each document of the better label takes part in
+MOST_ROWS = 20_000              # labelled rows that one task fits, at most; more rows are fitted by jobs
+RIVALS = 8                      # pairs that each document of the better label takes part in, at least
 RIDGE = 1e-3                    # of the loss per pair
 STEPS = 25                      # Newton steps at most
+PARTS = 64                      # of equal size, that strengths are ranked in
+KEY_SHIFT = 50                  # leaves 2**14 ranges of the hash, in which rows are numbered
 SYMBOLS = b"*&%$#@^~=+<>_{}[]\\"
 
 FEATURES = ("upper", "digit", "punctuation", "exclamation", "bar", "symbol", "line", "not_ascii", "word_length", "log_words",
@@ -60,25 +62,38 @@ class Ranking(NamedTuple):
         return (x - self.centre) / self.scale @ self.weights
 
 
-def fit_pairs(differences: np.ndarray) -> np.ndarray:
-    """Weights of least logistic loss that the first of each pair wins, with a ridge: Newton steps."""
-    w = np.zeros(differences.shape[1])
-    n = max(1, len(differences))
+def pair_sums(differences: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and curvature of the logistic loss that the first of each pair wins, summed over pairs, in one row."""
+    p = 1 / (1 + np.exp(np.clip(differences @ w, -35, 35)))     # of losing
+    return np.concatenate([-(p @ differences), ((differences * (p * (1 - p))[:, None]).T @ differences).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], n: int, size: int) -> np.ndarray:
+    """Weights of least loss over ``n`` pairs, with a ridge: Newton steps on what ``sums`` gives at the weights."""
+    w = np.zeros(size)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -35, 35)))     # of losing
-        slope = -(p @ differences) / n + RIDGE * w
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / n + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+        found = sums(w) / max(1, n)
+        step = np.linalg.solve(found[size:].reshape(size, size) + RIDGE * np.eye(size), found[:size] + RIDGE * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def fit_pairs(differences: np.ndarray) -> np.ndarray:
+    """Weights of least logistic loss that the first of each pair wins."""
+    return newton(lambda w: pair_sums(differences, w), *differences.shape)
+
+
+def count_pairs(good: int, bad: int) -> int:
+    """Enough for each row of the better label to meet ``RIVALS`` of the other, and for each of the other to meet one."""
+    return max(good * RIVALS, bad) if good and bad else 0
+
+
 def learn_ranking(x: np.ndarray, better: np.ndarray) -> Ranking:
     """Ranking from rows in a fixed order; without both labels there are no pairs, and all rows score alike.
 
-    Each row of the better label meets ``RIVALS`` rows of the other, dealt round in turn. The bar is the quantile of all
+    Each row of the better label meets ``RIVALS`` rows of the other or more, dealt round in turn. The bar is the quantile of all
     strengths at the share of the lower label, halfway between the rows next to it.
     """
     if not len(x):
@@ -87,7 +102,7 @@ def learn_ranking(x: np.ndarray, better: np.ndarray) -> Ranking:
     scale[scale < 1e-9] = 1.0
     z = (x - centre) / scale
     good, bad = z[better == 1], z[better == 0]
-    pairs = np.arange(len(good) * RIVALS if len(bad) else 0)
+    pairs = np.arange(count_pairs(len(good), len(bad)))
     w = fit_pairs(good[pairs % max(1, len(good))] - bad[pairs % max(1, len(bad))]) if len(pairs) else np.zeros(z.shape[1])
     if len(pairs):
         ordered = np.sort(z @ w)
@@ -97,23 +112,93 @@ def learn_ranking(x: np.ndarray, better: np.ndarray) -> Ranking:
     return Ranking(centre, scale, w, float(bar))
 
 
-def train(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", most_rows: int = MOST_ROWS) -> Ranking:
-    """Learn from about ``most_rows`` labelled rows at most, chosen by a hash of the id.
+def value_at(rows: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """Values at 0-based ranks of all rows in ascending order; equal values are counted and ranked as one row."""
+    counts = materialize(rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")), "ranks")
+    cuts = counts.agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)])).first()[0]
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value)))
+    before = running_before(counts.withColumn("end", F.col("n")), value, ["end"], bucket)
+    found = before.select(value, "n", "end").filter(" OR ".join(f"end <= {r} AND {r} < end + n" for r in ranks)).collect()
+    return [next(row[value] for row in found if row["end"] <= r < row["end"] + row["n"]) for r in ranks]
+
 
-    Features are made in parallel; the bounded table of features, in the order of the hash, is fitted at once. Rows with
-    a null label are not learned from.
+def learn_spread(rows: DataFrame) -> Ranking:
+    """What ``learn_ranking`` learns, from rows (key, label, x) of any number: pairs, sums and ranks are made by jobs.
+
+    A Newton step is one job over the written pairs, in which a task hands on one row of sums.
     """
+    size = len(FEATURES)
+    of = [F.col("x")[i] for i in range(size)]
+    whole = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0), *map(F.avg, of), *map(F.stddev_pop, of)).first()
+    n, n_good, n_bad = whole[:3]
+    if not n:
+        return learn_ranking(np.empty((0, 0)), np.empty(0))
+    centre, scale = (np.array(whole[3 + k * size:3 + (k + 1) * size]) for k in (0, 1))
+    scale[scale < 1e-9] = 1.0
+    n_pairs = count_pairs(n_good, n_bad)
+    if not n_pairs:
+        return Ranking(centre, scale, np.zeros(size), 0.0)
+
+    def indexed(label: int, name: str) -> DataFrame:
+        part = rows.filter(F.col("label") == label).select("key", F.col("x").alias(f"x_{name}"))
+        return ordered_index(part, ["key", f"x_{name}"], F.shiftright("key", KEY_SHIFT), name).drop("key")
+
+    met = rows.sparkSession.range(n_pairs).select("id", (F.col("id") % n_good).alias("good"), (F.col("id") % n_bad).alias("bad"))
+    met = met.join(indexed(1, "good"), "good").join(indexed(0, "bad"), "bad").sortWithinPartitions("id")
+    pairs = materialize(met.select(F.zip_with("x_good", "x_bad", lambda a, b: a - b).alias("x")), "pairs")
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("x").flatten().to_numpy().reshape(-1, size)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def add(batches):
+            total = np.zeros(size + size * size)
+            for batch in batches:
+                total += pair_sums(matrix(batch) / scale, w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        return np.sum([r.sums for r in pairs.mapInArrow(add, "sums array<double>").collect()], axis=0)
+
+    w = newton(sums, n_pairs, size)
+
+    def strengths(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((matrix(batch) - centre) / scale @ w)], ["strength"])
+
+    at = [n_bad - 1, min(n_bad, n - 1)]
+    return Ranking(centre, scale, w, float(np.mean(value_at(rows.select("x").mapInArrow(strengths, "strength double"), "strength", at))))
+
+
+def described(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with the features ``x`` of their texts in place of the texts, made where the rows are."""
     prepare(texts.sparkSession)
-    rows = sample(texts.filter(F.col(label).isNotNull()), doc_id, most_rows)
-    rows = rows.select(F.xxhash64(doc_id).alias("key"), F.col(label).cast("int").alias("label"), utf8(text).alias("text"))
+    kept = [c for c in texts.columns if c != text]
+    schema = T.StructType([*(texts.schema[c] for c in kept), T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def read(batches):
-        for batch in slices(batches, "text"):
-            found = [describe(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(found, pa.list_(pa.float64()))],
-                                             ["key", "label", "x"])
+        for batch in slices(batches, text):
+            found = [describe(t) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(pa.float64()))], [*kept, "x"])
 
-    made = materialize(rows.mapInArrow(read, "key long, label int, x array<double>"), "quality")
+    return texts.withColumn(text, utf8(text)).mapInArrow(read, schema)
+
+
+def train(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", most_rows: int = MOST_ROWS) -> Ranking:
+    """Learn from every labelled row; rows with a null label are not learned from."""
+    rows = texts.filter(F.col(label).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label"), F.col(text).alias("text"))
+    return train_described(described(rows), "doc_id", "label", most_rows)
+
+
+def train_described(rows: DataFrame, doc_id: str = "doc_id", label: str = "label", most_rows: int = MOST_ROWS) -> Ranking:
+    """Learn from every row with features ``x`` and a label.
+
+    The rows are written once. Up to ``most_rows`` rows are fitted by one task, in the order of a hash of the id; more rows
+    are fitted by jobs over the same pairs.
+    """
+    rows = rows.filter(F.col(label).isNotNull())
+    made = materialize(rows.select(F.xxhash64(doc_id).alias("key"), F.col(label).cast("int").alias("label"), "x"), "quality")
+    if made.count() > most_rows:
+        return learn_spread(made)
 
     def fit(batches):
         parts = [(np.array(b.column("x").to_pylist()).reshape(-1, len(FEATURES)), b.column("label").to_numpy()) for b in batches]

@@ -149,3 +149,18 @@ def test_near_copies_with_clashing_columns(spark):
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {r.text for r in kept.collect()} == {"a b c d e f", "quite another text is here"} and all(r._fp for r in kept.collect())
+
+
+def test_quality_learns_from_every_row_by_jobs(spark):
+    from duelmark.llm.quality import train
+
+    rng = np.random.default_rng(5)
+    words = ["plain", "prose", "goes", "ON", "and", "on!", "12", "***", "line\nbreak"]
+    for shares in ((0.7, 300), (0.02, 200)):              # in the second, the other label outnumbers all rivals
+        rows = [(i, " ".join(rng.choice(words[:6] if good else words, rng.integers(1, 30))), int(good))
+                for i, good in enumerate(rng.random(shares[1]) < shares[0])] + [(9000 + i, "equal copies here", 0) for i in range(40)]
+        known = spark.createDataFrame([*rows, (None, "no id", 1)], "doc_id long, text string, label int")
+        whole, spread = train(known), train(known, most_rows=50)
+        for a, b in zip(whole, spread):
+            assert np.allclose(a, b, rtol=1e-6, atol=1e-6)
+        assert np.allclose(spread.centre, np.mean([qu.describe(t.encode()) for _, t, _ in rows] + [qu.describe(b"no id")], axis=0))
