@@ -92,3 +92,19 @@ def test_fold_totals_equal_copies(spark):
     want = {r.fold: (r.n, r.v) for r in joins.fold_copies(rows, "o", sorted(set(folds))).groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("v").alias("v")).collect()}
     assert got == {f: want.get(f, (0, 0.0)) for f in folds}
+
+
+def test_merged_partitions_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    # more cores would make smaller partitions; here their size alone decides
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(2_000_000).select(F.xxhash64("id").alias("k")).distinct()        # 16 MB that do not compress
+        assert rows.rdd.getNumPartitions() > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
