@@ -8,19 +8,21 @@ from duelmark.session import scratch_path
 from duelmark.streaming import flows
 
 
-SLICES, FILES = 4, 2            # micro-batches of a stream, and files of each
+SLICES, FILES = 4, 2            # micro-batches of a stream, and least files of each
+ROWS_A_FILE = 1_000_000         # a slice with more rows lands in more files
 
 
 def in_slices(t, rows, time):
     """A stream over the rows: they land in order of time, slice by slice, and each slice is one micro-batch."""
     path = scratch_path(t.spark, "landed")
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    cuts = rows.agg(F.percentile_approx(at, [k / SLICES for k in range(1, SLICES)])).first()[0]
+    cuts, n = rows.agg(F.percentile_approx(at, [k / SLICES for k in range(1, SLICES)]), F.count(F.lit(1))).first()
+    files = max(FILES, -(-n // (SLICES * ROWS_A_FILE)))
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(at >= low)
         part = part if high is None else part.filter(at < high)
-        part.repartition(FILES).write.mode("append").parquet(path)
-    return flows.read_landed(t.spark, path, "*.parquet", rows.schema, max_files=FILES)
+        part.repartition(files).write.mode("append").parquet(path)
+    return flows.read_landed(t.spark, path, "*.parquet", rows.schema, max_files=files)
 
 
 def quote_rows(t):

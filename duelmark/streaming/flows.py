@@ -14,6 +14,8 @@ from duelmark.operators.keys import keep_last
 from duelmark.session import scratch_path
 from duelmark.streaming.stateful import CloseOfContest, ConsensusOfPoll
 
+MOST_HELD = 500_000             # quotes that a task holds before it keeps the last ones
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -68,22 +70,56 @@ def _keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+def last_in_task(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row per key by ``order`` (numbers, texts or times, missing first) of what a task reads, before any shuffle.
+
+    Works on streams, where an aggregation would keep a state of its own. A key may be left with several rows: one per task, and more when
+    a task meets too many keys to hold.
+    """
+    def keep(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def last(held):
+            part = pa.Table.from_batches(held).combine_chunks()
+            line = pc.sort_indices(part, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+            at = part.select(keys).take(line).append_column("_at", line).group_by(keys, use_threads=False)
+            return part.take(at.aggregate([("_at", "last")])["_at_last"]).combine_chunks().to_batches()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= MOST_HELD:
+                held = last(held)
+                n = sum(b.num_rows for b in held)
+                if n > MOST_HELD // 2:
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from last(held)
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def live_consensus(quotes: DataFrame, keys: list[str], book: str, fetched_at: str, window: str, watermark: str, order: list[str] = (),
                    odds_a="odds_a", odds_b="odds_b", prob="book_prob") -> DataFrame:
     """Consensus per key and poll window as quotes arrive, from the last quote of every book.
 
     State is one quote per (window, key, book), so it is bounded by the books and not by the quotes; a timer at the window's end
-    drops it. A group is one key in one window, so a busy key is many groups. Quotes of one book at one time are
-    ordered by ``order``. A window whose end the watermark has passed takes no quotes any more. Every micro-batch emits
+    drops it. A group is one key in one window, so a busy key is many groups. A task hands on only the last quotes of what it reads, so what
+    moves and reaches the groups follows tasks and books, not quotes. Quotes of one book at one time are ordered by ``order``. A window whose end the watermark has passed takes no quotes any more. Every micro-batch emits
     the new consensus of the windows that it changed (update mode): poll_start, keys, upper-median prices, median
     probability, books, spread, and the best price of each side with the book that offers it (the smallest of equals).
     """
     _keyed_state(quotes.sparkSession)
     poll = F.window(fetched_at, window)
-    rows = quotes.withWatermark(fetched_at, watermark).select(
+    rows = quotes.select(
         F.unix_micros(poll["start"]).alias("start_us_"), F.unix_micros(poll["end"]).alias("end_us_"), *keys,
         F.unix_micros(fetched_at).alias("at_us_"), *order, F.col(book).alias("book_"),
         F.col(odds_a).cast("double").alias("a_"), F.col(odds_b).cast("double").alias("b_"), F.col(prob).cast("double").alias("p_"), fetched_at)
+    # the latest quote of all is the last one of its book, so the watermark is that of all quotes
+    rows = last_in_task(rows, ["start_us_", *keys, "book_"], ["at_us_", *order]).withWatermark(fetched_at, watermark)
     state = T.StructType(_fields(rows, ["book_", "at_us_", *order, "a_", "b_", "p_"]))
     book_type = rows.schema["book_"].dataType
     out = T.StructType([*_fields(rows, ["start_us_", *keys]), *(T.StructField(n, T.DoubleType()) for n in ("odds_a", "odds_b", "market_prob_a")),

@@ -71,6 +71,40 @@ def test_quotes_of_ended_windows_leave_the_state(spark):
     assert held[-1] == 2
 
 
+def test_a_task_hands_on_the_last_quotes_only(spark, monkeypatch):
+    """Missing values come first, keys may be missing, and no key is lost when a task meets more keys than it holds."""
+    rows = [(k, t, x) for k in (1, 2, None) for t in (None, 1, 3, 2) for x in ("a", None, "c", "b")]
+    part = spark.createDataFrame(rows, "k int, t int, x string").coalesce(1)
+    assert sorted(map(str, flows.last_in_task(part, ["k"], ["t", "x"]).collect())) == sorted(f"Row(k={k}, t=3, x='c')" for k in (1, 2, None))
+    monkeypatch.setattr(flows, "MOST_HELD", 10)
+    many = spark.range(25_000).selectExpr("id % 12000 k", "id t").coalesce(1)
+    kept = flows.last_in_task(many, ["k"], ["t"])
+    assert kept.groupBy("k").agg(F.max("t").alias("t")).agg(F.count("*"), F.sum("t")).first() == (12_000, sum(range(13_000, 25_000)))
+
+
+def test_quotes_are_reduced_before_they_move(spark):
+    """900 quotes of six books in one file: six rows are shuffled."""
+    quotes = spark.createDataFrame([(1, m % 6, minutes(0) + dt.timedelta(seconds=m), 110.0, -120.0, 0.45) for m in range(900)], QUOTE).coalesce(1)
+    rows = flows.live_consensus(quotes, ["k"], "book", "at", "1 hour", "2 hours")
+    assert [r.market_books for r in rows.collect()] == [6]
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.index("TransformWithState") < plan.index("MapInArrow")
+
+
+def test_large_slices_land_in_more_files(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from duelmark.catalog import streams
+
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 50)
+    rows = spark.range(1000).select("id", F.timestamp_seconds("id").alias("at"))
+    stream = streams.in_slices(SimpleNamespace(spark=spark), rows, "at")
+    out = flows.run_available_now(stream.withColumn("file", F.col("_metadata.file_path")), "files")["out"]
+    per = out.groupBy("batch_id").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"), F.min("id").alias("low")).orderBy("batch_id").collect()
+    assert len(per) == 4 and sum(r.n for r in per) == 1000
+    assert all(r.files == 5 for r in per) and [r.low for r in per] == sorted(r.low for r in per)
+
+
 def test_append_once_across_batches(spark):
     rows = [("a", minutes(1)), ("b", minutes(2))]
     stream = landed(spark, [rows, rows, [("c", minutes(3)), ("a", minutes(4))]], "id string, at timestamp")
