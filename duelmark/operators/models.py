@@ -17,6 +17,7 @@ from itertools import combinations_with_replacement
 from math import factorial, prod
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelmark.functions.pricing import clip, logit
@@ -481,14 +482,49 @@ def model_table(spark: SparkSession, fitted: list[Fitted], fold_values: dict | N
     return spark.createDataFrame(rows, f"fold {fold_type}, models array<array<double>>")
 
 
+def _ensemble(models: list[list[float]], signs: np.ndarray, offset: bool, flip: bool):
+    """UDF from a struct of offset and features to the base model's probability and the deviation over the ensemble, batch by batch."""
+    terms = np.array(models, dtype=float).T[:, :, None]         # term, model, row
+
+    @F.arrow_udf("p double, se double")
+    def score(rows: pa.Array) -> pa.Array:
+        columns = rows.flatten()
+        base, *x = [c.to_numpy(zero_copy_only=False).astype(float) for c in columns]
+        missing = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in columns])
+
+        def side(sign):
+            total = terms[0] + base * (sign if offset else 1.0)
+            for term, values, s in zip(terms[1:], x, signs):
+                total += term * (values * (s if sign < 0 else 1.0))
+            return 1.0 / (1.0 + np.exp(-total))
+
+        with np.errstate(over="ignore", invalid="ignore"):
+            p = (side(1.0) + 1.0 - side(-1.0)) / 2.0 if flip else side(1.0)
+            se = np.sqrt(((p - p.mean(axis=0)) ** 2).mean(axis=0))
+        return pa.StructArray.from_arrays([pa.array(p[0], mask=missing), pa.array(se, mask=missing)], ["p", "se"])
+
+    return score
+
+
 def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[str] | None = None,
             offset: str | None = None, fold: str | None = "fold", prob="p_model", se="se") -> DataFrame:
     """Probability of the base model and the population deviation over the ensemble.
 
     With ``flip`` the prediction is averaged with the side-swapped one. The model table has
-    one row per fold; Spark broadcasts it only when it is measured to be small.
+    one row per fold; Spark broadcasts it only when it is measured to be small. Without folds it is one
+    row, which goes to the tasks as a matrix, and rows are scored batch by batch.
     """
     base = F.col(offset).cast("double") if offset else F.lit(0.0)
+    if not fold:
+        found = models.select("models").take(2)
+        if len(found) > 1:
+            raise ValueError("one row of models expected without folds")
+        if not found or not found[0][0]:
+            return df.withColumns({c: F.lit(None).cast("double") for c in (prob, se)})
+        signs = np.array([-1.0 if flip and c in flip else 1.0 for c in features])
+        score = _ensemble(found[0][0], signs, bool(offset), bool(flip))
+        x = F.struct(base.alias("_o"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+        return df.withColumn("_scored", score(x)).withColumns({prob: F.col("_scored.p"), se: F.col("_scored.se")}).drop("_scored")
 
     def dot(m, sign):
         total = m[0] + base * F.lit(sign if offset else 1.0)
@@ -500,7 +536,7 @@ def predict(df: DataFrame, models: DataFrame, features: list[str], flip: list[st
     def one(m):
         return (dot(m, 1.0) + 1.0 - dot(m, -1.0)) / 2.0 if flip else dot(m, 1.0)
 
-    j = df.join(models, fold) if fold else df.withColumn("models", models.select("models").scalar())
+    j = df.join(models, fold)
     j = j.withColumn("_p", F.transform("models", one))
     n = F.size("_p")
     mean = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v) / n

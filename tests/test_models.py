@@ -100,6 +100,28 @@ def test_prediction_is_symmetric(spark):
     assert all(abs(a.p_model + b.p_model - 1) < 1e-10 and a.se > 0 for a, b in zip(p, q))
 
 
+@pytest.mark.parametrize("offset", [None, "off"])
+def test_an_ensemble_without_folds_scores_by_batch(spark, offset):
+    """The same probabilities as by a join with one fold, for missing, undefined and extreme values, too; one matrix product, not 31 interpreted sums a row."""
+    values = [(1.0, 2.0, 0.5), (None, 1.0, 0.1), (float("nan"), 1.0, 0.1), (900.0, -3.0, 0.0), (-900.0, 3.0, None), (0.0, 0.0, 0.0)]
+    df = spark.createDataFrame([(k, *v) for k, v in enumerate(values)], "id int, f0 double, f1 double, off double")
+    weights = np.random.default_rng(5).normal(size=(31, 3)).tolist()
+    one = spark.createDataFrame([(None, weights)], "fold double, models array<array<double>>")
+    got = ml.predict(df, one, ["f0", "f1"], ["f0"], offset=offset, fold=None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "transform(" not in plan
+    joined = ml.predict(df.withColumn("fold", F.lit(1.0)), one.withColumn("fold", F.lit(1.0)), ["f0", "f1"], ["f0"], offset=offset)
+    def read(out):
+        return [(r.p_model, r.se) for r in out.orderBy("id").collect()]
+
+    for a, b in zip(read(got), read(joined), strict=True):
+        assert (a[0] is None) == (b[0] is None) and (a[0] is None or np.allclose(a, b, rtol=0, atol=1e-14, equal_nan=True))
+    none = ml.predict(df, one.filter("false"), ["f0", "f1"], ["f0"], offset=offset, fold=None)
+    assert read(none) == [(None, None)] * len(values)
+    with pytest.raises(ValueError, match="one row"):
+        ml.predict(df, one.union(one), ["f0", "f1"], ["f0"], offset=offset, fold=None)
+
+
 def test_offset_zero_correction_is_the_market(spark):
     off = np.array([-1.2, -0.8, -0.4, -0.1, 0.1, 0.4, 0.8, 1.2])
     y = np.array([0, 0, 0, 1, 0, 1, 1, 1])
