@@ -129,3 +129,25 @@ def test_a_drawdown_that_meets_the_stop_is_a_breach_however_it_is_rounded(spark)
         curve = running.equity_curve(df, ["d"], "pnl", F.floor(F.col("d") / width), peak_floor=0.0)
         out = running.halt_after_drawdown(curve, "d", 0.3).orderBy("d").collect()
         assert [r.halted for r in out] == [False, False, False, False, True]
+
+
+def test_policy_report_allocates_only_rows_that_can_be_staked(spark, monkeypatch):
+    """400 picks of two sets and three days, with ties, missing edges and a day without a wish: at most two rows a day and set are copied per policy."""
+    rows = [(s, f"2024-01-0{k % 3 + 1}", k, None if k % 7 == 0 else 0.01 if k % 3 == 2 else (k * 37 % 40) / 200.0, "A" if k % 2 else "B", k % 5 % 2, -120.0, 110.0)
+            for s in ("p", "q") for k in range(200)]
+    df = spark.createDataFrame(rows, "prediction_set string, date string, event_key int, net_edge double, pick_side string, y int, odds_a double, odds_b double")
+    df = df.withColumn("date", F.col("date").cast("date"))
+    whole = ev.apply_policies(df, ["event_key"], by=["prediction_set"])
+
+    def sums(rows):
+        out = rows.groupBy("prediction_set", "policy", "date").agg(F.count_if(F.col("stake") > 0), F.sum("stake"), F.round(F.sum("pnl"), 9))
+        return sorted(map(tuple, out.collect()))
+
+    seen, plain = [], ev.apply_policies
+    monkeypatch.setattr(ev, "apply_policies", lambda rows, *a, **k: seen.append(rows) or plain(rows, *a, **k))
+    report = ev.policy_report(df, ["event_key"], by=["prediction_set"], draws=50).collect()
+    assert seen[0].count() == 12
+    assert len(report) == 6 and sum(r.bets for r in report) == sum(n for *_, n, _, _ in sums(whole)) > 0
+    assert sums(plain(seen[0], ["event_key"], by=["prediction_set"])) == sums(whole)
+    free = [{"policy": "free", "high": None, "max_stake": 1.0, "cap": None}]
+    assert ev.nominees(df, ["event_key"], policies=free).count() == 400
