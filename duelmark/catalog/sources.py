@@ -1,6 +1,6 @@
 """Sources, sinks and source tables."""
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window as W, functions as F, types as T
 
 from duelmark.catalog.fixtures import TIE
 from duelmark.catalog.registry import query
@@ -54,10 +54,12 @@ def _(t):
 def payload(t):
     """Nested quote payloads, as JSON text.
 
-    A payload holds up to 100 neighbouring book numbers of one event, one quote per book, so
-    its arrays stay small however many books an event has.
+    A payload holds up to 100 neighbouring books of one event, one quote per book, so its arrays stay small however
+    many books an event has. Books are counted and not taken by number: numbers lie so far apart that most payloads
+    held one book, and the text of an event was made and parsed for each.
     """
-    books = t.clean
+    place = F.row_number().over(W.partitionBy("event_key").orderBy("book_key"))
+    books = t.clean.withColumn("part_no", F.floor((place - 1) / 100))
     struct = F.struct(
         F.col("book_key").cast("string").alias("key"), F.concat(F.lit("Book "), F.col("book_key").cast("string")).alias("title"),
         F.date_format("snapshot_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_update"),
@@ -68,7 +70,7 @@ def payload(t):
                 F.struct(F.lit("home").alias("name"), F.col("odds_a").cast("string").alias("price")),
                 F.struct(F.lit("away").alias("name"), F.when(F.col("line") == 1, F.lit("n/a")).otherwise(
                     F.col("odds_b").cast("string")).alias("price"))).alias("outcomes"))).alias("markets"))
-    event = books.groupBy("event_key", F.floor(F.col("book_key") / 100)).agg(F.max("commence_time").alias("c"), F.sort_array(F.collect_list(struct)).alias("b"))
+    event = books.groupBy("event_key", "part_no").agg(F.max("commence_time").alias("c"), F.sort_array(F.collect_list(struct)).alias("b"))
     return event.select("event_key", F.to_json(F.array(F.struct(
         F.col("event_key").cast("string").alias("id"), F.date_format("c", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"),
         F.lit("home").alias("home_team"), F.lit("away").alias("away_team"), F.col("b").alias("bookmakers")))).alias("body"))

@@ -44,6 +44,36 @@ def test_archive_keeps_prices_as_delivered(spark):
     assert sorted(r.book_key for r in rows.collect()) == sorted([*BOARD, "second-try", "second-try"])
 
 
+def test_a_payload_holds_up_to_100_books_of_an_event(spark):
+    from types import SimpleNamespace
+
+    from duelmark.catalog import sources
+
+    # event 1 has seven books far apart, event 2 has 250 books
+    rows = [(1, 4001 * b) for b in range(7)] + [(2, 3 * b) for b in range(250)]
+    clean = (spark.createDataFrame(rows, "event_key long, book_key long")
+             .selectExpr("*", "timestamp_ntz'2031-05-04 18:00:00' commence_time", "timestamp_ntz'2031-05-03 18:00:00' snapshot_ts",
+                         "-150.0D odds_a", "130.0D odds_b", "2 line"))
+    bodies = sources.payload(SimpleNamespace(clean=clean)).collect()
+    sizes = sorted((r.event_key, len(e["bookmakers"])) for r in bodies for e in json.loads(r.body))
+    assert sizes == [(1, 7), (2, 50), (2, 100), (2, 100)]
+    books = [(r.event_key, int(b["key"])) for r in bodies for e in json.loads(r.body) for b in e["bookmakers"]]
+    assert sorted(books) == rows
+
+
+def test_a_market_is_chosen_once_and_events_are_not_copied_per_book(spark):
+    # neither the choice of a market nor the parsed event may appear twice in a plan
+    events = qt.parse_payload(payload(spark), "body")
+    for rows in (qt.explode_paired_quotes(events), qt.archive_quotes(events)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(filter(") == 1
+        assert "posexplode(event" not in plan and "_bookmakers" in plan
+    odd = spark.createDataFrame([("[null]",), ("[]",), ("no json",), (None,), ('[{"id": "x", "bookmakers": [null, {"key": "k"}]}]',)], "body string")
+    events = qt.parse_payload(odd, "body")
+    assert sorted(str(r.event.id) for r in events.collect()) == ["None", "x"]
+    assert qt.explode_paired_quotes(events).count() == qt.archive_quotes(events).count() == 0
+
+
 def test_devig_before_median(spark):
     df = spark.createDataFrame([("e", f"b{i}", "2024-12-30", "2025-01-01 03:00:00", float(a), float(b)) for i, (a, b) in enumerate(BOARD.values())],
                                "event_uid string, book_key string, s string, c string, odds_a double, odds_b double")
